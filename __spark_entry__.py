@@ -3,7 +3,8 @@
 Every query reads the driver's tables (``orders`` with ``lineitem`` for the
 patient table; ``conversations`` for the question log) and runs over them
 whole. ``oracle_sql`` holds the DuckDB equivalent of each SQL-expressible
-query; ML, writes and the non-SQL operators have none (rows-only check).
+query; model training, writes and the question answers have none
+(rows-only check) or are checked against brute force in ``tests/``.
 """
 
 from __future__ import annotations
@@ -11,33 +12,125 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wardflow.functions import encoding, scores
+from wardflow.operators import filters, groups, queue
 from wardflow.sources.patients import patient_table
-from wardflow.operators import groups
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
+# Parameters of the registered queries: those of the application's sample
+# questions where one exists, else the application's defaults.
+SAMPLE_SPECIALTIES = ["Cardiology", "Orthopedics"]
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: mean wait for Cardiology and Orthopedics (sample question 1)."""
     return groups.average_wait_time(patient_table(spark, SMOKE_DIR),
-                                    specialties=["Cardiology", "Orthopedics"])
+                                    specialties=SAMPLE_SPECIALTIES)
 
 
-def _patients(fn, **kw):
+def _p(fn, **kw):
+    """A query applying ``fn`` to the patient table of ``sf_dir``."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(patient_table(spark, sf_dir), **kw)
+    run.__name__ = getattr(fn, "__name__", "query")
     return run
 
 
+def _cols(**exprs):
+    """A query projecting ``patient_id`` and named column expressions."""
+    def project(df: DataFrame) -> DataFrame:
+        return df.select("patient_id", *[e().alias(n) for n, e in exprs.items()])
+    return _p(project)
+
+
+def _winter_count(df: DataFrame) -> DataFrame:
+    return filters.filter_season(df, "Winter").agg(F.count(F.lit(1)).alias("winter_patients"))
+
+
+def _band_counts(df: DataFrame) -> DataFrame:
+    g = (df.groupBy(scores.age_group().alias("age_group"))
+           .agg(F.count(F.lit(1)).alias("patient_count")))
+    return filters.drop_empty_groups(g, "age_group", "patient_count")
+
+
+def _encode(df: DataFrame) -> DataFrame:
+    return encoding.one_hot_encode(df, keep=["patient_id"])
+
+
+def _decode(df: DataFrame) -> DataFrame:
+    enc = encoding.one_hot_encode(df, keep=["patient_id"])
+    return encoding.one_hot_decode(enc).select("patient_id", "gender", "specialty", "season")
+
+
+def _fill(df: DataFrame) -> DataFrame:
+    enc = encoding.one_hot_encode(df, keep=["patient_id"] + encoding.feature_columns()[:5])
+    return encoding.feature_fill(enc)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "patient_table": patient_table,
-        "average_wait_time": _patients(groups.average_wait_time,
-                                       specialties=["Cardiology", "Orthopedics"]),
-    }
+    q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    # A: sources
+    q["patient_table"] = patient_table
+    # B: filters
+    q["filter_specialty"] = _p(filters.filter_specialty, specialties=SAMPLE_SPECIALTIES)
+    q["filter_age_exact"] = _p(filters.filter_age_exact, age=45)
+    q["filter_age_range"] = _p(filters.filter_age_range, age_min=30, age_max=50)
+    q["filter_age_group"] = _p(filters.filter_age_group, group="elderly")
+    q["filter_high_risk"] = _p(filters.filter_high_risk)
+    q["filter_season"] = _p(_winter_count)
+    q["drop_empty_groups"] = _p(_band_counts)
+    # C: row-level columns
+    q["priority_score"] = _cols(priority_score=scores.priority_score)
+    q["readmit_risk"] = _cols(readmit_risk=scores.readmit_risk)
+    q["risk_label"] = _cols(label=scores.risk_label)
+    q["wait_days"] = _cols(wait_days=scores.wait_days)
+    q["combined_score"] = _cols(combined_score=scores.combined_score)
+    q["cancellation_loss"] = _cols(cancellation_loss=scores.cancellation_loss)
+    q["age_group"] = _cols(age=lambda: F.col("age"), age_group=scores.age_group)
+    q["clip_upper"] = _cols(
+        clipped_priority=lambda: scores.clip_upper(scores.priority_score_raw()),
+        clipped_readmit=lambda: scores.clip_upper(scores.readmit_risk_raw()))
+    q["one_hot_encode"] = _p(_encode)
+    q["one_hot_decode"] = _p(_decode)
+    q["feature_fill"] = _p(_fill)
+    # E: grouped answers
+    q["average_wait_time"] = _p(groups.average_wait_time, specialties=SAMPLE_SPECIALTIES)
+    q["specialty_analysis"] = _p(groups.specialty_analysis)
+    q["high_risk_by_specialty"] = _p(groups.high_risk_by_specialty, percentage=70)
+    q["cost_impact"] = _p(groups.cost_impact, specialties=["Orthopedics"])
+    q["seasonal_analysis"] = _p(groups.seasonal_analysis)
+    q["age_based_risk"] = _p(groups.age_based_risk, age_min=30, age_max=50)
+    q["age_based_cancellation"] = _p(groups.age_based_cancellation)
+    q["age_based_cost"] = _p(groups.age_based_cost, age_min=18, age_max=35, age_group="young")
+    q["overview_metrics"] = _p(groups.overview_metrics)
+    q["specialty_counts"] = _p(groups.specialty_counts)
+    q["wait_by_specialty"] = _p(groups.wait_by_specialty)
+    q["specialty_performance"] = _p(groups.specialty_performance)
+    q["readmit_histogram"] = _p(groups.readmit_histogram)
+    q["cancel_risk_by_specialty"] = _p(groups.cancel_risk_by_specialty)
+    q["season_counts"] = _p(groups.season_counts)
+    q["seasonal_risk"] = _p(groups.seasonal_risk)
+    q["most_common_specialty"] = _p(groups.most_common_specialty)
+    q["highest_risk_specialty"] = _p(groups.highest_risk_specialty)
+    q["average_age"] = _p(groups.average_age)
+    q["high_risk_summary"] = _p(groups.high_risk_summary)
+    q["cancellation_reduction"] = _p(groups.cancellation_reduction, percentage=15.0)
+    # F: queue, capacity, schedule
+    q["high_risk_patients"] = _p(queue.high_risk_patients)
+    q["capacity_scheduled"] = _p(queue.capacity_scheduled)
+    q["capacity_summary"] = _p(queue.capacity_summary)
+    q["weekly_backlog"] = _p(queue.weekly_backlog)
+    q["optimized_schedule"] = _p(queue.optimized_schedule)
+    q["patients_treated_earlier"] = _p(queue.patients_treated_earlier)
+    q["capacity_kpis"] = _p(queue.capacity_kpis, baseline_capacity=200, uplift_percentage=20)
+    q["backlog_timeline"] = _p(queue.backlog_timeline)
+    return q
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_queries import ORACLE
-    return {k: v for k, v in ORACLE.items() if k in queries()}
+    names = queries()
+    return {k: v for k, v in ORACLE.items() if k in names}

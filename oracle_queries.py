@@ -98,3 +98,186 @@ ORACLE["patient_table"] = with_patients("SELECT * FROM patients")
 ORACLE["average_wait_time"] = with_patients(
     f"SELECT specialty, {iavg('wait_days')} AS avg_wait_days, count(patient_id) AS patient_count "
     "FROM patients WHERE specialty IN ('Cardiology', 'Orthopedics') GROUP BY specialty")
+
+
+def grouped(select: str, where: str = "", group: str = "specialty") -> str:
+    w = f" WHERE {where}" if where else ""
+    return with_patients(f"SELECT {select} FROM patients{w} GROUP BY {group}")
+
+
+def banded(select: str, where: str = "") -> str:
+    w = f" WHERE {where}" if where else ""
+    return with_patients(
+        f"SELECT age_group, {select} FROM (SELECT *, {AGE_GROUP} AS age_group FROM patients{w}) b "
+        "WHERE age_group IS NOT NULL GROUP BY age_group")
+
+
+PATIENT_COLS = ("patient_id, age, gender, specialty, cancel_risk, los, cost_estimate, season, jitter, "
+                "priority_score, readmit_risk, label, wait_days")
+
+# --- B: filters -----------------------------------------------------------------
+ORACLE["filter_specialty"] = with_patients(
+    "SELECT * FROM patients WHERE specialty IN ('Cardiology', 'Orthopedics')")
+ORACLE["filter_age_exact"] = with_patients("SELECT * FROM patients WHERE age = 45")
+ORACLE["filter_age_range"] = with_patients("SELECT * FROM patients WHERE age BETWEEN 30 AND 50")
+ORACLE["filter_age_group"] = with_patients("SELECT * FROM patients WHERE age > 60")
+ORACLE["filter_high_risk"] = with_patients(f"SELECT * FROM patients WHERE readmit_risk > {d(0.7)}")
+ORACLE["filter_season"] = with_patients(
+    "SELECT count(*) AS winter_patients FROM patients WHERE season = 'Winter'")
+ORACLE["drop_empty_groups"] = banded("count(*) AS patient_count")
+
+# --- C: row-level columns ---------------------------------------------------------
+ORACLE["priority_score"] = with_patients("SELECT patient_id, priority_score FROM patients")
+ORACLE["readmit_risk"] = with_patients("SELECT patient_id, readmit_risk FROM patients")
+ORACLE["risk_label"] = with_patients("SELECT patient_id, label FROM patients")
+ORACLE["wait_days"] = with_patients("SELECT patient_id, wait_days FROM patients")
+ORACLE["combined_score"] = with_patients(
+    f"SELECT patient_id, priority_score * {d(1 - 0.3)} + readmit_risk * {d(0.3)} AS combined_score "
+    "FROM patients")
+ORACLE["cancellation_loss"] = with_patients(
+    "SELECT patient_id, cost_estimate * cancel_risk AS cancellation_loss FROM patients")
+ORACLE["age_group"] = with_patients(f"SELECT patient_id, age, {AGE_GROUP} AS age_group FROM patients")
+ORACLE["clip_upper"] = with_patients(
+    "SELECT patient_id, priority_score AS clipped_priority, readmit_risk AS clipped_readmit FROM patients")
+
+ENCODED = ("CAST(gender = 'M' AS INTEGER) AS gender_M, "
+           + ", ".join(f"CAST(specialty = '{v}' AS INTEGER) AS \"specialty_{v}\""
+                       for v in ["ENT", "General Surgery", "Gynaecology", "Ophthalmology",
+                                 "Orthopedics", "Urology"])
+           + ", " + ", ".join(f"CAST(season = '{v}' AS INTEGER) AS season_{v}"
+                              for v in ["Spring", "Summer", "Winter"]))
+ORACLE["one_hot_encode"] = with_patients(f"SELECT patient_id, {ENCODED} FROM patients")
+ORACLE["one_hot_decode"] = with_patients("SELECT patient_id, gender, specialty, season FROM patients")
+ORACLE["feature_fill"] = with_patients(
+    "SELECT patient_id, coalesce(age, 0) AS age, coalesce(los, 0) AS los, "
+    "coalesce(cost_estimate, 0) AS cost_estimate, coalesce(cancel_risk, 0) AS cancel_risk, "
+    f"coalesce(priority_score, 0) AS priority_score, {ENCODED} FROM patients")
+
+# --- E: grouped answers -------------------------------------------------------------
+ORACLE["average_wait_time"] = grouped(
+    f"specialty, {iavg('wait_days')} AS avg_wait_days, count(patient_id) AS patient_count",
+    "specialty IN ('Cardiology', 'Orthopedics')")
+ORACLE["specialty_analysis"] = grouped(
+    f"specialty, count(patient_id) AS patient_count, {iavg('wait_days')} AS avg_wait_days, "
+    f"{iavg('cost_estimate')} AS avg_cost, {r6('avg(cancel_risk)')} AS avg_cancel_risk, "
+    f"{r6('avg(readmit_risk)')} AS avg_readmit_risk")
+ORACLE["high_risk_by_specialty"] = grouped(
+    f"specialty, count(patient_id) AS high_risk_count, {r6('avg(readmit_risk)')} AS avg_risk, "
+    f"{iavg('cost_estimate')} AS avg_cost", f"readmit_risk > {d(70 / 100)}")
+ORACLE["cost_impact"] = grouped(
+    f"specialty, CAST(sum(cost_estimate) AS BIGINT) AS total_cost, {iavg('cost_estimate')} AS avg_cost, "
+    "count(cost_estimate) AS patient_count, "
+    f"{r6('sum(cost_estimate * cancel_risk)')} AS potential_loss_from_cancellations",
+    "specialty IN ('Orthopedics')")
+ORACLE["seasonal_analysis"] = grouped(
+    f"season, {r6('avg(cancel_risk)')} AS avg_cancel_risk, count(patient_id) AS total_cases",
+    group="season")
+ORACLE["age_based_risk"] = banded(
+    f"{r6('avg(readmit_risk)')} AS avg_readmit_risk, count(patient_id) AS total_patients",
+    "age BETWEEN 30 AND 50")
+ORACLE["age_based_cancellation"] = banded(
+    f"{r6('avg(cancel_risk)')} AS avg_cancel_risk, count(patient_id) AS total_patients")
+ORACLE["age_based_cost"] = banded(
+    f"{iavg('cost_estimate')} AS avg_cost, CAST(sum(cost_estimate) AS BIGINT) AS total_cost, "
+    "count(cost_estimate) AS patient_count", "age BETWEEN 18 AND 35")
+ORACLE["overview_metrics"] = with_patients(
+    f"SELECT count(*) AS total_patients, {iavg('wait_days')} AS avg_wait_days, "
+    f"count(*) FILTER (WHERE readmit_risk > {d(0.7)}) AS high_risk_patients, "
+    "CAST(sum(cost_estimate) AS BIGINT) AS total_cost FROM patients")
+ORACLE["specialty_counts"] = grouped(
+    "specialty, count(*) AS patient_count, "
+    f"{r6('CAST(count(*) AS DOUBLE) / sum(count(*)) OVER ()')} AS share")
+ORACLE["wait_by_specialty"] = grouped(f"specialty, {iavg('wait_days')} AS avg_wait_days")
+ORACLE["specialty_performance"] = grouped(
+    f"specialty, count(patient_id) AS patient_count, round_even({iavg('wait_days')}, 2) AS avg_wait_days, "
+    f"round_even({iavg('cost_estimate')}, 2) AS avg_cost, round_even(avg(cancel_risk), 2) AS avg_cancel_risk, "
+    "round_even(avg(readmit_risk), 2) AS avg_readmit_risk")
+ORACLE["readmit_histogram"] = with_patients(
+    f"SELECT bin, count(*) AS patient_count, bin / {d(20.0)} AS bin_start, (bin + 1) / {d(20.0)} AS bin_end "
+    f"FROM (SELECT CAST(least(19, floor(readmit_risk * {d(20.0)})) AS INTEGER) AS bin FROM patients) h "
+    "GROUP BY bin")
+ORACLE["cancel_risk_by_specialty"] = grouped(f"specialty, {r6('avg(cancel_risk)')} AS avg_cancel_risk")
+ORACLE["season_counts"] = grouped("season, count(*) AS patient_count", group="season")
+ORACLE["seasonal_risk"] = grouped(
+    "season, round_even(avg(cancel_risk), 3) AS avg_cancel_risk, "
+    "round_even(avg(readmit_risk), 3) AS avg_readmit_risk", group="season")
+ORACLE["most_common_specialty"] = with_patients(
+    "SELECT specialty, count(*) AS patient_count FROM patients GROUP BY specialty "
+    "ORDER BY patient_count DESC, specialty ASC LIMIT 1")
+ORACLE["highest_risk_specialty"] = with_patients(
+    f"SELECT specialty, {r6('a')} AS avg_readmit_risk FROM (SELECT specialty, avg(readmit_risk) AS a "
+    "FROM patients GROUP BY specialty ORDER BY a DESC, specialty ASC LIMIT 1) t")
+ORACLE["average_age"] = with_patients(f"SELECT {iavg('age')} AS avg_age FROM patients")
+ORACLE["high_risk_summary"] = with_patients(
+    f"SELECT count(*) AS high_risk_patient_count, {d(0.7)} AS risk_threshold, "
+    f"round_even(coalesce({iavg('cost_estimate')}, {d(0.0)}), 2) AS avg_cost_high_risk, "
+    f"count(*) > 0 AS potential_intervention_needed FROM patients WHERE readmit_risk > {d(0.7)}")
+ORACLE["cancellation_reduction"] = with_patients(
+    "SELECT round_even(e, 2) AS current_expected_cancellations, "
+    "round_even(e * p, 2) AS cancellations_prevented, round_even(e * p * c, 2) AS cost_savings, "
+    f"round_even(e * p * l, 2) AS bed_days_freed, round_even(e * p * l / {d(7.0)} * {d(5.0)}, 2) "
+    f"AS weekly_capacity_freed, {d(15.0)} AS reduction_percentage "
+    f"FROM (SELECT sum(cancel_risk) AS e, {d(15 / 100)} AS p, {iavg('cost_estimate')} AS c, "
+    f"{iavg('los')} AS l FROM patients) s")
+
+# --- F: queue, capacity, schedule -------------------------------------------------------
+PRIORITY_ORDER = "priority_score DESC, wait_days DESC, patient_id ASC"
+COMBINED = f"priority_score * {d(1 - 0.3)} + readmit_risk * {d(0.3)}"
+
+
+def week(q: str, cap: int, typ: str = "INTEGER") -> str:
+    return f"CAST(ceil({q} / {d(float(cap))}) AS {typ})"
+
+
+def positions(base: int = 100, new: int = 120) -> str:
+    return ("pos AS (SELECT *, row_number() OVER (ORDER BY " + PRIORITY_ORDER + ") AS queue_position "
+            "FROM patients),\n"
+            f"wk AS (SELECT *, {week('queue_position', base)} AS baseline_week, "
+            f"{week('queue_position', new)} AS new_week FROM pos)")
+
+
+N_CTE = "nn AS (SELECT count(*) AS n, avg(cost_estimate) AS avg_cost FROM patients)"
+
+ORACLE["high_risk_patients"] = ORACLE["filter_high_risk"]
+ORACLE["capacity_scheduled"] = with_patients("SELECT * FROM wk", positions())
+ORACLE["capacity_summary"] = with_patients(
+    "SELECT count(*) AS total_patients, 100 AS baseline_capacity, 120 AS new_capacity, "
+    "CAST(max(baseline_week) AS BIGINT) AS baseline_weeks, CAST(max(new_week) AS BIGINT) AS new_weeks, "
+    "CAST(max(baseline_week) - max(new_week) AS BIGINT) AS weeks_saved, "
+    "count(*) FILTER (WHERE new_week < baseline_week) AS patients_moved_earlier, "
+    "round(CAST(sum(baseline_week - new_week) AS DOUBLE) / count(*), 6) AS avg_weeks_saved FROM wk",
+    positions())
+ORACLE["weekly_backlog"] = with_patients(
+    "SELECT CAST(w.range AS INTEGER) AS week, "
+    "(SELECT count(*) FROM wk WHERE baseline_week > w.range) AS baseline_backlog, "
+    "(SELECT count(*) FROM wk WHERE new_week > w.range) AS new_backlog "
+    "FROM range(1, 52) w WHERE w.range <= (SELECT max(baseline_week) FROM wk)",
+    positions())
+ORACLE["optimized_schedule"] = with_patients(
+    "SELECT *, " + week("queue_position", 100) + " AS scheduled_week FROM (SELECT *, "
+    "row_number() OVER (ORDER BY combined_score DESC, wait_days DESC, patient_id ASC) AS queue_position "
+    f"FROM (SELECT *, {COMBINED} AS combined_score FROM patients) s) q")
+
+
+def treated_earlier_sql(base: int, new: int) -> str:
+    return (f"(SELECT coalesce(CAST(sum(greatest(0, least({new}, n - (week - 1) * {new}) "
+            f"- least({base}, n - (week - 1) * {base}))) AS BIGINT), 0) "
+            f"FROM (SELECT n, unnest(generate_series(1, {week('n', base, 'BIGINT')})) AS week FROM nn) w)")
+
+
+ORACLE["patients_treated_earlier"] = with_patients(
+    f"SELECT {treated_earlier_sql(100, 120)} AS patients_treated_earlier", N_CTE)
+ORACLE["capacity_kpis"] = with_patients(
+    f"SELECT {week('n', 200, 'BIGINT')} - {week('n', 240, 'BIGINT')} AS weeks_saved, "
+    f"{treated_earlier_sql(200, 240)} AS patients_moved_earlier, "
+    f"{week('n', 200, 'BIGINT')} AS baseline_weeks, {week('n', 240, 'BIGINT')} AS new_weeks, "
+    "200 AS baseline_capacity, 240 AS new_capacity, 40 AS additional_weekly_capacity, "
+    "160 AS monthly_additional_capacity, "
+    f"round_even(CAST({week('n', 200, 'BIGINT')} - {week('n', 240, 'BIGINT')} AS DOUBLE) "
+    f"/ nullif({week('n', 200, 'BIGINT')}, 0) * {d(100.0)}, 1) AS efficiency_gain, "
+    f"'20%' AS capacity_increase, n AS total_patients, {d(160.0)} * avg_cost AS monthly_revenue_increase "
+    "FROM nn", N_CTE)
+ORACLE["backlog_timeline"] = with_patients(
+    "SELECT CAST(w.range AS INTEGER) AS week, greatest(0, n - w.range * 100) AS current_backlog, "
+    "greatest(0, n - w.range * 120) AS new_backlog FROM nn, range(1, 53) w "
+    f"WHERE w.range <= {week('n', 100, 'BIGINT')} + 5", N_CTE)
