@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions import encoding, scores
 from wardflow.operators import filters, groups, queue
+from wardflow.operators import questions as qlog
 from wardflow.sources.patients import patient_table
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -70,6 +71,17 @@ def _fill(df: DataFrame) -> DataFrame:
     return encoding.feature_fill(enc)
 
 
+def _log(fn):
+    """A query applying ``fn`` to the question log of ``sf_dir``."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(qlog.question_log(spark, sf_dir))
+    return run
+
+
+def _params(df: DataFrame) -> DataFrame:
+    return qlog.extract_question_params(df).select("conv_id", "turn", "params.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     # A: sources
@@ -127,6 +139,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["patients_treated_earlier"] = _p(queue.patients_treated_earlier)
     q["capacity_kpis"] = _p(queue.capacity_kpis, baseline_capacity=200, uplift_percentage=20)
     q["backlog_timeline"] = _p(queue.backlog_timeline)
+    # H: question log (every conversation turn, whole text)
+    q["classify_questions"] = _log(lambda df: qlog.classify_questions(df))
+    q["extract_question_params"] = _log(_params)
+    q["route_questions"] = _log(lambda df: qlog.route_questions(df))
+    q["intent_counts"] = _log(qlog.intent_counts)
     return q
 
 

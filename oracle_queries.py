@@ -281,3 +281,77 @@ ORACLE["backlog_timeline"] = with_patients(
     "SELECT CAST(w.range AS INTEGER) AS week, greatest(0, n - w.range * 100) AS current_backlog, "
     "greatest(0, n - w.range * 120) AS new_backlog FROM nn, range(1, 53) w "
     f"WHERE w.range <= {week('n', 100, 'BIGINT')} + 5", N_CTE)
+
+# --- H: question log over ``conversations`` ---------------------------------------
+from wardflow import constants as _K  # noqa: E402
+
+NW = r"[^\pL\pN_]"          # a non-word character (Unicode letters, digits, _)
+LOW = "lower(text)"
+
+
+def _ww(word: str, subject: str = LOW) -> str:
+    """Whole-word test with the boundaries written as consumed characters."""
+    return f"regexp_matches({subject}, '(^|{NW}){word}({NW}|$)')"
+
+
+def _first(subject: str, pattern: str, typ: str) -> str:
+    return (f"CASE WHEN regexp_matches({subject}, '{pattern}') "
+            f"THEN TRY_CAST(regexp_extract({subject}, '{pattern}', 1) AS {typ}) END")
+
+
+INTENT_SQL = ("CASE " + " ".join(f"WHEN regexp_matches({LOW}, '{p}') THEN '{n}'"
+                                 for n, p in _K.QUESTION_PATTERNS)
+              + f" ELSE '{_K.DEFAULT_INTENT}' END")
+ROUTE_SQL = (
+    "CASE WHEN intent IN ('cancellation_reduction', 'capacity_analysis') AND contains(lower(question), 'cancel') "
+    "THEN 'cancellation_reduction' "
+    "WHEN intent IN ('cancellation_reduction', 'capacity_analysis') AND (contains(lower(question), 'capacity') "
+    "OR contains(lower(question), 'increase')) THEN 'capacity_kpis' "
+    "WHEN intent = 'high_risk_patients' THEN 'high_risk_by_specialty' "
+    "WHEN intent IN ('average_wait_time', 'specialty_analysis', 'cost_impact', 'seasonal_analysis', "
+    "'age_based_risk', 'age_based_cancellation', 'age_based_cost') THEN intent "
+    "ELSE 'preview_rows' END")
+
+ORACLE["classify_questions"] = (
+    f"SELECT conv_id, turn, text AS question, {INTENT_SQL} AS intent FROM conversations")
+ORACLE["route_questions"] = (
+    f"SELECT conv_id, turn, question, intent, {ROUTE_SQL} AS route FROM "
+    f"(SELECT conv_id, turn, text AS question, {INTENT_SQL} AS intent FROM conversations) c")
+ORACLE["intent_counts"] = (
+    f"SELECT {INTENT_SQL} AS intent, count(*) AS question_count FROM conversations GROUP BY 1")
+
+_NUM_SUBJECT = rf"regexp_replace(text, '([^\pL\pN_.])', '\1\1', 'g')"
+_NUMS = (f"list_transform(regexp_extract_all({_NUM_SUBJECT}, "
+         rf"'(?:^|{NW})(\d+(?:\.\d+)?)(?:{NW}|$)', 1), lambda x: CAST(x AS DOUBLE))")
+_CAP = (f"coalesce({_first(LOW, r'baseline\s+capacity.*?(\d+)', 'INTEGER')}, "
+        f"CASE WHEN contains({LOW}, 'capacity') OR contains({LOW}, 'increase') THEN 100 END)")
+_SPECS = ("list_filter([" + ", ".join(
+    f"CASE WHEN {_ww(s)} THEN '{next(n for n in _K.SPECIALTIES if n.lower() == s)}' END"
+    for s in _K.QUESTION_SPECIALTIES) + "], lambda x: x IS NOT NULL)")
+_ADULT_SUBJECT = f"replace({LOW}, 'young adult', 'young_adult')"
+
+
+def _group_test(g: str) -> str:
+    return _ww(g, _ADULT_SUBJECT) if g == "adult" else _ww(g)
+
+
+_GROUPS = list(_K.AGE_GROUPS.items())[::-1]
+_GROUP = "CASE " + " ".join(f"WHEN {_group_test(g)} THEN '{g}'" for g, _ in _GROUPS) + " END"
+_GMIN = "CASE " + " ".join(f"WHEN {_group_test(g)} THEN {a}" for g, (a, _b) in _GROUPS) + " END"
+_GMAX = "CASE " + " ".join(f"WHEN {_group_test(g)} THEN {b}" for g, (_a, b) in _GROUPS) + " END"
+_RANGE = r"between\s+(\d{1,3})\s+(?:and|to)\s+(\d{1,3})"
+
+ORACLE["extract_question_params"] = (
+    "SELECT conv_id, turn, "
+    f"{_first('text', r'(\d+(?:\.\d+)?)%', 'DOUBLE')} AS percentage, "
+    f"CASE WHEN len({_NUMS}) > 0 THEN {_NUMS} END AS numbers, "
+    f"{_CAP} AS baseline_capacity, {_CAP} AS weekly_capacity, "
+    f"{_first(LOW, r'risk.weight.*?(\d+(?:\.\d+)?)', 'DOUBLE')} AS risk_weight, "
+    f"{_first(LOW, r'threshold.*?(\d+(?:\.\d+)?)', 'DOUBLE')} AS threshold, "
+    f"CASE WHEN len({_SPECS}) > 0 THEN {_SPECS} END AS specialties, "
+    f"{_first(LOW, rf'(?:^|{NW})age(?:d)?\s*(\d{{1,3}})(?:{NW}|$)', 'INTEGER')} AS age, "
+    f"coalesce({_GMIN}, CASE WHEN regexp_matches({LOW}, '{_RANGE}') "
+    f"THEN CAST(regexp_extract({LOW}, '{_RANGE}', 1) AS INTEGER) END) AS age_min, "
+    f"coalesce({_GMAX}, CASE WHEN regexp_matches({LOW}, '{_RANGE}') "
+    f"THEN CAST(regexp_extract({LOW}, '{_RANGE}', 2) AS INTEGER) END) AS age_max, "
+    f"{_GROUP} AS age_group FROM conversations")
