@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardflow.functions import encoding, scores
-from wardflow.operators import filters, groups, queue
+from wardflow.operators import filters, groups, inspect, queue
 from wardflow.operators import questions as qlog
+from wardflow.sources import sinks
 from wardflow.sources.patients import patient_table
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -71,6 +72,11 @@ def _fill(df: DataFrame) -> DataFrame:
     return encoding.feature_fill(enc)
 
 
+def _adhoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from oracle_queries import ADHOC_SQL
+    return inspect.adhoc_sql(spark, patient_table(spark, sf_dir), ADHOC_SQL)
+
+
 def _log(fn):
     """A query applying ``fn`` to the question log of ``sf_dir``."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +92,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     # A: sources
     q["patient_table"] = patient_table
+    q["write_patient_table"] = _p(sinks.write_patient_table)
+    q["write_patient_parquet"] = _p(sinks.write_patient_parquet)
+    q["adhoc_sql"] = _adhoc
+    q["preview_rows"] = _p(inspect.preview_rows)
+    q["sample_rows"] = _p(inspect.sample_rows)
+    q["row_count"] = _p(inspect.row_count)
+    q["table_profile"] = _p(inspect.table_profile)
+    q["validate_columns"] = _p(inspect.validate_columns)
     # B: filters
     q["filter_specialty"] = _p(filters.filter_specialty, specialties=SAMPLE_SPECIALTIES)
     q["filter_age_exact"] = _p(filters.filter_age_exact, age=45)

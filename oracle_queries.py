@@ -355,3 +355,26 @@ ORACLE["extract_question_params"] = (
     f"coalesce({_GMAX}, CASE WHEN regexp_matches({LOW}, '{_RANGE}') "
     f"THEN CAST(regexp_extract({LOW}, '{_RANGE}', 2) AS INTEGER) END) AS age_max, "
     f"{_GROUP} AS age_group FROM conversations")
+
+# --- A: sources, sinks, inspection -------------------------------------------------
+PATIENT_TYPES = [("patient_id", "bigint"), ("age", "int"), ("gender", "string"), ("specialty", "string"),
+                 ("cancel_risk", "double"), ("los", "int"), ("cost_estimate", "int"), ("season", "string"),
+                 ("jitter", "int"), ("priority_score", "double"), ("readmit_risk", "double"),
+                 ("label", "int"), ("wait_days", "int")]
+ADHOC_SQL = ("SELECT specialty, count(*) AS patient_count, sum(cost_estimate) AS total_cost "
+             "FROM patients GROUP BY specialty")
+ORACLE["adhoc_sql"] = with_patients(
+    "SELECT specialty, count(*) AS patient_count, CAST(sum(cost_estimate) AS BIGINT) AS total_cost "
+    "FROM patients GROUP BY specialty")
+ORACLE["preview_rows"] = with_patients("SELECT * FROM patients ORDER BY patient_id LIMIT 10")
+ORACLE["sample_rows"] = with_patients(
+    "SELECT * FROM patients ORDER BY md5('42:' || CAST(patient_id AS VARCHAR)), patient_id LIMIT 100000")
+ORACLE["row_count"] = with_patients("SELECT count(*) AS row_count FROM patients")
+ORACLE["table_profile"] = with_patients(" UNION ALL ".join(
+    f"SELECT {i + 1} AS ordinal, '{c}' AS column_name, '{t}' AS data_type, "
+    f"count({c}) AS non_null_count, count(*) AS row_count FROM patients"
+    for i, (c, t) in enumerate(PATIENT_TYPES)))
+ORACLE["validate_columns"] = with_patients(
+    "SELECT count(*) > 0 AS is_valid, CASE WHEN count(*) = 0 THEN 'DataFrame is empty or None' "
+    "ELSE 'All required columns present' END AS message, CAST([] AS VARCHAR[]) AS missing_columns "
+    "FROM (SELECT 1 FROM patients LIMIT 1) t")
