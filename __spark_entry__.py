@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from wardflow.functions import encoding, scores
 from wardflow.operators import filters, groups, inspect, queue
 from wardflow.operators import questions as qlog
+from wardflow.operators import model as ml
+from wardflow.plans.pipeline import run_pipeline
 from wardflow.sources import sinks
 from wardflow.sources.patients import patient_table
 
@@ -77,6 +79,42 @@ def _adhoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.adhoc_sql(spark, patient_table(spark, sf_dir), ADHOC_SQL)
 
 
+_MODELS: dict = {}
+
+
+def _model(spark: SparkSession, sf_dir: str):
+    """G1 fitted once per application and data folder; the registered model
+    queries share it (the model is a few trees on the driver, no data)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = ml.train_risk_model(patient_table(spark, sf_dir))
+    return _MODELS[key]
+
+
+def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    imp = ml.feature_importances(_model(spark, sf_dir))
+    trees = len(_model(spark, sf_dir).stages[-1].trees)
+    return spark.createDataFrame(
+        [(i + 1, n, float(v), trees) for i, (n, v) in enumerate(imp)],
+        "feature_index int, feature string, importance double, num_trees int")
+
+
+def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.score_patients(_model(spark, sf_dir), patient_table(spark, sf_dir))
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.model_metrics(_score(spark, sf_dir))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.feature_vectors(patient_table(spark, sf_dir))
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_pipeline(spark, sf_dir, model=_model(spark, sf_dir)).high_risk_patients
+
+
 def _log(fn):
     """A query applying ``fn`` to the question log of ``sf_dir``."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +191,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["patients_treated_earlier"] = _p(queue.patients_treated_earlier)
     q["capacity_kpis"] = _p(queue.capacity_kpis, baseline_capacity=200, uplift_percentage=20)
     q["backlog_timeline"] = _p(queue.backlog_timeline)
+    # G, C11, C12, P1: model and pipeline (rows-only checks)
+    q["feature_select"] = _features
+    q["train_risk_model"] = _train
+    q["score_patients"] = _score
+    q["model_metrics"] = _metrics
+    q["run_pipeline"] = _pipeline
     # H: question log (every conversation turn, whole text)
     q["classify_questions"] = _log(lambda df: qlog.classify_questions(df))
     q["extract_question_params"] = _log(_params)

@@ -1,0 +1,46 @@
+"""Op P1: the whole pipeline as one lazy chain with one write.
+
+patient table (A1 with C1-C4) -> label, features, boosted trees, scores
+(C3, C8-C12, G1-G2) -> table write (A2) -> high-risk list (F1).
+
+The written table is the materialisation point: everything after it reads
+the table back, so later steps never recompute the join, the scores or the
+model scoring, and the lineage is cut at a reliable copy.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+
+from wardflow import constants as K
+from wardflow.operators import model as M
+from wardflow.operators import queue
+from wardflow.sources import sinks
+from wardflow.sources.patients import patient_table
+
+
+@dataclass
+class PipelineResult:
+    df_final: DataFrame
+    model: PipelineModel
+    metrics: DataFrame
+    high_risk_patients: DataFrame
+
+
+def run_pipeline(spark: SparkSession, sf_dir: str, table_name: str = "patient_data",
+                 fmt: str = "parquet", model: PipelineModel | None = None,
+                 threshold: float = K.HIGH_RISK_THRESHOLD) -> PipelineResult:
+    """Build, score, persist and analyse the patient table."""
+    patients = patient_table(spark, sf_dir)
+    fitted = model if model is not None else M.train_risk_model(patients)
+    scored = M.score_patients(fitted, patients)
+    final = sinks.write_patient_table(scored, table_name, fmt)
+    return PipelineResult(
+        df_final=final,
+        model=fitted,
+        metrics=M.model_metrics(final),
+        high_risk_patients=queue.high_risk_patients(final, threshold),
+    )
