@@ -18,6 +18,7 @@ from wardflow.functions import encoding, scores
 from wardflow.operators import filters, groups, inspect, queue
 from wardflow.operators import questions as qlog
 from wardflow.operators import model as ml
+from wardflow.plans.answers import answer_questions
 from wardflow.plans.pipeline import run_pipeline
 from wardflow.sources import sinks
 from wardflow.sources.patients import patient_table
@@ -126,6 +127,10 @@ def _params(df: DataFrame) -> DataFrame:
     return qlog.extract_question_params(df).select("conv_id", "turn", "params.*")
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer_questions(qlog.question_log(spark, sf_dir), patient_table(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     # A: sources
@@ -202,6 +207,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["extract_question_params"] = _log(_params)
     q["route_questions"] = _log(lambda df: qlog.route_questions(df))
     q["intent_counts"] = _log(qlog.intent_counts)
+    q["answer_questions"] = _answers
     return q
 
 
