@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from wardflow import constants as K
 from wardflow.functions import scores
 from wardflow.operators import inspect, questions
-from wardflow.session import broadcast_if_small
+from wardflow.session import broadcast_if_small, reliable_checkpoint
 
 ALL = "ALL"
 SPECIALTY_ROUTES = ["average_wait_time", "specialty_analysis", "high_risk_by_specialty",
@@ -168,12 +168,24 @@ def _preview_answers(prep: DataFrame, patients: DataFrame, ids: list[str]) -> Da
              .select(*ids, "intent", "route", "group_key", F.explode("_m").alias("m")))
 
 
+def prepared_cells(patients: DataFrame) -> DataFrame:
+    """The cell tables written once to the checkpoint folder, broadcast only
+    if their row count is within the bound."""
+    return broadcast_if_small(reliable_checkpoint(cell_tables(patients)))
+
+
 def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "question",
-                     ids: Sequence[str] | None = None) -> DataFrame:
+                     ids: Sequence[str] | None = None, cells: DataFrame | None = None) -> DataFrame:
     """H4: every question of ``qlog`` answered; columns ``ids``, intent,
-    route, group_key, metric, value, text_value."""
+    route, group_key, metric, value, text_value. ``cells`` may be passed in
+    (from ``prepared_cells``) when many logs are answered from one table."""
     ids = [c for c in qlog.columns if c != question] if ids is None else list(ids)
-    prep = questions.prepare_questions(qlog, question)
+    # Each text is classified and parsed exactly once: the prepared rows
+    # (without the text) are written to the checkpoint folder before the two
+    # branches filter them, since a filter on ``route`` would otherwise be
+    # pushed below the classification and repeat the regexes per branch.
+    prep = reliable_checkpoint(questions.prepare_questions(qlog, question)
+                               .select(*ids, "intent", "params", "route"))
     p = F.col("params")
     route = F.col("route")
     keys = F.when(route.isin(*FUNCTION_ROUTES), F.array(F.lit(ALL))).otherwise(
@@ -182,7 +194,10 @@ def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "ques
     qk = (prep.filter(route != "preview_rows")
               .select(*ids, "intent", "route", "params", kind.alias("kind"),
                       F.explode(keys).alias("_key")))
-    cells = broadcast_if_small(cell_tables(patients))
+    # The cells are small (their size follows the value domains): write them
+    # once, check their size on the copy, then broadcast.
+    if cells is None:
+        cells = prepared_cells(patients)
     j = qk.join(cells, ["_key", "kind"])
     threshold = F.coalesce(p["percentage"], F.lit(float(K.HIGH_RISK_PERCENT_DEFAULT))) / F.lit(100.0)
     keep = (F.when(route == "high_risk_by_specialty", F.col("readmit_risk") > threshold)
