@@ -57,3 +57,13 @@ def test_unknown_specialty_has_no_rows(spark, patients_small):
     # no specialty named: every specialty answers
     assert {r.group_key for r in rows} == {r.specialty for r in
                                            patients_small.select("specialty").distinct().collect()}
+
+
+def test_salted_join_equals_broadcast(spark, patients_small, monkeypatch):
+    import wardflow.plans.answers as A
+    qdf = spark.createDataFrame([(i, q) for i, q, *_ in QUESTIONS], "question_id bigint, question string")
+    want = answer_questions(qdf, patients_small)
+    monkeypatch.setattr(A, "BROADCAST_ROW_LIMIT", 10)
+    got = answer_questions(qdf, patients_small)
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0

@@ -35,8 +35,10 @@ def sample_rows(df: DataFrame, n: int = K.SAMPLE_ROWS, seed: int = K.SAMPLE_SEED
 
     A sort-and-limit would send up to ``n`` rows from every task to one
     task. Instead rows are counted per hash bucket (at most 65,536 buckets),
-    a running sum over that small table finds which buckets are kept whole
-    and the one bucket that is cut, and only that bucket is ranked.
+    a running sum over that small table gives each bucket its quota, and
+    only the rows of buckets with a quota are ranked within their bucket
+    (a bucket holds about N / 65,536 rows; hash values are uniform because
+    the key is unique).
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     tagged = (df.withColumn("_wf_h", h)
@@ -49,13 +51,13 @@ def sample_rows(df: DataFrame, n: int = K.SAMPLE_ROWS, seed: int = K.SAMPLE_SEED
                        F.lit(0), F.lit(n) - (F.col("_wf_cum") - F.col("_wf_n")))))
                    .filter(F.col("_wf_quota") > 0)
                    .select("_wf_b", "_wf_n", "_wf_quota"))
+    # Only kept buckets pass the join: about n rows plus one cut bucket, so
+    # the rank below shuffles the sample, not the table.
     kept = tagged.join(F.broadcast(quota), "_wf_b")
-    whole = kept.filter(F.col("_wf_quota") == F.col("_wf_n"))
     rank = Window.partitionBy("_wf_b").orderBy("_wf_h", key)
-    cut = (kept.filter(F.col("_wf_quota") < F.col("_wf_n"))
-               .withColumn("_wf_r", F.row_number().over(rank))
-               .filter(F.col("_wf_r") <= F.col("_wf_quota")).drop("_wf_r"))
-    return whole.unionByName(cut).drop("_wf_b", "_wf_h", "_wf_n", "_wf_quota")
+    return (kept.withColumn("_wf_r", F.row_number().over(rank))
+                .filter(F.col("_wf_r") <= F.col("_wf_quota"))
+                .drop("_wf_b", "_wf_h", "_wf_n", "_wf_quota", "_wf_r"))
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from wardflow import constants as K
 from wardflow.functions import scores
 from wardflow.operators import inspect, questions
-from wardflow.session import broadcast_if_small, reliable_checkpoint
+from wardflow.session import BROADCAST_ROW_LIMIT, bounded_rows, reliable_checkpoint
 
 ALL = "ALL"
 SPECIALTY_ROUTES = ["average_wait_time", "specialty_analysis", "high_risk_by_specialty",
@@ -169,9 +169,22 @@ def _preview_answers(prep: DataFrame, patients: DataFrame, ids: list[str]) -> Da
 
 
 def prepared_cells(patients: DataFrame) -> DataFrame:
-    """The cell tables written once to the checkpoint folder, broadcast only
-    if their row count is within the bound."""
-    return broadcast_if_small(reliable_checkpoint(cell_tables(patients)))
+    """The cell tables written once to the checkpoint folder."""
+    return reliable_checkpoint(cell_tables(patients))
+
+
+def _join_cells(qk: DataFrame, cells: DataFrame, salt_buckets: int) -> DataFrame:
+    """Questions x cells on (key, kind). Broadcast when the cells are within
+    the row bound. Otherwise (a near-continuous readmit risk makes the risk
+    cells grow with the rows) the join keys have only a handful of values,
+    so both sides are salted: cells spread over ``salt_buckets`` by a hash
+    of their dimensions, question keys repeated once per bucket."""
+    if bounded_rows(cells, BROADCAST_ROW_LIMIT) is not None:
+        return qk.join(F.broadcast(cells), ["_key", "kind"])
+    salted = cells.withColumn("_salt", F.pmod(
+        F.xxhash64("specialty", "age", "season", "readmit_risk"), F.lit(salt_buckets)))
+    spread = qk.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    return spread.join(salted, ["_key", "kind", "_salt"]).drop("_salt")
 
 
 def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "question",
@@ -198,7 +211,8 @@ def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "ques
     # once, check their size on the copy, then broadcast.
     if cells is None:
         cells = prepared_cells(patients)
-    j = qk.join(cells, ["_key", "kind"])
+    salt = int(qlog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = _join_cells(qk, cells, salt)
     threshold = F.coalesce(p["percentage"], F.lit(float(K.HIGH_RISK_PERCENT_DEFAULT))) / F.lit(100.0)
     keep = (F.when(route == "high_risk_by_specialty", F.col("readmit_risk") > threshold)
              .when(route.isin(*BAND_ROUTES), _age_filter(p))
