@@ -101,3 +101,14 @@ def test_new_capacity_truncates():
     assert queue.new_capacity(100, 57) == 156
     with pytest.raises(ValueError):
         queue.new_capacity(100, -5)
+
+
+@pytest.mark.parametrize("op", ["capacity_scheduled", "optimized_schedule"])
+def test_single_partition_only_over_partition_counts(patients_small, op):
+    out = getattr(queue, op)(patients_small)
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    singles = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+    assert singles, "expected the offsets window over the partition counts"
+    for i in singles:
+        child = lines[i + 1]
+        assert "HashAggregate" in child and "_wf_part" in child and "_wf_n" in child, child
