@@ -55,3 +55,27 @@ def test_intent_counts(spark):
     for _i, _q, intent, _r in QUESTIONS:
         want[intent] = want.get(intent, 0) + 1
     assert got == want
+
+
+def test_whole_conversation_log_matches_brute_force(spark):
+    log = Q.question_log(spark, "/root/testdata/sf0.01")
+    rows = Q.extract_question_params(Q.classify_questions(log)).collect()
+    assert len(rows) == log.count()
+    for r in rows:
+        assert r.intent == brute.classify(r.question)
+        got = {k: v for k, v in r.params.asDict().items() if v is not None}
+        assert got == brute.extract(r.question)
+
+
+def test_guards_are_necessary_conditions():
+    import re
+
+    from wardflow import constants as K
+    from wardflow.functions.text import necessary_literals
+    texts = [q for _i, q, *_ in QUESTIONS] + EXTRA
+    for _name, pattern in K.QUESTION_PATTERNS:
+        lits = necessary_literals(pattern)
+        for t in texts:
+            low = t.lower()
+            if re.search(pattern, low):
+                assert any(all(any(x in low for x in g) for g in branch) for branch in lits)

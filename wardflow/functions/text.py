@@ -29,8 +29,93 @@ def whole_word(word: str) -> str:
     return java_regex(r"\b" + re.escape(word) + r"\b")
 
 
+_META = set(".^$*+?{}[]\\|()")
+
+
+def _split_top(s: str, sep: str = "|") -> list[str]:
+    """Split ``s`` at ``sep`` outside parentheses."""
+    parts, depth, cur = [], 0, ""
+    for ch in s:
+        depth += ch == "("
+        depth -= ch == ")"
+        if ch == sep and depth == 0:
+            parts.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    return parts + [cur]
+
+
+def _top_groups(branch: str) -> list[str]:
+    """Contents of the parenthesised groups at the top level of ``branch``."""
+    groups, depth, start = [], 0, 0
+    for i, ch in enumerate(branch):
+        if ch == "(":
+            if depth == 0:
+                start = i + 1
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+            if depth == 0:
+                groups.append(branch[start:i])
+    return groups
+
+
+def necessary_literals(pattern: str) -> list[list[list[str]]] | None:
+    """A condition every match of ``pattern`` meets, as branches of groups
+    of literal prefixes: some branch has, for each of its groups, some
+    prefix contained in the text. ``None`` when no such literals exist.
+
+    Only top-level groups of literal alternatives count (e.g. the groups of
+    ``(average|avg|mean).*(wait|waiting)``); a group whose alternative starts
+    with a metacharacter constrains nothing and is left out.
+    """
+    branches = []
+    for branch in _split_top(pattern):
+        groups = []
+        for g in _top_groups(branch):
+            prefixes = []
+            for alt in _split_top(g):
+                lit = ""
+                for ch in alt:
+                    if ch in _META:
+                        break
+                    lit += ch
+                prefixes.append(lit)
+            if all(prefixes):
+                groups.append(sorted(set(prefixes)))
+        if not groups:
+            return None
+        branches.append(groups)
+    return branches
+
+
+def _guard(text: Column, pattern: str) -> Column | None:
+    lits = necessary_literals(pattern)
+    if lits is None:
+        return None
+    ors = []
+    for groups in lits:
+        ands = None
+        for prefixes in groups:
+            any_of = None
+            for lit in prefixes:
+                c = text.contains(lit)
+                any_of = c if any_of is None else any_of | c
+            ands = any_of if ands is None else ands & any_of
+        ors.append(ands)
+    out = ors[0]
+    for c in ors[1:]:
+        out = out | c
+    return out
+
+
 def _rx(text: Column, pattern: str) -> Column:
-    return text.rlike(java_regex(pattern))
+    """``rlike`` behind its literal guard: substring tests are cheap and
+    rule out most texts before the regex runs over the whole text."""
+    test = text.rlike(java_regex(pattern))
+    guard = _guard(text, pattern)
+    return test if guard is None else (guard & test)
 
 
 def classify(text: Column) -> Column:
@@ -116,9 +201,15 @@ def route(intent: Column, question: Column) -> Column:
     "cancel" to the cancellation what-if, else text with "capacity" or
     "increase" to the capacity figures. The eight grouped intents go to
     their grouped answer; everything else gets the preview rows.
+
+    One map lookup keyed by (intent, text tag) references ``intent`` once,
+    so a filter on ``route`` pushed below the classification does not repeat
+    the classification per branch.
     """
     low = F.lower(question)
-    fn_intent = intent.isin(*K.FUNCTION_INTENTS)
+    tag = (F.when(low.contains("cancel"), F.lit("cancel"))
+            .when(low.contains("capacity") | low.contains("increase"), F.lit("capacity"))
+            .otherwise(F.lit("none")))
     grouped = {
         "average_wait_time": "average_wait_time",
         "specialty_analysis": "specialty_analysis",
@@ -129,9 +220,12 @@ def route(intent: Column, question: Column) -> Column:
         "age_based_cancellation": "age_based_cancellation",
         "age_based_cost": "age_based_cost",
     }
-    expr = (F.when(fn_intent & low.contains("cancel"), F.lit("cancellation_reduction"))
-             .when(fn_intent & (low.contains("capacity") | low.contains("increase")),
-                   F.lit("capacity_kpis")))
-    for i, r in grouped.items():
-        expr = expr.when(intent == i, F.lit(r))
-    return expr.otherwise(F.lit("preview_rows"))
+    by_tag = {"cancel": "cancellation_reduction", "capacity": "capacity_kpis", "none": "preview_rows"}
+    entries = []
+    for t in by_tag:
+        for i, r in grouped.items():
+            entries += [F.lit(f"{i}:{t}"), F.lit(r)]
+        for i in K.FUNCTION_INTENTS:
+            entries += [F.lit(f"{i}:{t}"), F.lit(by_tag[t])]
+    table = F.create_map(*entries)
+    return F.coalesce(F.element_at(table, F.concat(intent, F.lit(":"), tag)), F.lit("preview_rows"))
