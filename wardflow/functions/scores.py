@@ -7,7 +7,7 @@ reference bit for bit.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,7 +58,13 @@ def priority_score_raw(age="age", los="los", cost="cost_estimate",
 
 def priority_score(**cols) -> Column:
     """Capped weighted sum of age, stay, cost, specialty and season."""
-    return clip_upper(priority_score_raw(**cols))
+    return _default_priority() if not cols else clip_upper(priority_score_raw(**cols))
+
+
+@lru_cache(maxsize=1)
+def _default_priority() -> Column:
+    # Column expressions are immutable trees: the default one is built once.
+    return clip_upper(priority_score_raw())
 
 
 def readmit_risk_raw(age="age", los="los", cancel_risk="cancel_risk",
@@ -74,7 +80,12 @@ def readmit_risk_raw(age="age", los="los", cancel_risk="cancel_risk",
 
 def readmit_risk(**cols) -> Column:
     """Capped weighted sum of age, stay, cancel risk, cost and winter."""
-    return clip_upper(readmit_risk_raw(**cols))
+    return _default_readmit() if not cols else clip_upper(readmit_risk_raw(**cols))
+
+
+@lru_cache(maxsize=1)
+def _default_readmit() -> Column:
+    return clip_upper(readmit_risk_raw())
 
 
 def risk_label(risk="readmit_risk") -> Column:

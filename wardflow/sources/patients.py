@@ -72,10 +72,9 @@ def base_patients(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 def with_scores(df: DataFrame) -> DataFrame:
     """Adds C1, C2, C3 and C4 to a frame holding the base columns."""
-    return (df.withColumn("priority_score", scores.priority_score())
-              .withColumn("readmit_risk", scores.readmit_risk())
-              .withColumn("label", scores.risk_label())
-              .withColumn("wait_days", scores.wait_days()))
+    first = df.withColumns({"priority_score": scores.priority_score(),
+                            "readmit_risk": scores.readmit_risk()})
+    return first.withColumns({"label": scores.risk_label(), "wait_days": scores.wait_days()})
 
 
 def patient_table(spark: SparkSession, sf_dir: str) -> DataFrame:
