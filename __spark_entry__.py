@@ -86,7 +86,7 @@ _MODELS: dict = {}
 def _model(spark: SparkSession, sf_dir: str):
     """G1 fitted once per application and data folder; the registered model
     queries share it (the model is a few trees on the driver, no data)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.conf.get("spark.app.id", ""), sf_dir)
     if key not in _MODELS:
         _MODELS[key] = ml.train_risk_model(patient_table(spark, sf_dir))
     return _MODELS[key]

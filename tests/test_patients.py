@@ -105,3 +105,23 @@ def test_scan_prunes_columns(spark):
         .queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint>" in plan
     assert "o_orderstatus" not in plan
+
+
+def test_every_operator_accepts_an_empty_table(patients_small):
+    from wardflow.operators import groups, queue
+    empty = patients_small.limit(0)
+    for fn in [groups.average_wait_time, groups.specialty_analysis, groups.high_risk_by_specialty,
+               groups.cost_impact, groups.seasonal_analysis, groups.age_based_risk,
+               groups.age_based_cancellation, groups.age_based_cost, groups.specialty_counts,
+               groups.wait_by_specialty, groups.specialty_performance, groups.readmit_histogram,
+               groups.cancel_risk_by_specialty, groups.season_counts, groups.seasonal_risk,
+               groups.most_common_specialty, groups.highest_risk_specialty]:
+        assert fn(empty).count() == 0, fn.__name__
+    one_row = [groups.overview_metrics, groups.average_age, groups.high_risk_summary,
+               groups.cancellation_reduction, queue.capacity_summary, queue.patients_treated_earlier]
+    for fn in one_row:
+        assert fn(empty).count() == 1, fn.__name__
+    h = groups.high_risk_summary(empty).first()
+    assert h.high_risk_patient_count == 0 and h.avg_cost_high_risk == 0.0
+    assert not h.potential_intervention_needed
+    assert queue.capacity_scheduled(empty).count() == 0

@@ -41,12 +41,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     temporary folder; a cluster without one is an error, since a machine-local
     folder would not survive the loss of that machine.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        if configured:
+            return configured
+        raise RuntimeError("spark.checkpoint.dir is not set on the server") from None
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
