@@ -51,7 +51,7 @@ def global_positions(df: DataFrame, order: list[Column], name: str = "queue_posi
               else df.repartitionByRange(*order))
     tagged = ranged.sortWithinPartitions(*order).withColumn(
         "_wf_mid", F.monotonically_increasing_id())
-    tagged = reliable_checkpoint(tagged)
+    tagged = reliable_checkpoint(tagged, "positions")
     part = F.shiftright(F.col("_wf_mid"), _ROW_BITS)
     local = F.col("_wf_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     counts = tagged.groupBy(part.alias("_wf_part")).agg(F.count(F.lit(1)).alias("_wf_n"))

@@ -1,22 +1,24 @@
 """Op H4: answer a whole log of questions in one job.
 
 The application answers one question at a time with one pass over the
-patients each. Here the patients are aggregated **once** into small cell
-tables (one scan, two grouping sets):
+patients each. Here the patients are aggregated **once** (one scan, five
+grouping sets) into small cell tables, one per answer grain:
 
-* ``sa``   cells: specialty x age x season, with counts and sums, which answer
-  the wait, specialty, cost, seasonal and age-band questions and the global
-  cancellation and capacity figures;
-* ``risk`` cells: specialty x readmit risk, which answer the high-risk
-  question for any threshold.
+* ``spec``   specialty                -> wait, specialty and cost answers;
+* ``season`` specialty x season       -> the seasonal answer;
+* ``age``    specialty x age          -> the three age-band answers;
+* ``risk``   specialty x readmit risk -> the high-risk answer, any threshold;
+* ``global`` one row                  -> the cancellation and capacity figures.
 
 Each cell is keyed twice, by its specialty and by ``ALL``. Each question is
-keyed by the specialties it names (or ``ALL``), so questions meet cells in
-an equi-join; the cells are broadcast only after their row count is checked
+keyed by the specialties it names (or ``ALL``) and by the grain of its
+route, so questions meet only the cells their answer needs, in an
+equi-join; the cells are broadcast only after their row count is checked
 (their size follows the value domains, not the number of patients). The
 question's own filters (age, threshold) apply to the joined cells, and one
 ``groupBy`` over (question, group) yields every grouped answer. Questions
-without a grouped answer get the ten preview rows.
+without a grouped answer get the ten preview rows, attached as one scalar
+subquery (a bounded array), not through a join.
 
 Output is long: one row per (question, group, metric) with ``value``
 (numbers) or ``text_value`` (text).
@@ -42,8 +44,12 @@ FUNCTION_ROUTES = ["cancellation_reduction", "capacity_kpis"]
 METRIC = "struct<metric:string,value:double,text_value:string>"
 
 
-def cell_tables(patients: DataFrame) -> DataFrame:
-    """The two cell tables in one aggregation, each cell keyed twice."""
+_SUMS = ["n", "s_wait", "s_cost", "s_cancel", "s_readmit", "s_los", "s_loss"]
+
+
+def base_cells(patients: DataFrame) -> DataFrame:
+    """The one pass over the patients: two grouping sets, specialty x age x
+    season (``sa``) and specialty x readmit risk (``risk``)."""
     g = patients.groupingSets(
         [["specialty", "age", "season"], ["specialty", "readmit_risk"]],
         "specialty", "age", "season", "readmit_risk",
@@ -57,10 +63,36 @@ def cell_tables(patients: DataFrame) -> DataFrame:
         F.sum("los").alias("s_los"),
         F.sum(scores.cancellation_loss()).alias("s_loss"),
     )
-    kind = F.when(F.col("_gid") == 1, F.lit("sa")).otherwise(F.lit("risk"))
-    return (g.withColumn("kind", kind)
-             .withColumn("_key", F.explode(F.array(F.col("specialty"), F.lit(ALL))))
-             .drop("_gid"))
+    # grouping_id bits over (specialty, age, season, readmit_risk): 1 = sa
+    return g.withColumn("kind", F.when(F.col("_gid") == 1, F.lit("sa")).otherwise(F.lit("risk"))) \
+            .drop("_gid")
+
+
+def cell_tables(base: DataFrame) -> DataFrame:
+    """Cells of every answer grain, derived from the (small) base cells and
+    keyed by their specialty and by ``ALL`` (global cells by ``ALL`` only)."""
+    sa = base.filter(F.col("kind") == "sa")
+    sums = [F.sum(c).alias(c) for c in _SUMS]
+    dims = ["specialty", "age", "season", "readmit_risk"]
+
+    def grain(df: DataFrame, kind: str) -> DataFrame:
+        return df.select(*[F.col(d) if d in df.columns else F.lit(None).cast(t).alias(d)
+                           for d, t in zip(dims, ["string", "int", "string", "double"])],
+                         *_SUMS, F.lit(kind).alias("kind"))
+
+    parts = [
+        grain(sa.groupBy("specialty").agg(*sums), "spec"),
+        grain(sa.groupBy("specialty", "season").agg(*sums), "season"),
+        grain(sa.groupBy("specialty", "age").agg(*sums), "age"),
+        grain(base.filter(F.col("kind") == "risk").drop("age", "season", "kind"), "risk"),
+        grain(sa.agg(*sums), "global"),
+    ]
+    cells = parts[0]
+    for part in parts[1:]:
+        cells = cells.unionByName(part)
+    keys = F.when(F.col("kind") == "global", F.array(F.lit(ALL))).otherwise(
+        F.array(F.col("specialty"), F.lit(ALL)))
+    return cells.withColumn("_key", F.explode(keys))
 
 
 def _age_filter(p: Column) -> Column:
@@ -159,18 +191,20 @@ def _preview_answers(prep: DataFrame, patients: DataFrame, ids: list[str]) -> Da
     rows = inspect.preview_rows(patients)
     items = [(_t(c, F.col(c)) if t == "string" else _m(c, F.col(c)))
              for c, t in rows.dtypes if c != "patient_id"]
-    flat = rows.select(F.col("patient_id").cast("string").alias("group_key"),
-                       F.array(*items).cast(f"array<{METRIC}>").alias("_m"),
-                       F.lit("preview_rows").alias("route"))
+    # The preview is at most PREVIEW_ROWS rows: one bounded array, computed
+    # once as a scalar subquery and attached to every preview question.
+    preview = rows.agg(F.collect_list(F.struct(
+        F.col("patient_id").cast("string").alias("group_key"),
+        F.array(*items).cast(f"array<{METRIC}>").alias("metrics"))).alias("rows"))
     q = prep.filter(F.col("route") == "preview_rows").select(*ids, "intent", "route")
-    # The preview has at most PREVIEW_ROWS rows: a proven bound.
-    return (q.join(F.broadcast(flat), "route")
-             .select(*ids, "intent", "route", "group_key", F.explode("_m").alias("m")))
+    return (q.select(*ids, "intent", "route", F.explode(preview.scalar()).alias("r"))
+             .select(*ids, "intent", "route", "r.group_key", F.explode("r.metrics").alias("m")))
 
 
 def prepared_cells(patients: DataFrame) -> DataFrame:
-    """The cell tables written once to the checkpoint folder."""
-    return reliable_checkpoint(cell_tables(patients))
+    """The cell tables; their one pass over the patients is written once to
+    the checkpoint folder (a table whose size follows the value domains)."""
+    return cell_tables(reliable_checkpoint(base_cells(patients), "cells"))
 
 
 def _join_cells(qk: DataFrame, cells: DataFrame, salt_buckets: int) -> DataFrame:
@@ -198,12 +232,16 @@ def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "ques
     # branches filter them, since a filter on ``route`` would otherwise be
     # pushed below the classification and repeat the regexes per branch.
     prep = reliable_checkpoint(questions.prepare_questions(qlog, question)
-                               .select(*ids, "intent", "params", "route"))
+                               .select(*ids, "intent", "params", "route"), "questions")
     p = F.col("params")
     route = F.col("route")
     keys = F.when(route.isin(*FUNCTION_ROUTES), F.array(F.lit(ALL))).otherwise(
         F.coalesce(p["specialties"], F.array(F.lit(ALL))))
-    kind = F.when(route == "high_risk_by_specialty", F.lit("risk")).otherwise(F.lit("sa"))
+    kind = (F.when(route == "high_risk_by_specialty", F.lit("risk"))
+             .when(route.isin(*SPECIALTY_ROUTES), F.lit("spec"))
+             .when(route == "seasonal_analysis", F.lit("season"))
+             .when(route.isin(*BAND_ROUTES), F.lit("age"))
+             .otherwise(F.lit("global")))
     qk = (prep.filter(route != "preview_rows")
               .select(*ids, "intent", "route", "params", kind.alias("kind"),
                       F.explode(keys).alias("_key")))

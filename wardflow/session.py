@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,10 +63,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def reliable_checkpoint(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as parquet under the checkpoint folder and read it
+    back, cutting its lineage.
+
+    ``Dataset.checkpoint`` computes an uncached plan twice (once to count,
+    once to write the files); a written table computes it once, and the
+    read-back is a columnar scan with pruning and filter pushdown.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/wardflow/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded_rows(df: DataFrame, limit: int) -> int | None:
