@@ -378,3 +378,126 @@ ORACLE["validate_columns"] = with_patients(
     "SELECT count(*) > 0 AS is_valid, CASE WHEN count(*) = 0 THEN 'DataFrame is empty or None' "
     "ELSE 'All required columns present' END AS message, CAST([] AS VARCHAR[]) AS missing_columns "
     "FROM (SELECT 1 FROM patients LIMIT 1) t")
+
+# Writes return the table as read back; the feature vector is a fixed layout:
+# 5 numeric features, then indicators in descending label order with the
+# alphabetically first label dropped.
+ORACLE["write_patient_table"] = with_patients("SELECT * FROM patients")
+ORACLE["write_patient_parquet"] = with_patients("SELECT * FROM patients")
+_VEC = (["CAST(age AS DOUBLE)", "CAST(los AS DOUBLE)", "CAST(cost_estimate AS DOUBLE)",
+         "cancel_risk", "priority_score", "CAST(gender = 'M' AS DOUBLE)"]
+        + [f"CAST(specialty = '{v}' AS DOUBLE)" for v in sorted(_K.SPECIALTIES, reverse=True)[:-1]]
+        + [f"CAST(season = '{v}' AS DOUBLE)" for v in sorted(_K.SEASONS, reverse=True)[:-1]])
+ORACLE["feature_select"] = with_patients(f"SELECT patient_id, [{', '.join(_VEC)}] AS features FROM patients")
+
+# --- H4: batch answers, brute force (questions joined to patient rows) -------------
+_PCOLS = [(c, t) for c, t in PATIENT_TYPES if c != "patient_id"]
+
+
+def _metric_rows(src: str, metrics: list[tuple[str, str, bool]]) -> str:
+    """UNION ALL of one row per metric: (name, SQL expression, is_text)."""
+    parts = []
+    for name, expr, is_text in metrics:
+        value = "CAST(NULL AS DOUBLE)" if is_text else f"CAST({expr} AS DOUBLE)"
+        text = f"CAST({expr} AS VARCHAR)" if is_text else "CAST(NULL AS VARCHAR)"
+        parts.append(f"SELECT conv_id, turn, intent, route, group_key, '{name}' AS metric, "
+                     f"{value} AS value, {text} AS text_value FROM {src}")
+    return " UNION ALL ".join(parts)
+
+
+_Q_PARAMS = (
+    f"{_first('text', r'(\d+(?:\.\d+)?)%', 'DOUBLE')} AS percentage, "
+    f"CASE WHEN len({_SPECS}) > 0 THEN {_SPECS} END AS specialties, "
+    f"{_CAP} AS baseline_capacity, "
+    f"{_first(LOW, rf'(?:^|{NW})age(?:d)?\s*(\d{{1,3}})(?:{NW}|$)', 'INTEGER')} AS age, "
+    f"coalesce({_GMIN}, CASE WHEN regexp_matches({LOW}, '{_RANGE}') "
+    f"THEN CAST(regexp_extract({LOW}, '{_RANGE}', 1) AS INTEGER) END) AS age_min, "
+    f"coalesce({_GMAX}, CASE WHEN regexp_matches({LOW}, '{_RANGE}') "
+    f"THEN CAST(regexp_extract({LOW}, '{_RANGE}', 2) AS INTEGER) END) AS age_max, "
+    f"{_GROUP} AS age_group")
+_AGE_OK = ("CASE WHEN q.age IS NOT NULL THEN p.age = q.age "
+           "WHEN q.age_min IS NOT NULL AND q.age_max IS NOT NULL THEN p.age BETWEEN q.age_min AND q.age_max "
+           "WHEN q.age_group IN ('elderly', 'senior') THEN p.age > 60 ELSE TRUE END")
+_GKEY = ("CASE WHEN q.route IN ('average_wait_time', 'specialty_analysis', 'high_risk_by_specialty', "
+         "'cost_impact') THEN p.specialty WHEN q.route = 'seasonal_analysis' THEN p.season "
+         f"WHEN q.route IN ('age_based_risk', 'age_based_cancellation', 'age_based_cost') "
+         f"THEN {AGE_GROUP.replace('age', 'p.age').replace('p.p.age', 'p.age')} END")
+_GROUPED = ("('average_wait_time', 'specialty_analysis', 'high_risk_by_specialty', 'cost_impact', "
+            "'seasonal_analysis', 'age_based_risk', 'age_based_cancellation', 'age_based_cost')")
+_H4_CTES = f"""
+q0 AS (SELECT conv_id, turn, text AS question, {INTENT_SQL} AS intent, {_Q_PARAMS} FROM conversations),
+qr AS (SELECT *, {ROUTE_SQL} AS route FROM q0),
+g AS (SELECT * FROM (
+  SELECT q.conv_id, q.turn, q.intent, q.route, {_GKEY} AS group_key, count(*) AS n,
+         sum(p.wait_days) AS s_wait, sum(p.cost_estimate) AS s_cost, sum(p.cancel_risk) AS s_cancel,
+         sum(p.readmit_risk) AS s_readmit, sum(p.cost_estimate * p.cancel_risk) AS s_loss
+  FROM qr q JOIN patients p
+    ON (q.specialties IS NULL OR list_contains(q.specialties, p.specialty))
+   AND (q.route <> 'high_risk_by_specialty'
+        OR p.readmit_risk > coalesce(q.percentage, {d(70.0)}) / {d(100.0)})
+   AND (q.route NOT IN ('age_based_risk', 'age_based_cancellation', 'age_based_cost') OR {_AGE_OK})
+  WHERE q.route IN {_GROUPED}
+  GROUP BY 1, 2, 3, 4, 5) x WHERE group_key IS NOT NULL),
+gl AS (SELECT count(*) AS n, sum(cancel_risk) AS s_cancel, CAST(sum(cost_estimate) AS DOUBLE) / count(*) AS c,
+              CAST(sum(los) AS DOUBLE) / count(*) AS l FROM patients),
+f AS (
+  SELECT q.conv_id, q.turn, q.intent, q.route, CAST(NULL AS VARCHAR) AS group_key, gl.*,
+         coalesce(q.percentage, {d(20.0)}) AS pct, q.percentage AS raw_pct,
+         CAST(coalesce(q.baseline_capacity, 100) AS BIGINT) AS base
+  FROM qr q, gl WHERE q.route IN ('cancellation_reduction', 'capacity_kpis')),
+f2 AS (SELECT *, CAST(floor(CAST(base AS DOUBLE) * ({d(1.0)} + pct / {d(100.0)})) AS BIGINT) AS new,
+              s_cancel * (pct / {d(100.0)}) AS prevented FROM f),
+f3 AS (SELECT *, CAST(ceil(n / CAST(base AS DOUBLE)) AS BIGINT) AS wb,
+              CAST(ceil(n / CAST(new AS DOUBLE)) AS BIGINT) AS wc,
+              CAST(floor(n / CAST(new AS DOUBLE)) AS BIGINT) AS fw FROM f2),
+pv AS (SELECT * FROM patients ORDER BY patient_id LIMIT 10),
+pr AS (SELECT q.conv_id, q.turn, q.intent, q.route, CAST(pv.patient_id AS VARCHAR) AS group_key, pv.*
+       FROM qr q JOIN pv ON q.route = 'preview_rows')"""
+
+_CANCEL = "q.route = 'cancellation_reduction'"
+_H4_BODY = " UNION ALL ".join([
+    _metric_rows("(SELECT * FROM g WHERE route = 'average_wait_time')",
+                 [("avg_wait_days", "s_wait / CAST(n AS DOUBLE)", False), ("patient_count", "n", False)]),
+    _metric_rows("(SELECT * FROM g WHERE route = 'specialty_analysis')",
+                 [("patient_count", "n", False), ("avg_wait_days", "s_wait / CAST(n AS DOUBLE)", False),
+                  ("avg_cost", "s_cost / CAST(n AS DOUBLE)", False),
+                  ("avg_cancel_risk", "round(s_cancel / n, 6)", False),
+                  ("avg_readmit_risk", "round(s_readmit / n, 6)", False)]),
+    _metric_rows("(SELECT * FROM g WHERE route = 'high_risk_by_specialty')",
+                 [("high_risk_count", "n", False), ("avg_risk", "round(s_readmit / n, 6)", False),
+                  ("avg_cost", "s_cost / CAST(n AS DOUBLE)", False)]),
+    _metric_rows("(SELECT * FROM g WHERE route = 'cost_impact')",
+                 [("total_cost", "s_cost", False), ("avg_cost", "s_cost / CAST(n AS DOUBLE)", False),
+                  ("patient_count", "n", False),
+                  ("potential_loss_from_cancellations", "round(s_loss, 6)", False)]),
+    _metric_rows("(SELECT * FROM g WHERE route = 'seasonal_analysis')",
+                 [("avg_cancel_risk", "round(s_cancel / n, 6)", False), ("total_cases", "n", False)]),
+    _metric_rows("(SELECT * FROM g WHERE route = 'age_based_risk')",
+                 [("avg_readmit_risk", "round(s_readmit / n, 6)", False), ("total_patients", "n", False)]),
+    _metric_rows("(SELECT * FROM g WHERE route = 'age_based_cancellation')",
+                 [("avg_cancel_risk", "round(s_cancel / n, 6)", False), ("total_patients", "n", False)]),
+    _metric_rows("(SELECT * FROM g WHERE route = 'age_based_cost')",
+                 [("avg_cost", "s_cost / CAST(n AS DOUBLE)", False), ("total_cost", "s_cost", False),
+                  ("patient_count", "n", False)]),
+    _metric_rows("(SELECT * FROM f3 WHERE route = 'cancellation_reduction')",
+                 [("current_expected_cancellations", "round_even(s_cancel, 2)", False),
+                  ("cancellations_prevented", "round_even(prevented, 2)", False),
+                  ("cost_savings", "round_even(prevented * c, 2)", False),
+                  ("bed_days_freed", "round_even(prevented * l, 2)", False),
+                  ("weekly_capacity_freed", f"round_even(prevented * l / {d(7.0)} * {d(5.0)}, 2)", False),
+                  ("reduction_percentage", "pct", False)]),
+    _metric_rows("(SELECT * FROM f3 WHERE route = 'capacity_kpis')",
+                 [("weeks_saved", "wb - wc", False),
+                  ("patients_moved_earlier", "fw * (new - base) + CASE WHEN fw + 1 <= "
+                   "floor(n / CAST(base AS DOUBLE)) THEN greatest(0, n - fw * new - base) ELSE 0 END", False),
+                  ("baseline_weeks", "wb", False), ("new_weeks", "wc", False),
+                  ("baseline_capacity", "base", False), ("new_capacity", "new", False),
+                  ("additional_weekly_capacity", "new - base", False),
+                  ("monthly_additional_capacity", "(new - base) * 4", False),
+                  ("efficiency_gain", f"round_even(CAST(wb - wc AS DOUBLE) / nullif(wb, 0) * {d(100.0)}, 1)", False),
+                  ("capacity_increase", "CASE WHEN raw_pct IS NULL THEN '20%' ELSE "
+                   "CAST(raw_pct AS VARCHAR) || '%' END", True),
+                  ("total_patients", "n", False)]),
+    _metric_rows("pr", [(c, c, t == "string") for c, t in _PCOLS]),
+])
+ORACLE["answer_questions"] = with_patients(_H4_BODY, _H4_CTES.strip())
