@@ -67,3 +67,16 @@ def test_salted_join_equals_broadcast(spark, patients_small, monkeypatch):
     got = answer_questions(qdf, patients_small)
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_repeated_questions_share_answers(spark, patients_small):
+    q = "What is the cost impact for Orthopedics?"
+    rows = [(i, q) for i in range(1, 31)] + [(100, "Reduce cancellations by 15%")]
+    qdf = spark.createDataFrame(rows, "question_id bigint, question string")
+    out = answer_questions(qdf, patients_small)
+    per_q: dict = {}
+    for r in out.collect():
+        per_q.setdefault(r.question_id, set()).add((r.group_key, r.metric, r.value))
+    assert len(per_q) == 31
+    first = per_q[1]
+    assert len(first) == 4 and all(per_q[i] == first for i in range(2, 31))

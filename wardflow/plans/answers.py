@@ -221,18 +221,8 @@ def _join_cells(qk: DataFrame, cells: DataFrame, salt_buckets: int) -> DataFrame
     return spread.join(salted, ["_key", "kind", "_salt"]).drop("_salt")
 
 
-def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "question",
-                     ids: Sequence[str] | None = None, cells: DataFrame | None = None) -> DataFrame:
-    """H4: every question of ``qlog`` answered; columns ``ids``, intent,
-    route, group_key, metric, value, text_value. ``cells`` may be passed in
-    (from ``prepared_cells``) when many logs are answered from one table."""
-    ids = [c for c in qlog.columns if c != question] if ids is None else list(ids)
-    # Each text is classified and parsed exactly once: the prepared rows
-    # (without the text) are written to the checkpoint folder before the two
-    # branches filter them, since a filter on ``route`` would otherwise be
-    # pushed below the classification and repeat the regexes per branch.
-    prep = reliable_checkpoint(questions.prepare_questions(qlog, question)
-                               .select(*ids, "intent", "params", "route"), "questions")
+def _answer_parameter_sets(psets: DataFrame, cells: DataFrame, salt: int) -> DataFrame:
+    """Answers of each distinct (route, params) set: (_pk, group_key, m)."""
     p = F.col("params")
     route = F.col("route")
     keys = F.when(route.isin(*FUNCTION_ROUTES), F.array(F.lit(ALL))).otherwise(
@@ -242,14 +232,7 @@ def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "ques
              .when(route == "seasonal_analysis", F.lit("season"))
              .when(route.isin(*BAND_ROUTES), F.lit("age"))
              .otherwise(F.lit("global")))
-    qk = (prep.filter(route != "preview_rows")
-              .select(*ids, "intent", "route", "params", kind.alias("kind"),
-                      F.explode(keys).alias("_key")))
-    # The cells are small (their size follows the value domains): write them
-    # once, check their size on the copy, then broadcast.
-    if cells is None:
-        cells = prepared_cells(patients)
-    salt = int(qlog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    qk = psets.select("_pk", "route", "params", kind.alias("kind"), F.explode(keys).alias("_key"))
     j = _join_cells(qk, cells, salt)
     threshold = F.coalesce(p["percentage"], F.lit(float(K.HIGH_RISK_PERCENT_DEFAULT))) / F.lit(100.0)
     keep = (F.when(route == "high_risk_by_specialty", F.col("readmit_risk") > threshold)
@@ -260,10 +243,41 @@ def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "ques
                   .when(route.isin(*BAND_ROUTES), scores.age_group("age")))
     in_band = ~route.isin(*BAND_ROUTES) | group_key.isNotNull()
     grouped = (j.filter(keep).withColumn("group_key", group_key).filter(in_band)
-                .groupBy(*ids, "intent", "route", "params", "group_key")
-                .agg(*[F.sum(c).alias(c) for c in
-                       ["n", "s_wait", "s_cost", "s_cancel", "s_readmit", "s_los", "s_loss"]]))
-    answers = grouped.select(*ids, "intent", "route", "group_key",
-                             F.explode(_metrics(route, p)).alias("m"))
-    out = answers.unionByName(_preview_answers(prep, patients, ids))
+                .groupBy("_pk", "route", "params", "group_key")
+                .agg(*[F.sum(c).alias(c) for c in _SUMS]))
+    return grouped.select("_pk", "group_key", F.explode(_metrics(route, p)).alias("m"))
+
+
+def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "question",
+                     ids: Sequence[str] | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """H4: every question of ``qlog`` answered; columns ``ids``, intent,
+    route, group_key, metric, value, text_value. ``cells`` may be passed in
+    (from ``prepared_cells``) when many logs are answered from one table.
+
+    Questions with the same route and parameters have the same answer, and
+    a log may repeat one question for a third of its rows: each distinct
+    (route, params) set is answered once, keyed by its exact JSON text, and
+    the answers are attached to the questions by that key.
+    """
+    ids = [c for c in qlog.columns if c != question] if ids is None else list(ids)
+    # Each text is classified and parsed exactly once: the prepared rows
+    # (without the text) are written to the checkpoint folder before the
+    # branches filter them, since a filter on ``route`` would otherwise be
+    # pushed below the classification and repeat the regexes per branch.
+    pk = F.to_json(F.struct("route", "params"))
+    prep = reliable_checkpoint(questions.prepare_questions(qlog, question)
+                               .select(*ids, "intent", "params", "route", pk.alias("_pk")),
+                               "questions")
+    if cells is None:
+        cells = prepared_cells(patients)
+    salt = int(qlog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped_q = prep.filter(F.col("route") != "preview_rows")
+    psets = grouped_q.select("_pk", "route", "params").dropDuplicates(["_pk"])
+    # Answers of the distinct sets are small (sets x groups x metrics):
+    # written once; broadcast when their row count is within the bound.
+    by_set = reliable_checkpoint(_answer_parameter_sets(psets, cells, salt), "answers")
+    if bounded_rows(by_set, BROADCAST_ROW_LIMIT) is not None:
+        by_set = F.broadcast(by_set)
+    answers = grouped_q.select(*ids, "intent", "route", "_pk").join(by_set, "_pk")
+    out = answers.drop("_pk").unionByName(_preview_answers(prep, patients, ids))
     return out.select(*ids, "intent", "route", "group_key", "m.metric", "m.value", "m.text_value")
