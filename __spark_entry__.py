@@ -143,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["row_count"] = _p(inspect.row_count)
     q["table_profile"] = _p(inspect.table_profile)
     q["validate_columns"] = _p(inspect.validate_columns)
+    q["validate_page_columns"] = _p(inspect.validate_pages)
     # B: filters
     q["filter_specialty"] = _p(filters.filter_specialty, specialties=SAMPLE_SPECIALTIES)
     q["filter_age_exact"] = _p(filters.filter_age_exact, age=45)

@@ -501,3 +501,9 @@ _H4_BODY = " UNION ALL ".join([
     _metric_rows("pr", [(c, c, t == "string") for c, t in _PCOLS]),
 ])
 ORACLE["answer_questions"] = with_patients(_H4_BODY, _H4_CTES.strip())
+
+ORACLE["validate_page_columns"] = with_patients(" UNION ALL ".join(
+    f"SELECT '{page}' AS page, count(*) > 0 AS is_valid, CASE WHEN count(*) = 0 THEN "
+    "'DataFrame is empty or None' ELSE 'All required columns present' END AS message, "
+    "CAST([] AS VARCHAR[]) AS missing_columns FROM (SELECT 1 FROM patients LIMIT 1) t"
+    for page in ["core", "overview", "specialty", "risk", "seasonal"]))

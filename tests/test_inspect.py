@@ -73,3 +73,9 @@ def test_feature_fill(spark):
     df = spark.createDataFrame([(1, None, 3)], "patient_id bigint, age int, los int")
     assert encoding.feature_fill(df).first().age == 0
     assert F is not None
+
+
+def test_validate_pages(patients_small):
+    rows = {r.page: r for r in inspect.validate_pages(patients_small.drop("season")).collect()}
+    assert rows["seasonal"].missing_columns == ["season"] and not rows["seasonal"].is_valid
+    assert rows["core"].is_valid and rows["risk"].is_valid

@@ -92,3 +92,30 @@ def validate_columns(df: DataFrame, required: Sequence[str] | None = None) -> Da
     return has_rows.select(valid.alias("is_valid"), message.alias("message"),
                            F.array(*[F.lit(c) for c in missing]).cast("array<string>")
                            .alias("missing_columns"))
+
+
+PAGE_COLUMNS = {
+    "core": K.REQUIRED_COLUMNS,
+    "overview": K.OVERVIEW_COLUMNS,
+    "specialty": K.SPECIALTY_PAGE_COLUMNS,
+    "risk": K.RISK_PAGE_COLUMNS,
+    "seasonal": K.SEASON_PAGE_COLUMNS,
+}
+
+
+def validate_pages(df: DataFrame) -> DataFrame:
+    """A9 for every page list: one row per page with ``is_valid``,
+    ``message`` and ``missing_columns``; one bounded emptiness check."""
+    has_rows = df.limit(1).agg(F.count(F.lit(1)).alias("_wf_n"))
+    pages = []
+    for page, cols in PAGE_COLUMNS.items():
+        missing = [c for c in cols if c not in df.columns]
+        text = "[" + ", ".join(repr(c) for c in missing) + "]"
+        pages.append(F.struct(
+            F.lit(page).alias("page"),
+            ((F.col("_wf_n") > 0) & F.lit(not missing)).alias("is_valid"),
+            F.when(F.col("_wf_n") == 0, F.lit("DataFrame is empty or None"))
+             .when(F.lit(bool(missing)), F.lit(f"Missing columns: {text}"))
+             .otherwise(F.lit("All required columns present")).alias("message"),
+            F.array(*[F.lit(c) for c in missing]).cast("array<string>").alias("missing_columns")))
+    return has_rows.select(F.explode(F.array(*pages)).alias("p")).select("p.*")
