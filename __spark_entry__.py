@@ -19,7 +19,7 @@ from wardflow.operators import filters, groups, inspect, queue
 from wardflow.operators import questions as qlog
 from wardflow.operators import model as ml
 from wardflow.plans.answers import answer_questions
-from wardflow.plans.pipeline import run_pipeline
+from wardflow.plans.full_run import run_full
 from wardflow.sources import sinks
 from wardflow.sources.patients import patient_table
 
@@ -112,8 +112,8 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.feature_vectors(patient_table(spark, sf_dir))
 
 
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_pipeline(spark, sf_dir, model=_model(spark, sf_dir)).high_risk_patients
+def _full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_full(spark, sf_dir, model=_model(spark, sf_dir)).high_risk_patients
 
 
 def _log(fn):
@@ -197,12 +197,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["patients_treated_earlier"] = _p(queue.patients_treated_earlier)
     q["capacity_kpis"] = _p(queue.capacity_kpis, baseline_capacity=200, uplift_percentage=20)
     q["backlog_timeline"] = _p(queue.backlog_timeline)
-    # G, C11, C12, P1: model and pipeline (rows-only checks)
+    # G, C11, C12, P1: model and full run (rows-only checks)
     q["feature_select"] = _features
     q["train_risk_model"] = _train
     q["score_patients"] = _score
     q["model_metrics"] = _metrics
-    q["run_pipeline"] = _pipeline
+    q["full_run"] = _full_run
     # H: question log (every conversation turn, whole text)
     q["classify_questions"] = _log(lambda df: qlog.classify_questions(df))
     q["extract_question_params"] = _log(_params)

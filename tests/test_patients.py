@@ -89,7 +89,7 @@ def test_base_columns_order():
 
 def test_no_python_in_plans(spark, patients_small):
     from __spark_entry__ import queries
-    skip = {"train_risk_model", "score_patients", "model_metrics", "run_pipeline", "feature_select",
+    skip = {"train_risk_model", "score_patients", "model_metrics", "full_run", "feature_select",
             "write_patient_table", "write_patient_parquet"}
     for name, fn in queries().items():
         if name in skip:

@@ -24,7 +24,7 @@ from wardflow.functions import encoding, scores
 CATEGORICALS = ["gender", "specialty", "season"]
 
 
-def feature_pipeline() -> list:
+def feature_stages() -> list:
     """C11 stages: index categoricals (descending alphabetical order, so
     that ``dropLast`` drops the alphabetically first value), one-hot encode,
     and assemble the 15-wide feature vector."""
@@ -51,7 +51,7 @@ def train_risk_model(df: DataFrame, max_iter: int = K.MODEL_ROUNDS) -> PipelineM
     train = training_frame(df).withColumn("label", F.col("label").cast("double"))
     train = train.persist()
     try:
-        return Pipeline(stages=feature_pipeline() + [gbt]).fit(train)
+        return Pipeline(stages=feature_stages() + [gbt]).fit(train)
     finally:
         train.unpersist()
 
@@ -81,7 +81,7 @@ def model_metrics(scored: DataFrame) -> DataFrame:
 
 def feature_vectors(df: DataFrame) -> DataFrame:
     """C11 as data: ``patient_id`` and the assembled features as an array."""
-    fitted = Pipeline(stages=feature_pipeline()).fit(df)
+    fitted = Pipeline(stages=feature_stages()).fit(df)
     return fitted.transform(encoding.feature_fill(df)).select(
         "patient_id", vector_to_array("features").alias("features"))
 

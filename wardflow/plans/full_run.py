@@ -1,4 +1,4 @@
-"""Op P1: the whole pipeline as one lazy chain with one write.
+"""Op P1: the full run as one lazy chain with one write.
 
 patient table (A1 with C1-C4) -> label, features, boosted trees, scores
 (C3, C8-C12, G1-G2) -> table write (A2) -> high-risk list (F1).
@@ -23,22 +23,22 @@ from wardflow.sources.patients import patient_table
 
 
 @dataclass
-class PipelineResult:
+class FullRunResult:
     df_final: DataFrame
     model: PipelineModel
     metrics: DataFrame
     high_risk_patients: DataFrame
 
 
-def run_pipeline(spark: SparkSession, sf_dir: str, table_name: str = "patient_data",
+def run_full(spark: SparkSession, sf_dir: str, table_name: str = "patient_data",
                  fmt: str = "parquet", model: PipelineModel | None = None,
-                 threshold: float = K.HIGH_RISK_THRESHOLD) -> PipelineResult:
+                 threshold: float = K.HIGH_RISK_THRESHOLD) -> FullRunResult:
     """Build, score, persist and analyse the patient table."""
     patients = patient_table(spark, sf_dir)
     fitted = model if model is not None else M.train_risk_model(patients)
     scored = M.score_patients(fitted, patients)
     final = sinks.write_patient_table(scored, table_name, fmt)
-    return PipelineResult(
+    return FullRunResult(
         df_final=final,
         model=fitted,
         metrics=M.model_metrics(final),
