@@ -270,7 +270,8 @@ def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "ques
                                "questions")
     if cells is None:
         cells = prepared_cells(patients)
-    salt = int(qlog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    setting = qlog.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+    salt = int(setting) if str(setting).isdigit() else 200
     grouped_q = prep.filter(F.col("route") != "preview_rows")
     psets = grouped_q.select("_pk", "route", "params").dropDuplicates(["_pk"])
     # Answers of the distinct sets are small (sets x groups x metrics):
