@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.sql import functions as F
+
 from fixtures import QUESTIONS
 from wardflow.plans.answers import answer_questions
 from wardflow.streaming import questions as S
@@ -38,3 +40,28 @@ def test_intent_count_stream(spark):
     for _i, _q, intent, _r in QUESTIONS:
         want[intent] = want.get(intent, 0) + 1
     assert got == want
+
+
+def test_restart_processes_only_new_files(spark, patients_small):
+    src = tempfile.mkdtemp(prefix="wardflow-qsrc-")
+    sink = tempfile.mkdtemp(prefix="wardflow-qsink-")
+    ckpt = tempfile.mkdtemp(prefix="wardflow-qck-")
+    rows = [(i, q) for i, q, *_ in QUESTIONS]
+    spark.createDataFrame(rows[:5], S.QUESTION_SCHEMA).write.mode("append").parquet(src)
+
+    def run():
+        q = S.start_answering(S.question_stream(spark, src), patients_small, sink,
+                              name="answers_restart", checkpoint_location=ckpt, available_now=True)
+        q.awaitTermination(300)
+
+    run()
+    first = spark.read.parquet(sink).select("question_id").distinct().count()
+    run()  # nothing new: the committed offsets are in the checkpoint
+    assert spark.read.parquet(sink).count() == spark.read.parquet(sink).dropDuplicates().count()
+    spark.createDataFrame(rows[5:], S.QUESTION_SCHEMA).write.mode("append").parquet(src)
+    run()
+    ids = {r.question_id for r in spark.read.parquet(sink).select("question_id").distinct().collect()}
+    assert first == 5 and ids == {i for i, _q in rows}
+    per_epoch = spark.read.parquet(sink).groupBy("question_id").agg(
+        F.countDistinct("epoch").alias("e"))
+    assert per_epoch.filter("e > 1").count() == 0
