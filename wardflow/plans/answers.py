@@ -1,8 +1,10 @@
 """Op H4: answer a whole log of questions in one job.
 
 The application answers one question at a time with one pass over the
-patients each. Here the patients are aggregated **once** (one scan, five
-grouping sets) into small cell tables, one per answer grain:
+patients each. Here the patients are aggregated **once** (one scan, two
+grouping sets: specialty x age x season, and specialty x readmit risk) into a
+small base table, written to the checkpoint folder. Cell tables of each
+answer grain are derived from it:
 
 * ``spec``   specialty                -> wait, specialty and cost answers;
 * ``season`` specialty x season       -> the seasonal answer;
@@ -10,13 +12,16 @@ grouping sets) into small cell tables, one per answer grain:
 * ``risk``   specialty x readmit risk -> the high-risk answer, any threshold;
 * ``global`` one row                  -> the cancellation and capacity figures.
 
-Each cell is keyed twice, by its specialty and by ``ALL``. Each question is
-keyed by the specialties it names (or ``ALL``) and by the grain of its
-route, so questions meet only the cells their answer needs, in an
-equi-join; the cells are broadcast only after their row count is checked
-(their size follows the value domains, not the number of patients). The
-question's own filters (age, threshold) apply to the joined cells, and one
-``groupBy`` over (question, group) yields every grouped answer. Questions
+Each cell is keyed twice, by its specialty and by ``ALL``. Questions are
+classified and parsed once (written to the checkpoint folder); questions
+with the same route and parameters share one answer, so each distinct
+(route, params) set is keyed by the specialties it names (or ``ALL``) and
+by its grain, and meets only the cells its answer needs in an equi-join.
+The cells are broadcast only after their row count is checked (their size
+follows the value domains, not the number of patients; beyond the bound
+both sides are salted). The set's filters (age, threshold) apply to the
+joined cells, one ``groupBy`` over (set, group) yields every grouped answer,
+and the answers are attached to the questions by the set key. Questions
 without a grouped answer get the ten preview rows, attached as one scalar
 subquery (a bounded array), not through a join.
 
