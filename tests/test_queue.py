@@ -112,3 +112,16 @@ def test_single_partition_only_over_partition_counts(patients_small, op):
     for i in singles:
         child = lines[i + 1]
         assert "HashAggregate" in child and "_wf_part" in child and "_wf_n" in child, child
+
+
+def test_group_counts_sum_to_n_and_weeks_fill(patients_small):
+    from wardflow.operators import groups
+    n = patients_small.count()
+    assert sum(r.patient_count for r in groups.specialty_counts(patients_small).collect()) == n
+    assert sum(r.patient_count for r in groups.season_counts(patients_small).collect()) == n
+    weeks = {r.scheduled_week: r["count"] for r in
+             queue.optimized_schedule(patients_small, weekly_capacity=100)
+             .groupBy("scheduled_week").count().collect()}
+    last = max(weeks)
+    assert all(weeks[w] == 100 for w in range(1, last)) and 0 < weeks[last] <= 100
+    assert sorted(weeks) == list(range(1, last + 1))
