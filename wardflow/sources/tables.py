@@ -1,10 +1,25 @@
-"""Readers for the input tables."""
+"""Readers for the input tables.
+
+The columns this library reads are declared, so a read needs no schema
+inference, reads only those columns, and fails early if a file disagrees
+(e.g. an order date stored as a zoned timestamp, which would make the
+season depend on the session time zone).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+INPUT_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory, e.g. ``orders``."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in INPUT_SCHEMAS:
+        reader = reader.schema(INPUT_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
