@@ -9,8 +9,13 @@ query; model training, writes and the question answers have none
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+# The package and the oracle module live beside this file.
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
