@@ -125,3 +125,21 @@ def test_every_operator_accepts_an_empty_table(patients_small):
     assert h.high_risk_patient_count == 0 and h.avg_cost_high_risk == 0.0
     assert not h.potential_intervention_needed
     assert queue.capacity_scheduled(empty).count() == 0
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grouped_answers_aggregate_map_side(patients_small):
+    from wardflow.operators import groups
+    plan = _plan(groups.specialty_analysis(patients_small))
+    assert "partial_avg" in plan and "partial_count" in plan
+    assert "Exchange hashpartitioning(specialty" in plan
+
+
+def test_high_risk_sort_is_range_partitioned(spark):
+    from wardflow.operators import queue
+    from wardflow.sources.patients import patient_table
+    plan = _plan(queue.high_risk_patients(patient_table(spark, "/root/testdata/sf0.001")))
+    assert "rangepartitioning(readmit_risk" in plan and "SinglePartition" not in plan
