@@ -26,7 +26,8 @@ from wardflow.operators import model as ml
 from wardflow.plans.answers import answer_questions
 from wardflow.plans.full_run import run_full
 from wardflow.sources import sinks
-from wardflow.sources.patients import patient_table
+from wardflow import constants as K
+from wardflow.sources.patients import first_patients, patient_table
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -121,6 +122,11 @@ def _full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_full(spark, sf_dir, model=_model(spark, sf_dir)).high_risk_patients
 
 
+def _first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 on the patient table: the first ten patients by id."""
+    return first_patients(spark, sf_dir, K.PREVIEW_ROWS)
+
+
 def _log(fn):
     """A query applying ``fn`` to the question log of ``sf_dir``."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +139,8 @@ def _params(df: DataFrame) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer_questions(qlog.question_log(spark, sf_dir), patient_table(spark, sf_dir))
+    return answer_questions(qlog.question_log(spark, sf_dir), patient_table(spark, sf_dir),
+                            preview=first_patients(spark, sf_dir, K.PREVIEW_ROWS))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -143,7 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["write_patient_table"] = _p(sinks.write_patient_table)
     q["write_patient_parquet"] = _p(sinks.write_patient_parquet)
     q["adhoc_sql"] = _adhoc
-    q["preview_rows"] = _p(inspect.preview_rows)
+    q["preview_rows"] = _first_rows
     q["sample_rows"] = _p(inspect.sample_rows)
     q["row_count"] = _p(inspect.row_count)
     q["table_profile"] = _p(inspect.table_profile)

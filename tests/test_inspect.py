@@ -79,3 +79,15 @@ def test_validate_pages(patients_small):
     rows = {r.page: r for r in inspect.validate_pages(patients_small.drop("season")).collect()}
     assert rows["seasonal"].missing_columns == ["season"] and not rows["seasonal"].is_valid
     assert rows["core"].is_valid and rows["risk"].is_valid
+
+
+def test_first_patients_equals_preview_of_table(spark, patients_small):
+    from wardflow.sources.patients import first_patients
+    for n in (1, 10, 37):
+        got = [tuple(r) for r in first_patients(spark, "/root/testdata/sf0.001", n).collect()]
+        want = [tuple(r) for r in inspect.preview_rows(patients_small, n).collect()]
+        assert got == want
+    plan = first_patients(spark, "/root/testdata/sf0.001", 10)._jdf.queryExecution() \
+        .executedPlan().toString()
+    pushed = [line for line in plan.splitlines() if "lineitem" in line][0]
+    assert "PushedFilters: [" in pushed and "In(l_orderkey, [" in pushed
