@@ -16,3 +16,13 @@ def test_train_score_metrics(patients_small):
     assert {"prediction", "score", "percentage"} <= set(scored.columns)
     met = M.model_metrics(scored).first()
     assert met.train_auc > 0.9 and met.train_accuracy > 0.8 and met.training_rows == 1500
+
+
+def test_auc_is_exact(spark):
+    rows = [(0.1, 0, 0), (0.4, 1, 0), (0.35, 1, 1), (0.8, 1, 1), (0.4, 0, 1), (0.9, 1, 1)]
+    df = spark.createDataFrame(rows, "score double, label int, prediction int")
+    got = M.model_metrics(df).first().train_auc
+    pos = [s for s, y, _ in rows if y == 1]
+    neg = [s for s, y, _ in rows if y == 0]
+    want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert abs(got - want) < 1e-12

@@ -7,7 +7,8 @@ land as files in a folder and are read with ``readStream``:
 * ``intent_count_stream``: H5 as a stateful streaming aggregation whose
   state lives in the query's checkpoint (survives restarts);
 * ``start_answering``: H4 per micro-batch through ``foreachBatch``. The
-  patient cell tables are computed once for the life of the query, and each
+  patient cell tables and preview rows are computed once for the life of
+  the query (written to the checkpoint folder), and each
   micro-batch overwrites its own ``epoch=<id>`` folder, so a batch that is
   retried after a failure replaces its output instead of duplicating it.
 """
@@ -17,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from wardflow.operators import inspect
 from wardflow.operators import questions as Q
 from wardflow.plans.answers import answer_questions, prepared_cells
-from wardflow.session import checkpoint_dir
+from wardflow.session import checkpoint_dir, reliable_checkpoint
 
 QUESTION_SCHEMA = "question_id bigint, question string"
 
@@ -55,9 +57,10 @@ def start_answering(stream: DataFrame, patients: DataFrame, sink_path: str,
     ``sink_path/epoch=<batch id>`` (parquet)."""
     spark = stream.sparkSession
     cells = prepared_cells(patients)
+    preview = reliable_checkpoint(inspect.preview_rows(patients), "preview")
 
     def answer_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = answer_questions(batch, patients, question=question, cells=cells)
+        out = answer_questions(batch, patients, question=question, cells=cells, preview=preview)
         out.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/epoch={epoch_id}")
 
     writer = (stream.writeStream.queryName(name).foreachBatch(answer_batch)
