@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from wardflow import constants as K
 from wardflow.functions import encoding, scores
+from wardflow.session import reliable_checkpoint
 
 CATEGORICALS = ["gender", "specialty", "season"]
 
@@ -69,7 +70,12 @@ def score_patients(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def model_metrics(scored: DataFrame) -> DataFrame:
-    """AUC and accuracy on the training rows, as one row."""
+    """AUC and accuracy on the training rows, as one row.
+
+    The two figures need two passes; the (label, score, prediction) columns
+    are written once to the checkpoint folder so the rows are scored once.
+    """
+    scored = reliable_checkpoint(scored.select("label", "score", "prediction"), "scores")
     # numBins=0: the exact area (no down-sampling of the curve); the curve
     # is built and integrated as a distributed sort and sliding sum.
     auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score",
