@@ -125,3 +125,24 @@ def test_group_counts_sum_to_n_and_weeks_fill(patients_small):
     last = max(weeks)
     assert all(weeks[w] == 100 for w in range(1, last)) and 0 < weeks[last] <= 100
     assert sorted(weeks) == list(range(1, last + 1))
+
+
+def test_closed_forms_random(spark):
+    import random
+    rng = random.Random(7)
+    for _ in range(15):
+        base, pct = rng.randint(1, 300), rng.choice([0, 1, 5, 12.5, 20, 33, 50, 99, 100, 175])
+        ns = [rng.randint(0, 5000) for _ in range(10)]
+        c = queue.new_capacity(base, pct)
+        n = F.col("total_patients")
+        saved = (queue._week_sum(n, base) - queue._week_sum(n, c)).cast("double")
+        got = spark.createDataFrame([(x,) for x in ns], "total_patients bigint").select(
+            n, queue._moved_earlier(n, base, c).alias("moved"),
+            queue._treated_earlier(n, base, c).alias("treated"),
+            F.try_divide(saved, n.cast("double")).alias("avg_saved")).collect()
+        for r in got:
+            b = capacity_loops(r.total_patients, base, pct)
+            assert (r.moved, r.treated) == (b["moved"], b["treated"]), (base, pct, r)
+            assert (r.avg_saved is None) == (b["avg_saved"] is None)
+            if b["avg_saved"] is not None:
+                assert abs(r.avg_saved - b["avg_saved"]) < 1e-9
