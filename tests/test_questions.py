@@ -79,3 +79,30 @@ def test_guards_are_necessary_conditions():
             low = t.lower()
             if re.search(pattern, low):
                 assert any(all(any(x in low for x in g) for g in branch) for branch in lits)
+
+
+def test_random_questions_match_brute_force(spark):
+    import random
+    rng = random.Random(11)
+    words = ["average", "avg", "mean", "wait", "waiting", "time", "days", "capacity", "increase",
+             "uplift", "boost", "reduce", "lower", "cancel", "cancellation", "high risk", "high-risk",
+             "risky", "patient", "case", "specialty", "ward", "breakdown", "summary", "cost",
+             "budget", "impact", "effect", "season", "winter", "Summer", "which", "what", "worst",
+             "readmit", "readmission", "age", "aged", "elderly", "young", "young adult", "adults",
+             "adult", "child", "children", "senior", "middle-aged", "group", "segment", "ENT",
+             "ent", "Cardiology", "general surgery", "urology!", "orthopedics,", "ophthalmology.",
+             "gynaecology", "threshold", "risk weight", "baseline capacity", "between", "and", "to",
+             "éent", "agé", "\r", "\n", "%", "by", "for", "of", "the"]
+
+    def token():
+        roll = rng.random()
+        if roll < 0.25:
+            return str(rng.randint(0, 300)) + rng.choice(["", "", "%", ".5", "%.", "x"])
+        return rng.choice(words)
+
+    texts = [" ".join(token() for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "question_id bigint, question string")
+    for r in Q.extract_question_params(Q.classify_questions(df)).collect():
+        assert r.intent == brute.classify(r.question), repr(r.question)
+        got = {k: v for k, v in r.params.asDict().items() if v is not None}
+        assert got == brute.extract(r.question), repr(r.question)
