@@ -80,3 +80,22 @@ def test_repeated_questions_share_answers(spark, patients_small):
     assert len(per_q) == 31
     first = per_q[1]
     assert len(first) == 4 and all(per_q[i] == first for i in range(2, 31))
+
+
+def test_random_questions_equal_direct_operators(spark, patients_small):
+    import random
+    rng = random.Random(5)
+    heads = ["average wait time", "specialty breakdown", "high risk patients", "cost impact",
+             "seasonal analysis", "risk by age", "cancellations by age", "cost by age group",
+             "reduce cancellations by", "capacity increase", "baseline capacity"]
+    mods = ["for Cardiology", "for ENT and urology", "general surgery", "orthopedics, gynaecology",
+            "elderly", "young", "children", "senior", "middle-aged", "age 40", "aged 71",
+            "between 20 and 45", "between 50 to 90", "25%", "70%", "12.5%", "150", ""]
+    texts = [f"{rng.choice(heads)} {rng.choice(mods)} {rng.choice(mods)}".strip() for _ in range(60)]
+    qdf = spark.createDataFrame(list(enumerate(texts)), "question_id bigint, question string")
+    got: dict = {}
+    for r in answer_questions(qdf, patients_small).collect():
+        got.setdefault(r.question_id, {})[(r.group_key, r.metric)] = (
+            r.value if r.text_value is None else r.text_value)
+    for r in Q.prepare_questions(qdf).collect():
+        assert got.get(r.question_id, {}) == _direct(patients_small, r), (r.question, r.route)
