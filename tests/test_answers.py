@@ -99,3 +99,16 @@ def test_random_questions_equal_direct_operators(spark, patients_small):
             r.value if r.text_value is None else r.text_value)
     for r in Q.prepare_questions(qdf).collect():
         assert got.get(r.question_id, {}) == _direct(patients_small, r), (r.question, r.route)
+
+
+def test_branches_without_questions(spark, patients_small):
+    only_preview = spark.createDataFrame([(1, "hello there")], "question_id bigint, question string")
+    rows = answer_questions(only_preview, patients_small).collect()
+    assert {r.route for r in rows} == {"preview_rows"} and len(rows) == 10 * 12
+    only_grouped = spark.createDataFrame([(1, "cost impact for ENT")], "question_id bigint, question string")
+    rows = answer_questions(only_grouped, patients_small).collect()
+    assert {r.route for r in rows} == {"cost_impact"} and len(rows) == 4
+    empty = answer_questions(only_preview.limit(0), patients_small)
+    assert empty.count() == 0
+    assert empty.columns == ["question_id", "intent", "route", "group_key", "metric", "value",
+                             "text_value"]

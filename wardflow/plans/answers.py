@@ -275,18 +275,32 @@ def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "ques
     prep = reliable_checkpoint(questions.prepare_questions(qlog, question)
                                .select(*ids, "intent", "params", "route", pk.alias("_pk")),
                                "questions")
-    if cells is None:
-        cells = prepared_cells(patients)
-    setting = qlog.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    salt = int(setting) if str(setting).isdigit() else 200
     grouped_q = prep.filter(F.col("route") != "preview_rows")
-    psets = grouped_q.select("_pk", "route", "params").dropDuplicates(["_pk"])
-    # Answers of the distinct sets are small (sets x groups x metrics):
-    # written once; broadcast when their row count is within the bound.
-    by_set = reliable_checkpoint(_answer_parameter_sets(psets, cells, salt), "answers")
-    if bounded_rows(by_set, BROADCAST_ROW_LIMIT) is not None:
-        by_set = F.broadcast(by_set)
-    answers = grouped_q.select(*ids, "intent", "route", "_pk").join(by_set, "_pk")
-    rows = inspect.preview_rows(patients) if preview is None else preview
-    out = answers.drop("_pk").unionByName(_preview_answers(prep, rows, ids))
+    preview_q = prep.filter(F.col("route") == "preview_rows")
+    # A branch without questions is skipped (a bounded check on the written
+    # questions): a log of preview questions never aggregates the patients.
+    parts = []
+    if bounded_rows(grouped_q, 0) is None:
+        if cells is None:
+            cells = prepared_cells(patients)
+        setting = qlog.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+        salt = int(setting) if str(setting).isdigit() else 200
+        psets = grouped_q.select("_pk", "route", "params").dropDuplicates(["_pk"])
+        # Answers of the distinct sets are small (sets x groups x metrics):
+        # written once; broadcast when their row count is within the bound.
+        by_set = reliable_checkpoint(_answer_parameter_sets(psets, cells, salt), "answers")
+        if bounded_rows(by_set, BROADCAST_ROW_LIMIT) is not None:
+            by_set = F.broadcast(by_set)
+        parts.append(grouped_q.select(*ids, "intent", "route", "_pk").join(by_set, "_pk")
+                     .drop("_pk"))
+    if bounded_rows(preview_q, 0) is None:
+        rows = inspect.preview_rows(patients) if preview is None else preview
+        parts.append(_preview_answers(prep, rows, ids))
+    if not parts:  # an empty log: the answer schema without rows
+        parts.append(prep.select(*ids, "intent", "route",
+                                 F.lit(None).cast("string").alias("group_key"),
+                                 F.lit(None).cast(METRIC).alias("m")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out.select(*ids, "intent", "route", "group_key", "m.metric", "m.value", "m.text_value")
