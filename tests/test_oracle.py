@@ -64,3 +64,40 @@ def test_answer_oracle_on_fixture_questions(spark, patients_small):
     assert ok, msg
     assert {r[3] for r in want} >= {"average_wait_time", "cost_impact", "capacity_kpis",
                                     "cancellation_reduction", "age_based_risk", "preview_rows"}
+
+
+def test_grouped_answers_random_parameters(spark, con, patients_small):
+    import random
+
+    from oracle_queries import AGE_GROUP, d, iavg, with_patients
+    from wardflow.operators import groups
+    rng = random.Random(3)
+    specs = ["Cardiology", "ENT", "General Surgery", "Gynaecology", "Ophthalmology",
+             "Orthopedics", "Urology", "Dermatology"]
+    for _ in range(12):
+        chosen = rng.sample(specs, rng.randint(0, 3))
+        lo = rng.randint(0, 90)
+        hi = lo + rng.randint(0, 40)
+        exact = rng.choice([None, None, rng.randint(18, 90)])
+        pct = rng.choice([None, 40, 55.5, 70, 85])
+        sp = (" AND specialty IN (" + ", ".join(f"'{x}'" for x in chosen) + ")") if chosen else ""
+        age = f"age = {exact}" if exact is not None else f"age BETWEEN {lo} AND {hi}"
+        cases = [
+            (groups.average_wait_time(patients_small, chosen),
+             f"SELECT specialty, {iavg('wait_days')} AS avg_wait_days, count(*) AS patient_count "
+             f"FROM patients WHERE TRUE{sp} GROUP BY specialty"),
+            (groups.high_risk_by_specialty(patients_small, pct, chosen),
+             f"SELECT specialty, count(*) AS high_risk_count, round(avg(readmit_risk), 6) AS avg_risk, "
+             f"{iavg('cost_estimate')} AS avg_cost FROM patients "
+             f"WHERE readmit_risk > {d((70 if pct is None else pct) / 100)}{sp} GROUP BY specialty"),
+            (groups.age_based_cost(patients_small, age=exact, age_min=lo, age_max=hi, specialties=chosen),
+             f"SELECT age_group, {iavg('cost_estimate')} AS avg_cost, "
+             "CAST(sum(cost_estimate) AS BIGINT) AS total_cost, count(*) AS patient_count FROM "
+             f"(SELECT *, {AGE_GROUP} AS age_group FROM patients WHERE {age}{sp}) b "
+             "WHERE age_group IS NOT NULL GROUP BY age_group"),
+        ]
+        for df, sql in cases:
+            res = con.execute(with_patients(sql))
+            ok, msg = compare([tuple(r) for r in df.collect()], df.columns, res.fetchall(),
+                              [c[0] for c in res.description])
+            assert ok, (chosen, lo, hi, exact, pct, msg)
