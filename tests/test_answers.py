@@ -112,3 +112,9 @@ def test_branches_without_questions(spark, patients_small):
     assert empty.count() == 0
     assert empty.columns == ["question_id", "intent", "route", "group_key", "metric", "value",
                              "text_value"]
+
+
+def test_answer_plan_has_no_pairwise_join(spark, patients_small):
+    qdf = spark.createDataFrame([(i, q) for i, q, *_ in QUESTIONS], "question_id bigint, question string")
+    plan = answer_questions(qdf, patients_small)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan

@@ -88,3 +88,12 @@ def test_first_patients_equals_preview_of_table(spark, patients_small):
         .executedPlan().toString()
     pushed = [line for line in plan.splitlines() if "lineitem" in line][0]
     assert "PushedFilters: [" in pushed and "In(l_orderkey, [" in pushed
+
+
+def test_sample_plan_meets_one_partition_only_over_bucket_counts(patients_small):
+    lines = inspect.sample_rows(patients_small, n=100)._jdf.queryExecution() \
+        .executedPlan().toString().splitlines()
+    singles = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+    assert singles
+    for i in singles:
+        assert "HashAggregate" in lines[i + 1] and "_wf_b" in lines[i + 1], lines[i + 1]
