@@ -29,6 +29,16 @@ from wardflow.plans.full_run import run_full  # noqa: E402
 from wardflow.sources import sinks  # noqa: E402
 from wardflow.sources.patients import first_patients, patient_table  # noqa: E402
 
+# The training-data operators are an optional part; only their absence is
+# accepted here, not an error inside them.
+try:
+    import corpus_pipeline
+    from wardflow.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "wardflow.llm", "wardflow.llm.queries"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Parameters of the registered queries: those of the application's sample
@@ -221,10 +231,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["route_questions"] = _log(lambda df: qlog.route_questions(df))
     q["intent_counts"] = _log(qlog.intent_counts)
     q["answer_questions"] = _answers
+    if llm_queries is not None:
+        q.update(llm_queries.QUERIES)
+        q["pipeline"] = corpus_pipeline.run
     return q
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_queries import ORACLE
     names = queries()
-    return {k: v for k, v in ORACLE.items() if k in names}
+    sql = dict(ORACLE)
+    if llm_queries is not None:
+        sql.update(llm_queries.ORACLE)
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {k: v for k, v in sql.items() if k in names}

@@ -1,5 +1,5 @@
-"""Session helpers: local session for tests and benches, reliable checkpoint
-directory, and size-checked broadcasting."""
+"""Session helpers: local session for tests and benches, and tables written
+to the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # A side is broadcast only when it is proven to hold at most this many rows.
 BROADCAST_ROW_LIMIT = 1_000_000
@@ -21,9 +20,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -34,13 +30,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def _shared(folder: str, master: str) -> str:
+    """``folder``, unless it is machine-local while the session is a cluster's."""
+    if not master.startswith("local") and folder.startswith(("file:", "/")):
+        raise RuntimeError(f"{folder} is local to one machine; set spark.checkpoint.dir "
+                           "to a folder that all executors share")
+    return folder
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
     Read from the session (``spark.checkpoint.dir`` or an earlier
     ``setCheckpointDir``). Only a local-mode session without one gets a fresh
-    temporary folder; a cluster without one is an error, since a machine-local
-    folder would not survive the loss of that machine.
+    temporary folder; a cluster without one, or with a machine-local one, is
+    an error, since that folder would not survive the loss of its machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -51,10 +55,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set on the server") from None
     current = sc.getCheckpointDir()
     if current:
-        return current
+        return _shared(current, sc.master)
     configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(_shared(configured, sc.master))
         return sc.getCheckpointDir() or configured
     if not sc.master.startswith("local"):
         raise RuntimeError(
@@ -63,18 +67,53 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    app = spark.conf.get("spark.app.id", "app")
+    return f"{checkpoint_dir(spark).rstrip('/')}/wardflow-{app}"
+
+
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def reliable_checkpoint(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as parquet under the checkpoint folder and read it
     back, cutting its lineage.
 
     ``Dataset.checkpoint`` computes an uncached plan twice (once to count,
     once to write the files); a written table computes it once, and the
-    read-back is a columnar scan with pruning and filter pushdown.
+    read-back is a columnar scan with pruning and filter pushdown. The files
+    stay until ``release`` (the returned frame reads them lazily).
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/wardflow/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete one folder through its own file system."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def release(*frames: DataFrame, spark: SparkSession | None = None) -> None:
+    """Delete intermediate tables that are no longer read.
+
+    With ``frames``: the written tables behind frames that
+    ``reliable_checkpoint`` returned (other files are never touched). With
+    ``spark`` alone: every intermediate table of this application, for a
+    caller that has consumed all its results.
+    """
+    if spark is not None:
+        delete_path(spark, scratch_root(spark))
+    for df in frames:
+        session = df.sparkSession
+        marker = "/" + scratch_root(session).rsplit("/", 1)[-1] + "/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if marker in f}:
+            delete_path(session, folder)
 
 
 def bounded_rows(df: DataFrame, limit: int) -> int | None:
@@ -84,9 +123,3 @@ def bounded_rows(df: DataFrame, limit: int) -> int | None:
     """
     n = df.limit(limit + 1).count()
     return n if n <= limit else None
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only behind a proven row bound; otherwise leave the
-    choice to the planner (sort-merge join, AQE at run time)."""
-    return F.broadcast(df) if bounded_rows(df, limit) is not None else df
