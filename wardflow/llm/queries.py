@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wardflow.llm.op3_ring_shards import op3_ring_shards
+from wardflow.llm.op5_wu_manber import op5_wu_manber
+from wardflow.llm.op8_minmax_dedup import op8_minmax_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +17,17 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_ring_shards(_table(spark, sf_dir, "documents"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_wu_manber(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_minmax_dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_ring_shards": _op3,
+    "op5_wu_manber": _op5,
+    "op8_minmax_dedup": _op8,
 }
 ORACLE: dict[str, str] = {}
