@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from wardflow.llm import _arrays as A
 
-REMEMBERED = 400_000
 EOS = 1
 _BLANK = np.ones(256, dtype=bool)
 _BLANK[[32, 9, 10, 13]] = False  # true where a chunk goes on
@@ -45,6 +45,59 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Chunks:
+    """The chunks that a worker remembers: an open-addressed table from hashes
+    to runs of a pool of ids. When it is 60 % full, it starts anew, so its
+    size is bounded."""
+
+    SLOTS = 1 << 21
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.SLOTS, A.U64)
+        self.heads = np.zeros(self.SLOTS, np.int32)
+        self.counts = np.zeros(self.SLOTS, np.int32)
+        self.pool = np.zeros(1 << 16, self.dtype)
+        self.used = self.full = 0
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> A.U64(64 - 21)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or -1."""
+        slot = self._slot(h)
+        out = np.full(len(h), -1, np.int64)
+        live = np.arange(len(h))
+        while len(live):
+            key = self.keys[slot]
+            here = key == h[live]
+            out[live[here]] = slot[here]
+            on = ~here & (key != 0)
+            live, slot = live[on], (slot[on] + 1) % self.SLOTS
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct hashes that are not here yet, with their runs of ids."""
+        if self.full + len(h) > 0.6 * self.SLOTS or self.used + len(ids) > 1 << 24:
+            self.clear()
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        heads = self.used + np.cumsum(counts) - counts
+        self.pool[self.used: self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.full += len(h)
+        slot, live = self._slot(h), np.arange(len(h))
+        while len(live):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[live[free]]
+            won = self.keys[slot] == h[live]
+            self.heads[slot[won]], self.counts[slot[won]] = heads[live[won]], counts[live[won]]
+            live, slot = live[~won], (slot[~won] + 1) % self.SLOTS
+
+
 class Encoder:
     """One tokenizer in a Python worker, with the chunks it remembers."""
 
@@ -59,7 +112,7 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
-        self.known: dict[int, bytes] = {}
+        self.chunks = Chunks(self.dtype)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -70,62 +123,75 @@ class Encoder:
     def _spell(self, text: str) -> str:
         return text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk. Plain words go straight to the BPE model."""
-        out: list = [None] * len(chunks)
-        hard = []
-        tokenize = self.model.tokenize
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one after another, and the count of each. Plain
+        words go straight to the BPE model."""
+        out: list = [()] * len(chunks)
+        hard, tokenize, plain, spell = [], self.model.tokenize, _PLAIN.fullmatch, self._spell
         for i, c in enumerate(chunks):
-            m = _PLAIN.fullmatch(c)
-            if m is None or "÷" in c:
+            if c.isalpha() and c.isascii():
+                out[i] = [t.id for t in tokenize(c)]
+            elif (m := plain(c)) is None or "÷" in c:
                 hard.append(i)
-                continue
-            ids = [t.id for part in m.groups() if part for t in tokenize(self._spell(part))]
-            out[i] = np.array(ids, self.dtype).tobytes()
+            else:
+                out[i] = [t.id for part in m.groups() if part for t in tokenize(spell(part))]
         if hard:
             for i, e in zip(hard, self.tokenizer.encode_batch(
                     [chunks[i] for i in hard], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, self.dtype).tobytes()
-        return out
+                out[i] = e.ids
+        counts = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), self.dtype, int(counts.sum())), counts
 
     def texts(self, column: pa.Array, end: int | None = EOS) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each followed by ``end``, and
         their offsets."""
         buf, offsets = A.utf8(column)
-        low = A.LOWER[buf]
-        starts, ends, _ = A.runs(_BLANK[low], offsets)
-        cut = np.flatnonzero(_ALPHA[low[:-1]] & _MARK[low[1:]]) + 1
-        cut = cut[~np.isin(cut, offsets)]
-        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+        low, starts, ends = _cut(buf, offsets)
         first = np.searchsorted(starts, offsets)
-        keys, at, chunk = np.unique(A.hash_words(low, starts, ends), return_index=True, return_inverse=True)
-        known, keys = self.known, keys.tolist()
-        ids = list(map(known.get, keys))
-        new = [i for i, x in enumerate(ids) if x is None]
-        if new:
-            s, e = starts[at[new]].tolist(), ends[at[new]].tolist()
-            fresh = self._encode([low[a:b].tobytes().decode() for a, b in zip(s, e, strict=True)])
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-            for i, x in zip(new, fresh, strict=True):
-                ids[i] = x
-                if len(known) < REMEMBERED and len(x) <= 64:
-                    known[keys[i]] = x
-        flat = np.frombuffer(b"".join(ids), self.dtype)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        heads = np.cumsum(counts) - counts
-        of_chunk = counts[chunk]
-        group, inside = A.expand(of_chunk)
-        tokens = flat[heads[chunk][group] + inside] if len(group) else flat[:0]
-        before = np.concatenate([[0], np.cumsum(of_chunk)])[first]
+        h = np.maximum(A.hash_words(low, starts, ends), A.U64(1))
+        table = self.chunks
+        slot = table.find(h)
+        lost = np.flatnonzero(slot < 0)
+        fresh = flat = counts = heads = None
+        if len(lost):
+            keys, at, back = np.unique(h[lost], return_index=True, return_inverse=True)
+            s, e = starts[lost[at]].tolist(), ends[lost[at]].tolist()
+            raw = low.tobytes()
+            flat, counts = self._encode([raw[a:b].decode() for a, b in zip(s, e, strict=True)])
+            heads, fresh = np.cumsum(counts) - counts, back
+        size, head = table.counts[slot].astype(np.int64), table.heads[slot].astype(np.int64)
+        pool = table.pool
+        if fresh is not None:  # ids of new chunks follow the pool's
+            size[lost], head[lost] = counts[fresh], heads[fresh] + len(pool)
+            pool = np.concatenate([pool, flat])
+            table.add(keys, flat, counts)
+        # Each id of the result: its place in the pool.
+        before = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(head - before[:-1], size) + np.arange(before[-1])
+        tokens = pool[place]
+        before = before[first]
         if end is None:
             return tokens, before
-        out = np.empty(len(tokens) + len(offsets) - 1, self.dtype)
-        text, inside = A.expand(np.diff(before))
-        after = before + np.arange(len(before))
-        out[after[:-1][text] + inside] = tokens
-        out[after[1:] - 1] = end
-        return out, after
+        return np.insert(tokens, before[1:], self.dtype.type(end)), before + np.arange(len(before))
+
+
+def _cut(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes in small letters, and the starts and ends of all chunks."""
+    low = A.LOWER[buf]
+    if len(low) < 2:
+        return (low, *A.runs(_BLANK[low], offsets)[:2])
+    lead = low[:-1] == 0xC3
+    tail = low[1:]
+    latin = lead & (tail != 0x97) & (tail != 0xB7)  # letters from U+00C0 to U+00FF
+    low[1:][latin & (tail <= 0x9E)] += 32
+    starts, ends, _ = A.runs(_BLANK[low], offsets)
+    letter = _ALPHA[low[:-1]]
+    letter[1:] |= latin[:-1]
+    cut = np.flatnonzero(letter & _MARK[low[1:]]) + 1
+    inside = np.ones(len(low) + 1, bool)
+    inside[offsets] = False
+    cut = cut[inside[cut]]
+    return low, np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
 
 
 def binary_rows(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
