@@ -22,7 +22,8 @@ Defined results: A-Z is lower-cased; words are runs of digits, small letters
 and non-ASCII characters. A null or empty document has no words and is clean.
 A null or empty item has no windows; items of a null id are named ``null``.
 Repeated rows, of documents and items, are treated alike. Columns of the
-documents other than the id, the text and ``keep`` are not read.
+documents other than the text and ``keep`` are not read; a kept column that is
+named like a result comes back as ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.llm import _arrays as A
+from wardflow.llm._columns import Carried
 
 WINDOW = 10
 STRETCH = 256
@@ -123,13 +125,13 @@ def compile_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> list
             for m, g in sorted(by_length.items())]
 
 
-def _scan(tables, keep: list[str], last: bool):
+def _scan(tables, text: str, keep: list[str], last: bool):
     """One pass: words in occurrences of this block's windows are marked in
     ``_hit`` (a bit for each word), items are added to ``_items``."""
     def run(batches):
         for batch in batches:
-            for part in A.slices(batch, "text"):
-                low, starts, ends, first, words = _words(part.column("text"))
+            for part in A.slices(batch, text):
+                low, starts, ends, first, words = _words(part.column(text))
                 spelled = lambda i, j: b" ".join(
                     low[starts[x]: ends[x]].tobytes() for x in range(i, j + 1))
                 hit = np.zeros(len(words) + 1, np.int64)
@@ -144,11 +146,11 @@ def _scan(tables, keep: list[str], last: bool):
                         doc.append(np.full(len(p.items[w]), d))
                         name += p.items[w]
                 marked = np.cumsum(hit[:-1]) > 0
-                yield _marked(part, keep, first, marked, np.concatenate(doc), name, last)
+                yield _marked(part, text, keep, first, marked, np.concatenate(doc), name, last)
     return run
 
 
-def _marked(part, keep, first, marked, doc, name, last):
+def _marked(part, text, keep, first, marked, doc, name, last):
     n = part.num_rows
     before = part.column("_hit").to_pylist() if "_hit" in part.schema.names else [None] * n
     known = part.column("_items").to_pylist() if "_items" in part.schema.names else [[]] * n
@@ -165,10 +167,10 @@ def _marked(part, keep, first, marked, doc, name, last):
     cols = {c: part.column(c) for c in keep}
     cols["_items"] = pa.array([sorted(x) for x in found], pa.list_(pa.string()))
     if last:
-        cols["n_words"] = pa.array(np.diff(first))
-        cols["n_hit"] = pa.array(hits, pa.int64())
+        cols["_words"] = pa.array(np.diff(first))
+        cols["_hits"] = pa.array(hits, pa.int64())
     else:
-        cols["text"] = part.column("text")
+        cols[text] = part.column(text)
         cols["_hit"] = pa.array(bits, pa.binary())
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
@@ -192,20 +194,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     ``n_hit`` and ``items`` (the sorted names of the items found)."""
     spark = docs.sparkSession
     keep = ["doc_id"] if keep is None else list(keep)
-    clash = {"_hit", "_items", "n_words", "n_hit"} & set(keep)
-    if clash:
-        raise ValueError(f"rename these columns first: {sorted(clash)}")
+    own = Carried(docs, keep, text_col, ["n_words", "n_hit", "items"])
     count, blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
-    kept = docs.select(*keep)
-    out = docs.select(*[F.col(c) for c in keep if c != "text"], F.col(text_col).alias("text"))
-    names = [f"`{c}` {t}" for c, t in kept.dtypes]
+    out = own.rows
     for k, items in enumerate(blocks):
         last = k == count - 1
         tables = spark.sparkContext.broadcast(compile_patterns(items, window))
-        tail = (["`_items` array<string>", "`n_words` long", "`n_hit` long"] if last else
-                ["`_items` array<string>"] + ["`text` string"] * ("text" not in keep) + ["`_hit` binary"])
-        out = out.mapInArrow(_scan(tables, keep, last), ", ".join(names + tail))
-    return out.withColumnRenamed("_items", "items")
+        tail = (["_items array<string>", "_words long", "_hits long"] if last else
+                ["_items array<string>"] + ["_text string"] * (own.text == "_text") + ["_hit binary"])
+        out = out.mapInArrow(_scan(tables, own.text, own.keep, last), ", ".join([own.schema] * bool(keep) + tail))
+    return out.select(*own.back(out), F.col("_words").alias("n_words"), F.col("_hits").alias("n_hit"),
+                      F.col("_items").alias("items"))
 
 
 def op5_wu_manber(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

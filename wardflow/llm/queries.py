@@ -4,30 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardflow.llm.op2_ball_tree import op2_ball_tree
 from wardflow.llm.op3_ring_shards import op3_ring_shards
+from wardflow.llm.op4_mixture_packing import op4_mixture_packing
 from wardflow.llm.op5_wu_manber import op5_wu_manber
+from wardflow.llm.op6_boosted_quality import op6_boosted_quality
+from wardflow.llm.op7_centroid_language import op7_centroid_language
 from wardflow.llm.op8_minmax_dedup import op8_minmax_dedup
+from wardflow.llm.op9_sentence_spans import op9_sentence_spans
+from wardflow.llm.op10_toxicity_chain import op10_toxicity_chain
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op3_ring_shards(_table(spark, sf_dir, "documents"))
-
-
-def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op5_wu_manber(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-
-
-def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8_minmax_dedup(_table(spark, sf_dir, "documents"))
+def _on(operator, *tables: str):
+    """A query that applies ``operator`` to whole tables."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(*[_table(spark, sf_dir, t) for t in tables])
+    return run
 
 
 QUERIES = {
-    "op3_ring_shards": _op3,
-    "op5_wu_manber": _op5,
-    "op8_minmax_dedup": _op8,
+    "op2_ball_tree": _on(op2_ball_tree, "embeddings"),
+    "op3_ring_shards": _on(op3_ring_shards, "documents"),
+    "op4_mixture_packing": _on(op4_mixture_packing, "documents"),
+    "op5_wu_manber": _on(op5_wu_manber, "documents", "benchmark"),
+    "op6_boosted_quality": _on(op6_boosted_quality, "documents", "labels"),
+    "op7_centroid_language": _on(op7_centroid_language, "documents"),
+    "op8_minmax_dedup": _on(op8_minmax_dedup, "documents"),
+    "op9_sentence_spans": _on(op9_sentence_spans, "documents"),
+    "op10_toxicity_chain": _on(op10_toxicity_chain, "documents", "labels"),
 }
 ORACLE: dict[str, str] = {}
