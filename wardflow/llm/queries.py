@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardflow.llm.op1_best_fit_packing import op1_best_fit_packing
 from wardflow.llm.op2_ball_tree import op2_ball_tree
 from wardflow.llm.op3_ring_shards import op3_ring_shards
 from wardflow.llm.op4_mixture_packing import op4_mixture_packing
@@ -27,6 +28,7 @@ def _on(operator, *tables: str):
 
 
 QUERIES = {
+    "op1_best_fit_packing": _on(op1_best_fit_packing, "documents"),
     "op2_ball_tree": _on(op2_ball_tree, "embeddings"),
     "op3_ring_shards": _on(op3_ring_shards, "documents"),
     "op4_mixture_packing": _on(op4_mixture_packing, "documents"),
