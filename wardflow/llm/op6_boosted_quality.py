@@ -106,15 +106,14 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def _spread(h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Share of distinct values in each text, and of its commonest value."""
-    count = np.maximum(np.bincount(text, minlength=n), 1)
-    distinct, top = np.ones(n), np.zeros(n)
+    count = np.bincount(text, minlength=n)
+    distinct, top = np.zeros(n), np.zeros(n)
     if len(h):
         key, per = np.unique(A.mix(h ^ A.mix(text.astype(A.U64))), return_counts=True, return_index=True)[1:]
         of = text[key]
-        distinct = np.bincount(of, minlength=n) / count
+        distinct = np.bincount(of, minlength=n)
         np.maximum.at(top, of, per)
-        top = top / count
-    return distinct, top
+    return np.where(count > 0, distinct / np.maximum(count, 1), 1.0), top / np.maximum(count, 1)
 
 
 @dataclass
