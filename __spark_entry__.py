@@ -2,14 +2,15 @@
 
 Every query reads the driver's tables (``orders`` with ``lineitem`` for the
 patient table; ``conversations`` for the question log) and runs over them
-whole. ``oracle_sql`` holds the DuckDB equivalent of each query; only the
-four whose values depend on the trained model (training, scoring, metrics,
-full run) have none and get the rows-only check.
+whole. ``oracle_sql`` holds the DuckDB equivalent of each query; of the
+library's own, only the four whose values depend on the trained model
+(training, scoring, metrics, full run) have none and get the rows-only check.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 from collections.abc import Callable
 
@@ -72,11 +73,21 @@ def _winter_count(df: DataFrame) -> DataFrame:
 
 
 def _band_counts(df: DataFrame) -> DataFrame:
-    g = (df.groupBy(scores.age_group().alias("age_group"))
+    """Band counts of ages spread over 0..144, so that some have no band."""
+    spread = F.when(F.col("patient_id") % 2 == 0, F.col("age") * 2 - 36).otherwise(F.col("age"))
+    g = (df.groupBy(scores.age_group(spread).alias("age_group"))
            .agg(F.count(F.lit(1)).alias("patient_count")))
     return filters.drop_empty_groups(g, "age_group", "patient_count")
 
 
+def _dropped_columns(df: DataFrame) -> DataFrame:
+    return inspect.validate_columns(df.drop("los", "wait_days"))
+
+
+def _dropped_pages(df: DataFrame) -> DataFrame:
+    return inspect.validate_pages(df.drop("season", "wait_days"))
+
+
 def _encode(df: DataFrame) -> DataFrame:
     return encoding.one_hot_encode(df, keep=["patient_id"])
 
@@ -87,8 +98,21 @@ def _decode(df: DataFrame) -> DataFrame:
 
 
 def _fill(df: DataFrame) -> DataFrame:
+    """Features of which some ages, stays and risks are missing."""
     enc = encoding.one_hot_encode(df, keep=["patient_id"] + encoding.feature_columns()[:5])
-    return encoding.feature_fill(enc)
+    return encoding.feature_fill(enc.withColumns({
+        "age": F.nullif(F.col("age"), F.lit(45)), "los": F.nullif(F.col("los"), F.lit(3)),
+        "cancel_risk": F.nullif(F.col("cancel_risk"), F.lit(0.25))}))
+
+
+def _session_name(spark: SparkSession, name: str) -> str:
+    """A table name of this application, so that no query meets a table that
+    another one, or an earlier run, has left."""
+    return name + "_" + re.sub(r"\W", "_", spark.conf.get("spark.app.id", "app"))
+
+
+def _write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.write_patient_table(patient_table(spark, sf_dir), _session_name(spark, "patient_written"))
 
 
 def _adhoc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,10 +133,9 @@ def _model(spark: SparkSession, sf_dir: str):
 
 
 def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    imp = ml.feature_importances(_model(spark, sf_dir))
-    trees = len(_model(spark, sf_dir).stages[-1].trees)
+    model = _model(spark, sf_dir)
     return spark.createDataFrame(
-        [(i + 1, n, float(v), trees) for i, (n, v) in enumerate(imp)],
+        [(i + 1, n, float(v), len(model.trees)) for i, (n, v) in enumerate(ml.feature_importances(model))],
         "feature_index int, feature string, importance double, num_trees int")
 
 
@@ -128,8 +151,24 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.feature_vectors(patient_table(spark, sf_dir))
 
 
+def _fixed_metrics(df: DataFrame) -> DataFrame:
+    """G3 of a score that needs no model: the priority score."""
+    fixed = df.select("label", F.col("priority_score").alias("score"),
+                      (F.col("priority_score") > 0.3).cast("int").alias("prediction"))
+    m = ml.model_metrics(fixed)
+    return m.select(F.round("train_auc", 9).alias("train_auc"),
+                    F.round("train_accuracy", 9).alias("train_accuracy"), "training_rows")
+
+
 def _full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_full(spark, sf_dir, model=_model(spark, sf_dir)).high_risk_patients
+    """P1 from beginning to end, its own training included."""
+    return run_full(spark, sf_dir, _session_name(spark, "patient_data")).high_risk_patients
+
+
+def _full_run_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1's list without the model's columns."""
+    done = run_full(spark, sf_dir, _session_name(spark, "patient_listed"), model=_model(spark, sf_dir))
+    return done.high_risk_patients.drop("prediction", "score", "percentage")
 
 
 def _first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +184,7 @@ def _log(fn):
 
 
 def _params(df: DataFrame) -> DataFrame:
-    return qlog.extract_question_params(df).select("conv_id", "turn", "params.*")
+    return qlog.extract_question_params(df).select("conv_id", "turn", "variant", "params.*")
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,15 +196,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     # A: sources
     q["patient_table"] = patient_table
-    q["write_patient_table"] = _p(sinks.write_patient_table)
+    q["write_patient_table"] = _write_table
     q["write_patient_parquet"] = _p(sinks.write_patient_parquet)
     q["adhoc_sql"] = _adhoc
     q["preview_rows"] = _first_rows
-    q["sample_rows"] = _p(inspect.sample_rows)
+    q["sample_rows"] = _p(inspect.sample_rows, n=1000)
     q["row_count"] = _p(inspect.row_count)
     q["table_profile"] = _p(inspect.table_profile)
-    q["validate_columns"] = _p(inspect.validate_columns)
-    q["validate_page_columns"] = _p(inspect.validate_pages)
+    q["validate_columns"] = _p(_dropped_columns)
+    q["validate_page_columns"] = _p(_dropped_pages)
     # B: filters
     q["filter_specialty"] = _p(filters.filter_specialty, specialties=SAMPLE_SPECIALTIES)
     q["filter_age_exact"] = _p(filters.filter_age_exact, age=45)
@@ -183,8 +222,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["cancellation_loss"] = _cols(cancellation_loss=scores.cancellation_loss)
     q["age_group"] = _cols(age=lambda: F.col("age"), age_group=scores.age_group)
     q["clip_upper"] = _cols(
-        clipped_priority=lambda: scores.clip_upper(scores.priority_score_raw()),
-        clipped_readmit=lambda: scores.clip_upper(scores.readmit_risk_raw()))
+        clipped_priority=lambda: scores.clip_upper(scores.priority_score_raw(), 0.3),
+        clipped_readmit=lambda: scores.clip_upper(scores.readmit_risk_raw(), 0.5))
+    q["score_percentage"] = _cols(
+        percentage=lambda: encoding.score_percentage(scores.readmit_risk()))
     q["one_hot_encode"] = _p(_encode)
     q["one_hot_decode"] = _p(_decode)
     q["feature_fill"] = _p(_fill)
@@ -212,20 +253,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["cancellation_reduction"] = _p(groups.cancellation_reduction, percentage=15.0)
     # F: queue, capacity, schedule
     q["high_risk_patients"] = _p(queue.high_risk_patients)
+    q["queue_position"] = _p(lambda df: queue.queue_position(df).select("patient_id", "queue_position"))
+    q["assign_week"] = _p(lambda df: queue.queue_position(df).select(
+        "patient_id", queue.assign_week("queue_position", 120).alias("week")))
     q["capacity_scheduled"] = _p(queue.capacity_scheduled)
     q["capacity_summary"] = _p(queue.capacity_summary)
-    q["weekly_backlog"] = _p(queue.weekly_backlog)
+    q["weekly_backlog"] = _p(queue.weekly_backlog, weeks=K.WEEKLY_BACKLOG_WEEKS)
     q["optimized_schedule"] = _p(queue.optimized_schedule)
     q["patients_treated_earlier"] = _p(queue.patients_treated_earlier)
     q["capacity_kpis"] = _p(queue.capacity_kpis, baseline_capacity=200, uplift_percentage=20)
-    q["backlog_timeline"] = _p(queue.backlog_timeline)
+    q["backlog_timeline"] = _p(queue.backlog_timeline, weeks=K.TIMELINE_WEEKS)
     # G, C11, C12, P1: model and full run (rows-only checks)
     q["feature_select"] = _features
     q["train_risk_model"] = _train
     q["score_patients"] = _score
     q["model_metrics"] = _metrics
+    q["model_metrics_fixed_score"] = _p(_fixed_metrics)
     q["full_run"] = _full_run
-    # H: question log (every conversation turn, whole text)
+    q["full_run_list"] = _full_run_list
+    # H: question log (every conversation turn, bare and with a question)
     q["classify_questions"] = _log(lambda df: qlog.classify_questions(df))
     q["extract_question_params"] = _log(_params)
     q["route_questions"] = _log(lambda df: qlog.route_questions(df))

@@ -124,7 +124,10 @@ ORACLE["filter_age_group"] = with_patients("SELECT * FROM patients WHERE age > 6
 ORACLE["filter_high_risk"] = with_patients(f"SELECT * FROM patients WHERE readmit_risk > {d(0.7)}")
 ORACLE["filter_season"] = with_patients(
     "SELECT count(*) AS winter_patients FROM patients WHERE season = 'Winter'")
-ORACLE["drop_empty_groups"] = banded("count(*) AS patient_count")
+ORACLE["drop_empty_groups"] = with_patients(
+    f"SELECT age_group, count(*) AS patient_count FROM (SELECT {AGE_GROUP} AS age_group FROM "
+    "(SELECT CASE WHEN patient_id % 2 = 0 THEN age * 2 - 36 ELSE age END AS age FROM patients) s) b "
+    "WHERE age_group IS NOT NULL GROUP BY age_group")
 
 # --- C: row-level columns ---------------------------------------------------------
 ORACLE["priority_score"] = with_patients("SELECT patient_id, priority_score FROM patients")
@@ -138,7 +141,10 @@ ORACLE["cancellation_loss"] = with_patients(
     "SELECT patient_id, cost_estimate * cancel_risk AS cancellation_loss FROM patients")
 ORACLE["age_group"] = with_patients(f"SELECT patient_id, age, {AGE_GROUP} AS age_group FROM patients")
 ORACLE["clip_upper"] = with_patients(
-    "SELECT patient_id, priority_score AS clipped_priority, readmit_risk AS clipped_readmit FROM patients")
+    f"SELECT patient_id, least({PRIORITY_RAW}, {d(0.3)}) AS clipped_priority, "
+    f"least({READMIT_RAW}, {d(0.5)}) AS clipped_readmit FROM patients")
+ORACLE["score_percentage"] = with_patients(
+    f"SELECT patient_id, round_even(readmit_risk * {d(100.0)}, 2) AS percentage FROM patients")
 
 ENCODED = ("CAST(gender = 'M' AS INTEGER) AS gender_M, "
            + ", ".join(f"CAST(specialty = '{v}' AS INTEGER) AS \"specialty_{v}\""
@@ -149,8 +155,8 @@ ENCODED = ("CAST(gender = 'M' AS INTEGER) AS gender_M, "
 ORACLE["one_hot_encode"] = with_patients(f"SELECT patient_id, {ENCODED} FROM patients")
 ORACLE["one_hot_decode"] = with_patients("SELECT patient_id, gender, specialty, season FROM patients")
 ORACLE["feature_fill"] = with_patients(
-    "SELECT patient_id, coalesce(age, 0) AS age, coalesce(los, 0) AS los, "
-    "coalesce(cost_estimate, 0) AS cost_estimate, coalesce(cancel_risk, 0) AS cancel_risk, "
+    "SELECT patient_id, coalesce(nullif(age, 45), 0) AS age, coalesce(nullif(los, 3), 0) AS los, "
+    f"coalesce(cost_estimate, 0) AS cost_estimate, coalesce(nullif(cancel_risk, {d(0.25)}), 0) AS cancel_risk, "
     f"coalesce(priority_score, 0) AS priority_score, {ENCODED} FROM patients")
 
 # --- E: grouped answers -------------------------------------------------------------
@@ -283,7 +289,57 @@ ORACLE["backlog_timeline"] = with_patients(
     f"WHERE w.range <= {week('n', 100, 'BIGINT')} + 5", N_CTE)
 
 # --- H: question log over ``conversations`` ---------------------------------------
-from wardflow import constants as _K  # noqa: E402
+# Written as its own SQL text; nothing here is taken from the library.
+LOG_CTES = """
+keyed AS (
+  SELECT *, conv_id * 5 + turn AS k5,
+         list_extract(['Orthopedics', 'ENT', 'General Surgery', 'Gynaecology', 'Urology', 'Ophthalmology',
+                       'Cardiology'], CAST((conv_id + turn) % 7 AS INTEGER) + 1) AS spec,
+         list_extract(['Orthopedics', 'ENT', 'General Surgery', 'Gynaecology', 'Urology', 'Ophthalmology',
+                       'Cardiology'], CAST((conv_id + turn * 3 + 2) % 7 AS INTEGER) + 1) AS spec2,
+         CAST(18 + (conv_id * 5 + turn) % 60 AS VARCHAR) AS age,
+         CAST(19 + (conv_id * 5 + turn) % 60 + conv_id % 25 AS VARCHAR) AS older,
+         CAST(1 + (conv_id * 11 + turn) % 99 AS VARCHAR) AS pct,
+         CAST(50 + (conv_id * 13 + turn * 7) % 400 AS VARCHAR) AS cap,
+         CAST(1000 + (conv_id * 31 + turn * 17) % 9000 AS VARCHAR) AS ref,
+         (conv_id * 7 + turn * 3) % 26 AS which
+  FROM conversations),
+log AS (
+  SELECT conv_id, turn, 0 AS variant, text FROM conversations
+  UNION ALL
+  SELECT conv_id, turn, 1, coalesce(text, '') || chr(10) || CASE which
+    WHEN 0 THEN 'What is the average wait time for ' || spec || ' and ' || spec2 || '?'
+    WHEN 1 THEN 'Show me high risk patients with readmission risk above ' || pct || '%'
+    WHEN 2 THEN 'Reduce cancellations by ' || pct || '%'
+    WHEN 3 THEN 'What is the cost impact for ' || spec || '?'
+    WHEN 4 THEN 'What is the cost impact by specialty?'
+    WHEN 5 THEN 'Show seasonal analysis for Winter'
+    WHEN 6 THEN 'What is the average cost for young adults?'
+    WHEN 7 THEN 'Impact of Baseline capacity ' || cap || ' and Capacity Increase by ' || pct || '%'
+    WHEN 8 THEN 'average cost of hernia surgery, reference ' || ref
+    WHEN 9 THEN 'boost throughput by ' || pct
+    WHEN 10 THEN 'increase the cancellation rate by ' || pct
+    WHEN 11 THEN 'Which season has the highest cost?'
+    WHEN 12 THEN 'readmission in winter'
+    WHEN 13 THEN 'young adult readmission risk in ' || spec
+    WHEN 14 THEN spec || ' specialty breakdown'
+    WHEN 15 THEN 'which season is worst for waiting'
+    WHEN 16 THEN 'age ' || age || ' risk'
+    WHEN 17 THEN 'risk between ' || age || ' and ' || older || ' by age'
+    WHEN 18 THEN 'cancellations by age group'
+    WHEN 19 THEN 'elderly cancellation figures, reference ' || ref
+    WHEN 20 THEN 'average waiting days with threshold 0.' || pct || ' and risk weight 0.' || pct
+    WHEN 21 THEN 'seasonal readmission in ' || spec
+    WHEN 22 THEN 'senior segment cost for ' || spec
+    WHEN 23 THEN 'middle-aged cancellation rate between ' || age || ' to ' || older
+    WHEN 24 THEN 'seasonal comparison of ' || spec || ' and ' || spec2
+    WHEN 25 THEN 'capacity increase for aged ' || age || ' patients' END
+  FROM keyed)"""
+
+
+def with_log(body: str) -> str:
+    return f"WITH {LOG_CTES.strip()}\n{body}"
+
 
 NW = r"[^\pL\pN_]"          # a non-word character (Unicode letters, digits, _)
 LOW = "lower(text)"
@@ -299,9 +355,28 @@ def _first(subject: str, pattern: str, typ: str) -> str:
             f"THEN TRY_CAST(regexp_extract({subject}, '{pattern}', 1) AS {typ}) END")
 
 
-INTENT_SQL = ("CASE " + " ".join(f"WHEN regexp_matches({LOW}, '{p}') THEN '{n}'"
-                                 for n, p in _K.QUESTION_PATTERNS)
-              + f" ELSE '{_K.DEFAULT_INTENT}' END")
+# FIXED VALUES: intents and their patterns, in order.
+_SEASON_WORDS = "season|seasonal|winter|summer|spring|autumn"
+INTENT_SQL = f"""CASE
+  WHEN regexp_matches({LOW}, '(average|avg|mean).*(wait|waiting).*(time|days|period)') THEN 'average_wait_time'
+  WHEN regexp_matches({LOW}, '(capacity|increase|uplift|boost).*[0-9]') THEN 'capacity_analysis'
+  WHEN regexp_matches({LOW}, '(reduce|decrease|lower|reduction).*cancel.*[0-9]') THEN 'cancellation_reduction'
+  WHEN regexp_matches({LOW}, '(high.risk|risky|dangerous).*(patient|case)') THEN 'high_risk_patients'
+  WHEN regexp_matches({LOW}, '(specialty|department|ward|category).*(analysis|breakdown|summary)')
+    THEN 'specialty_analysis'
+  WHEN regexp_matches({LOW}, '(cost|expense|budget|saving).*(impact|effect|analysis)') THEN 'cost_impact'
+  WHEN regexp_matches({LOW}, '({_SEASON_WORDS}).*readmi(ssion|t)') THEN 'seasonal_readmission'
+  WHEN regexp_matches({LOW}, '({_SEASON_WORDS}).*(cost|expense|budget)') THEN 'seasonal_cost'
+  WHEN regexp_matches({LOW}, '({_SEASON_WORDS}).*(analysis|impact|effect|comparison)') THEN 'seasonal_analysis'
+  WHEN regexp_matches({LOW}, '(which|what).*season.*(highest|most|best|worst)') THEN 'seasonal_comparison'
+  WHEN regexp_matches({LOW}, '(risk|readmit|readmission).*(age|elderly|young|adult|child|senior|group|segment)')
+    OR regexp_matches({LOW}, '(age|elderly|young|adult|child|senior|group|segment).*(risk|readmit|readmission)')
+    THEN 'age_based_risk'
+  WHEN regexp_matches({LOW}, '(age|elderly|young|child|senior|group|segment).*cancel')
+    THEN 'age_based_cancellation'
+  WHEN regexp_matches({LOW}, '(age|elderly|young|child|senior|group|segment).*(cost|expense|budget)')
+    THEN 'age_based_cost'
+  ELSE 'general_analysis' END"""
 ROUTE_SQL = (
     "CASE WHEN intent IN ('cancellation_reduction', 'capacity_analysis') AND contains(lower(question), 'cancel') "
     "THEN 'cancellation_reduction' "
@@ -312,49 +387,51 @@ ROUTE_SQL = (
     "'age_based_risk', 'age_based_cancellation', 'age_based_cost') THEN intent "
     "ELSE 'preview_rows' END")
 
-ORACLE["classify_questions"] = (
-    f"SELECT conv_id, turn, text AS question, {INTENT_SQL} AS intent FROM conversations")
-ORACLE["route_questions"] = (
-    f"SELECT conv_id, turn, question, intent, {ROUTE_SQL} AS route FROM "
-    f"(SELECT conv_id, turn, text AS question, {INTENT_SQL} AS intent FROM conversations) c")
-ORACLE["intent_counts"] = (
-    f"SELECT {INTENT_SQL} AS intent, count(*) AS question_count FROM conversations GROUP BY 1")
+ORACLE["classify_questions"] = with_log(
+    f"SELECT conv_id, turn, variant, text AS question, {INTENT_SQL} AS intent FROM log")
+ORACLE["route_questions"] = with_log(
+    f"SELECT conv_id, turn, variant, question, intent, {ROUTE_SQL} AS route FROM "
+    f"(SELECT conv_id, turn, variant, text AS question, {INTENT_SQL} AS intent FROM log) c")
+ORACLE["intent_counts"] = with_log(
+    f"SELECT {INTENT_SQL} AS intent, count(*) AS question_count FROM log GROUP BY 1")
 
 _NUM_SUBJECT = rf"regexp_replace(text, '([^\pL\pN_.])', '\1\1', 'g')"
 _NUMS = (f"list_transform(regexp_extract_all({_NUM_SUBJECT}, "
          rf"'(?:^|{NW})(\d+(?:\.\d+)?)(?:{NW}|$)', 1), lambda x: CAST(x AS DOUBLE))")
-_CAP = (f"coalesce({_first(LOW, r'baseline\s+capacity.*?(\d+)', 'INTEGER')}, "
-        f"CASE WHEN contains({LOW}, 'capacity') OR contains({LOW}, 'increase') THEN 100 END)")
-_SPECS = ("list_filter([" + ", ".join(
-    f"CASE WHEN {_ww(s)} THEN '{next(n for n in _K.SPECIALTIES if n.lower() == s)}' END"
-    for s in _K.QUESTION_SPECIALTIES) + "], lambda x: x IS NOT NULL)")
-_ADULT_SUBJECT = f"replace({LOW}, 'young adult', 'young_adult')"
-
-
-def _group_test(g: str) -> str:
-    return _ww(g, _ADULT_SUBJECT) if g == "adult" else _ww(g)
-
-
-_GROUPS = list(_K.AGE_GROUPS.items())[::-1]
-_GROUP = "CASE " + " ".join(f"WHEN {_group_test(g)} THEN '{g}'" for g, _ in _GROUPS) + " END"
-_GMIN = "CASE " + " ".join(f"WHEN {_group_test(g)} THEN {a}" for g, (a, _b) in _GROUPS) + " END"
-_GMAX = "CASE " + " ".join(f"WHEN {_group_test(g)} THEN {b}" for g, (_a, b) in _GROUPS) + " END"
+_CAP_RX = r"baseline\s+capacity.*?(\d+)"
+_CAP = (f"CASE WHEN regexp_matches({LOW}, '{_CAP_RX}') "
+        f"THEN TRY_CAST(regexp_extract({LOW}, '{_CAP_RX}', 1) AS BIGINT) "
+        f"WHEN contains({LOW}, 'capacity') OR contains({LOW}, 'increase') THEN CAST(100 AS BIGINT) END")
+# FIXED VALUES: specialty names as the question spells and as the table spells them.
+_SPEC_NAMES = [("orthopedics", "Orthopedics"), ("ent", "ENT"), ("general surgery", "General Surgery"),
+               ("gynaecology", "Gynaecology"), ("urology", "Urology"), ("ophthalmology", "Ophthalmology"),
+               ("cardiology", "Cardiology")]
+_SPECS = ("list_filter([" + ", ".join(f"CASE WHEN {_ww(low)} THEN '{name}' END" for low, name in _SPEC_NAMES)
+          + "], lambda x: x IS NOT NULL)")
+_ADULT = f"replace({LOW}, 'young adult', 'young_adult')"
+# FIXED VALUES: age groups, the last of those named wins.
+_GROUPS = [("middle-aged", 40, 60, LOW), ("senior", 61, 120, LOW), ("elderly", 61, 120, LOW),
+           ("adult", 36, 60, _ADULT), ("young adult", 18, 35, LOW), ("young", 18, 35, LOW), ("child", 0, 17, LOW)]
+_GROUP = "CASE " + " ".join(f"WHEN {_ww(g, on)} THEN '{g}'" for g, _a, _b, on in _GROUPS) + " END"
+_GMIN = "CASE " + " ".join(f"WHEN {_ww(g, on)} THEN {a}" for g, a, _b, on in _GROUPS) + " END"
+_GMAX = "CASE " + " ".join(f"WHEN {_ww(g, on)} THEN {b}" for g, _a, b, on in _GROUPS) + " END"
 _RANGE = r"between\s+(\d{1,3})\s+(?:and|to)\s+(\d{1,3})"
+_AGES = (
+    f"{_first(LOW, rf'(?:^|{NW})age(?:d)?\s*(\d{{1,3}})(?:{NW}|$)', 'INTEGER')} AS age, "
+    f"coalesce({_GMIN}, CASE WHEN regexp_matches({LOW}, '{_RANGE}') "
+    f"THEN CAST(regexp_extract({LOW}, '{_RANGE}', 1) AS INTEGER) END) AS age_min, "
+    f"coalesce({_GMAX}, CASE WHEN regexp_matches({LOW}, '{_RANGE}') "
+    f"THEN CAST(regexp_extract({LOW}, '{_RANGE}', 2) AS INTEGER) END) AS age_max, "
+    f"{_GROUP} AS age_group")
 
-ORACLE["extract_question_params"] = (
-    "SELECT conv_id, turn, "
+ORACLE["extract_question_params"] = with_log(
+    "SELECT conv_id, turn, variant, "
     f"{_first('text', r'(\d+(?:\.\d+)?)%', 'DOUBLE')} AS percentage, "
     f"CASE WHEN len({_NUMS}) > 0 THEN {_NUMS} END AS numbers, "
     f"{_CAP} AS baseline_capacity, {_CAP} AS weekly_capacity, "
     f"{_first(LOW, r'risk.weight.*?(\d+(?:\.\d+)?)', 'DOUBLE')} AS risk_weight, "
     f"{_first(LOW, r'threshold.*?(\d+(?:\.\d+)?)', 'DOUBLE')} AS threshold, "
-    f"CASE WHEN len({_SPECS}) > 0 THEN {_SPECS} END AS specialties, "
-    f"{_first(LOW, rf'(?:^|{NW})age(?:d)?\s*(\d{{1,3}})(?:{NW}|$)', 'INTEGER')} AS age, "
-    f"coalesce({_GMIN}, CASE WHEN regexp_matches({LOW}, '{_RANGE}') "
-    f"THEN CAST(regexp_extract({LOW}, '{_RANGE}', 1) AS INTEGER) END) AS age_min, "
-    f"coalesce({_GMAX}, CASE WHEN regexp_matches({LOW}, '{_RANGE}') "
-    f"THEN CAST(regexp_extract({LOW}, '{_RANGE}', 2) AS INTEGER) END) AS age_max, "
-    f"{_GROUP} AS age_group FROM conversations")
+    f"CASE WHEN len({_SPECS}) > 0 THEN {_SPECS} END AS specialties, {_AGES} FROM log")
 
 # --- A: sources, sinks, inspection -------------------------------------------------
 PATIENT_TYPES = [("patient_id", "bigint"), ("age", "int"), ("gender", "string"), ("specialty", "string"),
@@ -368,26 +445,26 @@ ORACLE["adhoc_sql"] = with_patients(
     "FROM patients GROUP BY specialty")
 ORACLE["preview_rows"] = with_patients("SELECT * FROM patients ORDER BY patient_id LIMIT 10")
 ORACLE["sample_rows"] = with_patients(
-    "SELECT * FROM patients ORDER BY md5('42:' || CAST(patient_id AS VARCHAR)), patient_id LIMIT 100000")
+    "SELECT * FROM patients ORDER BY md5('42:' || CAST(patient_id AS VARCHAR)), patient_id LIMIT 1000")
 ORACLE["row_count"] = with_patients("SELECT count(*) AS row_count FROM patients")
 ORACLE["table_profile"] = with_patients(" UNION ALL ".join(
     f"SELECT {i + 1} AS ordinal, '{c}' AS column_name, '{t}' AS data_type, "
     f"count({c}) AS non_null_count, count(*) AS row_count FROM patients"
     for i, (c, t) in enumerate(PATIENT_TYPES)))
 ORACLE["validate_columns"] = with_patients(
-    "SELECT count(*) > 0 AS is_valid, CASE WHEN count(*) = 0 THEN 'DataFrame is empty or None' "
-    "ELSE 'All required columns present' END AS message, CAST([] AS VARCHAR[]) AS missing_columns "
-    "FROM (SELECT 1 FROM patients LIMIT 1) t")
+    "SELECT false AS is_valid, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'missing' END AS status, "
+    "['los', 'wait_days'] AS missing_columns FROM (SELECT 1 FROM patients LIMIT 1) t")
 
 # Writes return the table as read back; the feature vector is a fixed layout:
-# 5 numeric features, then indicators in descending label order with the
-# alphabetically first label dropped.
+# 5 numeric features, then indicators in label order with the alphabetically
+# first label dropped.
 ORACLE["write_patient_table"] = with_patients("SELECT * FROM patients")
 ORACLE["write_patient_parquet"] = with_patients("SELECT * FROM patients")
-_VEC = (["CAST(age AS DOUBLE)", "CAST(los AS DOUBLE)", "CAST(cost_estimate AS DOUBLE)",
-         "cancel_risk", "priority_score", "CAST(gender = 'M' AS DOUBLE)"]
-        + [f"CAST(specialty = '{v}' AS DOUBLE)" for v in sorted(_K.SPECIALTIES, reverse=True)[:-1]]
-        + [f"CAST(season = '{v}' AS DOUBLE)" for v in sorted(_K.SEASONS, reverse=True)[:-1]])
+_VEC = ["CAST(age AS DOUBLE)", "CAST(los AS DOUBLE)", "CAST(cost_estimate AS DOUBLE)", "cancel_risk",
+        "priority_score", "CAST(gender = 'M' AS DOUBLE)",
+        *[f"CAST(specialty = '{v}' AS DOUBLE)" for v in (
+            "ENT", "General Surgery", "Gynaecology", "Ophthalmology", "Orthopedics", "Urology")],
+        *[f"CAST(season = '{v}' AS DOUBLE)" for v in ("Spring", "Summer", "Winter")]]
 ORACLE["feature_select"] = with_patients(f"SELECT patient_id, [{', '.join(_VEC)}] AS features FROM patients")
 
 # --- H4: batch answers, brute force (questions joined to patient rows) -------------
@@ -400,21 +477,14 @@ def _metric_rows(src: str, metrics: list[tuple[str, str, bool]]) -> str:
     for name, expr, is_text in metrics:
         value = "CAST(NULL AS DOUBLE)" if is_text else f"CAST({expr} AS DOUBLE)"
         text = f"CAST({expr} AS VARCHAR)" if is_text else "CAST(NULL AS VARCHAR)"
-        parts.append(f"SELECT conv_id, turn, intent, route, group_key, '{name}' AS metric, "
+        parts.append(f"SELECT conv_id, turn, variant, intent, route, group_key, '{name}' AS metric, "
                      f"{value} AS value, {text} AS text_value FROM {src}")
     return " UNION ALL ".join(parts)
 
 
 _Q_PARAMS = (
     f"{_first('text', r'(\d+(?:\.\d+)?)%', 'DOUBLE')} AS percentage, "
-    f"CASE WHEN len({_SPECS}) > 0 THEN {_SPECS} END AS specialties, "
-    f"{_CAP} AS baseline_capacity, "
-    f"{_first(LOW, rf'(?:^|{NW})age(?:d)?\s*(\d{{1,3}})(?:{NW}|$)', 'INTEGER')} AS age, "
-    f"coalesce({_GMIN}, CASE WHEN regexp_matches({LOW}, '{_RANGE}') "
-    f"THEN CAST(regexp_extract({LOW}, '{_RANGE}', 1) AS INTEGER) END) AS age_min, "
-    f"coalesce({_GMAX}, CASE WHEN regexp_matches({LOW}, '{_RANGE}') "
-    f"THEN CAST(regexp_extract({LOW}, '{_RANGE}', 2) AS INTEGER) END) AS age_max, "
-    f"{_GROUP} AS age_group")
+    f"CASE WHEN len({_SPECS}) > 0 THEN {_SPECS} END AS specialties, {_CAP} AS baseline_capacity, {_AGES}")
 _AGE_OK = ("CASE WHEN q.age IS NOT NULL THEN p.age = q.age "
            "WHEN q.age_min IS NOT NULL AND q.age_max IS NOT NULL THEN p.age BETWEEN q.age_min AND q.age_max "
            "WHEN q.age_group IN ('elderly', 'senior') THEN p.age > 60 ELSE TRUE END")
@@ -425,10 +495,11 @@ _GKEY = ("CASE WHEN q.route IN ('average_wait_time', 'specialty_analysis', 'high
 _GROUPED = ("('average_wait_time', 'specialty_analysis', 'high_risk_by_specialty', 'cost_impact', "
             "'seasonal_analysis', 'age_based_risk', 'age_based_cancellation', 'age_based_cost')")
 _H4_CTES = f"""
-q0 AS (SELECT conv_id, turn, text AS question, {INTENT_SQL} AS intent, {_Q_PARAMS} FROM conversations),
+{LOG_CTES.strip()},
+q0 AS (SELECT conv_id, turn, variant, text AS question, {INTENT_SQL} AS intent, {_Q_PARAMS} FROM log),
 qr AS (SELECT *, {ROUTE_SQL} AS route FROM q0),
 g AS (SELECT * FROM (
-  SELECT q.conv_id, q.turn, q.intent, q.route, {_GKEY} AS group_key, count(*) AS n,
+  SELECT q.conv_id, q.turn, q.variant, q.intent, q.route, {_GKEY} AS group_key, count(*) AS n,
          sum(p.wait_days) AS s_wait, sum(p.cost_estimate) AS s_cost, sum(p.cancel_risk) AS s_cancel,
          sum(p.readmit_risk) AS s_readmit, sum(p.cost_estimate * p.cancel_risk) AS s_loss
   FROM qr q JOIN patients p
@@ -437,11 +508,11 @@ g AS (SELECT * FROM (
         OR p.readmit_risk > coalesce(q.percentage, {d(70.0)}) / {d(100.0)})
    AND (q.route NOT IN ('age_based_risk', 'age_based_cancellation', 'age_based_cost') OR {_AGE_OK})
   WHERE q.route IN {_GROUPED}
-  GROUP BY 1, 2, 3, 4, 5) x WHERE group_key IS NOT NULL),
+  GROUP BY 1, 2, 3, 4, 5, 6) x WHERE group_key IS NOT NULL),
 gl AS (SELECT count(*) AS n, sum(cancel_risk) AS s_cancel, CAST(sum(cost_estimate) AS DOUBLE) / count(*) AS c,
               CAST(sum(los) AS DOUBLE) / count(*) AS l FROM patients),
 f AS (
-  SELECT q.conv_id, q.turn, q.intent, q.route, CAST(NULL AS VARCHAR) AS group_key, gl.*,
+  SELECT q.conv_id, q.turn, q.variant, q.intent, q.route, CAST(NULL AS VARCHAR) AS group_key, gl.*,
          coalesce(q.percentage, {d(20.0)}) AS pct, q.percentage AS raw_pct,
          CAST(coalesce(q.baseline_capacity, 100) AS BIGINT) AS base
   FROM qr q, gl WHERE q.route IN ('cancellation_reduction', 'capacity_kpis')),
@@ -449,9 +520,12 @@ f2 AS (SELECT *, CAST(floor(CAST(base AS DOUBLE) * ({d(1.0)} + pct / {d(100.0)})
               s_cancel * (pct / {d(100.0)}) AS prevented FROM f),
 f3 AS (SELECT *, CAST(ceil(n / CAST(base AS DOUBLE)) AS BIGINT) AS wb,
               CAST(ceil(n / CAST(new AS DOUBLE)) AS BIGINT) AS wc,
-              CAST(floor(n / CAST(new AS DOUBLE)) AS BIGINT) AS fw FROM f2),
+              (SELECT coalesce(sum(greatest(0, least(f2.new, f2.n - (w - 1) * f2.new)
+                                            - least(f2.base, f2.n - (w - 1) * f2.base))), 0)
+               FROM (SELECT unnest(generate_series(1, CAST(ceil(f2.n / CAST(f2.base AS DOUBLE)) AS BIGINT))) AS w) x
+              ) AS moved FROM f2),
 pv AS (SELECT * FROM patients ORDER BY patient_id LIMIT 10),
-pr AS (SELECT q.conv_id, q.turn, q.intent, q.route, CAST(pv.patient_id AS VARCHAR) AS group_key, pv.*
+pr AS (SELECT q.conv_id, q.turn, q.variant, q.intent, q.route, CAST(pv.patient_id AS VARCHAR) AS group_key, pv.*
        FROM qr q JOIN pv ON q.route = 'preview_rows')"""
 
 _CANCEL = "q.route = 'cancellation_reduction'"
@@ -488,13 +562,12 @@ _H4_BODY = " UNION ALL ".join([
                   ("reduction_percentage", "pct", False)]),
     _metric_rows("(SELECT * FROM f3 WHERE route = 'capacity_kpis')",
                  [("weeks_saved", "wb - wc", False),
-                  ("patients_moved_earlier", "fw * (new - base) + CASE WHEN fw + 1 <= "
-                   "floor(n / CAST(base AS DOUBLE)) THEN greatest(0, n - fw * new - base) ELSE 0 END", False),
+                  ("patients_moved_earlier", "moved", False),
                   ("baseline_weeks", "wb", False), ("new_weeks", "wc", False),
                   ("baseline_capacity", "base", False), ("new_capacity", "new", False),
                   ("additional_weekly_capacity", "new - base", False),
                   ("monthly_additional_capacity", "(new - base) * 4", False),
-                  ("efficiency_gain", f"round_even(CAST(wb - wc AS DOUBLE) / nullif(wb, 0) * {d(100.0)}, 1)", False),
+                  ("efficiency_gain", f"coalesce(round_even(CAST(wb - wc AS DOUBLE) / nullif(wb, 0) * {d(100.0)}, 1), 0)", False),
                   ("capacity_increase", "CASE WHEN raw_pct IS NULL THEN '20%' ELSE "
                    "CAST(raw_pct AS VARCHAR) || '%' END", True),
                   ("total_patients", "n", False)]),
@@ -502,8 +575,22 @@ _H4_BODY = " UNION ALL ".join([
 ])
 ORACLE["answer_questions"] = with_patients(_H4_BODY, _H4_CTES.strip())
 
+_PAGE_GAPS = [("core", ["wait_days"]), ("overview", ["wait_days"]), ("specialty", ["wait_days"]), ("risk", []),
+              ("seasonal", ["season"])]
 ORACLE["validate_page_columns"] = with_patients(" UNION ALL ".join(
-    f"SELECT '{page}' AS page, count(*) > 0 AS is_valid, CASE WHEN count(*) = 0 THEN "
-    "'DataFrame is empty or None' ELSE 'All required columns present' END AS message, "
-    "CAST([] AS VARCHAR[]) AS missing_columns FROM (SELECT 1 FROM patients LIMIT 1) t"
-    for page in ["core", "overview", "specialty", "risk", "seasonal"]))
+    f"SELECT '{page}' AS page, {'true' if not gaps else 'false'} AS is_valid, "
+    f"'{'missing' if gaps else 'ok'}' AS status, CAST({gaps!r} AS VARCHAR[]) AS missing_columns "
+    "FROM (SELECT 1 FROM patients LIMIT 1) t" for page, gaps in _PAGE_GAPS))
+
+# --- C12, F2, F3, G3, P1: the parts that no model decides ---------------------------
+ORACLE["queue_position"] = with_patients("SELECT patient_id, queue_position FROM wk", positions())
+ORACLE["assign_week"] = with_patients(
+    "SELECT patient_id, " + week("queue_position", 120) + " AS week FROM wk", positions())
+ORACLE["model_metrics_fixed_score"] = with_patients(
+    "SELECT round((sum(r) FILTER (WHERE label = 1) - p * (p + 1) / 2) / (p * (n - p)), 9) AS train_auc, "
+    "round(avg(CAST(right_ AS DOUBLE)), 9) AS train_accuracy, CAST(max(n) AS BIGINT) AS training_rows FROM ("
+    "SELECT label, CAST(CAST(CASE WHEN priority_score > " + d(0.3) + " THEN 1 ELSE 0 END = label AS INTEGER) "
+    "AS DOUBLE) AS right_, CAST(rank() OVER (ORDER BY priority_score) AS DOUBLE) "
+    "+ (count(*) OVER (PARTITION BY priority_score) - 1) / " + d(2.0) + " AS r, "
+    "CAST(sum(label) OVER () AS DOUBLE) AS p, CAST(count(*) OVER () AS DOUBLE) AS n FROM patients) x GROUP BY p, n")
+ORACLE["full_run_list"] = with_patients(f"SELECT * FROM patients WHERE readmit_risk > {d(0.7)}")

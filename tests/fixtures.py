@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# The first eight are the application's sample questions; the rest probe
+# FIXED VALUES: the first eight are the application's sample questions; the rest probe
 # its parsing rules. Expected intent and route per question.
 QUESTIONS = [
     (1, "What is the average wait time for Cardiology and Orthopedics?", "average_wait_time", "average_wait_time"),

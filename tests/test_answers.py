@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from fixtures import QUESTIONS
+from pyspark.sql import functions as F
+
 from wardflow.operators import groups as G
 from wardflow.operators import inspect, queue
 from wardflow.operators import questions as Q
-from wardflow.plans.answers import answer_questions
+from wardflow.plans.answers import answer_key, answer_questions
 
 
 def _direct(pt, r):
@@ -59,14 +63,58 @@ def test_unknown_specialty_has_no_rows(spark, patients_small):
                                            patients_small.select("specialty").distinct().collect()}
 
 
-def test_salted_join_equals_broadcast(spark, patients_small, monkeypatch):
-    import wardflow.plans.answers as A
-    qdf = spark.createDataFrame([(i, q) for i, q, *_ in QUESTIONS], "question_id bigint, question string")
-    want = answer_questions(qdf, patients_small)
-    monkeypatch.setattr(A, "BROADCAST_ROW_LIMIT", 10)
-    got = answer_questions(qdf, patients_small)
-    assert got.count() == want.count()
-    assert got.exceptAll(want).count() == 0
+def test_unread_parameters_do_not_part_keys(spark, patients_small):
+    texts = [f"What is the cost impact for Orthopedics? reference {i}, threshold 0.{i}" for i in range(300)]
+    texts += [f"age {20 + i % 3} risk, reference {i}" for i in range(90)]
+    qdf = spark.createDataFrame(list(enumerate(texts)), "question_id bigint, question string")
+    prep = Q.prepare_questions(qdf).select(answer_key(F.col("route"), F.col("params")).alias("k"))
+    assert prep.distinct().count() == 1 + 3
+    assert answer_questions(qdf, patients_small).filter("route = 'cost_impact'").count() == 300 * 4
+
+
+def test_a_key_meets_its_groups_only(spark, patients_small):
+    """Rows out of the joins of the look-ups follow the keys, not keys x cells."""
+    from wardflow.plans import answers as A
+    base = A.base_cells(patients_small).cache()
+    texts = [f"risk between {a} and {a + 9} by age" for a in range(10, 60)]
+    texts += [f"high risk patients above {p}%" for p in range(1, 99)]
+    qdf = spark.createDataFrame(list(enumerate(texts)), "question_id bigint, question string")
+    prep = Q.prepare_questions(qdf).select(answer_key(F.col("route"), F.col("params")).alias("_pk")).distinct()
+    keys = prep.select("_pk", F.from_json("_pk", A._KEY).alias("k")).select("_pk", "k.*")
+    band, risk = A._band_answers(keys, base.filter("kind = 'sa'")), A._risk_answers(keys, base)
+    assert band.count() <= 50 * 4 and risk.count() == 98 * 7
+
+    def joined(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        return max(int(x) for x in re.findall(r"rows=(\d+)", _rows(plan)) or ["0"])
+    # 8 x 121: the table of running sums itself (ages 0..120, 7 specialties and all).
+    assert joined(band) <= max(50 * 4 * 2, 8 * 121) and joined(risk) <= 98 * 7
+
+
+def _rows(plan) -> str:
+    """``rows=`` of every join in an executed plan."""
+    out, todo = "", [plan]
+    while todo:
+        p = todo.pop()
+        if "Adaptive" in p.nodeName():
+            p = p.executedPlan()
+        if "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+            continue
+        if "Join" in p.nodeName():
+            out += f"rows={p.metrics().apply('numOutputRows').value()} "
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_huge_capacities_and_percentages(spark, patients_small):
+    texts = ["baseline capacity 9000000000000000000 increase by 500%", "capacity increase 99999999999999999999%",
+             "baseline capacity 0 increase by 5%"]
+    qdf = spark.createDataFrame(list(enumerate(texts)), "question_id bigint, question string")
+    got = {(r.question_id, r.metric): r.value for r in answer_questions(qdf, patients_small).collect()}
+    assert got[(0, "baseline_capacity")] == 9e18 and got[(0, "new_capacity")] == 5.4e19
+    assert got[(0, "patients_moved_earlier")] == 0 and got[(2, "new_capacity")] == 0
 
 
 def test_repeated_questions_share_answers(spark, patients_small):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
+
 from wardflow.functions import encoding
 from wardflow.operators import inspect
 from wardflow.sources import sinks
@@ -30,11 +32,11 @@ def test_profile(patients_small):
 
 def test_validate(spark, patients_small):
     ok = inspect.validate_columns(patients_small).first()
-    assert ok.is_valid and ok.message == "All required columns present" and ok.missing_columns == []
+    assert ok.is_valid and ok.status == "ok" and ok.missing_columns == []
     bad = inspect.validate_columns(patients_small.drop("los", "wait_days")).first()
-    assert not bad.is_valid and bad.message == "Missing columns: ['los', 'wait_days']"
+    assert not bad.is_valid and bad.status == "missing" and bad.missing_columns == ["los", "wait_days"]
     empty = inspect.validate_columns(patients_small.limit(0)).first()
-    assert not empty.is_valid and empty.message == "DataFrame is empty or None"
+    assert not empty.is_valid and empty.status == "empty"
 
 
 def test_adhoc_sql(spark, patients_small):
@@ -84,10 +86,41 @@ def test_first_patients_equals_preview_of_table(spark, patients_small):
         got = [tuple(r) for r in first_patients(spark, "/root/testdata/sf0.001", n).collect()]
         want = [tuple(r) for r in inspect.preview_rows(patients_small, n).collect()]
         assert got == want
-    plan = first_patients(spark, "/root/testdata/sf0.001", 10)._jdf.queryExecution() \
-        .executedPlan().toString()
-    pushed = [line for line in plan.splitlines() if "lineitem" in line][0]
-    assert "PushedFilters: [" in pushed and "In(l_orderkey, [" in pushed
+    plan = first_patients(spark, "/root/testdata/sf0.001", 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_a_foreign_folder_is_left_alone(spark, patients_small):
+    import os
+    where = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    folder = os.path.join(where, "foreign_table")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "keep.txt"), "w") as f:
+        f.write("mine")
+    with pytest.raises(Exception, match="LOCATION_ALREADY_EXISTS"):
+        sinks.write_patient_table(patients_small, "foreign_table")
+    assert os.listdir(folder) == ["keep.txt"]
+
+
+def test_release_deletes_the_copies_of_a_result(spark, patients_small):
+    import os
+
+    from wardflow.operators import queue
+    from wardflow.session import release, scratch_root
+    done = queue.capacity_scheduled(patients_small, num_partitions=3)
+    assert done.count() == 1500
+    folders = {f.removeprefix("file://").rsplit("/", 1)[0] for f in done.inputFiles() if scratch_root(spark)[-20:] in f}
+    assert len(folders) == 1 and all(map(os.path.exists, folders))
+    release(done)
+    assert not any(map(os.path.exists, folders)) and patients_small.count() == 1500
+
+
+def test_cluster_refuses_a_local_folder():
+    from wardflow.session import _shared
+    assert _shared("file:/tmp/x", "local[2]") == "file:/tmp/x" and _shared("hdfs://x/y", "yarn") == "hdfs://x/y"
+    for folder in ("file:///tmp/x", "/tmp/x"):
+        with pytest.raises(RuntimeError):
+            _shared(folder, "spark://host:7077")
 
 
 def test_sample_plan_meets_one_partition_only_over_bucket_counts(patients_small):

@@ -3,12 +3,14 @@ registered queries)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from wardflow.operators import model as M
 
 
 def test_train_score_metrics(patients_small):
     m = M.train_risk_model(patients_small, max_iter=5)
-    assert m.stages[-1].numFeatures == 15
+    assert m.numFeatures == 15
     names = [n for n, _ in M.feature_importances(m)]
     assert names[:5] == ["age", "los", "cost_estimate", "cancel_risk", "priority_score"]
     assert "gender_M" in names and "specialty_Cardiology" not in names and "season_Autumn" not in names
@@ -26,3 +28,12 @@ def test_auc_is_exact(spark):
     neg = [s for s, y, _ in rows if y == 0]
     want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert abs(got - want) < 1e-12
+
+
+def test_unknown_values_are_scored(spark, patients_small):
+    m = M.train_risk_model(patients_small.filter("specialty != 'Cardiology'"), max_iter=2, max_training_rows=700)
+    assert m.numFeatures == 15
+    odd = patients_small.limit(3).withColumns({"specialty": F.lit("Dermatology"), "season": F.lit(None).cast("string")})
+    rows = M.score_patients(m, odd).collect()
+    assert len(rows) == 3 and all(0 <= r.score <= 1 for r in rows)
+    assert all(r.features[6:12] == [0.0] * 6 for r in M.feature_vectors(odd).collect())

@@ -1,11 +1,17 @@
-"""H1-H3, H5 against the fixture table and a brute-force parser."""
+"""H1-H3, H5 against the fixture table, generated questions and DuckDB."""
 
 from __future__ import annotations
 
-import pytest
+import random
+import re
+import time
 
-import brute
+import pytest
+from brute import parameter_question
+from pyspark.sql import functions as F
 from fixtures import QUESTIONS
+from wardflow import constants as K
+from wardflow.functions import text
 from wardflow.operators import questions as Q
 
 EXTRA = [
@@ -29,17 +35,6 @@ def test_fixture_intents_and_routes(prepared):
         assert (prepared[qid].intent, prepared[qid].route) == (intent, route), qid
 
 
-def test_classify_matches_brute_force(prepared):
-    for r in prepared.values():
-        assert r.intent == brute.classify(r.question), r.question
-
-
-def test_params_match_brute_force(prepared):
-    for r in prepared.values():
-        got = {k: v for k, v in r.params.asDict().items() if v is not None}
-        assert got == brute.extract(r.question), r.question
-
-
 def test_stated_differences(prepared):
     assert prepared[15].params.specialties == ["ENT"]
     p14 = prepared[14].params
@@ -57,21 +52,43 @@ def test_intent_counts(spark):
     assert got == want
 
 
-def test_whole_conversation_log_matches_brute_force(spark):
+def plain(q: str) -> str:
+    """The first pattern found by Python's own engine."""
+    return next((n for n, p in K.QUESTION_PATTERNS if re.search(p, q.lower())), K.DEFAULT_INTENT)
+
+
+def test_the_log_asks_everything(spark):
     log = Q.question_log(spark, "/root/testdata/sf0.01")
-    rows = Q.extract_question_params(Q.classify_questions(log)).collect()
-    assert len(rows) == log.count()
-    for r in rows:
-        assert r.intent == brute.classify(r.question)
+    rows = Q.prepare_questions(log).collect()
+    assert len(rows) == 2 * spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").count()
+    assert {r.intent for r in rows} == {n for n, _ in K.QUESTION_PATTERNS} | {K.DEFAULT_INTENT}
+    assert len({r.route for r in rows}) == 11
+    for field in rows[0].params.asDict():
+        assert any(r.params[field] is not None for r in rows), field
+    assert all(r.intent == plain(r.question) for r in rows)
+
+
+def test_generated_parameters_are_found(spark):
+    rng = random.Random(8)
+    made = [parameter_question(rng) for _ in range(600)]
+    df = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(made)], "question_id bigint, question string")
+    for r in Q.extract_question_params(df).collect():
         got = {k: v for k, v in r.params.asDict().items() if v is not None}
-        assert got == brute.extract(r.question)
+        assert got == made[r.question_id][1], r.question
 
 
-def test_guards_are_necessary_conditions():
-    import re
+def test_capacities_are_never_replaced(spark):
+    texts = ["baseline capacity 99999999999", "baseline capacity 99999999999999999999999", "capacity", "x",
+             "baseline capacity, then nothing"]
+    df = spark.createDataFrame(list(enumerate(texts)), "question_id bigint, question string")
+    got = {r.question_id: r.params.baseline_capacity for r in Q.extract_question_params(df).collect()}
+    assert got == {0: 99999999999, 1: None, 2: 100, 3: None, 4: 100}
+
 
-    from wardflow import constants as K
+def test_guards_are_necessary_conditions():
     from wardflow.functions.text import necessary_literals
+    assert necessary_literals("(colou?r).*(x)") == [[["colo"], ["x"]]]
+    assert necessary_literals("(a)?.*(bc*)") == [[["b"]]] and necessary_literals("(.a)") is None
     texts = [q for _i, q, *_ in QUESTIONS] + EXTRA
     for _name, pattern in K.QUESTION_PATTERNS:
         lits = necessary_literals(pattern)
@@ -81,28 +98,45 @@ def test_guards_are_necessary_conditions():
                 assert any(all(any(x in low for x in g) for g in branch) for branch in lits)
 
 
-def test_random_questions_match_brute_force(spark):
-    import random
-    rng = random.Random(11)
-    words = ["average", "avg", "mean", "wait", "waiting", "time", "days", "capacity", "increase",
-             "uplift", "boost", "reduce", "lower", "cancel", "cancellation", "high risk", "high-risk",
-             "risky", "patient", "case", "specialty", "ward", "breakdown", "summary", "cost",
-             "budget", "impact", "effect", "season", "winter", "Summer", "which", "what", "worst",
-             "readmit", "readmission", "age", "aged", "elderly", "young", "young adult", "adults",
-             "adult", "child", "children", "senior", "middle-aged", "group", "segment", "ENT",
-             "ent", "Cardiology", "general surgery", "urology!", "orthopedics,", "ophthalmology.",
-             "gynaecology", "threshold", "risk weight", "baseline capacity", "between", "and", "to",
-             "éent", "agé", "\r", "\n", "%", "by", "for", "of", "the"]
-
-    def token():
-        roll = rng.random()
-        if roll < 0.25:
-            return str(rng.randint(0, 300)) + rng.choice(["", "", "%", ".5", "%.", "x"])
-        return rng.choice(words)
-
-    texts = [" ".join(token() for _ in range(rng.randint(1, 9))) for _ in range(400)]
-    df = spark.createDataFrame(list(enumerate(texts)), "question_id bigint, question string")
-    for r in Q.extract_question_params(Q.classify_questions(df)).collect():
-        assert r.intent == brute.classify(r.question), repr(r.question)
-        got = {k: v for k, v in r.params.asDict().items() if v is not None}
-        assert got == brute.extract(r.question), repr(r.question)
+@pytest.mark.parametrize("glue", ["", " "])
+def test_linear_patterns_find_what_the_plain_ones_find(spark, glue):
+    rng = random.Random(3)
+    words = sorted({w for _, p in K.QUESTION_PATTERNS for w in re.findall(r"[a-z-]+", p)})
+    words += ["high risk", "5", "%", "\n", "\r", "x", "ren", "al", "ing", "y", "é"]
+    texts = [glue.join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 40])))
+             for _ in range(2500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, q string")
+    out = df.select("id", *[F.col("q").rlike(text.linear_regex(p)).alias(n) for n, p in K.QUESTION_PATTERNS])
+    for r in out.collect():
+        for n, p in K.QUESTION_PATTERNS:
+            assert r[n] == bool(re.search(p, texts[r.id])), (n, texts[r.id])
+
+
+def test_linear_numbers_find_what_the_plain_ones_find(spark):
+    rng = random.Random(4)
+    parts = ["baseline capacity", "baseline\ncapacity", "risk weight", "risk-weight", "threshold", "5", "12.5",
+             "%", "7%", "1.2.3%", "\n", "x", " ", "9."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    forms = {"b": (text.number_after(K.BASELINE_CAPACITY_PATTERN), K.BASELINE_CAPACITY_PATTERN),
+             "r": (text.number_after(K.RISK_WEIGHT_PATTERN), K.RISK_WEIGHT_PATTERN),
+             "t": (text.number_after(K.THRESHOLD_PATTERN), K.THRESHOLD_PATTERN),
+             "p": (text.percent_regex(K.PERCENT_PATTERN), K.PERCENT_PATTERN)}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, q string")
+    for r in df.select("id", *[F.regexp_extract("q", f, 1).alias(k) for k, (f, _) in forms.items()]).collect():
+        for k, (_, p) in forms.items():
+            m = re.search(p, texts[r.id])
+            assert r[k] == (m.group(1) if m else ""), (k, texts[r.id])
+
+
+@pytest.mark.parametrize("line", ["average wait " * 8000, "time " + "average wait " * 8000,
+                                  "baseline capacity " * 6000, "risk weight " * 8000, "9" * 100_000 + "x %",
+                                  "a " * 50_000 + "\n" + "average " * 12_000])
+def test_long_lines_take_no_longer_than_their_length(spark, line):
+    def run(t):
+        df = spark.createDataFrame([(t,)], "question string")
+        began = time.time()
+        Q.prepare_questions(df).select("intent", "params").collect()
+        return time.time() - began
+    run("warm up")
+    short = run("age 5")
+    assert run(line) < short + 2

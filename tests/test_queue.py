@@ -1,4 +1,5 @@
-"""Distributed positions and the closed forms against brute force."""
+"""Distributed positions, and the closed forms against DuckDB counts
+over all positions."""
 
 from __future__ import annotations
 
@@ -6,10 +7,25 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brute import capacity_loops
 from wardflow.operators import queue
 
 
+def counted(n: int, base: int, new: int) -> dict:
+    """The figures by counting positions 1..n in DuckDB."""
+    import duckdb
+    weeks = f"""SELECT CAST(ceil(q / CAST({base} AS DOUBLE)) AS BIGINT) AS b,
+                CAST(ceil(q / CAST({new} AS DOUBLE)) AS BIGINT) AS c FROM range(1, {n + 1}) r(q)"""
+    con = duckdb.connect()
+    total = con.execute(f"SELECT coalesce(max(b), 0), coalesce(max(c), 0), count(*) FILTER (c < b), "
+                        f"coalesce(sum(b - c), 0) FROM ({weeks}) w").fetchall()[0]
+    treated = con.execute(
+        f"WITH w AS ({weeks}), x AS (SELECT b AS k, count(*) AS n FROM w GROUP BY 1), "
+        "y AS (SELECT c AS k, count(*) AS n FROM w GROUP BY 1) "
+        "SELECT coalesce(sum(greatest(0, y.n - x.n)), 0) FROM x JOIN y ON x.k = y.k").fetchall()[0][0]
+    return {"baseline_weeks": total[0], "new_weeks": total[1], "moved": total[2], "saved": int(total[3]),
+            "treated": int(treated)}
+
+
 def test_positions_match_global_window(patients_small):
     got = queue.capacity_scheduled(patients_small)
     w = Window.orderBy(F.desc("priority_score"), F.desc("wait_days"), F.asc("patient_id"))
@@ -47,7 +63,7 @@ def test_all_tied_queue(spark):
 
 @pytest.mark.parametrize("base,pct", [(100, 20), (200, 20), (100, 15), (100, 0), (50, 57),
                                       (3, 100), (7, 33.3), (100, 250)])
-def test_closed_forms_against_loops(spark, base, pct):
+def test_closed_forms_against_counts(spark, base, pct):
     ns = [0, 1, 2, 5, 99, 100, 101, 349, 350, 1000, 2501, 15000]
     df = spark.createDataFrame([(n,) for n in ns], "total_patients bigint")
     c = queue.new_capacity(base, pct)
@@ -58,14 +74,11 @@ def test_closed_forms_against_loops(spark, base, pct):
                     F.try_divide(saved, n.cast("double")).alias("avg_saved"),
                     queue._weeks(n, base).alias("wb"), queue._weeks(n, c).alias("wc")).collect()
     for r in got:
-        b = capacity_loops(r.total_patients, base, pct)
-        assert r.moved == b["moved"], (r, b)
-        assert r.treated == b["treated"], (r, b)
-        assert r.wb == b["baseline_weeks"] and r.wc == b["new_weeks"]
-        if b["avg_saved"] is None:
-            assert r.avg_saved is None
-        else:
-            assert abs(r.avg_saved - b["avg_saved"]) < 1e-12
+        b = counted(r.total_patients, base, c)
+        assert (r.moved, r.treated, r.wb, r.wc) == (
+            b["moved"], b["treated"], b["baseline_weeks"], b["new_weeks"]), (r, b)
+        assert r.avg_saved == pytest.approx(b["saved"] / r.total_patients) if r.total_patients else (
+            r.avg_saved is None)
 
 
 def test_fixture_capacity_table(patients_mid):
@@ -79,19 +92,30 @@ def test_fixture_capacity_table(patients_mid):
         assert queue.patients_treated_earlier(patients_mid, base, pct).first()[0] == treated
 
 
-def test_backlogs_against_loops(patients_small):
+@pytest.mark.parametrize("weeks", [None, 5])
+def test_backlogs_count_who_is_left(patients_small, weeks):
     n = patients_small.count()
-    b = capacity_loops(n, 100, 20)
-    weekly = [tuple(r) for r in queue.weekly_backlog(patients_small).orderBy("week").collect()]
-    assert weekly == b["weekly"]
-    timeline = [tuple(r) for r in queue.backlog_timeline(patients_small).orderBy("week").collect()]
-    assert timeline == b["timeline"]
+    rows = queue.weekly_backlog(patients_small, weeks=weeks).orderBy("week").collect()
+    assert [r.week for r in rows] == list(range(1, (15 if weeks is None else weeks) + 1))
+    later = queue.capacity_scheduled(patients_small).cache()
+    for r in rows:
+        assert r.baseline_backlog == later.filter(F.col("baseline_week") > r.week).count()
+        assert r.new_backlog == later.filter(F.col("new_week") > r.week).count()
+    timeline = queue.backlog_timeline(patients_small, weeks=weeks).orderBy("week").collect()
+    assert [r.week for r in timeline] == list(range(1, (20 if weeks is None else weeks) + 1))
+    assert all(r.current_backlog == max(0, n - 100 * r.week) for r in timeline)
+
+
+def test_many_weeks_in_blocks(spark):
+    df = spark.range(35_000).withColumn("cost_estimate", F.lit(1))
+    rows = queue.weekly_backlog(df, 1, 0).agg(F.count("*"), F.min("week"), F.max("week"), F.countDistinct("week"))
+    assert tuple(rows.first()) == (35_000, 1, 35_000, 35_000)
 
 
 def test_empty_table(spark, patients_small):
     empty = patients_small.limit(0)
     k = queue.capacity_kpis(empty).first()
-    assert k.total_patients == 0 and k.efficiency_gain is None and k.patients_moved_earlier == 0
+    assert k.total_patients == 0 and k.efficiency_gain == 0 and k.patients_moved_earlier == 0
     assert queue.weekly_backlog(empty).count() == 0
     assert queue.capacity_summary(empty).first().avg_weeks_saved is None
 
@@ -103,6 +127,12 @@ def test_new_capacity_truncates():
         queue.new_capacity(100, -5)
 
 
+def test_small_uplift_of_a_large_capacity(spark):
+    df = spark.createDataFrame([(3_000_000,)], "n bigint")
+    got = df.select(queue._moved_earlier(F.col("n"), 1_000_000, 1_000_001)).first()[0]
+    assert got == 3  # positions 1000001, 2000001 and 2000002
+
+
 @pytest.mark.parametrize("op", ["capacity_scheduled", "optimized_schedule"])
 def test_single_partition_only_over_partition_counts(patients_small, op):
     out = getattr(queue, op)(patients_small)
@@ -141,8 +171,7 @@ def test_closed_forms_random(spark):
             queue._treated_earlier(n, base, c).alias("treated"),
             F.try_divide(saved, n.cast("double")).alias("avg_saved")).collect()
         for r in got:
-            b = capacity_loops(r.total_patients, base, pct)
+            b = counted(r.total_patients, base, c)
             assert (r.moved, r.treated) == (b["moved"], b["treated"]), (base, pct, r)
-            assert (r.avg_saved is None) == (b["avg_saved"] is None)
-            if b["avg_saved"] is not None:
-                assert abs(r.avg_saved - b["avg_saved"]) < 1e-9
+            assert r.avg_saved == pytest.approx(b["saved"] / r.total_patients) if r.total_patients else (
+                r.avg_saved is None)

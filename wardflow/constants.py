@@ -12,10 +12,8 @@ SPECIALTIES = [
     "Orthopedics", "ENT", "General Surgery", "Gynaecology",
     "Urology", "Ophthalmology", "Cardiology",
 ]
-SPECIALTY_SHARES = [30, 15, 25, 10, 10, 5, 5]   # percent of patients
 SEASONS = ["Spring", "Summer", "Autumn", "Winter"]
 GENDERS = ["M", "F"]
-GENDER_M_SHARE = 48                             # percent
 
 # --- FIXED VALUES: priority score terms (added in this order) ---------------
 PRIORITY_AGE_OVER, PRIORITY_AGE_W = 70, 0.15
@@ -120,9 +118,5 @@ QUESTION_SPECIALTIES = [
     "urology", "ophthalmology", "cardiology",
 ]
 
-# Intents answered by a grouped query; the rest fall back to preview rows.
-GROUPED_INTENTS = [
-    "average_wait_time", "specialty_analysis", "high_risk_patients", "cost_impact",
-    "seasonal_analysis", "age_based_risk", "age_based_cancellation", "age_based_cost",
-]
+# --- FIXED VALUES: intents answered by a function (text decides which) -------
 FUNCTION_INTENTS = ["cancellation_reduction", "capacity_analysis"]

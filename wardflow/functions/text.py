@@ -46,8 +46,50 @@ def _split_top(s: str, sep: str = "|") -> list[str]:
     return parts + [cur]
 
 
-def _top_groups(branch: str) -> list[str]:
-    """Contents of the parenthesised groups at the top level of ``branch``."""
+def _series(branch: str) -> list[str]:
+    """The parts of a branch between its top-level ``.*``."""
+    parts, depth, cur, i = [], 0, "", 0
+    while i < len(branch):
+        if depth == 0 and branch.startswith(".*", i):
+            parts.append(cur)
+            cur, i = "", i + 2
+            continue
+        depth += (branch[i] == "(") - (branch[i] == ")")
+        cur += branch[i]
+        i += 1
+    return parts + [cur]
+
+
+def linear_regex(pattern: str) -> str:
+    r"""A Java regex that finds a match where ``pattern`` does, in time linear
+    in the text.
+
+    A line matches a series ``A.*B.*C`` if, after its first A, there is a B,
+    and after the first such B a C. The search is tied to line starts, and
+    each step (``(?>.*?A)``) is atomic, so what was passed is not tried again.
+    Taking the first A is right because no word of a group holds another one
+    that would leave the beginning of a later group's word behind it (the
+    tests hold this against the plain pattern).
+    """
+    branches = ["".join(f"(?>.*?(?:{part}))" for part in _series(b)) for b in _split_top(pattern)]
+    return "(?dm)^(?:" + "|".join(branches) + ")"
+
+
+def _prefix(alternative: str) -> str:
+    """The literal text every match of the alternative begins with."""
+    lit = ""
+    for ch in alternative:
+        if ch in "?*{":      # the character before may be missing
+            return lit[:-1]
+        if ch in _META:
+            return lit
+        lit += ch
+    return lit
+
+
+def _required_groups(branch: str) -> list[str]:
+    """Contents of the top-level groups that a match must hold: not those
+    behind which a quantifier allows none."""
     groups, depth, start = [], 0, 0
     for i, ch in enumerate(branch):
         if ch == "(":
@@ -56,7 +98,7 @@ def _top_groups(branch: str) -> list[str]:
             depth += 1
         elif ch == ")":
             depth -= 1
-            if depth == 0:
+            if depth == 0 and branch[i + 1: i + 2] not in ("?", "*", "{"):
                 groups.append(branch[start:i])
     return groups
 
@@ -72,18 +114,8 @@ def necessary_literals(pattern: str) -> list[list[list[str]]] | None:
     """
     branches = []
     for branch in _split_top(pattern):
-        groups = []
-        for g in _top_groups(branch):
-            prefixes = []
-            for alt in _split_top(g):
-                lit = ""
-                for ch in alt:
-                    if ch in _META:
-                        break
-                    lit += ch
-                prefixes.append(lit)
-            if all(prefixes):
-                groups.append(sorted(set(prefixes)))
+        groups = [[_prefix(alt) for alt in _split_top(g)] for g in _required_groups(branch)]
+        groups = [sorted(set(g)) for g in groups if all(g)]
         if not groups:
             return None
         branches.append(groups)
@@ -113,11 +145,24 @@ def _guard(text: Column, pattern: str) -> Column | None:
 def _rx(text: Column, pattern: str) -> Column:
     """``rlike`` behind its literal guard: substring tests are cheap and
     rule out most texts before the regex runs over the whole text."""
-    test = text.rlike(java_regex(pattern))
+    test = text.rlike(linear_regex(pattern))
     guard = _guard(text, pattern)
     return test if guard is None else (guard & test)
 
 
+def number_after(pattern: str) -> str:
+    r"""Linear form of ``word.*?(number)``: the walk from a word to the next
+    digit of its line ends at the next such word, from which it would go on to
+    the same digit."""
+    word, number = pattern.split(".*?")
+    return java_regex(rf"{word}(?:(?!{word})[^\n0-9])*+{number}")
+
+
+def percent_regex(pattern: str) -> str:
+    """``PERCENT_PATTERN`` tied to the first digit of a run of digits."""
+    return java_regex(r"(?<![0-9])" + pattern.replace("+", "++"))
+
+
 def classify(text: Column) -> Column:
     """H1: the first intent whose pattern occurs in the lower-cased text."""
     low = F.lower(text)
@@ -128,11 +173,10 @@ def classify(text: Column) -> Column:
     return expr.otherwise(F.lit(K.DEFAULT_INTENT))
 
 
-def _first(text: Column, pattern: str, literal: str, group: int = 1) -> Column:
-    """Group of the first match, or null when there is none. ``literal`` is a
-    substring every match contains; testing it first spares the regex on
-    most rows."""
-    p = java_regex(pattern)
+def _first(text: Column, p: str, literal: str, group: int = 1) -> Column:
+    """Group of the first match of the Java regex ``p``, or null when there is
+    none. ``literal`` is a substring every match contains; testing it first
+    spares the regex on most rows."""
     return F.when(text.contains(literal) & text.rlike(p), F.regexp_extract(text, p, group))
 
 
@@ -156,41 +200,45 @@ def _group_pattern(group: str) -> str:
 def extract_params(question: Column) -> Column:
     """H2: the typed parameters of a question as one struct column."""
     low = F.lower(question)
-    pct = _first(question, K.PERCENT_PATTERN, "%").cast("double")
+    pct = _first(question, percent_regex(K.PERCENT_PATTERN), "%").cast("double")
     nums = F.when(question.rlike("[0-9]"), F.transform(
         F.regexp_extract_all(question, F.lit(java_regex(K.NUMBER_PATTERN)), 1),
         lambda s: s.cast("double")))
-    explicit_cap = _first(low, K.BASELINE_CAPACITY_PATTERN, "baseline").try_cast("int")
-    default_cap = F.when(low.contains("capacity") | low.contains("increase"),
-                         F.lit(K.BASELINE_CAPACITY_DEFAULT))
-    cap = F.coalesce(explicit_cap, default_cap)
+    # A number in the text is never replaced by the default; one beyond the
+    # range of a bigint gives null.
+    number = _first(low, number_after(K.BASELINE_CAPACITY_PATTERN), "baseline")
+    cap = F.when(number.isNotNull(), number.try_cast("bigint")).when(
+        low.contains("capacity") | low.contains("increase"),
+        F.lit(K.BASELINE_CAPACITY_DEFAULT).cast("bigint"))
     found = F.array_compact(F.array(*[
         F.when(_has_word(low, s), F.lit(_canonical(s))) for s in K.QUESTION_SPECIALTIES]))
-    # Later groups overwrite earlier ones: test them last to first.
+    # Later groups overwrite earlier ones: test them last to first, once each,
+    # and look up both ends of the range by the group's name.
     group = None
     for g in reversed(list(K.AGE_GROUPS)):
         cond = _has_word(low, g, _group_pattern(g))
         group = F.when(cond, F.lit(g)) if group is None else group.when(cond, F.lit(g))
-    lo = hi = None
-    for g, (a, b) in reversed(list(K.AGE_GROUPS.items())):
-        cond = _has_word(low, g, _group_pattern(g))
-        lo = F.when(cond, F.lit(a)) if lo is None else lo.when(cond, F.lit(a))
-        hi = F.when(cond, F.lit(b)) if hi is None else hi.when(cond, F.lit(b))
+    ends = F.create_map(*[x for g, (a, b) in K.AGE_GROUPS.items()
+                          for x in (F.lit(g), F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")))])
     has_range = low.contains("between") & low.rlike(java_regex(K.AGE_RANGE_PATTERN))
-    range_lo = F.when(has_range, F.regexp_extract(low, java_regex(K.AGE_RANGE_PATTERN), 1).cast("int"))
-    range_hi = F.when(has_range, F.regexp_extract(low, java_regex(K.AGE_RANGE_PATTERN), 2).cast("int"))
+    between = F.when(has_range, F.struct(
+        F.regexp_extract(low, java_regex(K.AGE_RANGE_PATTERN), 1).cast("int").alias("lo"),
+        F.regexp_extract(low, java_regex(K.AGE_RANGE_PATTERN), 2).cast("int").alias("hi")))
+    # One struct holds the group with its range, so the tests run once a row.
+    ages = F.transform(F.array(group), lambda g: F.struct(
+        g.alias("name"), F.coalesce(F.try_element_at(ends, g), between).alias("range")))[0]
     return F.struct(
         pct.alias("percentage"),
         F.when(F.size(nums) > 0, nums).alias("numbers"),
         cap.alias("baseline_capacity"),
         cap.alias("weekly_capacity"),
-        _first(low, K.RISK_WEIGHT_PATTERN, "risk").cast("double").alias("risk_weight"),
-        _first(low, K.THRESHOLD_PATTERN, "threshold").cast("double").alias("threshold"),
+        _first(low, number_after(K.RISK_WEIGHT_PATTERN), "risk").cast("double").alias("risk_weight"),
+        _first(low, number_after(K.THRESHOLD_PATTERN), "threshold").cast("double").alias("threshold"),
         F.when(F.size(found) > 0, found).alias("specialties"),
-        _first(low, K.AGE_PATTERN, "age").cast("int").alias("age"),
-        F.coalesce(lo, range_lo).alias("age_min"),
-        F.coalesce(hi, range_hi).alias("age_max"),
-        group.alias("age_group"),
+        _first(low, java_regex(K.AGE_PATTERN), "age").cast("int").alias("age"),
+        ages["range"]["lo"].alias("age_min"),
+        ages["range"]["hi"].alias("age_max"),
+        ages["name"].alias("age_group"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardflow import constants as K
@@ -41,23 +41,23 @@ def sample_rows(df: DataFrame, n: int = K.SAMPLE_ROWS, seed: int = K.SAMPLE_SEED
     the key is unique).
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    tagged = (df.withColumn("_wf_h", h)
-                .withColumn("_wf_b", F.conv(F.substring("_wf_h", 1, _SAMPLE_BUCKET_HEX), 16, 10)
-                            .cast("int")))
+    tagged = df.select(key, h.alias("_wf_h")).withColumn(
+        "_wf_b", F.conv(F.substring("_wf_h", 1, _SAMPLE_BUCKET_HEX), 16, 10).cast("int"))
     counts = tagged.groupBy("_wf_b").agg(F.count(F.lit(1)).alias("_wf_n"))
     upto = Window.orderBy("_wf_b").rowsBetween(Window.unboundedPreceding, 0)
     quota = (counts.withColumn("_wf_cum", F.sum("_wf_n").over(upto))
                    .withColumn("_wf_quota", F.least(F.col("_wf_n"), F.greatest(
                        F.lit(0), F.lit(n) - (F.col("_wf_cum") - F.col("_wf_n")))))
                    .filter(F.col("_wf_quota") > 0)
-                   .select("_wf_b", "_wf_n", "_wf_quota"))
-    # Only kept buckets pass the join: about n rows plus one cut bucket, so
-    # the rank below shuffles the sample, not the table.
+                   .select("_wf_b", "_wf_quota"))
+    # Only kept buckets pass the join (at most _SAMPLE_BUCKETS rows are sent),
+    # so the rank below shuffles keys of the sample, and the other columns are
+    # derived for the sample alone.
     kept = tagged.join(F.broadcast(quota), "_wf_b")
     rank = Window.partitionBy("_wf_b").orderBy("_wf_h", key)
-    return (kept.withColumn("_wf_r", F.row_number().over(rank))
-                .filter(F.col("_wf_r") <= F.col("_wf_quota"))
-                .drop("_wf_b", "_wf_h", "_wf_n", "_wf_quota", "_wf_r"))
+    keys = (kept.withColumn("_wf_r", F.row_number().over(rank))
+                .filter(F.col("_wf_r") <= F.col("_wf_quota")).select(key))
+    return df.join(keys, key, "left_semi")
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -78,20 +78,22 @@ def table_profile(df: DataFrame) -> DataFrame:
                .select("p.*", "row_count"))
 
 
+def _verdict(df: DataFrame, required: Sequence[str]) -> Column:
+    """``is_valid``, ``status`` (``ok``, ``empty`` or ``missing``) and
+    ``missing_columns`` of a column list, given the row count ``_wf_n``."""
+    missing = [c for c in required if c not in df.columns]
+    status = (F.when(F.col("_wf_n") == 0, F.lit("empty"))
+               .when(F.lit(bool(missing)), F.lit("missing")).otherwise(F.lit("ok")))
+    return F.struct((status == "ok").alias("is_valid"), status.alias("status"),
+                    F.array(*[F.lit(c) for c in missing]).cast("array<string>").alias("missing_columns"))
+
+
 def validate_columns(df: DataFrame, required: Sequence[str] | None = None) -> DataFrame:
-    """(is_valid, message, missing_columns) as one row: the table must
+    """(is_valid, status, missing_columns) as one row: the table must
     have rows and every required column (default: the core eight)."""
     required = list(K.REQUIRED_COLUMNS if required is None else required)
-    missing = [c for c in required if c not in df.columns]
     has_rows = df.limit(1).agg(F.count(F.lit(1)).alias("_wf_n"))
-    missing_text = "[" + ", ".join(repr(c) for c in missing) + "]"
-    valid = (F.col("_wf_n") > 0) & F.lit(not missing)
-    message = (F.when(F.col("_wf_n") == 0, F.lit("DataFrame is empty or None"))
-                .when(F.lit(bool(missing)), F.lit(f"Missing columns: {missing_text}"))
-                .otherwise(F.lit("All required columns present")))
-    return has_rows.select(valid.alias("is_valid"), message.alias("message"),
-                           F.array(*[F.lit(c) for c in missing]).cast("array<string>")
-                           .alias("missing_columns"))
+    return has_rows.select(_verdict(df, required).alias("v")).select("v.*")
 
 
 PAGE_COLUMNS = {
@@ -105,17 +107,8 @@ PAGE_COLUMNS = {
 
 def validate_pages(df: DataFrame) -> DataFrame:
     """A9 for every page list: one row per page with ``is_valid``,
-    ``message`` and ``missing_columns``; one bounded emptiness check."""
+    ``status`` and ``missing_columns``; one bounded emptiness check."""
     has_rows = df.limit(1).agg(F.count(F.lit(1)).alias("_wf_n"))
-    pages = []
-    for page, cols in PAGE_COLUMNS.items():
-        missing = [c for c in cols if c not in df.columns]
-        text = "[" + ", ".join(repr(c) for c in missing) + "]"
-        pages.append(F.struct(
-            F.lit(page).alias("page"),
-            ((F.col("_wf_n") > 0) & F.lit(not missing)).alias("is_valid"),
-            F.when(F.col("_wf_n") == 0, F.lit("DataFrame is empty or None"))
-             .when(F.lit(bool(missing)), F.lit(f"Missing columns: {text}"))
-             .otherwise(F.lit("All required columns present")).alias("message"),
-            F.array(*[F.lit(c) for c in missing]).cast("array<string>").alias("missing_columns")))
-    return has_rows.select(F.explode(F.array(*pages)).alias("p")).select("p.*")
+    pages = [F.struct(F.lit(page).alias("page"), _verdict(df, cols).alias("v"))
+             for page, cols in PAGE_COLUMNS.items()]
+    return has_rows.select(F.explode(F.array(*pages)).alias("p")).select("p.page", "p.v.*")

@@ -2,68 +2,69 @@
 
 Boosted trees of depth 3, step 0.1, 50 rounds, row subsample 0.8, seed 42
 over the 15 features of the application (5 numeric + gender, specialty and
-season indicators with the alphabetically first value dropped). Training
-is distributed: each round aggregates split statistics across tasks; the
-driver only holds the trees. Exact tree equality with another boosting
-library is not a goal.
+season indicators over the fixed value lists, the alphabetically first value
+dropped). An unknown value has no indicator and is scored with weight 0.
+Training is distributed: each round aggregates split statistics across
+tasks; the driver only holds the trees. Exact tree equality with another
+boosting library is not a goal.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow import constants as K
 from wardflow.functions import encoding, scores
+from wardflow.operators.inspect import sample_rows
 from wardflow.session import reliable_checkpoint
 
-CATEGORICALS = ["gender", "specialty", "season"]
 
-
-def feature_stages() -> list:
-    """C11 stages: index categoricals (descending alphabetical order, so
-    that ``dropLast`` drops the alphabetically first value), one-hot encode,
-    and assemble the 15-wide feature vector."""
-    idx = StringIndexer(inputCols=CATEGORICALS, outputCols=[f"{c}_idx" for c in CATEGORICALS],
-                        stringOrderType="alphabetDesc")
-    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICALS],
-                        outputCols=[f"{c}_vec" for c in CATEGORICALS], dropLast=True)
-    asm = VectorAssembler(inputCols=K.NUMERIC_FEATURES + [f"{c}_vec" for c in CATEGORICALS],
-                          outputCol="features")
-    return [idx, ohe, asm]
+def with_features(df: DataFrame) -> DataFrame:
+    """C11: adds ``features``, the 15-wide vector of C8 indicators and numeric
+    columns with C10 fills. No pass over the data."""
+    names = {f: f"_f{i}" for i, f in enumerate(encoding.feature_columns())}
+    numeric = {names[c]: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in K.NUMERIC_FEATURES}
+    indicators = {names[f"{cat}_{v}"]: F.coalesce((F.col(cat) == v).cast("double"), F.lit(0.0))
+                  for cat, values in encoding.CATEGORICALS.items() for v in values[1:]}
+    wide = df.withColumns(numeric | indicators)
+    return VectorAssembler(inputCols=list(names.values()), outputCol="features").transform(wide).drop(
+        *names.values())
 
 
 def training_frame(df: DataFrame) -> DataFrame:
-    """The training rows: C3 label and C10 filled features."""
-    out = df if "label" in df.columns else df.withColumn("label", scores.risk_label())
-    return encoding.feature_fill(out)
+    """The training rows: C3 label and the feature vector, nothing else."""
+    label = F.col("label") if "label" in df.columns else scores.risk_label()
+    return with_features(df.withColumn("label", label.cast("double"))).select("label", "features")
 
 
-def train_risk_model(df: DataFrame, max_iter: int = K.MODEL_ROUNDS) -> PipelineModel:
-    """G1: fit features + boosted trees on the labelled patient table."""
+def train_risk_model(df: DataFrame, max_iter: int = K.MODEL_ROUNDS,
+                     max_training_rows: int | None = None) -> GBTClassificationModel:
+    """G1: boosted trees on the labelled patient table. ``max_training_rows``
+    (off by default) fits on that many rows, chosen by a seeded hash."""
     gbt = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=K.MODEL_MAX_DEPTH,
                         stepSize=K.MODEL_STEP_SIZE, maxIter=max_iter,
                         subsamplingRate=K.MODEL_SUBSAMPLE, seed=K.MODEL_SEED)
-    train = training_frame(df).withColumn("label", F.col("label").cast("double"))
-    train = train.persist()
+    if max_training_rows is not None:
+        df = sample_rows(df, max_training_rows)
+    train = training_frame(df).persist()
     try:
-        return Pipeline(stages=feature_stages() + [gbt]).fit(train)
+        return gbt.fit(train)
     finally:
         train.unpersist()
 
 
-def score_patients(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score_patients(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
     """Every row with ``prediction``, ``score`` = P(label 1) and its
     percentage rounded to 2 places (C12)."""
-    scored = model.transform(training_frame(df))
-    keep = [c for c in df.columns] + (["label"] if "label" not in df.columns else [])
+    labelled = df if "label" in df.columns else df.withColumn("label", scores.risk_label())
+    scored = model.transform(with_features(labelled))
     return scored.select(
-        *keep,
+        *labelled.columns,
         F.col("prediction").cast("int").alias("prediction"),
         vector_to_array("probability")[1].alias("score"),
     ).withColumn("percentage", encoding.score_percentage("score"))
@@ -89,16 +90,9 @@ def model_metrics(scored: DataFrame) -> DataFrame:
 
 def feature_vectors(df: DataFrame) -> DataFrame:
     """C11 as data: ``patient_id`` and the assembled features as an array."""
-    fitted = Pipeline(stages=feature_stages()).fit(df)
-    return fitted.transform(encoding.feature_fill(df)).select(
-        "patient_id", vector_to_array("features").alias("features"))
+    return with_features(df).select("patient_id", vector_to_array("features").alias("features"))
 
 
-def feature_importances(model: PipelineModel) -> list[tuple[str, float]]:
+def feature_importances(model: GBTClassificationModel) -> list[tuple[str, float]]:
     """(feature name, importance) of a fitted model, in vector order."""
-    indexer = model.stages[0]
-    names = list(K.NUMERIC_FEATURES)
-    for cat, labels in zip(CATEGORICALS, indexer.labelsArray):
-        names += [f"{cat}_{v}" for v in labels[:-1]]
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    return list(zip(names, imp))
+    return list(zip(encoding.feature_columns(), model.featureImportances.toArray().tolist(), strict=True))

@@ -75,10 +75,10 @@ def high_risk_patients(df: DataFrame, threshold: float = K.HIGH_RISK_THRESHOLD)
         F.desc("readmit_risk"), F.asc("patient_id"))
 
 
-def queue_position(df: DataFrame) -> DataFrame:
+def queue_position(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """position by priority desc, wait desc; ties keep id order."""
     return global_positions(df, [F.desc("priority_score"), F.desc("wait_days"),
-                                 F.asc("patient_id")])
+                                 F.asc("patient_id")], num_partitions=num_partitions)
 
 
 def assign_week(position: str | Column, capacity: int) -> Column:
@@ -87,20 +87,22 @@ def assign_week(position: str | Column, capacity: int) -> Column:
 
 
 def capacity_scheduled(df: DataFrame, baseline_capacity: int = K.BASELINE_CAPACITY_DEFAULT,
-                       uplift_percentage: float = K.UPLIFT_PERCENT_DEFAULT) -> DataFrame:
+                       uplift_percentage: float = K.UPLIFT_PERCENT_DEFAULT,
+                       num_partitions: int | None = None) -> DataFrame:
     """patient rows with queue position and week under both capacities."""
     cap = new_capacity(baseline_capacity, uplift_percentage)
-    q = queue_position(df)
+    q = queue_position(df, num_partitions)
     return (q.withColumn("baseline_week", assign_week("queue_position", baseline_capacity))
              .withColumn("new_week", assign_week("queue_position", cap)))
 
 
 def optimized_schedule(df: DataFrame, weekly_capacity: int = K.WEEKLY_CAPACITY_DEFAULT,
-                       risk_weight: float = K.RISK_WEIGHT_DEFAULT) -> DataFrame:
+                       risk_weight: float = K.RISK_WEIGHT_DEFAULT,
+                       num_partitions: int | None = None) -> DataFrame:
     """combined score, position by (combined desc, wait desc), week."""
     scored = df.withColumn("combined_score", scores.combined_score(risk_weight))
     q = global_positions(scored, [F.desc("combined_score"), F.desc("wait_days"),
-                                  F.asc("patient_id")])
+                                  F.asc("patient_id")], num_partitions=num_partitions)
     return q.withColumn("scheduled_week", assign_week("queue_position", weekly_capacity))
 
 
@@ -129,17 +131,20 @@ def _week_sum(n: Column, capacity: int) -> Column:
 
 def _moved_earlier(n: Column, base: int, new: int) -> Column:
     """Patients whose week under the new capacity is earlier: N minus those
-    whose week is the same. Same-week positions exist only in the first
-    ceil(new / (new - base)) weeks, a bound set by the parameters."""
+    whose week k is the same, positions (k-1)*new+1 .. min(k*base, N). Such a
+    week has positions while k*(new-base) < new; the first ``m`` of them are
+    full (k*base <= N) and form a sum, and one more may be cut by N."""
     if new <= base:
         return F.lit(0).cast("long")
-    kmax = -(-new // (new - base))
-    same = F.aggregate(
-        F.sequence(F.lit(1), F.lit(kmax)), F.lit(0).cast("long"),
-        lambda acc, k: acc + F.greatest(
-            F.lit(0).cast("long"),
-            F.least(k.cast("long") * base, n) - (k.cast("long") - 1) * new))
-    return (n - same).cast("long")
+    dec = "decimal(38,0)"
+    weeks = F.lit(-(-new // (new - base)) - 1).cast("long")
+    m = F.least(weeks, F.floor(n / F.lit(float(base))).cast("long"))
+    md, nn = m.cast(dec), n.cast(dec)
+    full = md * F.lit(new).cast(dec) - F.lit(new - base).cast(dec) * (
+        (md * (md + 1)).cast(dec) / F.lit(2).cast(dec)).cast(dec)
+    cut = F.when(m < weeks, F.greatest(F.lit(0).cast(dec), (nn - md * F.lit(new).cast(dec)).cast(dec))).otherwise(
+        F.lit(0).cast(dec))
+    return (nn - full.cast(dec) - cut).cast("long")
 
 
 def _treated_earlier(n: Column, base: int, new: int) -> Column:
@@ -170,18 +175,31 @@ def capacity_summary(df: DataFrame, baseline_capacity: int = K.BASELINE_CAPACITY
         F.round(F.try_divide(saved, n.cast("double")), 6).alias("avg_weeks_saved"))
 
 
+_WEEK_BLOCK = 10_000
+
+
+def _weeks_to(df: DataFrame, last: Column) -> DataFrame:
+    """One row per week 1..``last``. Blocks of weeks are exploded before the
+    weeks in them, so that no array is longer than a block."""
+    start = F.sequence(F.lit(1).cast("long"), F.greatest(F.col("_last"), F.lit(1)), F.lit(_WEEK_BLOCK).cast("long"))
+    week = F.sequence(F.col("_start"), F.least(F.col("_last"), F.col("_start") + _WEEK_BLOCK - 1))
+    return (df.withColumn("_last", last.cast("long")).filter(F.col("_last") > 0)
+            .withColumn("_start", F.explode(start)).withColumn("week", F.explode(week)).withColumn("week", F.col("week").cast("int")))
+
+
 def weekly_backlog(df: DataFrame, baseline_capacity: int = K.BASELINE_CAPACITY_DEFAULT,
-                   uplift_percentage: float = K.UPLIFT_PERCENT_DEFAULT) -> DataFrame:
-    """for weeks 1..min(baseline weeks, 51), patients still waiting after
+                   uplift_percentage: float = K.UPLIFT_PERCENT_DEFAULT,
+                   weeks: int | None = None) -> DataFrame:
+    """for each week until the baseline queue is empty (at most ``weeks``
+    of them, the application's chart shows 51), patients still waiting after
     that week under each capacity."""
     b, c = baseline_capacity, new_capacity(baseline_capacity, uplift_percentage)
     n = F.col("total_patients")
-    weeks = _n(df).select(n, _weeks(n, b).alias("_wb"),
-                          F.explode(F.sequence(F.lit(1), F.lit(K.WEEKLY_BACKLOG_WEEKS))).alias("week"))
-    return weeks.filter(F.col("week") <= F.col("_wb")).select(
+    last = _weeks(n, b) if weeks is None else F.least(_weeks(n, b), F.lit(weeks))
+    return _weeks_to(_n(df).select(n), last).select(
         "week",
-        F.greatest(F.lit(0).cast("long"), n - F.col("week") * b).alias("baseline_backlog"),
-        F.greatest(F.lit(0).cast("long"), n - F.col("week") * c).alias("new_backlog"))
+        F.greatest(F.lit(0).cast("long"), n - F.col("week") * F.lit(b).cast("long")).alias("baseline_backlog"),
+        F.greatest(F.lit(0).cast("long"), n - F.col("week") * F.lit(c).cast("long")).alias("new_backlog"))
 
 
 def patients_treated_earlier(df: DataFrame, baseline_capacity: int = K.BASELINE_CAPACITY_DEFAULT,
@@ -195,7 +213,7 @@ def patients_treated_earlier(df: DataFrame, baseline_capacity: int = K.BASELINE_
 def capacity_kpis(df: DataFrame, baseline_capacity: int = K.BASELINE_CAPACITY_DEFAULT,
                   uplift_percentage: float = K.UPLIFT_PERCENT_DEFAULT) -> DataFrame:
     """week counts both ways, weeks saved, extra weekly and monthly
-    capacity, efficiency gain (null for an empty table), patients treated
+    capacity, efficiency gain (0 for an empty table), patients treated
     earlier, and the monthly revenue of the extra capacity."""
     b, c = baseline_capacity, new_capacity(baseline_capacity, uplift_percentage)
     n = F.col("total_patients")
@@ -210,25 +228,27 @@ def capacity_kpis(df: DataFrame, baseline_capacity: int = K.BASELINE_CAPACITY_DE
         F.lit(c).alias("new_capacity"),
         F.lit(c - b).alias("additional_weekly_capacity"),
         F.lit(monthly).alias("monthly_additional_capacity"),
-        F.bround(F.try_divide((wb - wc).cast("double"), wb.cast("double")) * F.lit(100.0), 1)
-        .alias("efficiency_gain"),
+        F.coalesce(F.bround(F.try_divide((wb - wc).cast("double"), wb.cast("double")) * F.lit(100.0), 1),
+                   F.lit(0.0)).alias("efficiency_gain"),
         F.lit(f"{uplift_percentage}%").alias("capacity_increase"),
         n,
         (F.lit(float(monthly)) * F.col("_avg_cost")).alias("monthly_revenue_increase"))
 
 
 def backlog_timeline(df: DataFrame, baseline_capacity: int = K.BASELINE_CAPACITY_DEFAULT,
-                     uplift_percentage: float = K.UPLIFT_PERCENT_DEFAULT) -> DataFrame:
-    """for weeks 1..min(baseline weeks + 5, 52), patients remaining
-    under each capacity."""
+                     uplift_percentage: float = K.UPLIFT_PERCENT_DEFAULT,
+                     weeks: int | None = None) -> DataFrame:
+    """for each week until five after the baseline queue is empty (at
+    most ``weeks`` of them, the application's chart shows 52), patients
+    remaining under each capacity."""
     b, c = baseline_capacity, new_capacity(baseline_capacity, uplift_percentage)
     n = F.col("total_patients")
-    weeks = _n(df).select(n, _weeks(n, b).alias("_wb"),
-                          F.explode(F.sequence(F.lit(1), F.lit(K.TIMELINE_WEEKS))).alias("week"))
-    return weeks.filter(F.col("week") <= F.col("_wb") + K.TIMELINE_EXTRA_WEEKS).select(
+    last = _weeks(n, b) + K.TIMELINE_EXTRA_WEEKS
+    last = last if weeks is None else F.least(last, F.lit(weeks))
+    return _weeks_to(_n(df).select(n), last).select(
         "week",
-        F.greatest(F.lit(0).cast("long"), n - F.col("week") * b).alias("current_backlog"),
-        F.greatest(F.lit(0).cast("long"), n - F.col("week") * c).alias("new_backlog"))
+        F.greatest(F.lit(0).cast("long"), n - F.col("week") * F.lit(b).cast("long")).alias("current_backlog"),
+        F.greatest(F.lit(0).cast("long"), n - F.col("week") * F.lit(c).cast("long")).alias("new_backlog"))
 
 
 # the application's second names for the same analyses.

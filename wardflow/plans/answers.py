@@ -3,50 +3,49 @@
 The application answers one question at a time with one pass over the
 patients each. Here the patients are aggregated **once** (one scan, two
 grouping sets: specialty x age x season, and specialty x readmit risk) into a
-small base table, written to the checkpoint folder. Cell tables of each
-answer grain are derived from it:
-
-* ``spec``   specialty                -> wait, specialty and cost answers;
-* ``season`` specialty x season       -> the seasonal answer;
-* ``age``    specialty x age          -> the three age-band answers;
-* ``risk``   specialty x readmit risk -> the high-risk answer, any threshold;
-* ``global`` one row                  -> the cancellation and capacity figures.
-
-Each cell is keyed twice, by its specialty and by ``ALL``. Questions are
-classified and parsed once (written to the checkpoint folder); questions
-with the same route and parameters share one answer, so each distinct
-(route, params) set is keyed by the specialties it names (or ``ALL``) and
-by its grain, and meets only the cells its answer needs in an equi-join.
-The cells are broadcast only after their row count is checked (their size
-follows the value domains, not the number of patients; beyond the bound
-both sides are salted). The set's filters (age, threshold) apply to the
-joined cells, one ``groupBy`` over (set, group) yields every grouped answer,
-and the answers are attached to the questions by the set key. Questions
-without a grouped answer get the ten preview rows, attached as one scalar
-subquery (a bounded array), not through a join.
+small base table, written to the checkpoint folder.
+
+Questions are classified and parsed once. Two questions have the same answer
+if they have the same route and agree in the parameters that this route reads
+(``answer_key``); each such key is answered once, and the answers are joined
+to the questions by it. A key meets no more rows than it has groups:
+
+* wait, specialty, cost and season answers join the cells of the specialties
+  they name, or the ones of all specialties;
+* an age answer needs, per band, two look-ups in running sums over ages
+  (one pair for each specialty named, or one in the sums of all);
+* a high-risk answer needs, per specialty, one look-up of the sum over the
+  cells above its threshold, taken from running sums in falling risk order;
+* the cancellation and capacity answers read one row of totals.
+
+Questions without a grouped answer get the ten preview rows, attached as one
+scalar subquery (a bounded array), not through a join.
 
 Output is long: one row per (question, group, metric) with ``value``
-(numbers) or ``text_value`` (text).
+(numbers) or ``text_value`` (text). The written tables behind it are named
+``questions`` and ``answers``; ``session.release`` deletes them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow import constants as K
 from wardflow.functions import scores
 from wardflow.operators import inspect, questions
-from wardflow.session import BROADCAST_ROW_LIMIT, bounded_rows, reliable_checkpoint
+from wardflow.session import reliable_checkpoint, release
 
 ALL = "ALL"
-SPECIALTY_ROUTES = ["average_wait_time", "specialty_analysis", "high_risk_by_specialty",
-                    "cost_impact"]
+CELL_ROUTES = ["average_wait_time", "specialty_analysis", "cost_impact", "seasonal_analysis"]
+RISK_ROUTE = "high_risk_by_specialty"
 BAND_ROUTES = ["age_based_risk", "age_based_cancellation", "age_based_cost"]
 FUNCTION_ROUTES = ["cancellation_reduction", "capacity_kpis"]
 METRIC = "struct<metric:string,value:double,text_value:string>"
+MAX_AGE = K.AGE_BANDS[-1][1]
+RISK_BUCKETS = 1000
 
 
 _SUMS = ["n", "s_wait", "s_cost", "s_cancel", "s_readmit", "s_los", "s_loss"]
@@ -73,46 +72,132 @@ def base_cells(patients: DataFrame) -> DataFrame:
             .drop("_gid")
 
 
-def cell_tables(base: DataFrame) -> DataFrame:
-    """Cells of every answer grain, derived from the (small) base cells and
-    keyed by their specialty and by ``ALL`` (global cells by ``ALL`` only)."""
+def prepared_cells(patients: DataFrame) -> DataFrame:
+    """The base cells, written once to the checkpoint folder (a table whose
+    size follows the value domains, not the number of patients)."""
+    return reliable_checkpoint(base_cells(patients), "cells")
+
+
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in _SUMS]
+
+
+def _both(cells: DataFrame) -> DataFrame:
+    """Cells under their specialty and, added up, under ``ALL``."""
+    rest = [c for c in cells.columns if c not in [*_SUMS, "specialty"]]
+    return cells.withColumnRenamed("specialty", "key").unionByName(
+        cells.groupBy(*rest).agg(*_sums()).withColumn("key", F.lit(ALL)))
+
+
+def answer_key(route: Column, p: Column) -> Column:
+    """The parameters that the route reads, and no others, as JSON text."""
+    grouped = route.isin(*CELL_ROUTES, RISK_ROUTE, *BAND_ROUTES)
+    band, function = route.isin(*BAND_ROUTES), route.isin(*FUNCTION_ROUTES)
+    ranged = p["age_min"].isNotNull() & p["age_max"].isNotNull()
+    lo = F.coalesce(p["age"], F.when(ranged, p["age_min"]))
+    hi = F.coalesce(p["age"], F.when(ranged, p["age_max"]))
+    return F.to_json(F.struct(
+        route.alias("route"),
+        F.when(grouped, p["specialties"]).alias("specialties"),
+        F.when(route == RISK_ROUTE, F.coalesce(p["percentage"], F.lit(float(K.HIGH_RISK_PERCENT_DEFAULT)))
+               / F.lit(100.0)).alias("threshold"),
+        F.when(band, F.coalesce(lo, F.lit(0))).alias("lo"),
+        F.when(band, F.coalesce(hi, F.lit(MAX_AGE))).alias("hi"),
+        F.when(function, p["percentage"]).alias("percentage"),
+        F.when(route == "capacity_kpis", F.coalesce(
+            p["baseline_capacity"], F.lit(K.BASELINE_CAPACITY_DEFAULT).cast("bigint"))).alias("capacity")))
+
+
+_KEY = ("route string, specialties array<string>, threshold double, lo int, hi int, "
+        "percentage double, capacity bigint")
+
+
+def _cell_answers(keys: DataFrame, sa: DataFrame) -> DataFrame:
+    """Per specialty, or per season; ``ALL`` stands for every specialty."""
+    spec = sa.groupBy("specialty").agg(*_sums()).withColumn("group_key", F.col("specialty"))
+    season = sa.groupBy("specialty", "season").agg(*_sums()).withColumnRenamed("season", "group_key")
+    tagged = spec.withColumn("by", F.lit("specialty")).unionByName(season.withColumn("by", F.lit("season")))
+    cells = (tagged.withColumn("key", F.explode(F.array("specialty", F.lit(ALL))))
+             .groupBy("by", "key", "group_key").agg(*_sums()))
+    by = F.when(F.col("route") == "seasonal_analysis", F.lit("season")).otherwise(F.lit("specialty"))
+    wanted = (keys.filter(F.col("route").isin(*CELL_ROUTES))
+              .withColumn("key", F.explode(F.coalesce("specialties", F.array(F.lit(ALL))))).withColumn("by", by))
+    return wanted.join(cells, ["by", "key"]).groupBy("_pk", "group_key").agg(*_sums())
+
+
+def _band_answers(keys: DataFrame, sa: DataFrame) -> DataFrame:
+    """Per age band: running sums at the ends of the ages asked for."""
+    ages = _both(sa.filter(F.col("age").between(1, MAX_AGE)).groupBy("specialty", "age").agg(*_sums()))
+    upto = Window.partitionBy("key").orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
+    dense = ages.select("key").distinct().withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(MAX_AGE))))
+    dense = dense.join(ages, ["key", "age"], "left").select(
+        "key", "age", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in _SUMS])
+    bands = F.array(*[F.struct(F.lit(a + 1).alias("first"), F.lit(b).alias("last"), F.lit(name).alias("band"))
+                      for a, b, name in K.AGE_BANDS])
+    asked = (keys.filter(F.col("route").isin(*BAND_ROUTES))
+             .withColumn("key", F.explode(F.coalesce("specialties", F.array(F.lit(ALL)))))
+             .withColumn("b", F.explode(bands))
+             .select("_pk", "key", F.col("b.band").alias("group_key"),
+                     F.greatest("lo", "b.first").alias("a"), F.least("hi", "b.last").alias("z"))
+             .filter(F.col("a") <= F.col("z")))
+    ends = asked.withColumn("e", F.explode(F.array(
+        F.struct(F.col("z").alias("age"), F.lit(1).alias("sign")),
+        F.struct((F.col("a") - 1).alias("age"), F.lit(-1).alias("sign")))))
+    found = ends.select("_pk", "key", "group_key", "e.*").join(dense, ["key", "age"])
+    return (found.groupBy("_pk", "group_key")
+            .agg(*[F.sum(F.col(c) * F.col("sign")).alias(c) for c in _SUMS]))
+
+
+def _risk_answers(keys: DataFrame, base: DataFrame) -> DataFrame:
+    """Per specialty: sums over the cells above the threshold. Cells and
+    thresholds are put in one falling order, cut into buckets of risk, so that
+    running sums go over a bucket and over the bucket totals."""
+    cells = base.filter(F.col("kind") == "risk").withColumnRenamed("readmit_risk", "risk")
+    named = cells.select("specialty").distinct()
+    wanted = keys.filter(F.col("route") == RISK_ROUTE)
+    some = (wanted.filter(F.col("specialties").isNotNull())
+            .withColumn("specialty", F.explode("specialties")).select("_pk", "threshold", "specialty"))
+    # A key that names no specialty has one answer row for each of them.
+    every = (wanted.filter(F.col("specialties").isNull()).select("_pk", "threshold", F.lit(1).alias("_one"))
+             .join(named.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+    asked = some.unionByName(every)
+    bucket = F.floor(F.least(F.greatest(F.col("risk"), F.lit(-1.0)), F.lit(2.0)) * F.lit(float(RISK_BUCKETS)))
+    line = (cells.select("specialty", "risk", F.lit(1).alias("cell"), *_SUMS)
+            .unionByName(asked.select("specialty", F.col("threshold").alias("risk"), F.lit(0).alias("cell")).distinct(),
+                         allowMissingColumns=True).withColumn("bucket", bucket))
+    # At equal risk a threshold comes before the cells: they are not above it.
+    above = (Window.partitionBy("specialty", "bucket").orderBy(F.desc("risk"), F.asc("cell"))
+             .rowsBetween(Window.unboundedPreceding, -1))
+    higher = (Window.partitionBy("specialty").orderBy(F.desc("bucket"))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    totals = line.groupBy("specialty", "bucket").agg(*_sums()).select(
+        "specialty", "bucket", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}_up") for c in _SUMS])
+    inside = line.select("specialty", "bucket", "risk", "cell", *[
+        F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in _SUMS]).filter("cell = 0")
+    found = inside.join(totals, ["specialty", "bucket"]).select(
+        "specialty", F.col("risk").alias("threshold"), *[(F.col(c) + F.col(f"{c}_up")).alias(c) for c in _SUMS])
+    return asked.join(found, ["specialty", "threshold"]).select(
+        "_pk", F.col("specialty").alias("group_key"), *_SUMS)
+
+
+def _function_answers(keys: DataFrame, sa: DataFrame) -> DataFrame:
+    """The totals for every cancellation and capacity key."""
+    total = sa.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS]).withColumn("_one", F.lit(1))
+    wanted = keys.filter(F.col("route").isin(*FUNCTION_ROUTES)).select(
+        "_pk", F.lit(1).alias("_one"), F.lit(None).cast("string").alias("group_key"))
+    # ``total`` is one row.
+    return wanted.join(F.broadcast(total), "_one").drop("_one")
+
+
+def _answer_keys(keys: DataFrame, base: DataFrame) -> DataFrame:
+    """Answers of each distinct key: (_pk, group_key, m)."""
     sa = base.filter(F.col("kind") == "sa")
-    sums = [F.sum(c).alias(c) for c in _SUMS]
-    dims = ["specialty", "age", "season", "readmit_risk"]
-
-    def grain(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(*[F.col(d) if d in df.columns else F.lit(None).cast(t).alias(d)
-                           for d, t in zip(dims, ["string", "int", "string", "double"])],
-                         *_SUMS, F.lit(kind).alias("kind"))
-
-    parts = [
-        grain(sa.groupBy("specialty").agg(*sums), "spec"),
-        grain(sa.groupBy("specialty", "season").agg(*sums), "season"),
-        grain(sa.groupBy("specialty", "age").agg(*sums), "age"),
-        grain(base.filter(F.col("kind") == "risk").drop("age", "season", "kind"), "risk"),
-        grain(sa.agg(*sums), "global"),
-    ]
-    cells = parts[0]
-    for part in parts[1:]:
-        cells = cells.unionByName(part)
-    keys = F.when(F.col("kind") == "global", F.array(F.lit(ALL))).otherwise(
-        F.array(F.col("specialty"), F.lit(ALL)))
-    return cells.withColumn("_key", F.explode(keys))
-
-
-def _age_filter(p: Column) -> Column:
-    """Exact age, else a range, else a named group; no age: all rows."""
-    a = F.col("age")
-    by_group = None
-    for g, (lo, hi) in K.AGE_GROUPS.items():
-        cond = a > 60 if g in ("elderly", "senior") else a.between(lo, hi)
-        by_group = (F.when(p["age_group"] == g, cond) if by_group is None
-                    else by_group.when(p["age_group"] == g, cond))
-    return (F.when(p["age"].isNotNull(), a == p["age"])
-             .when(p["age_min"].isNotNull() & p["age_max"].isNotNull(),
-                   a.between(p["age_min"], p["age_max"]))
-             .when(p["age_group"].isNotNull(), F.coalesce(by_group, F.lit(True)))
-             .otherwise(F.lit(True)))
+    parts = [f(keys, b).select("_pk", "group_key", *_SUMS) for f, b in (
+        (_cell_answers, sa), (_band_answers, sa), (_risk_answers, base))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.col("n") > 0)
+    rows = rows.unionByName(_function_answers(keys, sa).select("_pk", "group_key", *_SUMS))
+    k = F.from_json("_pk", _KEY)
+    return rows.withColumn("k", k).select("_pk", "group_key", F.explode(_metrics(F.col("k.route"), F.col("k"))).alias("m"))
 
 
 def _m(name: str, value: Column) -> Column:
@@ -140,14 +225,19 @@ def _metrics(route: Column, p: Column) -> Column:
     prevented = F.col("s_cancel") * (pct / F.lit(100.0))
     bed_days = prevented * avg("s_los")
     # capacity figures
-    base = F.coalesce(p["baseline_capacity"], F.lit(K.BASELINE_CAPACITY_DEFAULT)).cast("long")
-    new = F.floor(base.cast("double") * (F.lit(1.0) + pct / F.lit(100.0))).cast("long")
+    # Capacities come from texts and may be huge: decimals, null beyond them.
+    dec = "decimal(38,0)"
+    base = F.coalesce(p["capacity"], F.lit(K.BASELINE_CAPACITY_DEFAULT)).cast(dec)
+    raised = base.cast("double") * (F.lit(1.0) + pct / F.lit(100.0))
+    # A double beyond 2^53 is whole already.
+    new = F.when(raised < F.lit(2.0 ** 53), F.floor(raised).cast(dec)).otherwise(raised.try_cast(dec))
     wb = F.ceil(F.try_divide(n.cast("double"), base.cast("double"))).cast("long")
     wc = F.ceil(F.try_divide(n.cast("double"), new.cast("double"))).cast("long")
     full = F.floor(F.try_divide(n.cast("double"), new.cast("double"))).cast("long")
+    zero = F.lit(0).cast(dec)
     first_partial = F.when(
         full + 1 <= F.floor(F.try_divide(n.cast("double"), base.cast("double"))),
-        F.greatest(F.lit(0).cast("long"), n - full * new - base)).otherwise(F.lit(0).cast("long"))
+        F.greatest(zero, (n.cast(dec) - (full.cast(dec) * new).cast(dec) - base).cast(dec))).otherwise(zero)
     pct_text = F.when(p["percentage"].isNull(), F.lit(f"{K.UPLIFT_PERCENT_DEFAULT}%")).otherwise(
         F.concat(p["percentage"].cast("string"), F.lit("%")))
     table = {
@@ -175,13 +265,13 @@ def _metrics(route: Column, p: Column) -> Column:
             _m("reduction_percentage", pct)],
         "capacity_kpis": [
             _m("weeks_saved", wb - wc),
-            _m("patients_moved_earlier", full * (new - base) + first_partial),
+            _m("patients_moved_earlier", (full.cast(dec) * (new - base)).cast(dec) + first_partial),
             _m("baseline_weeks", wb), _m("new_weeks", wc),
             _m("baseline_capacity", base), _m("new_capacity", new),
             _m("additional_weekly_capacity", new - base),
             _m("monthly_additional_capacity", (new - base) * K.WEEKS_PER_MONTH),
-            _m("efficiency_gain", F.bround(
-                F.try_divide((wb - wc).cast("double"), wb.cast("double")) * F.lit(100.0), 1)),
+            _m("efficiency_gain", F.coalesce(F.bround(
+                F.try_divide((wb - wc).cast("double"), wb.cast("double")) * F.lit(100.0), 1), F.lit(0.0))),
             _t("capacity_increase", pct_text),
             _m("total_patients", n)],
     }
@@ -205,53 +295,6 @@ def _preview_answers(prep: DataFrame, rows: DataFrame, ids: list[str]) -> DataFr
              .select(*ids, "intent", "route", "r.group_key", F.explode("r.metrics").alias("m")))
 
 
-def prepared_cells(patients: DataFrame) -> DataFrame:
-    """The cell tables; their one pass over the patients is written once to
-    the checkpoint folder (a table whose size follows the value domains)."""
-    return cell_tables(reliable_checkpoint(base_cells(patients), "cells"))
-
-
-def _join_cells(qk: DataFrame, cells: DataFrame, salt_buckets: int) -> DataFrame:
-    """Questions x cells on (key, kind). Broadcast when the cells are within
-    the row bound. Otherwise (a near-continuous readmit risk makes the risk
-    cells grow with the rows) the join keys have only a handful of values,
-    so both sides are salted: cells spread over ``salt_buckets`` by a hash
-    of their dimensions, question keys repeated once per bucket."""
-    if bounded_rows(cells, BROADCAST_ROW_LIMIT) is not None:
-        return qk.join(F.broadcast(cells), ["_key", "kind"])
-    salted = cells.withColumn("_salt", F.pmod(
-        F.xxhash64("specialty", "age", "season", "readmit_risk"), F.lit(salt_buckets)))
-    spread = qk.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    return spread.join(salted, ["_key", "kind", "_salt"]).drop("_salt")
-
-
-def _answer_parameter_sets(psets: DataFrame, cells: DataFrame, salt: int) -> DataFrame:
-    """Answers of each distinct (route, params) set: (_pk, group_key, m)."""
-    p = F.col("params")
-    route = F.col("route")
-    keys = F.when(route.isin(*FUNCTION_ROUTES), F.array(F.lit(ALL))).otherwise(
-        F.coalesce(p["specialties"], F.array(F.lit(ALL))))
-    kind = (F.when(route == "high_risk_by_specialty", F.lit("risk"))
-             .when(route.isin(*SPECIALTY_ROUTES), F.lit("spec"))
-             .when(route == "seasonal_analysis", F.lit("season"))
-             .when(route.isin(*BAND_ROUTES), F.lit("age"))
-             .otherwise(F.lit("global")))
-    qk = psets.select("_pk", "route", "params", kind.alias("kind"), F.explode(keys).alias("_key"))
-    j = _join_cells(qk, cells, salt)
-    threshold = F.coalesce(p["percentage"], F.lit(float(K.HIGH_RISK_PERCENT_DEFAULT))) / F.lit(100.0)
-    keep = (F.when(route == "high_risk_by_specialty", F.col("readmit_risk") > threshold)
-             .when(route.isin(*BAND_ROUTES), _age_filter(p))
-             .otherwise(F.lit(True)))
-    group_key = (F.when(route.isin(*SPECIALTY_ROUTES), F.col("specialty"))
-                  .when(route == "seasonal_analysis", F.col("season"))
-                  .when(route.isin(*BAND_ROUTES), scores.age_group("age")))
-    in_band = ~route.isin(*BAND_ROUTES) | group_key.isNotNull()
-    grouped = (j.filter(keep).withColumn("group_key", group_key).filter(in_band)
-                .groupBy("_pk", "route", "params", "group_key")
-                .agg(*[F.sum(c).alias(c) for c in _SUMS]))
-    return grouped.select("_pk", "group_key", F.explode(_metrics(route, p)).alias("m"))
-
-
 def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "question",
                      ids: Sequence[str] | None = None, cells: DataFrame | None = None,
                      preview: DataFrame | None = None) -> DataFrame:
@@ -260,47 +303,20 @@ def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "ques
     (from ``prepared_cells``) when many logs are answered from one table;
     ``preview`` (the first ten patients, e.g. from ``first_patients``) when
     it can be read more cheaply than from ``patients``.
-
-    Questions with the same route and parameters have the same answer, and
-    a log may repeat one question for a third of its rows: each distinct
-    (route, params) set is answered once, keyed by its exact JSON text, and
-    the answers are attached to the questions by that key.
     """
     ids = [c for c in qlog.columns if c != question] if ids is None else list(ids)
     # Each text is classified and parsed exactly once: the prepared rows
-    # (without the text) are written to the checkpoint folder before the
-    # branches filter them, since a filter on ``route`` would otherwise be
-    # pushed below the classification and repeat the regexes per branch.
-    pk = F.to_json(F.struct("route", "params"))
-    prep = reliable_checkpoint(questions.prepare_questions(qlog, question)
-                               .select(*ids, "intent", "params", "route", pk.alias("_pk")),
-                               "questions")
-    grouped_q = prep.filter(F.col("route") != "preview_rows")
-    preview_q = prep.filter(F.col("route") == "preview_rows")
-    # A branch without questions is skipped (a bounded check on the written
-    # questions): a log of preview questions never aggregates the patients.
-    parts = []
-    if bounded_rows(grouped_q, 0) is None:
-        if cells is None:
-            cells = prepared_cells(patients)
-        setting = qlog.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-        salt = int(setting) if str(setting).isdigit() else 200
-        psets = grouped_q.select("_pk", "route", "params").dropDuplicates(["_pk"])
-        # Answers of the distinct sets are small (sets x groups x metrics):
-        # written once; broadcast when their row count is within the bound.
-        by_set = reliable_checkpoint(_answer_parameter_sets(psets, cells, salt), "answers")
-        if bounded_rows(by_set, BROADCAST_ROW_LIMIT) is not None:
-            by_set = F.broadcast(by_set)
-        parts.append(grouped_q.select(*ids, "intent", "route", "_pk").join(by_set, "_pk")
-                     .drop("_pk"))
-    if bounded_rows(preview_q, 0) is None:
-        rows = inspect.preview_rows(patients) if preview is None else preview
-        parts.append(_preview_answers(prep, rows, ids))
-    if not parts:  # an empty log: the answer schema without rows
-        parts.append(prep.select(*ids, "intent", "route",
-                                 F.lit(None).cast("string").alias("group_key"),
-                                 F.lit(None).cast(METRIC).alias("m")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    # (without the text) are written before the branches filter them, since a
+    # filter on ``route`` would otherwise repeat the regexes per branch.
+    prep = reliable_checkpoint(questions.prepare_questions(qlog, question).select(
+        *ids, "intent", "route", answer_key(F.col("route"), F.col("params")).alias("_pk")), "questions")
+    grouped = prep.filter(F.col("route") != "preview_rows")
+    base = prepared_cells(patients) if cells is None else cells
+    keys = grouped.select("_pk").distinct().select("_pk", F.from_json("_pk", _KEY).alias("k")).select("_pk", "k.*")
+    by_key = reliable_checkpoint(_answer_keys(keys, base), "answers")
+    if cells is None:
+        release(base)
+    rows = inspect.preview_rows(patients) if preview is None else preview
+    out = (grouped.join(by_key, "_pk").select(*ids, "intent", "route", "group_key", "m")
+           .unionByName(_preview_answers(prep, rows, ids)))
     return out.select(*ids, "intent", "route", "group_key", "m.metric", "m.value", "m.text_value")

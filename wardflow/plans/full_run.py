@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 
 from wardflow import constants as K
@@ -25,13 +25,13 @@ from wardflow.sources.patients import patient_table
 @dataclass
 class FullRunResult:
     df_final: DataFrame
-    model: PipelineModel
+    model: GBTClassificationModel
     metrics: DataFrame
     high_risk_patients: DataFrame
 
 
 def run_full(spark: SparkSession, sf_dir: str, table_name: str = "patient_data",
-                 fmt: str = "parquet", model: PipelineModel | None = None,
+                 fmt: str = "parquet", model: GBTClassificationModel | None = None,
                  threshold: float = K.HIGH_RISK_THRESHOLD) -> FullRunResult:
     """Build, score, persist and analyse the patient table."""
     patients = patient_table(spark, sf_dir)

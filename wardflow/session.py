@@ -9,9 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A side is broadcast only when it is proven to hold at most this many rows.
-BROADCAST_ROW_LIMIT = 1_000_000
-
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "wardflow") -> SparkSession:
@@ -99,11 +96,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def release(*frames: DataFrame, spark: SparkSession | None = None) -> None:
+def release(*frames: DataFrame, spark: SparkSession | None = None, only: tuple[str, ...] = ()) -> None:
     """Delete intermediate tables that are no longer read.
 
-    With ``frames``: the written tables behind frames that
-    ``reliable_checkpoint`` returned (other files are never touched). With
+    With ``frames``: the tables written by ``reliable_checkpoint`` that these
+    frames read (those whose name is in ``only``, if given); other files are
+    never touched. With
     ``spark`` alone: every intermediate table of this application, for a
     caller that has consumed all its results.
     """
@@ -113,13 +111,6 @@ def release(*frames: DataFrame, spark: SparkSession | None = None) -> None:
         session = df.sparkSession
         marker = "/" + scratch_root(session).rsplit("/", 1)[-1] + "/"
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if marker in f}:
-            delete_path(session, folder)
-
+            if not only or folder.rsplit("/", 1)[-1].rsplit("-", 1)[0] in only:
+                delete_path(session, folder)
 
-def bounded_rows(df: DataFrame, limit: int) -> int | None:
-    """Row count of ``df`` if it is at most ``limit``, else ``None``.
-
-    Reads at most ``limit + 1`` rows, so the check itself is bounded.
-    """
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None

@@ -4,33 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from wardflow.session import checkpoint_dir
+from wardflow.session import scratch_path
 
 
 def write_patient_table(df: DataFrame, table_name: str = "patient_data",
                         fmt: str = "parquet") -> DataFrame:
     """A2: overwrite a catalog table, replacing its schema; returns the
-    table as read back. ``fmt="delta"`` needs the Delta jars on the classpath."""
-    spark = df.sparkSession
-    writer = df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
-    try:
-        writer.saveAsTable(table_name)
-    except Exception as err:  # noqa: BLE001 - re-raised unless it is the case below
-        # A session catalog that forgot the table while its folder remains
-        # (e.g. an in-memory catalog after a restart): overwrite that folder.
-        cond = getattr(err, "getCondition", lambda: None)()
-        if cond != "LOCATION_ALREADY_EXISTS":
-            raise
-        location = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{table_name.lower()}"
-        writer.option("path", location).saveAsTable(table_name)
-    return spark.table(table_name)
+    table as read back. Errors surface: a folder that the catalog does not know
+    is never taken over. ``fmt="delta"`` needs the Delta jars on the classpath."""
+    df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true").saveAsTable(table_name)
+    return df.sparkSession.table(table_name)
 
 
 def write_patient_parquet(df: DataFrame, path: str | None = None,
                           name: str = "patient_data") -> DataFrame:
-    """A3: overwrite a parquet folder (by default under the cluster's shared
-    checkpoint folder) and return it as read back."""
+    """A3: overwrite a parquet folder (by default a new one under the cluster's
+    shared checkpoint folder) and return it as read back."""
     if path is None:
-        path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}.parquet"
+        path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

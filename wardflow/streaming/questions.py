@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wardflow.operators import inspect
 from wardflow.operators import questions as Q
 from wardflow.plans.answers import answer_questions, prepared_cells
-from wardflow.session import checkpoint_dir, reliable_checkpoint
+from wardflow.session import checkpoint_dir, release, reliable_checkpoint
 
 QUESTION_SCHEMA = "question_id bigint, question string"
 
@@ -62,6 +62,7 @@ def start_answering(stream: DataFrame, patients: DataFrame, sink_path: str,
     def answer_batch(batch: DataFrame, epoch_id: int) -> None:
         out = answer_questions(batch, patients, question=question, cells=cells, preview=preview)
         out.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/epoch={epoch_id}")
+        release(out, only=("questions", "answers"))
 
     writer = (stream.writeStream.queryName(name).foreachBatch(answer_batch)
               .option("checkpointLocation", checkpoint_location or _stream_checkpoint(spark, name)))
