@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from wardflow.llm import _arrays as A
 from wardflow.session import reliable_checkpoint, release
 
-FIT_ROWS = 4_000
+FIT_ROWS = 3_000
 DIMENSIONS = 4096
 CENTROIDS = 3
 REJECT = 0.005
@@ -95,8 +95,11 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 
 def vectors(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(c.astype(np.float32)) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    v = c.astype(np.float32)
+    np.log1p(v, out=v)
+    v *= idf
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return v
 
 
 @dataclass
@@ -133,7 +136,8 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit_centroids(c: np.ndarray, names: list[str], k: int = CENTROIDS) -> Languages:
-    c, own = c[c.sum(1) > 0], np.array([x for x, s in zip(names, c.sum(1), strict=True) if s > 0], object)
+    full = c.any(1)
+    c, own = c[full], np.array(names, object)[full]
     if not len(c):
         return Languages(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS)), [], {})
     idf = np.log((1 + len(c)) / (1 + (c > 0).sum(0))).astype(np.float32) + 1
@@ -166,9 +170,10 @@ def held_out(ident: Column) -> Column:
 def _count(batches):
     for batch in batches:
         for part in A.slices(batch, "text"):
+            # Counts end at 65535: they enter by their logarithm.
+            c = np.minimum(counts(part.column("text")), 65535).astype("<u2")
             yield pa.RecordBatch.from_arrays(
-                [part.column("lang"), pa.array([r.tobytes() for r in counts(part.column("text")).astype("<u4")])],
-                names=["lang", "c"])
+                [part.column("lang"), pa.array([r.tobytes() for r in c])], names=["lang", "c"])
 
 
 def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS,
@@ -187,8 +192,10 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CE
     sample = reliable_checkpoint(sample, "language-sample")
     got = sample.orderBy("lang", F.xxhash64("c")).limit(2 * fit_rows).collect()
     release(sample)
-    c = np.array([np.frombuffer(r["c"], "<u4") for r in got], np.uint32).reshape(len(got), DIMENSIONS)
-    return fit_centroids(c, [r["lang"] for r in got], centroids)
+    names = [r["lang"] for r in got]
+    c = np.frombuffer(b"".join(r["c"] for r in got), "<u2").reshape(len(got), DIMENSIONS)
+    del got
+    return fit_centroids(c, names, centroids)
 
 
 def predict_language(docs: DataFrame, model: Languages, id_col: str = "doc_id",
