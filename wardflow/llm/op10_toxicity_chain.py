@@ -199,8 +199,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
            .orderBy(chi.desc(), "key").limit(features))
     keys = np.sort(np.array([r["key"] for r in top.select("key").collect()], np.int64).astype(A.U64))
     wanted = F.array(*[F.lit(int(k)) for k in keys.astype(np.int64)])
-    rows = (sample.select("toxic", F.array_sort(F.array_intersect("keys", wanted)).alias("keys"))
-            .orderBy("toxic", F.xxhash64("keys")).collect())
+    rows = sample.select("toxic", F.array_sort(F.array_intersect("keys", wanted)).alias("keys")).collect()
+    rows.sort(key=lambda r: (r["toxic"], r["keys"]))  # the same order in every run
     release(sample)
     x = np.zeros((len(rows), len(keys)))
     toxic = np.array([r["toxic"] > 0 for r in rows])
