@@ -91,7 +91,7 @@ def fill(ring: Ring, rocks: list[tuple[int, int, int]], cells: list[tuple[int, i
     return placed, spans
 
 
-def ring_shards(docs: DataFrame, shards: int = 16, slack: float = 0.002, vnodes: int = 64,
+def ring_shards(docs: DataFrame, shards: int = 16, slack: float = 0.02, vnodes: int = 64,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's ``size``, ``text_crc32``, ``shard`` and gapless ``slot``."""
     spark = docs.sparkSession
@@ -155,6 +155,6 @@ def ring_shards(docs: DataFrame, shards: int = 16, slack: float = 0.002, vnodes:
 
 def op3_ring_shards(docs: DataFrame) -> DataFrame:
     """The contract's columns, for 16 shards."""
-    return ring_shards(docs, shards=16).select(
+    return ring_shards(docs, shards=16, slack=0.0005).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
