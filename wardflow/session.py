@@ -30,11 +30,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def _shared(folder: str, master: str) -> str:
     """``folder``, unless it is machine-local while the session is a cluster's."""
     if not master.startswith("local") and folder.startswith(("file:", "/")):
-        raise RuntimeError(f"{folder} is local to one machine; set spark.checkpoint.dir "
-                           "to a folder that all executors share")
+        raise RuntimeError(f"{folder} is local to one machine; set a folder "
+                           "that all executors share")
     return folder
 
 
+def require_shared(spark: SparkSession, setting: str) -> None:
+    """Error if the folder that ``setting`` names is machine-local on a cluster."""
+    master = spark.conf.get("spark.master", "local")
+    folder = spark.conf.get(setting, None)
+    if folder:
+        _shared(folder, master)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from wardflow.session import scratch_path
+from wardflow.session import require_shared, scratch_path
 
 
 def write_patient_table(df: DataFrame, table_name: str = "patient_data",
@@ -12,6 +12,7 @@ def write_patient_table(df: DataFrame, table_name: str = "patient_data",
     """A2: overwrite a catalog table, replacing its schema; returns the
     table as read back. Errors surface: a folder that the catalog does not know
     is never taken over. ``fmt="delta"`` needs the Delta jars on the classpath."""
+    require_shared(df.sparkSession, "spark.sql.warehouse.dir")
     df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true").saveAsTable(table_name)
     return df.sparkSession.table(table_name)
 
