@@ -14,8 +14,8 @@ from wardflow.streaming import questions as S
 def test_stream_answers_equal_batch(spark, patients_small):
     src = tempfile.mkdtemp(prefix="wardflow-qsrc-")
     rows = [(i, q) for i, q, *_ in QUESTIONS]
-    spark.createDataFrame(rows[:10], S.QUESTION_SCHEMA).write.mode("append").parquet(src)
-    spark.createDataFrame(rows[10:], S.QUESTION_SCHEMA).write.mode("append").parquet(src)
+    spark.createDataFrame(rows[:10], S.QUESTION_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame(rows[10:], S.QUESTION_SCHEMA).coalesce(1).write.mode("append").parquet(src)
     sink = tempfile.mkdtemp(prefix="wardflow-qsink-")
     q = S.start_answering(S.question_stream(spark, src, max_files_per_trigger=1), patients_small,
                           sink, name="answers_test", available_now=True)
@@ -29,7 +29,7 @@ def test_stream_answers_equal_batch(spark, patients_small):
 def test_intent_count_stream(spark):
     src = tempfile.mkdtemp(prefix="wardflow-qsrc-")
     rows = [(i, q) for i, q, *_ in QUESTIONS]
-    spark.createDataFrame(rows, S.QUESTION_SCHEMA).write.mode("append").parquet(src)
+    spark.createDataFrame(rows, S.QUESTION_SCHEMA).coalesce(1).write.mode("append").parquet(src)
     counts = S.intent_count_stream(S.prepared_stream(S.question_stream(spark, src)))
     q = (counts.writeStream.format("memory").queryName("intent_counts_test").outputMode("complete")
          .option("checkpointLocation", tempfile.mkdtemp(prefix="wardflow-sck-"))
@@ -47,7 +47,7 @@ def test_restart_processes_only_new_files(spark, patients_small):
     sink = tempfile.mkdtemp(prefix="wardflow-qsink-")
     ckpt = tempfile.mkdtemp(prefix="wardflow-qck-")
     rows = [(i, q) for i, q, *_ in QUESTIONS]
-    spark.createDataFrame(rows[:5], S.QUESTION_SCHEMA).write.mode("append").parquet(src)
+    spark.createDataFrame(rows[:5], S.QUESTION_SCHEMA).coalesce(1).write.mode("append").parquet(src)
 
     def run():
         q = S.start_answering(S.question_stream(spark, src), patients_small, sink,
@@ -58,7 +58,7 @@ def test_restart_processes_only_new_files(spark, patients_small):
     first = spark.read.parquet(sink).select("question_id").distinct().count()
     run()  # nothing new: the committed offsets are in the checkpoint
     assert spark.read.parquet(sink).count() == spark.read.parquet(sink).dropDuplicates().count()
-    spark.createDataFrame(rows[5:], S.QUESTION_SCHEMA).write.mode("append").parquet(src)
+    spark.createDataFrame(rows[5:], S.QUESTION_SCHEMA).coalesce(1).write.mode("append").parquet(src)
     run()
     ids = {r.question_id for r in spark.read.parquet(sink).select("question_id").distinct().collect()}
     assert first == 5 and ids == {i for i, _q in rows}
