@@ -90,6 +90,28 @@ def test_mixture_round_trip(docs, doc_rows, encoder, options):
         assert [o for o, _ in sorted(p)] == [0, *ends[:-1]] and (ends[-1] == window or s == last)
 
 
+@pytest.mark.parametrize("targets", [None, {"small01": 5.0, "large": 1.0}])
+def test_small_sources_over_many_partitions(spark, encoder, targets):
+    """Sources of 2 to 50 ids, in one document or in documents of two and more."""
+    texts = [("large", "alpha beta gamma delta epsilon zeta eta theta " * 40)] * 8
+    for n in range(1, 50):
+        texts.append((f"small{n:02}", " ".join(["word"] * n)))
+        texts += [(f"split{n:02}", "word")] * (n // 2)
+    texts += [(f"one{i}", None) for i in range(3)]
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(texts)], "doc_id long, text string, source string")
+    ids, offsets = encoder.texts(pa.array([t for _, t in texts], pa.string()))
+    assert len(ids) // 20 > 3 * 50
+    rows = pack_mixture(df, window=10, windows=2, targets=targets).collect()
+    got = rebuilt(rows)
+    for i in range(len(texts)):
+        assert got[i] == ids[offsets[i]: offsets[i + 1]].astype("<u4").tobytes()
+    assert all(r["length"] > 0 for r in rows)
+    fill = Counter()
+    for r in rows:
+        fill[r["sequence_id"]] += r["length"]
+    assert all(fill[s] == 10 for s in range(max(fill)))
+
+
 def test_mixture_proportions(docs):
     rows = pack_mixture(docs).select("sequence_id", "source", "length").collect()
     total, per = Counter(), {}

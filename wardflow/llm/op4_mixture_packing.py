@@ -19,7 +19,9 @@ How it is spread:
    ``WINDOWS`` windows. Where a queue stands when a partition begins is
    floor(quantum * partition), a closed form, so every partition knows its own
    ids, the fraction of an id that it is owed (the carried deficits), and the
-   place of its first id in the one sequence of windows.
+   place of its first id in the one sequence of windows. The partition of an
+   id is the inverse of that form, in whole numbers; a queue of fewer ids than
+   there are partitions has rows only in those where it advances.
 3. A partition's ids (about ``WINDOWS * WINDOW``, whatever the sizes of
    sources and documents) meet in one task, which runs the round-robin. A
    window may begin in one partition and go on in the next.
@@ -198,20 +200,27 @@ def pack_mixture(docs: DataFrame, window: int = WINDOW, windows: int = WINDOWS,
     queues = reliable_checkpoint(queues.select("source", "supply", "_a", "_r"), "queues")
 
     p, place, supply = F.col("p"), F.col("place"), F.col("supply")
+    slow = F.col("_a") == 0  # such a queue advances by one id, and not in every partition
 
     def stands(k):
         """Ids of the queue that come before partition ``k``."""
-        return F.least(supply, F.col("_a") * k + F.floor((F.col("_r") * k) / F.lit(parts)).cast("long"))
+        return F.least(supply, F.col("_a") * k + F.col("_r") * F.floor(k / F.lit(parts))
+                       + F.floor(F.col("_r") * (k % F.lit(parts)) / F.lit(parts)))
 
     def partition_of(j):
-        guess = F.greatest(F.lit(0), F.floor(
-            j.cast("double") / (F.col("_a") + F.col("_r") / F.lit(float(parts)))).cast("long"))
-        g = F.when(stands(guess) > j, guess - 1).otherwise(guess)
-        g = F.when(stands(g + 1) <= j, g + 1).otherwise(g)
-        return F.when(stands(g + 1) <= j, g + 1).otherwise(g)
+        """The smallest partition behind which the queue stands beyond ``j``."""
+        wide = [x.cast("decimal(19,0)") for x in (F.col("_a"), F.lit(parts), j + 1)]
+        return F.call_function("div", wide[2] * wide[1] - 1, wide[0] * wide[1] + F.col("_r"))
+
+    def deal(df, first, last):
+        """A row for each partition ``p`` that holds any of the ids ``first`` to ``last``."""
+        steps = F.when(slow, last - first).otherwise(partition_of(last) - partition_of(first))
+        return (df.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), steps)))
+                .withColumn("p", F.when(slow, partition_of(first + F.col("_k")))
+                            .otherwise(partition_of(first) + F.col("_k"))).drop("_k"))
 
     # Where each partition begins in the one sequence of ids.
-    steps = (queues.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), partition_of(supply - 1))))
+    steps = (deal(queues, F.lit(0).cast("long"), supply - 1)
              .groupBy("p").agg(F.sum(stands(p + 1) - stands(p)).alias("_ids")))
     places = reliable_checkpoint(
         running_sum(steps.withColumn("_g", F.lit(0)), ["_g"], "p", "_ids", "at").select("p", "at"), "partitions")
@@ -219,8 +228,7 @@ def pack_mixture(docs: DataFrame, window: int = WINDOW, windows: int = WINDOWS,
     rows = (tokens.join(heads.select("source", "part", "_before"), ["source", "part"])
             .withColumn("_j", F.col("_before") + F.col("start")).drop("_before", "start", "part")
             .join(queues, "source"))
-    rows = (rows.withColumn("p", F.explode(F.sequence(
-                partition_of(F.col("_j")), partition_of(F.col("_j") + F.col("n") - 1))))
+    rows = (deal(rows, F.col("_j"), F.col("_j") + F.col("n") - 1)
             .withColumn("_from", F.greatest(F.lit(0), stands(p) - F.col("_j")))
             .withColumn("_to", F.least(F.col("n"), stands(p + 1) - F.col("_j"))))
     rows = rows.select(
@@ -229,7 +237,7 @@ def pack_mixture(docs: DataFrame, window: int = WINDOW, windows: int = WINDOWS,
         F.col("n").alias("doc_tokens"), "width",
         F.substring("ids", (F.col("_from") * F.col("width") + 1).cast("int"),
                     ((F.col("_to") - F.col("_from")) * F.col("width")).cast("int")).alias("ids"),
-        F.when(stands(p) < supply, F.col("_r") * p % F.lit(parts) / F.lit(float(parts)))
+        F.when(stands(p) < supply, F.col("_r") * (p % F.lit(parts)) % F.lit(parts) / F.lit(float(parts)))
         .otherwise(F.lit(0.0)).alias("owed"))
     schema = _PIECE if with_ids else _PIECE.replace(", source string, ids binary", "")
     return rows.join(places, "p").groupBy("p").applyInArrow(_pack(window, with_ids), schema)
