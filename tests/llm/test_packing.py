@@ -1,4 +1,5 @@
 """Packing: exact round trips, windows, proportions."""
+import functools
 import zlib
 from collections import Counter
 
@@ -38,6 +39,26 @@ def test_ids_of_real_texts(encoder, doc_rows):
         assert ids[offsets[i]: offsets[i + 1]].tolist() == whole(encoder, t)
 
 
+@functools.cache
+def whole_tokenizer():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(default_tokenizer())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|",
+                                          "|>", "<", "end", "É.", "\u0338", " ", "\n", "\u00a0", "don't"]), max_size=8)
+                .map("".join), max_size=5))
+def test_ids_of_added_tokens_literals(encoder, texts):
+    """Against a tokenizer as it is read from its file."""
+    fresh = whole_tokenizer()
+    texts = ["end here <|endoftext|> Next", "a<|startoftext|>b.<|EndOfText|>", *texts]
+    ids, offsets = encoder.texts(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i]: offsets[i + 1]].tolist() == fresh.encode(t, add_special_tokens=False).ids + [1]
+    assert ids[:3].tolist() == [806, 763, 49407]
+
+
 def test_the_table_of_chunks_starts_anew(encoder, monkeypatch):
     from wardflow.llm import _tokens
     fresh = Encoder(default_tokenizer())

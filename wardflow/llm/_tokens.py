@@ -6,7 +6,9 @@ each distinct chunk of a batch (by a 64-bit hash) is encoded once, and a
 bounded table in the Python worker remembers chunks between batches. ASCII
 letters are lower-cased first, as the tokenizer does itself. A chunk is also
 cut between an ASCII letter and a punctuation mark, where the tokenizer always
-cuts. Tests hold the ids against the tokenizer on whole texts.
+cuts. A chunk that holds the literal of an added token (``<|endoftext|>``) is
+neither cut nor put in small letters: the tokenizer gets it as it stands, and
+decides. Tests hold the ids against the tokenizer on whole texts.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ _ALPHA = np.zeros(256, dtype=bool)
 _ALPHA[97:123] = True
 _MARK = np.zeros(256, dtype=bool)
 _MARK[[ord(c) for c in ".,!?;:|%#*$&"]] = True
+_RAW = A.U64(0x5851F42D4C957F2D)  # parts the hashes of raw chunks from those of others
 #: Letters that are their own normal form and one character in either case,
 #: then marks that no contraction starts with.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([.,!?;:|%#*$&]*)")
@@ -107,7 +110,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.literals = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
@@ -123,13 +126,15 @@ class Encoder:
     def _spell(self, text: str) -> str:
         return text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
 
-    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, chunks: list[str], raw: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks one after another, and the count of each. Plain
-        words go straight to the BPE model."""
+        words go straight to the BPE model, but for ``raw`` chunks."""
         out: list = [()] * len(chunks)
         hard, tokenize, plain, spell = [], self.model.tokenize, _PLAIN.fullmatch, self._spell
         for i, c in enumerate(chunks):
-            if c.isalpha() and c.isascii():
+            if raw[i]:
+                hard.append(i)
+            elif c.isalpha() and c.isascii():
                 out[i] = [t.id for t in tokenize(c)]
             elif (m := plain(c)) is None or "÷" in c:
                 hard.append(i)
@@ -146,18 +151,21 @@ class Encoder:
         """Ids of all texts one after another, each followed by ``end``, and
         their offsets."""
         buf, offsets = A.utf8(column)
-        low, starts, ends = _cut(buf, offsets)
+        low, starts, ends, raw = _cut(buf, offsets, self.literals)
         first = np.searchsorted(starts, offsets)
-        h = np.maximum(A.hash_words(low, starts, ends), A.U64(1))
+        h = A.hash_words(low, starts, ends)
+        h[raw] = A.mix(A.hash_words(buf, starts[raw], ends[raw]) ^ _RAW)
+        h = np.maximum(h, A.U64(1))
         table = self.chunks
         slot = table.find(h)
         lost = np.flatnonzero(slot < 0)
         fresh = flat = counts = heads = None
         if len(lost):
             keys, at, back = np.unique(h[lost], return_index=True, return_inverse=True)
-            s, e = starts[lost[at]].tolist(), ends[lost[at]].tolist()
-            raw = low.tobytes()
-            flat, counts = self._encode([raw[a:b].decode() for a, b in zip(s, e, strict=True)])
+            s, e, r = starts[lost[at]].tolist(), ends[lost[at]].tolist(), raw[lost[at]].tolist()
+            small = low.tobytes()
+            flat, counts = self._encode([(buf[a:b].tobytes() if x else small[a:b]).decode()
+                                         for a, b, x in zip(s, e, r, strict=True)], r)
             heads, fresh = np.cumsum(counts) - counts, back
         size, head = table.counts[slot].astype(np.int64), table.heads[slot].astype(np.int64)
         pool = table.pool
@@ -175,23 +183,42 @@ class Encoder:
         return np.insert(tokens, before[1:], self.dtype.type(end)), before + np.arange(len(before))
 
 
-def _cut(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes in small letters, and the starts and ends of all chunks."""
+def _cut(buf: np.ndarray, offsets: np.ndarray, literals: list[bytes]
+         ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes in small letters, the starts and ends of all chunks, and
+    whether a chunk holds a literal (in letters of either case)."""
     low = A.LOWER[buf]
     if len(low) < 2:
-        return (low, *A.runs(_BLANK[low], offsets)[:2])
+        starts, ends, _ = A.runs(_BLANK[low], offsets)
+        return low, starts, ends, _holding(low, starts, ends, literals)
     lead = low[:-1] == 0xC3
     tail = low[1:]
     latin = lead & (tail != 0x97) & (tail != 0xB7)  # letters from U+00C0 to U+00FF
     low[1:][latin & (tail <= 0x9E)] += 32
     starts, ends, _ = A.runs(_BLANK[low], offsets)
+    held = _holding(low, starts, ends, literals)
     letter = _ALPHA[low[:-1]]
     letter[1:] |= latin[:-1]
     cut = np.flatnonzero(letter & _MARK[low[1:]]) + 1
     inside = np.ones(len(low) + 1, bool)
     inside[offsets] = False
     cut = cut[inside[cut]]
-    return low, np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    whole = starts[held]
+    if len(whole):
+        cut = cut[~held[np.searchsorted(starts, cut, "right") - 1]]
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return low, starts, ends, np.isin(starts, whole)
+
+
+def _holding(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, literals: list[bytes]) -> np.ndarray:
+    held, text = np.zeros(len(starts), bool), low.tobytes()
+    for literal in map(bytes.lower, literals):
+        at = text.find(literal)
+        while at >= 0:
+            i = np.searchsorted(starts, at, "right") - 1
+            held[i] |= at + len(literal) <= ends[i]
+            at = text.find(literal, at + 1)
+    return held
 
 
 def binary_rows(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
