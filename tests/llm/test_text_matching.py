@@ -224,6 +224,43 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
             assert own == rest  # all of the passage goes, and nothing else
 
 
+def words_left(texts, shared):
+    """How many of the shared words each text still holds."""
+    return [sum(w in t for w in shared) for t in texts]
+
+
+def test_embedded_and_wrapped_passages_go(spark):
+    """Passages of 51 words without a stop, in running text, as they are and
+    wrapped at other line ends; told by their words, not by sentences."""
+    rng = random.Random(8)
+    rows, shared = [], []
+    for k in range(300):
+        own = lambda: " ".join(f"o{rng.randrange(10**9)}" for _ in range(30))
+        w = [f"s{k}x{rng.randrange(10**9)}y" for _ in range(51)]
+        shared.append(w)
+        for c in range(3):
+            gaps = [("\n" if c and i % (9 + c) == 4 else " ") for i in range(len(w))]
+            rows.append((3 * k + c, own() + " " + "".join(map("".join, zip(w, gaps, strict=True))) + own()))
+    out = {r["doc_id"]: r["text"] for r in op9_sentence_spans(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, w in enumerate(shared):
+        left = words_left([out[3 * k + c] for c in range(3)], w)
+        assert left[0] == 51 and max(left[1:]) <= 22
+    for i, t in rows:
+        assert re.findall(r"o\d+", t) == re.findall(r"o\d+", out[i])
+
+
+def test_lines_between_other_lines_still_go(spark):
+    """Shared lines without stops, whatever stands around them."""
+    rng = random.Random(10)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    block = "\n".join(line(8) for _ in range(3))
+    rows = [(i, f"{line(5)}\n{block}\n{line(7)}") for i in range(30)]
+    for r in op9_sentence_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (block in r["text"]) == (r["doc_id"] == 0)
+        assert len(words(r["text"])) == (36 if r["doc_id"] == 0 else 12)
+
+
 def removal(rows):
     """The same rule in plain code: runs of sentences, first by (id, place)."""
     from wardflow.llm.op9_sentence_spans import Sentences

@@ -1,15 +1,19 @@
 """Substring deduplication by sliding runs of consecutive sentences.
 
-A text is cut into sentences, after a full stop, exclamation or question mark
+A text is cut into sentences: after a full stop, exclamation or question mark
 with white space behind it, and at line ends. A sentence of more than
-``LONG_SENTENCE`` words is cut further after words whose hash says so, which
-depends on the words alone and not on where they stand. From every sentence, a
-run goes on until it has at least two sentences and ``RUN_WORDS`` words, and
-one such run goes back from every sentence at which none ends; runs are hashed
-by their words (in small letters, without punctuation). A run whose
-words are seen again is a repetition, and sentences that a non-first
-repetition covers are removed. First is the smallest document id, and within a
-document the first place.
+``LONG_SENTENCE`` words is cut further after each word whose hash is the
+smallest of some ``ANCHOR_WINDOW`` consecutive words of it, so that every so
+many shared words hold a cut, at the same place in every copy. From every sentence, a run goes on until it has at least two
+sentences and ``RUN_WORDS`` words, and one such run goes back from every
+sentence at which none ends; runs are hashed by their words (in small letters,
+without punctuation). Where a single line break parts words without a stop,
+runs are also taken as if it were a blank, so that copies wrapped at other
+places agree; what is counted and removed are then the pieces between all
+cuts. A run whose words are seen again is a repetition, and sentences that a
+non-first repetition covers are removed: of a shared passage of 37 words or
+more, all but up to ``ANCHOR_WINDOW`` words at either end. First is the
+smallest document id, and within a document the first place.
 
 How it is spread: repetitions inside one text are found where the text is.
 Across texts, runs are counted by hash, with a partial count in every task, so
@@ -39,60 +43,30 @@ from wardflow.llm._columns import Carried
 
 RUN_WORDS = 16
 LONG_SENTENCE = 16
-CUT_ONE_IN = 6
+ANCHOR_WINDOW = 11
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
-_LINE = np.zeros(256, bool)
-_LINE[[10, 13]] = True
 
 
-class Sentences:
-    """Sentences of a batch of texts: ``at`` are the bytes where they begin,
-    ``first`` the offsets of each text's sentences, ``h`` and ``words`` their
-    hashes and numbers of words."""
 
-    def __init__(self, column: pa.Array):
-        buf, self.offsets = A.utf8(column)
-        offsets = self.offsets
-        low = A.LOWER[buf]
-        starts, ends, first_word = A.runs(A.WORD[low], offsets)
-        words = A.hash_words(low, starts, ends)
-        begins = np.zeros(len(buf) + 1, bool)
-        if len(buf) > 1:
-            space = A.SPACE[buf]
-            # A byte that is not white space, after white space that follows
-            # a stop or holds a line end.
-            gap_start, gap_end, _ = A.runs(space, offsets)
-            lines = np.concatenate([[0], np.cumsum(_LINE[buf])])
-            stop = np.zeros(len(gap_start), bool)
-            stop[gap_start > 0] = _STOP[buf[gap_start[gap_start > 0] - 1]]
-            breaks = stop | (lines[gap_end] > lines[gap_start])
-            begins[gap_end[breaks]] = True
-        begins[offsets[:-1][np.diff(offsets) > 0]] = True
-        begins[len(buf)] = False
-        at = np.flatnonzero(begins)
-        # Long sentences are cut before a word that follows a chosen word.
-        of = np.searchsorted(at, starts, "right") - 1
-        count = np.bincount(of, minlength=len(at)) if len(starts) else np.zeros(len(at), np.int64)
-        if len(starts):
-            chosen = (words % A.U64(CUT_ONE_IN) == 0) & (count[of] > LONG_SENTENCE)
-            after = np.flatnonzero(chosen[:-1] & (of[1:] == of[:-1])) + 1
-            at = np.union1d(at, starts[after])
-            of = np.searchsorted(at, starts, "right") - 1
-            count = np.bincount(of, minlength=len(at))
-        self.at, self.words = at, count
-        self.first = np.searchsorted(at, offsets)
+class _Units:
+    """The pieces between the cuts ``at``: the offsets of each text's
+    (``first``), their hashes ``h`` and lengths in words."""
+
+    def __init__(self, at, offsets, starts, words):
+        self.at, self.first = at, np.searchsorted(at, offsets)
+        self.word = np.searchsorted(starts, at)              # the first word of each
+        count = np.diff(np.append(self.word, len(starts)))
+        self.words = count
         self.h = np.zeros(len(at), A.U64)
         if len(starts):
-            head = np.cumsum(count) - count
-            place = np.arange(len(starts)) - head[of]
+            place = np.arange(len(starts)) - np.repeat(self.word, count)
             mixed = A.mix(words ^ A.mix(place.astype(A.U64) + A.U64(1)))
             full = np.flatnonzero(count)
-            self.h[full] = np.add.reduceat(mixed, head[full])
-        self.buf = buf
+            self.h[full] = np.add.reduceat(mixed, self.word[full])
 
     def runs(self, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last sentence, and hash, of every run."""
+        """First and last unit, and hash, of every run."""
         n = len(self.at)
         if n == 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, A.U64)
@@ -122,6 +96,83 @@ class Sentences:
         return i, last, h
 
 
+def _anchored(at: np.ndarray, starts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """``at`` with cuts before the words that follow an anchor, in pieces of
+    more than ``LONG_SENTENCE`` words. Of equal hashes the last is the anchor."""
+    n, size = len(starts), ANCHOR_WINDOW
+    if n < size:
+        return at
+    of = np.searchsorted(at, starts, "right") - 1
+    long = np.bincount(of, minlength=len(at))[of] > LONG_SENTENCE
+    k = np.flatnonzero(long[: n - size + 1] & (of[: n - size + 1] == of[size - 1:]))
+    least, which = words[k], k.copy()
+    for d in range(1, size):
+        value = words[k + d]
+        less = value <= least
+        least = np.where(less, value, least)
+        which[less] = k[less] + d
+    after = np.unique(which) + 1
+    after = after[after < n]
+    return np.union1d(at, starts[after[of[after] == of[after - 1]]])
+
+
+class Sentences:
+    """Sentences of a batch of texts: ``at`` are the bytes where they begin,
+    ``first`` the offsets of each text's sentences, ``words`` their lengths."""
+
+    def __init__(self, column: pa.Array):
+        buf, offsets = A.utf8(column)
+        self.buf, self.offsets = buf, offsets
+        low = A.LOWER[buf]
+        word = A.WORD[low]
+        starts, ends, _ = A.runs(word, offsets)
+        words = A.hash_words(low, starts, ends)
+        begins = np.zeros(len(buf) + 1, bool)
+        single = np.zeros(0, np.int64)
+        if len(buf) > 1:
+            space = A.SPACE[buf]
+            # A byte that is not white space, after white space that follows
+            # a stop or holds a line end.
+            gap_start, gap_end, _ = A.runs(space, offsets)
+            line = (buf == 10) | (buf == 13)
+            line[:-1] &= ~((buf[:-1] == 13) & (buf[1:] == 10))
+            lines = np.concatenate([[0], np.cumsum(line)])
+            lines = lines[gap_end] - lines[gap_start]
+            stop = np.zeros(len(gap_start), bool)
+            inner = ~np.isin(gap_start, offsets)  # what is before belongs to the same text
+            stop[inner] = _STOP[buf[gap_start[inner] - 1]]
+            begins[gap_end[stop | (lines > 1)]] = True
+            single = gap_end[~stop & (lines == 1)]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        begins[len(buf)] = False
+        single = single[single < len(buf)]
+        single = single[~begins[single]]
+        at = np.flatnonzero(begins)
+        lined = _anchored(np.union1d(at, single), starts, words)
+        self.units = [_Units(lined, offsets, starts, words)]
+        if len(single):
+            self.units.append(_Units(_anchored(at, starts, words), offsets, starts, words))
+            lined = np.union1d(lined, self.units[1].at)
+        self.at, self.first = lined, np.searchsorted(lined, offsets)
+        self.words = np.diff(np.append(np.searchsorted(starts, lined), len(starts)))
+
+    def runs(self, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last sentence, and hash, of every run."""
+        found = []
+        for u in self.units:
+            i, last, h = u.runs(least_words)
+            place = np.append(np.searchsorted(self.at, u.at), len(self.at))
+            found.append((place[i], place[last + 1] - 1, h, u.word[i]))
+        if len(found) == 1:
+            return found[0][:3]
+        # A run of both kinds of units is one run: same words at the same place.
+        keys = [A.mix(h ^ A.mix(w.astype(A.U64))) for _, _, h, w in found]
+        new = ~np.isin(keys[1], keys[0])
+        i, last, h = (np.concatenate([x, y[new]]) for x, y in zip(found[0][:3], found[1][:3], strict=True))
+        order = np.argsort(i, kind="stable")
+        return i[order], last[order], h[order]
+
+
 _RUN = "doc_id long, text_hash int, h long, a int, b int"
 
 
