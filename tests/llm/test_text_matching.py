@@ -250,6 +250,27 @@ def test_embedded_and_wrapped_passages_go(spark):
         assert re.findall(r"o\d+", t) == re.findall(r"o\d+", out[i])
 
 
+def test_passages_of_scripts_without_blanks_go(spark):
+    rng = random.Random(9)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    thai = lambda n: "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(n))
+    stops = "".join(han(12) + rng.choice(["\u3002", "\uff01", "\uff1f\u300d"]) for _ in range(10))
+    long, plain = han(200), thai(200)
+    rows = []
+    for i in range(4):
+        rows += [(10 * i, han(20) + "\u3002" + stops + han(20) + "\u3002"), (10 * i + 1, han(30) + long + han(30)),
+                 (10 * i + 2, thai(30) + plain + thai(30)), (10 * i + 3, han(150) + "\u3002" + thai(90))]
+    out = {r["doc_id"]: r["text"] for r in op9_sentence_spans(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        if i < 10 or i % 10 == 3:
+            assert out[i] == t
+        elif i % 10 == 0:
+            assert out[i] == t.replace(stops, "")
+        else:
+            assert out[i][:30] == t[:30] and out[i][-30:] == t[-30:] and len(out[i]) <= 82
+
+
 def test_lines_between_other_lines_still_go(spark):
     """Shared lines without stops, whatever stands around them."""
     rng = random.Random(10)

@@ -1,10 +1,13 @@
 """Substring deduplication by sliding runs of consecutive sentences.
 
 A text is cut into sentences: after a full stop, exclamation or question mark
-with white space behind it, and at line ends. A sentence of more than
+with white space behind it, after those of scripts that write no blank behind
+them (U+3002 and the like), and at line ends. A sentence of more than
 ``LONG_SENTENCE`` words is cut further after each word whose hash is the
 smallest of some ``ANCHOR_WINDOW`` consecutive words of it, so that every so
-many shared words hold a cut, at the same place in every copy. From every sentence, a run goes on until it has at least two
+many shared words hold a cut, at the same place in every copy. In scripts
+without blanks every character is a word to cut at, and two count as one word
+in lengths. From every sentence, a run goes on until it has at least two
 sentences and ``RUN_WORDS`` words, and one such run goes back from every
 sentence at which none ends; runs are hashed by their words (in small letters,
 without punctuation). Where a single line break parts words without a stop,
@@ -48,16 +51,65 @@ _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
 
+def _codes(text: str) -> np.ndarray:
+    """The bytes of each character as one number."""
+    return np.array([int.from_bytes(c.encode(), "big") for c in text], np.int64)
+
+
+_WIDE_STOPS = _codes("\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u06d4\u061f")
+_CLOSERS = _codes("\u300d\u300f\uff09\u300b\u3009\u3011\u3015\uff63\u201d\u2019")
+_MARKS = np.union1d(_WIDE_STOPS, _codes("".join(map(chr, [
+    *range(0x3000, 0x3005), *range(0x3008, 0x3021), 0x3030, *range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21),
+    *range(0xFF61, 0xFF66)]))))
+#: First two bytes of the characters of scripts without blanks: Thai, Lao,
+#: Tibetan, Burmese, Khmer, kana, bopomofo, Han, Yi.
+_ALONE = np.zeros(1 << 16, bool)
+for _lo, _hi in ((0x0E00, 0x1080), (0x1780, 0x1800), (0x3040, 0x3130), (0x31C0, 0x3200), (0x3400, 0xA4C0),
+                 (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x40000)):
+    for _c in range(_lo, _hi, 16):
+        _ALONE[int.from_bytes(chr(_c).encode()[:2], "big")] = True
+
+
+class _Wide:
+    """Characters beyond Latin: ``alone`` are the bytes where those of scripts
+    without blanks begin, ``alone_end`` where they end; ``mark`` are the bytes
+    of their punctuation, ``stop`` those of stops, ``glue`` what may stand
+    between a stop and the next sentence."""
+
+    def __init__(self, buf: np.ndarray, lead: np.ndarray):
+        padded = np.concatenate([buf, np.zeros(3, np.uint8)]).astype(np.int64)
+        size = np.where(padded[lead] >= 0xF0, 4, np.where(padded[lead] >= 0xE0, 3, 2))
+        pair = padded[lead] << 8 | padded[lead + 1]
+        code = np.where(size == 3, pair << 8 | padded[lead + 2], np.where(size == 2, pair, -1))
+        marks = np.isin(code, _MARKS)
+        alone = _ALONE[pair] & ~marks & (size > 2)
+        self.alone, self.alone_end = lead[alone], (lead + size)[alone]
+        self.mark = self._bytes(len(buf), lead, size, marks)
+        stops = np.isin(code, _WIDE_STOPS)
+        self.stop = self._bytes(len(buf), lead, size, stops)
+        self.glue = A.SPACE[buf] | self._bytes(len(buf), lead, size, stops | np.isin(code, _CLOSERS))
+
+    @staticmethod
+    def _bytes(n: int, lead: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, bool)
+        for k in range(4):
+            out[lead[which & (size > k)] + k] = True
+        return out
+
 
 class _Units:
     """The pieces between the cuts ``at``: the offsets of each text's
     (``first``), their hashes ``h`` and lengths in words."""
 
-    def __init__(self, at, offsets, starts, words):
+    def __init__(self, at, offsets, starts, words, alone):
         self.at, self.first = at, np.searchsorted(at, offsets)
         self.word = np.searchsorted(starts, at)              # the first word of each
         count = np.diff(np.append(self.word, len(starts)))
         self.words = count
+        if alone is not None:
+            lone = np.concatenate([[0], np.cumsum(alone)])
+            lone = np.diff(lone[np.append(self.word, len(starts))])
+            self.words = count - lone + (lone + 1) // 2
         self.h = np.zeros(len(at), A.U64)
         if len(starts):
             place = np.arange(len(starts)) - np.repeat(self.word, count)
@@ -125,7 +177,18 @@ class Sentences:
         self.buf, self.offsets = buf, offsets
         low = A.LOWER[buf]
         word = A.WORD[low]
+        lead = np.flatnonzero(buf >= 0xD8)
+        wide = _Wide(buf, lead) if len(lead) else None
+        if wide:
+            word &= ~wide.mark
         starts, ends, _ = A.runs(word, offsets)
+        alone = None
+        if wide and len(wide.alone):
+            cuts = np.union1d(wide.alone, wide.alone_end)
+            cuts = cuts[cuts < len(buf)]
+            cuts = np.setdiff1d(cuts[word[cuts]], starts)
+            starts, ends = np.union1d(starts, cuts), np.union1d(ends, cuts)
+            alone = np.isin(starts, wide.alone)
         words = A.hash_words(low, starts, ends)
         begins = np.zeros(len(buf) + 1, bool)
         single = np.zeros(0, np.int64)
@@ -143,15 +206,19 @@ class Sentences:
             stop[inner] = _STOP[buf[gap_start[inner] - 1]]
             begins[gap_end[stop | (lines > 1)]] = True
             single = gap_end[~stop & (lines == 1)]
+        if wide and wide.stop.any():
+            glue_start, glue_end, _ = A.runs(wide.glue, offsets)
+            stops = np.concatenate([[0], np.cumsum(wide.stop)])
+            begins[glue_end[stops[glue_end] > stops[glue_start]]] = True
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
         begins[len(buf)] = False
         single = single[single < len(buf)]
         single = single[~begins[single]]
         at = np.flatnonzero(begins)
         lined = _anchored(np.union1d(at, single), starts, words)
-        self.units = [_Units(lined, offsets, starts, words)]
+        self.units = [_Units(lined, offsets, starts, words, alone)]
         if len(single):
-            self.units.append(_Units(_anchored(at, starts, words), offsets, starts, words))
+            self.units.append(_Units(_anchored(at, starts, words), offsets, starts, words, alone))
             lined = np.union1d(lined, self.units[1].at)
         self.at, self.first = lined, np.searchsorted(lined, offsets)
         self.words = np.diff(np.append(np.searchsorted(starts, lined), len(starts)))
