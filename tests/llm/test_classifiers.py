@@ -174,6 +174,30 @@ def test_empty_tables(edge, labels):
     assert {r["rejected"] for r in op10_toxicity_chain(edge, only).collect()} == {True}
 
 
+def test_repeated_ids_are_learned_once(spark, docs):
+    """A table that was ingested three times gives the same models."""
+    docs = docs.select("doc_id", "text", "lang")
+    thrice = docs.union(docs).union(docs)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    one, three = (fit_languages(d, fit_rows=60) for d in (docs, thrice))
+    assert set(three.names) == {r["lang"] for r in docs.select("lang").distinct().collect()}
+    assert np.array_equal(one.idf, three.idf) and one.limits == three.limits
+    some = pa.array([r["text"] for r in docs.limit(200).collect()])
+    one, three = (fit_quality(d, labels, fit_rows=60) for d in (docs, thrice))
+    assert np.array_equal(one.score(statistics(some)), three.score(statistics(some)))
+    one, three = (fit_toxicity(d, labels, fit_rows=300) for d in (docs, thrice))
+    assert np.array_equal(one.keys, three.keys) and np.array_equal(one.scores(some), three.scores(some))
+
+
+def test_an_id_with_texts_of_two_languages(spark, docs):
+    """Each pair of id and language is learned from its own rows."""
+    langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())[:2]
+    rows = [(i % 60, r["text"], r["lang"]) for lang in langs for i, r in enumerate(
+        docs.filter(docs["lang"] == lang).orderBy("doc_id").limit(60).collect())]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=40)
+    assert set(model.names) == set(langs)
+
+
 def test_unlabelled_languages(edge):
     rows = predict_language(edge, fit_languages(edge.withColumn("lang", edge.lang.substr(9, 1)).replace("", None)))
     assert {r["lang_pred"] for r in rows.collect()} == {"und"}

@@ -33,3 +33,9 @@ class Carried:
     def back(self, df: DataFrame) -> list:
         """Select list that gives the kept columns their names."""
         return [df[k].alias(n) for k, n in zip(self.keep, self.names, strict=True)]
+
+
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of the keys, with the ``text`` of the smallest hash."""
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    return rows.groupBy(*keys).agg(least.alias("_least")).select(*keys, F.col("_least.text").alias("text"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.llm import _arrays as A
-from wardflow.llm._columns import Carried
+from wardflow.llm._columns import Carried, one_text
 from wardflow.session import reliable_checkpoint, release
 
 FIT_ROWS = 8_000
@@ -184,8 +184,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
               .dropna().groupBy("_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("_id"), "_id").limit(fit_rows))
     # ``chosen`` holds at most ``fit_rows`` rows.
-    sample = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-              .join(F.broadcast(chosen), "_id").select("toxic", "text"))
+    rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+            .join(F.broadcast(chosen), "_id"))
+    sample = one_text(rows, "_id", "toxic").select("toxic", "text")
     sample = reliable_checkpoint(sample.mapInArrow(_sample_keys, "toxic int, keys array<long>"), "toxic-sample")
     n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if n1 in (0, n):

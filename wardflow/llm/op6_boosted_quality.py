@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.llm import _arrays as A
+from wardflow.llm._columns import one_text
 from wardflow.session import reliable_checkpoint, release
 
 FIT_ROWS = 10_000
@@ -227,11 +228,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id
               .dropna().filter(~held_out(ident)).groupBy("_id").agg(F.min("label").alias("label"))
               .orderBy(F.xxhash64("_id"), "_id").limit(fit_rows))
     # ``chosen`` holds at most ``fit_rows`` rows.
-    sample = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-              .join(F.broadcast(chosen), "_id").select("label", "text")
+    rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+            .join(F.broadcast(chosen), "_id"))
+    sample = (one_text(rows, "_id", "label").select("label", "text")
               .mapInArrow(_measure, f"label int, x {_STATS}"))
     sample = reliable_checkpoint(sample, "quality-sample")
-    rows = sample.orderBy("label", "x").limit(2 * fit_rows).collect()
+    rows = sample.orderBy("label", "x").collect()
     release(sample)
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(STATISTICS))
     return fit_trees(x, np.array([float(r["label"] > 0) for r in rows]))

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.llm import _arrays as A
+from wardflow.llm._columns import one_text
 from wardflow.session import reliable_checkpoint, release
 
 FIT_ROWS = 3_000
@@ -185,12 +186,13 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CE
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
     chosen = (rows.filter(usable).select("_id", "lang").distinct()
               .withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= fit_rows)
-              .orderBy("_turn", "lang").limit(fit_rows).select("_id").distinct())
+              .orderBy("_turn", "lang").limit(fit_rows).select("_id", "lang"))
     # ``chosen`` holds at most ``fit_rows`` rows.
-    sample = (rows.filter(usable).join(F.broadcast(chosen), "_id").select("lang", "text")
+    rows = rows.filter(usable).join(F.broadcast(chosen), ["_id", "lang"])
+    sample = (one_text(rows, "_id", "lang").select("lang", "text")
               .mapInArrow(_count, "lang string, c binary"))
     sample = reliable_checkpoint(sample, "language-sample")
-    got = sample.orderBy("lang", F.xxhash64("c")).limit(2 * fit_rows).collect()
+    got = sample.orderBy("lang", F.xxhash64("c")).collect()
     release(sample)
     names = [r["lang"] for r in got]
     c = np.frombuffer(b"".join(r["c"] for r in got), "<u2").reshape(len(got), DIMENSIONS)
