@@ -54,3 +54,30 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_
        w.doc_id = coalesce(c.component_id, w.doc_id) AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
 """
+
+_TERMS = r"regexp_extract_all(" + _LOW + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           {_TERMS.format(t="coalesce(text, '')")} AS w FROM documents),
+t AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT i) AS docs
+      FROM (SELECT i, lang, source, unnest(w) AS term FROM d) x GROUP BY ALL),
+l AS (SELECT lang, term, CAST(sum(c) AS BIGINT) AS c FROM t GROUP BY ALL HAVING sum(docs) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM l GROUP BY lang),
+k AS (SELECT g.lang, g.source, l.term, coalesce(t.c, 0) AS c, l.c AS lc FROM g JOIN l ON l.lang = g.lang
+      LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = l.term),
+n AS (SELECT lang, source, sum(c) AS n FROM k GROUP BY ALL),
+p AS (SELECT k.lang, k.source, term, c,
+        1 + (1000000000::HUGEINT * (c + 2)) // (n.n + 2 * v.v) AS p, 1 + (1000000000::HUGEINT * (lc + 2)) // (v.n + 2 * v.v) AS q
+      FROM k JOIN n ON n.lang = k.lang AND n.source = k.source JOIN v ON v.lang = k.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE c > 0 AND p > q),
+s AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM s WHERE part = 'pair' OR rank <= 10
+"""

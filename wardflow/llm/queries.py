@@ -15,6 +15,7 @@ from wardflow.llm.op7_centroid_language import op7_centroid_language
 from wardflow.llm.op8_minmax_dedup import op8_minmax_dedup
 from wardflow.llm.op9_sentence_spans import op9_sentence_spans
 from wardflow.llm.op10_toxicity_chain import op10_toxicity_chain
+from wardflow.llm.op11_pattern_tree import op11_pattern_tree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,8 @@ QUERIES = {
     "op8_minmax_dedup": _on(op8_minmax_dedup, "documents"),
     "op9_sentence_spans": _on(op9_sentence_spans, "documents"),
     "op10_toxicity_chain": _on(op10_toxicity_chain, "documents", "labels"),
+    "op11_pattern_tree": _on(op11_pattern_tree, "documents"),
 }
 #: The others have no SQL form; tests hold them against plain code.
-ORACLE = {"op2_ball_tree": oracles.OP2, "op5_wu_manber": oracles.OP5, "op8_minmax_dedup": oracles.OP8}
+ORACLE = {"op2_ball_tree": oracles.OP2, "op5_wu_manber": oracles.OP5, "op8_minmax_dedup": oracles.OP8,
+          "op11_pattern_tree": oracles.OP11}
