@@ -16,6 +16,7 @@ from wardflow.llm.op8_minmax_dedup import op8_minmax_dedup
 from wardflow.llm.op9_sentence_spans import op9_sentence_spans
 from wardflow.llm.op10_toxicity_chain import op10_toxicity_chain
 from wardflow.llm.op11_pattern_tree import op11_pattern_tree
+from wardflow.llm.op12_bond_negatives import op12_bond_negatives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +42,8 @@ QUERIES = {
     "op9_sentence_spans": _on(op9_sentence_spans, "documents"),
     "op10_toxicity_chain": _on(op10_toxicity_chain, "documents", "labels"),
     "op11_pattern_tree": _on(op11_pattern_tree, "documents"),
+    "op12_bond_negatives": _on(op12_bond_negatives, "embeddings"),
 }
 #: The others have no SQL form; tests hold them against plain code.
 ORACLE = {"op2_ball_tree": oracles.OP2, "op5_wu_manber": oracles.OP5, "op8_minmax_dedup": oracles.OP8,
-          "op11_pattern_tree": oracles.OP11}
+          "op11_pattern_tree": oracles.OP11, "op12_bond_negatives": oracles.OP12}
