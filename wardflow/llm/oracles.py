@@ -100,3 +100,22 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
   AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
 QUALIFY rank <= 3
 """
+
+OP13 = """
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT i, c, substr(x, 2 * c + 1, 1198) AS x
+      FROM (SELECT i, x, unnest(range(0, len(x) // 2 - 399, 200)) AS c FROM d WHERE len(x) >= 800) y),
+w AS (SELECT i, c + k AS k, hash(substr(x, 2 * k + 1, 800)) AS h, hash(substr(x, 2 * k + 1, 800) || 'x') AS g
+      FROM (SELECT i, c, x, unnest(range(0, len(x) // 2 - 399)) AS k FROM b) y),
+r AS (SELECT i, k FROM w JOIN (SELECT h, g FROM w GROUP BY h, g HAVING count(*) > 1) t ON t.h = w.h AND t.g = w.g),
+e AS (SELECT i, k, CASE WHEN k <= 400 + lag(k) OVER (PARTITION BY i ORDER BY k) THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT i, min(k) AS a, max(k) + 400 AS z
+      FROM (SELECT i, k, sum(new) OVER (PARTITION BY i ORDER BY k) AS run FROM e) u GROUP BY i, run),
+c AS (SELECT i, a, z, coalesce(lag(z) OVER (PARTITION BY i ORDER BY a), 0) AS before FROM s),
+l AS (SELECT d.i, sum(z - a) AS n_removed, count(*) AS n_spans,
+             string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS left_
+      FROM c JOIN d ON d.i = c.i GROUP BY d.i)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_, x))) AS kept_sha256
+FROM d LEFT JOIN l ON l.i = d.i
+"""

@@ -17,6 +17,7 @@ from wardflow.llm.op9_sentence_spans import op9_sentence_spans
 from wardflow.llm.op10_toxicity_chain import op10_toxicity_chain
 from wardflow.llm.op11_pattern_tree import op11_pattern_tree
 from wardflow.llm.op12_bond_negatives import op12_bond_negatives
+from wardflow.llm.op13_column_bwt import op13_column_bwt
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,9 @@ QUERIES = {
     "op10_toxicity_chain": _on(op10_toxicity_chain, "documents", "labels"),
     "op11_pattern_tree": _on(op11_pattern_tree, "documents"),
     "op12_bond_negatives": _on(op12_bond_negatives, "embeddings"),
+    "op13_column_bwt": _on(op13_column_bwt, "documents"),
 }
 #: The others have no SQL form; tests hold them against plain code.
 ORACLE = {"op2_ball_tree": oracles.OP2, "op5_wu_manber": oracles.OP5, "op8_minmax_dedup": oracles.OP8,
-          "op11_pattern_tree": oracles.OP11, "op12_bond_negatives": oracles.OP12}
+          "op11_pattern_tree": oracles.OP11, "op12_bond_negatives": oracles.OP12,
+          "op13_column_bwt": oracles.OP13}
