@@ -58,6 +58,8 @@ SCALE = 1_000_000_000
 #: Terms are runs of ASCII letters and non-ASCII characters, A-Z lower-cased.
 LETTER = np.zeros(256, dtype=bool)
 LETTER[97:123] = LETTER[128:] = True
+#: Text that is counted at once in a task.
+PIECE_BYTES = 6 << 20
 #: Node-ancestor combinations that are handled at once in a task.
 COMBINATIONS = 1 << 20
 
@@ -102,7 +104,7 @@ def _batch_counts(lang, source, text) -> pa.RecordBatch:
 
 def _count(batches):
     for whole in batches:
-        for batch in A.slices(whole, "text"):
+        for batch in A.slices(whole, "text", PIECE_BYTES):
             yield _batch_counts(*(batch.column(c) for c in ("lang", "source", "text")))
 
 
@@ -207,7 +209,10 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TE
     # Node-ancestor corrections of the tree.
     path = F.sort_array(F.collect_list(F.struct("source", "p", "p0"))).alias("path")
     paths = items.groupBy("lang", "term").agg(path).groupBy("lang", "path").agg(F.count("*").alias("times"))
-    paths = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # Dealt by their first items: keys that the driver samples stay short. Paths
+    # that begin alike may be split by their hash.
+    paths = paths.repartitionByRange("lang", F.slice("path", 1, 2), F.xxhash64("path")).sortWithinPartitions(
+        "lang", "path")
     both = paths.mapInArrow(_insert, "lang string, source string, item string, value long")
 
     # What depends on one of the two sources only, and the shares of unused terms.
