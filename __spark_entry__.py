@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from wardflow import constants as K  # noqa: E402
-from wardflow.functions import encoding, scores  # noqa: E402
+from wardflow.functions import encoding, scores, trees  # noqa: E402
 from wardflow.operators import filters, groups, inspect, queue  # noqa: E402
 from wardflow.operators import model as ml  # noqa: E402
 from wardflow.operators import questions as qlog  # noqa: E402
@@ -147,6 +147,14 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.model_metrics(_score(spark, sf_dir))
 
 
+def _fixed_trees(df: DataFrame) -> DataFrame:
+    """G2 of a tree file that does not depend on a fit."""
+    with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "oracle_trees.json")) as f:
+        ensemble = trees.from_json(f.read())
+    return ml.score_patients(ensemble, df).select(
+        "patient_id", "label", "prediction", F.round("score", 9).alias("score"), "percentage")
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.feature_vectors(patient_table(spark, sf_dir))
 
@@ -267,6 +275,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["feature_select"] = _features
     q["train_risk_model"] = _train
     q["score_patients"] = _score
+    q["score_fixed_trees"] = _p(_fixed_trees)
     q["model_metrics"] = _metrics
     q["model_metrics_fixed_score"] = _p(_fixed_metrics)
     q["full_run"] = _full_run

@@ -594,3 +594,17 @@ ORACLE["model_metrics_fixed_score"] = with_patients(
     "+ (count(*) OVER (PARTITION BY priority_score) - 1) / " + d(2.0) + " AS r, "
     "CAST(sum(label) OVER () AS DOUBLE) AS p, CAST(count(*) OVER () AS DOUBLE) AS n FROM patients) x GROUP BY p, n")
 ORACLE["full_run_list"] = with_patients(f"SELECT * FROM patients WHERE readmit_risk > {d(0.7)}")
+
+# The trees of oracle_trees.json, written out by hand.
+_FIXED_MARGIN = (
+    "CASE WHEN age <= 70 THEN "
+    f"CASE WHEN los <= 5 THEN {d(-1.5)} WHEN season = 'Winter' THEN {d(0.25)} ELSE {d(-0.75)} END "
+    f"WHEN cost_estimate > 6000 THEN {d(1.25)} WHEN cancel_risk <= {d(0.3)} THEN {d(-0.125)} ELSE {d(0.5)} END "
+    f"+ {d(0.1)} * CASE WHEN priority_score <= {d(0.4)} THEN "
+    f"CASE WHEN specialty = 'General Surgery' THEN {d(0.5)} ELSE {d(-2.0)} END "
+    f"WHEN gender = 'M' THEN {d(3.0)} ELSE {d(1.0)} END + {d(0.1)} * {d(0.625)}")
+ORACLE["score_fixed_trees"] = with_patients(
+    "SELECT patient_id, label, CAST(m > 0 AS INTEGER) AS prediction, round(s, 9) AS score, "
+    "round_even(100.0::DOUBLE * s, 2) AS percentage "
+    f"FROM (SELECT *, {d(1.0)} / ({d(1.0)} + exp({d(-2.0)} * m)) AS s "
+    f"FROM (SELECT *, {_FIXED_MARGIN} AS m FROM patients) x) y")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardflow.functions import encoding
 from wardflow.operators import inspect
@@ -90,6 +91,10 @@ def test_first_patients_equals_preview_of_table(spark, patients_small):
     assert "LeftSemi" in plan
 
 
+def _folder(spark, name):
+    return next(r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect() if r.key == sinks.CURRENT)
+
+
 def test_a_foreign_folder_is_left_alone(spark, patients_small):
     import os
     where = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
@@ -97,9 +102,70 @@ def test_a_foreign_folder_is_left_alone(spark, patients_small):
     os.makedirs(folder)
     with open(os.path.join(folder, "keep.txt"), "w") as f:
         f.write("mine")
-    with pytest.raises(Exception, match="LOCATION_ALREADY_EXISTS"):
-        sinks.write_patient_table(patients_small, "foreign_table")
+    assert sinks.write_patient_table(patients_small, "foreign_table").count() == 1500
     assert os.listdir(folder) == ["keep.txt"]
+    patients_small.limit(3).write.saveAsTable("table_of_another")
+    with pytest.raises(ValueError, match="not written by this function"):
+        sinks.write_patient_table(patients_small, "table_of_another")
+    assert spark.table("table_of_another").count() == 3
+
+
+def test_readers_see_the_old_table_or_the_new(spark, patients_small):
+    """Reads go on while the table is overwritten again and again, with a
+    schema that changes."""
+    import threading
+    name = "switched_table"
+    sinks.write_patient_table(patients_small.limit(100).withColumn("v", F.lit(0)), name)
+    seen, failed, stop = set(), [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                df = spark.table(name)
+                rows = df.collect()
+                seen.add((len(rows), len(df.columns), frozenset(r.v for r in rows)))
+            except Exception as e:  # noqa: BLE001 - any error is what must not happen
+                failed.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    written = {(100, 14, frozenset({0}))}
+    for v in range(1, 6):
+        df = patients_small.limit(100 + v).withColumn("v", F.lit(v))
+        df = df.withColumn("w", F.lit(v)) if v % 2 else df
+        sinks.write_patient_table(df, name)
+        written.add((100 + v, 14 + v % 2, frozenset({v})))
+    stop.set()
+    reader.join()
+    assert not failed and seen <= written
+    assert spark.table(name).count() == 105
+
+
+def test_a_reader_that_has_begun_goes_on(spark, patients_small):
+    name = "begun_table"
+    old = sinks.write_patient_table(patients_small.limit(10), name)
+    new = sinks.write_patient_table(patients_small.limit(20), name)
+    assert old.count() == 10 and new.count() == 20
+    grown = sinks.write_patient_table(spark.table(name).unionByName(patients_small.limit(5)), name)
+    assert grown.count() == 25
+
+
+def test_a_failed_write_leaves_the_old_table(spark, patients_small):
+    name = "failed_table"
+    sinks.write_patient_table(patients_small.limit(10), name)
+    before = _folder(spark, name)
+    with pytest.raises(Exception, match="broken row"):
+        sinks.write_patient_table(patients_small.withColumn("x", F.raise_error(F.lit("broken row")).cast("int")), name)
+    assert _folder(spark, name) == before and spark.table(name).count() == 10
+
+
+def test_only_two_versions_are_kept(spark, patients_small):
+    import os
+    name = "kept_table"
+    for n in range(1, 5):
+        sinks.write_patient_table(patients_small.limit(n), name)
+    where = os.path.dirname(_folder(spark, name)).removeprefix("file:")
+    assert len(os.listdir(where)) == 2
 
 
 def test_release_deletes_the_copies_of_a_result(spark, patients_small):
@@ -107,7 +173,7 @@ def test_release_deletes_the_copies_of_a_result(spark, patients_small):
 
     from wardflow.operators import queue
     from wardflow.session import release, scratch_root
-    done = queue.capacity_scheduled(patients_small, num_partitions=3)
+    done = queue.capacity_scheduled(patients_small)
     assert done.count() == 1500
     folders = {f.removeprefix("file://").rsplit("/", 1)[0] for f in done.inputFiles() if scratch_root(spark)[-20:] in f}
     assert len(folders) == 1 and all(map(os.path.exists, folders))
@@ -121,6 +187,33 @@ def test_cluster_refuses_a_local_folder():
     for folder in ("file:///tmp/x", "/tmp/x"):
         with pytest.raises(RuntimeError):
             _shared(folder, "spark://host:7077")
+    # What counts is the file system that the folder belongs to.
+    assert _shared("/user/me/x", "yarn", "hdfs://name:8020/user/me/x") == "/user/me/x"
+    with pytest.raises(RuntimeError, match="sharedMount"):
+        _shared("/mnt/x", "yarn", "file:/mnt/x")
+    assert _shared("/mnt/x", "yarn", "file:/mnt/x", allow_file=True) == "/mnt/x"
+
+
+def test_a_folder_is_judged_by_its_file_system(spark):
+    from wardflow.session import SHARED_MOUNT, _checked
+    with pytest.raises(RuntimeError, match="local to one machine"):
+        _checked(spark, "/user/me/x", "yarn")
+    spark.conf.set(SHARED_MOUNT, "true")
+    try:
+        assert _checked(spark, "/user/me/x", "yarn") == "/user/me/x"
+    finally:
+        spark.conf.unset(SHARED_MOUNT)
+    # A default file system that is not this machine's.
+    conf = spark._jsparkSession.sparkContext().hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://store/")
+    conf.set("fs.viewfs.mounttable.store.link./user", "file:///tmp")
+    spark.conf.set("fs.defaultFS", "viewfs://store/")
+    try:
+        assert _checked(spark, "/user/me/x", "yarn") == "/user/me/x"
+    finally:
+        spark.conf.unset("fs.defaultFS")
+        conf.set("fs.defaultFS", before)
 
 
 def test_sample_plan_meets_one_partition_only_over_bucket_counts(patients_small):

@@ -134,14 +134,14 @@ def test_small_uplift_of_a_large_capacity(spark):
 
 
 @pytest.mark.parametrize("op", ["capacity_scheduled", "optimized_schedule"])
-def test_single_partition_only_over_partition_counts(patients_small, op):
+def test_single_partition_only_over_step_totals(patients_small, op):
     out = getattr(queue, op)(patients_small)
     lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
     singles = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
-    assert singles, "expected the offsets window over the partition counts"
+    assert singles, "expected the window over the totals of the score's steps"
     for i in singles:
         child = lines[i + 1]
-        assert "HashAggregate" in child and "_wf_part" in child and "_wf_n" in child, child
+        assert "HashAggregate(keys=[_wf_step" in child and "_wf_n" in child, child
 
 
 def test_group_counts_sum_to_n_and_weeks_fill(patients_small):
@@ -175,3 +175,55 @@ def test_closed_forms_random(spark):
             assert (r.moved, r.treated) == (b["moved"], b["treated"]), (base, pct, r)
             assert r.avg_saved == pytest.approx(b["saved"] / r.total_patients) if r.total_patients else (
                 r.avg_saved is None)
+
+
+def _window_order(rows):
+    """Rows (id, score, wait) in queue order, plainly."""
+    low = float("-inf")
+    return [r[0] for r in sorted(rows, key=lambda r: (
+        -(low if r[1] is None else r[1]), -(low if r[2] is None else r[2]), r[0] is not None, r[0] or 0))]
+
+
+@pytest.mark.parametrize("block_bits", [0, 3, 20])
+def test_counted_positions_of_a_hot_pair(spark, block_bits):
+    """A third of the rows share one pair; ids are far apart and negative too."""
+    n = 3000
+    rows = [((i * 7919 % n - 900) * 1_000_003, 0.5 if i % 3 == 0 else (i % 101) / 100, 40 if i % 3 == 0 else i % 17)
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "patient_id long, score double, wait int").repartition(5)
+    got = queue.counted_positions(df, "score", "wait", block_bits=block_bits).orderBy("queue_position").collect()
+    assert [r.queue_position for r in got] == list(range(1, n + 1))
+    assert [r.patient_id for r in got] == _window_order(rows)
+
+
+def test_counted_positions_with_missing_values(spark):
+    rows = [(1, None, 3), (2, 0.1, None), (3, 0.1, 5), (None, 0.1, 5), (4, None, None), (5, -0.7, 5), (6, 0.1, 5),
+            (7, 1e9, 0), (8, -1e9, 0), (9, 0.1004, 0), (10, 0.1001, 9), (11, 2e9, 1)]
+    df = spark.createDataFrame(rows, "patient_id long, score double, wait int")
+    got = queue.counted_positions(df, "score", "wait").orderBy("queue_position").collect()
+    assert [r.patient_id for r in got] == _window_order(rows)
+    assert [r.queue_position for r in got] == list(range(1, len(rows) + 1))
+    assert queue.counted_positions(df.limit(0), "score", "wait").count() == 0
+
+
+def test_counted_positions_plan(spark):
+    """No range sort, one exchange of whole rows, and a written table of counts only."""
+    from wardflow.sources.patients import patient_table
+    done = queue.capacity_scheduled(patient_table(spark, "/root/testdata/sf0.01"))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_wf_b#" in line]
+    assert len(wide) == 1
+    written = [f for f in done.inputFiles() if "/positions-" in f]
+    assert written and spark.read.parquet(written[0].rsplit("/", 1)[0]).columns == [
+        "_wf_s", "_wf_w", "_wf_b", "_wf_n", "_wf_step"]
+    # The counts follow the pairs, not the patients.
+    assert spark.read.parquet(written[0].rsplit("/", 1)[0]).count() < 3000
+
+
+def test_one_patient_list_three_queues(patients_small):
+    """Counted positions agree with the general numbering."""
+    got = queue.optimized_schedule(patients_small).select("patient_id", "queue_position")
+    scored = patients_small.withColumn("combined_score", queue.scores.combined_score(0.3))
+    ref = queue.global_positions(scored, [F.desc("combined_score"), F.desc("wait_days"), F.asc("patient_id")])
+    assert got.exceptAll(ref.select("patient_id", "queue_position")).count() == 0 and got.count() == 1500

@@ -86,6 +86,8 @@ MODEL_STEP_SIZE = 0.1
 MODEL_ROUNDS = 50
 MODEL_SUBSAMPLE = 0.8
 MODEL_SEED = 42
+# Not the application's: quantile bins of the numeric features.
+MODEL_BINS = 32
 
 # --- FIXED VALUES: question intents, tried in this order; first match wins ---
 QUESTION_PATTERNS = [

@@ -1,19 +1,22 @@
 """Ops F1-F11: high-risk list, queue positions, capacity and schedule.
 
-Queue positions (F2) are a global row number over a total order. A
+Queue positions (F2, F4, F7) are a global row number over a total order. A
 ``row_number()`` window without a partition would move every row into one
-task, so positions are numbered in two distributed passes instead:
-
-1. range-partition the rows on the total order (the order ends with the
-   unique ``patient_id``, so even a sort key holding a third of all rows is
-   split across many partitions), sort within each partition, and tag each
-   row with ``monotonically_increasing_id`` (partition index in the upper
-   bits, row index within the partition in the lower 33 bits);
-2. write that once to the checkpoint folder, so both passes see the same
-   partitions even after executor loss; count rows per partition (one row
-   per partition), turn the counts into offsets with a window over that
-   tiny table, and broadcast the offsets back (their size is the partition
-   count, a proven bound).
+task. Waiting lists have few different (score, wait) pairs and very many
+patients, so ranks are counted in two levels (``counted_positions``):
+
+1. patients are counted per pair and block of ``2^BLOCK_BITS`` consecutive
+   ids, a map-side aggregation of three columns. Running sums over that table
+   give the number of patients before each block. They run inside steps of a
+   thousandth of the score and over the steps' totals, so no task meets more
+   than the blocks of one step;
+2. a row's position is that number plus its rank by id inside its block, a
+   window over (pair, block). Ids are unique, so such a window holds at most
+   ``2^BLOCK_BITS`` rows, whatever share of the patients one pair has.
+
+Rows are shuffled once, by hash; nothing is range-sorted and no copy of the
+rows is written (only the table of counts is). ``global_positions`` numbers
+rows by any other total order, with a range sort and a written copy.
 
 Figures that depend only on the number of patients (F5, F6, F8, F9, F10)
 need no sort at all: positions are always exactly 1..N, so they are closed
@@ -31,6 +34,10 @@ from wardflow.operators import filters
 from wardflow.session import reliable_checkpoint
 
 _ROW_BITS = 33
+#: Ids of a block: 2^BLOCK_BITS.
+BLOCK_BITS = 20
+#: Steps of the score over which the counts are summed up in two levels.
+SCORE_STEPS = 1000.0
 
 
 def new_capacity(baseline_capacity: int, uplift_percentage: float) -> int:
@@ -43,9 +50,13 @@ def new_capacity(baseline_capacity: int, uplift_percentage: float) -> int:
 
 def global_positions(df: DataFrame, order: list[Column], name: str = "queue_position",
                      num_partitions: int | None = None) -> DataFrame:
-    """Adds ``name`` = 1..N following ``order`` (which must be a total order).
+    """Adds ``name`` = 1..N following ``order`` (any total order).
 
-    Distributed two-pass numbering, see the module docstring.
+    The rows are range-partitioned and sorted, tagged with
+    ``monotonically_increasing_id`` (partition index in the upper bits, row
+    index in the lower 33) and written once to the checkpoint folder, so both
+    passes see the same partitions. The counts per partition become offsets;
+    they are broadcast (their size is the partition count).
     """
     ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
               else df.repartitionByRange(*order))
@@ -63,6 +74,37 @@ def global_positions(df: DataFrame, order: list[Column], name: str = "queue_posi
                .drop("_wf_part", "_wf_offset", "_wf_mid"))
 
 
+def counted_positions(df: DataFrame, score: str, wait: str, id_col: str = "patient_id",
+                      name: str = "queue_position", block_bits: int = BLOCK_BITS) -> DataFrame:
+    """Adds ``name`` = 1..N by ``score`` desc, ``wait`` desc, id asc.
+
+    Ranks are counted, see the module docstring. A missing score or wait is
+    the lowest, a missing id the first. Ids should be unique; rows that share
+    one are numbered in any order among themselves.
+    """
+    low = F.lit(float("-inf"))
+    keyed = df.withColumns({
+        "_wf_s": F.coalesce(F.col(score).cast("double"), low),
+        "_wf_w": F.coalesce(F.col(wait).cast("double"), low),
+        "_wf_b": F.coalesce(F.shiftright(F.col(id_col).cast("long"), block_bits), F.lit(-1 << 62))})
+    block = ["_wf_s", "_wf_w", "_wf_b"]
+    counts = keyed.groupBy(*block).agg(F.count(F.lit(1)).alias("_wf_n"))
+    steps = F.floor(F.greatest(F.least("_wf_s", F.lit(SCORE_STEPS)), F.lit(-SCORE_STEPS)) * F.lit(SCORE_STEPS))
+    counts = reliable_checkpoint(counts.withColumn("_wf_step", steps), "positions")
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_wf_step").orderBy(
+        F.desc("_wf_s"), F.desc("_wf_w"), F.asc("_wf_b")).rowsBetween(*earlier)
+    # At most two million steps, and in practice one for each score.
+    over = Window.orderBy(F.desc("_wf_step")).rowsBetween(*earlier)
+    totals = counts.groupBy("_wf_step").agg(F.sum("_wf_n").alias("_wf_t")).select(
+        "_wf_step", F.coalesce(F.sum("_wf_t").over(over), F.lit(0)).alias("_wf_t"))
+    before = (counts.withColumn("_wf_in", F.coalesce(F.sum("_wf_n").over(inside), F.lit(0)))
+              .join(totals, "_wf_step").select(*block, (F.col("_wf_in") + F.col("_wf_t")).alias("_wf_before")))
+    rank = F.row_number().over(Window.partitionBy(*block).orderBy(F.asc(id_col)))
+    return (keyed.withColumn("_wf_r", rank).join(before, block)
+            .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_wf_before") + F.col("_wf_r")).alias(name)))
+
+
 def _week(position: Column, capacity: int) -> Column:
     return F.ceil(position / F.lit(float(capacity))).cast("int")
 
@@ -75,10 +117,9 @@ def high_risk_patients(df: DataFrame, threshold: float = K.HIGH_RISK_THRESHOLD)
         F.desc("readmit_risk"), F.asc("patient_id"))
 
 
-def queue_position(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def queue_position(df: DataFrame) -> DataFrame:
     """position by priority desc, wait desc; ties keep id order."""
-    return global_positions(df, [F.desc("priority_score"), F.desc("wait_days"),
-                                 F.asc("patient_id")], num_partitions=num_partitions)
+    return counted_positions(df, "priority_score", "wait_days")
 
 
 def assign_week(position: str | Column, capacity: int) -> Column:
@@ -87,22 +128,19 @@ def assign_week(position: str | Column, capacity: int) -> Column:
 
 
 def capacity_scheduled(df: DataFrame, baseline_capacity: int = K.BASELINE_CAPACITY_DEFAULT,
-                       uplift_percentage: float = K.UPLIFT_PERCENT_DEFAULT,
-                       num_partitions: int | None = None) -> DataFrame:
+                       uplift_percentage: float = K.UPLIFT_PERCENT_DEFAULT) -> DataFrame:
     """patient rows with queue position and week under both capacities."""
     cap = new_capacity(baseline_capacity, uplift_percentage)
-    q = queue_position(df, num_partitions)
+    q = queue_position(df)
     return (q.withColumn("baseline_week", assign_week("queue_position", baseline_capacity))
              .withColumn("new_week", assign_week("queue_position", cap)))
 
 
 def optimized_schedule(df: DataFrame, weekly_capacity: int = K.WEEKLY_CAPACITY_DEFAULT,
-                       risk_weight: float = K.RISK_WEIGHT_DEFAULT,
-                       num_partitions: int | None = None) -> DataFrame:
+                       risk_weight: float = K.RISK_WEIGHT_DEFAULT) -> DataFrame:
     """combined score, position by (combined desc, wait desc), week."""
     scored = df.withColumn("combined_score", scores.combined_score(risk_weight))
-    q = global_positions(scored, [F.desc("combined_score"), F.desc("wait_days"),
-                                  F.asc("patient_id")], num_partitions=num_partitions)
+    q = counted_positions(scored, "combined_score", "wait_days")
     return q.withColumn("scheduled_week", assign_week("queue_position", weekly_capacity))
 
 

@@ -10,6 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Session setting: paths of the local file system are a mount that every
+#: machine of the cluster shares.
+SHARED_MOUNT = "spark.wardflow.sharedMount"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "wardflow") -> SparkSession:
     """Session used by tests and ``bench.py``; clusters bring their own."""
@@ -27,20 +32,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def _shared(folder: str, master: str) -> str:
-    """``folder``, unless it is machine-local while the session is a cluster's."""
-    if not master.startswith("local") and folder.startswith(("file:", "/")):
-        raise RuntimeError(f"{folder} is local to one machine; set a folder "
-                           "that all executors share")
+def _shared(folder: str, master: str, resolved: str | None = None, allow_file: bool = False) -> str:
+    """``folder``, unless it is machine-local while the session is a cluster's.
+    ``resolved`` is the folder with its file system (a path without a scheme
+    belongs to the cluster's default one); ``allow_file`` says that ``file:``
+    paths are a mount that all machines share."""
+    if not master.startswith("local") and not allow_file and (resolved or folder).startswith(("file:", "/")):
+        raise RuntimeError(f"{folder} is local to one machine; set a folder that all executors share, or, "
+                           f"if it is a shared mount, {SHARED_MOUNT}=true")
     return folder
 
 
+def _checked(spark: SparkSession, folder: str, master: str) -> str:
+    where, system = _located(spark, folder)
+    allow = spark.conf.get(SHARED_MOUNT, "false").lower() == "true"
+    return _shared(folder, master, system.makeQualified(where).toString(), allow)
+
+
 def require_shared(spark: SparkSession, setting: str) -> None:
     """Error if the folder that ``setting`` names is machine-local on a cluster."""
     master = spark.conf.get("spark.master", "local")
     folder = spark.conf.get(setting, None)
     if folder:
-        _shared(folder, master)
+        _checked(spark, folder, master)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -60,10 +74,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set on the server") from None
     current = sc.getCheckpointDir()
     if current:
-        return _shared(current, sc.master)
+        return _checked(spark, current, sc.master)
     configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(_shared(configured, sc.master))
+        sc.setCheckpointDir(_checked(spark, configured, sc.master))
         return sc.getCheckpointDir() or configured
     if not sc.master.startswith("local"):
         raise RuntimeError(
@@ -97,11 +111,21 @@ def reliable_checkpoint(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _located(spark: SparkSession, path: str):
+    """A path and its own file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where, system = _located(spark, path)
+    return bool(system.exists(where))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete one folder through its own file system."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    where, system = _located(spark, path)
+    system.delete(where, True)
 
 
 def release(*frames: DataFrame, spark: SparkSession | None = None, only: tuple[str, ...] = ()) -> None:

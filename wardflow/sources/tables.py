@@ -9,6 +9,7 @@ season depend on the session time zone).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 INPUT_SCHEMAS = {
     "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
@@ -23,3 +24,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in INPUT_SCHEMAS:
         reader = reader.schema(INPUT_SCHEMAS[name])
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def file_states(spark: SparkSession, sf_dir: str, name: str) -> list[str]:
+    """What tells one state of a table's files from another (names, sizes,
+    times, in one row for any number of files), without reading them."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    each = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    return [str(x) for x in files.agg(F.count("path"), F.sum("length"), F.sum(each), F.max("modificationTime")).first()]
