@@ -86,10 +86,19 @@ def feature_cuts(df: DataFrame, bins: int = K.MODEL_BINS) -> dict[str, list[floa
     return {c: sorted(set(found[c] or [])) for c in K.NUMERIC_FEATURES}
 
 
+def _cuts_below(value: Column, cuts: list[float], first: int = 0) -> Column:
+    """Number of cuts below ``value``, by halving: a row meets log2 of them."""
+    if not cuts:
+        return F.lit(float(first))
+    mid = len(cuts) // 2
+    return F.when(value <= F.lit(cuts[mid]), _cuts_below(value, cuts[:mid], first)).otherwise(
+        _cuts_below(value, cuts[mid + 1:], first + mid + 1))
+
+
 def bin_numbers(cuts: dict[str, list[float]]) -> dict[str, Column]:
     """Each numeric feature as the number of cuts below its value."""
     values = feature_expressions()
-    return {c: sum([(values[c] > x).cast("int") for x in cuts[c]], F.lit(0)).cast("double") for c in K.NUMERIC_FEATURES}
+    return {c: _cuts_below(values[c], cuts[c]) for c in K.NUMERIC_FEATURES}
 
 
 def training_cells(df: DataFrame, bins: int = K.MODEL_BINS) -> tuple[DataFrame, dict[str, list[float]]]:
@@ -101,7 +110,8 @@ def training_cells(df: DataFrame, bins: int = K.MODEL_BINS) -> tuple[DataFrame,
         label.cast("double").alias("label"), *[c.alias(n) for n, c in known.items()],
         *[e.alias(c) for c, e in feature_expressions().items() if c in K.NUMERIC_FEATURES]), "training-rows")
     cuts = feature_cuts(narrow, bins)
-    binned = narrow.select("label", *encoding.CATEGORICALS, *[e.alias(c) for c, e in bin_numbers(cuts).items()])
+    binned = narrow.select("label", *encoding.CATEGORICALS, *[
+        _cuts_below(F.col(c), cuts[c]).alias(c) for c in K.NUMERIC_FEATURES])
     cells = binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     cells = reliable_checkpoint(cells, "training-cells")
     release(narrow)

@@ -72,6 +72,16 @@ def base_cells(patients: DataFrame) -> DataFrame:
             .drop("_gid")
 
 
+def merged_cells(*tables: DataFrame) -> DataFrame:
+    """Cell tables of different patients as one: sums are added by key. The
+    result is as large as the value domains, whatever was added."""
+    keys = ["kind", "specialty", "age", "season", "readmit_risk"]
+    out = tables[0].select(*keys, *_SUMS)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(*keys, *_SUMS))
+    return out.groupBy(*keys).agg(*_sums())
+
+
 def prepared_cells(patients: DataFrame) -> DataFrame:
     """The base cells, written once to the checkpoint folder (a table whose
     size follows the value domains, not the number of patients)."""
@@ -295,14 +305,15 @@ def _preview_answers(prep: DataFrame, rows: DataFrame, ids: list[str]) -> DataFr
              .select(*ids, "intent", "route", "r.group_key", F.explode("r.metrics").alias("m")))
 
 
-def answer_questions(qlog: DataFrame, patients: DataFrame, question: str = "question",
+def answer_questions(qlog: DataFrame, patients: DataFrame | None, question: str = "question",
                      ids: Sequence[str] | None = None, cells: DataFrame | None = None,
                      preview: DataFrame | None = None) -> DataFrame:
     """H4: every question of ``qlog`` answered; columns ``ids``, intent,
     route, group_key, metric, value, text_value. ``cells`` may be passed in
     (from ``prepared_cells``) when many logs are answered from one table;
     ``preview`` (the first ten patients, e.g. from ``first_patients``) when
-    it can be read more cheaply than from ``patients``.
+    it can be read more cheaply than from ``patients``. With both, no
+    patients are needed.
     """
     ids = [c for c in qlog.columns if c != question] if ids is None else list(ids)
     # Each text is classified and parsed exactly once: the prepared rows

@@ -122,6 +122,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(system.exists(where))
 
 
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it does not exist."""
+    where, system = _located(spark, path)
+    if not system.exists(where):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(where) if s.isDirectory())
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete one folder through its own file system."""
     where, system = _located(spark, path)
