@@ -223,3 +223,40 @@ def test_sample_plan_meets_one_partition_only_over_bucket_counts(patients_small)
     assert singles
     for i in singles:
         assert "HashAggregate" in lines[i + 1] and "_wf_b" in lines[i + 1], lines[i + 1]
+
+
+def test_adhoc_sql_leaves_the_callers_view(spark, patients_small):
+    spark.range(3).createOrReplaceTempView("patients")
+    try:
+        before = {t.name for t in spark.catalog.listTables()}
+        got = inspect.adhoc_sql(spark, patients_small, "SELECT count(*) AS n FROM patients")
+        assert got.first().n == 1500 and spark.table("patients").count() == 3
+        assert {t.name for t in spark.catalog.listTables()} == before
+        two = inspect.adhoc_sql(spark, patients_small.limit(7), "SELECT * FROM patients")
+        assert two.count() == 7 and got.first().n == 1500
+    finally:
+        spark.catalog.dropTempView("patients")
+
+
+def test_adhoc_sql_forms(spark, patients_small):
+    run = lambda q, **k: inspect.adhoc_sql(spark, patients_small, q, **k)
+    ordered = [r.patient_id for r in run("SELECT patient_id FROM patients ORDER BY patient_id DESC LIMIT 3;").collect()]
+    assert ordered == [1500, 1499, 1498]
+    assert run("WITH a AS (SELECT age FROM patients) SELECT max(age) AS m FROM a -- the oldest").first().m <= 120
+    assert run("SELECT count(*) AS n FROM patients WHERE age > :a", args={"a": 200}).first().n == 0
+    assert run("SELECT regexp_extract('aab', 'a{2}', 0) AS x FROM patients LIMIT 1").first().x == "aa"
+    assert run("SELECT 1 AS n FROM patients p WHERE EXISTS (SELECT 1 FROM patients q WHERE q.age > p.age)").count() > 0
+    assert run("SELECT count(*) AS n FROM p", view="p").first().n == 1500
+
+
+@pytest.mark.parametrize("text", [
+    "DROP TABLE adhoc_kept", "DROP VIEW adhoc_kept", "INSERT INTO adhoc_kept VALUES (1)", "TRUNCATE TABLE adhoc_kept",
+    "CREATE TABLE adhoc_new AS SELECT 1", "SELECT 1; DROP TABLE adhoc_kept", "SET spark.sql.shuffle.partitions=3",
+    "CACHE TABLE patients", "SELECT 1) INSERT INTO adhoc_kept VALUES (2", "SELECT 1); DROP TABLE adhoc_kept --"])
+def test_adhoc_sql_refuses_anything_but_queries(spark, patients_small, text):
+    from pyspark.errors import ParseException
+    if not spark.catalog.tableExists("adhoc_kept"):
+        spark.range(2).write.saveAsTable("adhoc_kept")
+    with pytest.raises(ParseException):
+        inspect.adhoc_sql(spark, patients_small, text)
+    assert spark.table("adhoc_kept").count() == 2 and not spark.catalog.tableExists("adhoc_new")

@@ -17,10 +17,19 @@ _SAMPLE_BUCKETS = 16 ** _SAMPLE_BUCKET_HEX
 
 def adhoc_sql(spark: SparkSession, df: DataFrame, query: str, args: dict | None = None,
               view: str = "patients") -> DataFrame:
-    """A4: run SQL text against the patient table registered as ``view``.
-    Errors surface to the caller."""
-    df.createOrReplaceTempView(view)
-    return spark.sql(query, args) if args else spark.sql(query)
+    """A4: run a query against the patient table, which it names ``view``.
+
+    The name is bound for this statement alone (a common table expression over
+    the DataFrame): no view of the session is made or replaced, and one of the
+    caller's that has the same name is as it was. The text must be a query: it
+    is parsed as a subquery, where the grammar knows no statement that changes
+    or drops anything, so ``DROP``, ``INSERT`` and the like are syntax errors
+    before anything runs. Errors surface to the caller.
+    """
+    # Braces of the text are not placeholders; a closing comment ends with its line.
+    text = query.strip().rstrip(";").replace("{", "{{").replace("}", "}}")
+    bound = f"WITH `{view}` AS (SELECT * FROM {{_wf_table}}) SELECT * FROM (\n{text}\n)"
+    return spark.sql(bound, args, _wf_table=df) if args else spark.sql(bound, _wf_table=df)
 
 
 def preview_rows(df: DataFrame, n: int = K.PREVIEW_ROWS, key: str = "patient_id") -> DataFrame:
