@@ -81,6 +81,29 @@ def test_repeated_rows_leave_one(spark, edge):
     assert kept == {1: 1, 8: 1, 4: 2}
 
 
+def test_short_items_remove_nothing(spark, tmp_path):
+    """Items of one to three words are common speech; long ones still count."""
+    long = "the quick brown fox jumps over a very lazy dog while thirteen cats look on"
+    items = [("a", "True"), ("b", "New York"), ("c", "of the day"), ("d", long), ("e", None), ("f", ""),
+             ("g", "Four short WORDS here")]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "That is true of New York."), (2, "of the day, " + long + "."), (3, "four short words here"), (4, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in P.decontaminate(spark, docs, str(tmp_path)).collect()} == {1, 3, 4}
+
+
+def test_the_run_releases_its_intermediate_tables(spark):
+    import os
+
+    from wardflow.session import child_folders, scratch_root
+    before = set(child_folders(spark, scratch_root(spark)))
+    out = P.run(spark, SF)
+    assert out.count() > 0
+    left = {n.rsplit("-", 1)[0] for n in set(child_folders(spark, scratch_root(spark))) - before}
+    assert not left & {"stage-toxicity", "stage-near_dedup", "stage-substrings"} and os.path.isdir(SF)
+
+
 def test_stages_on_empty_tables(spark, edge):
     for _, stage in P.STAGES:
         assert stage(spark, edge.limit(0), SF).count() == 0

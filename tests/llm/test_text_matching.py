@@ -330,6 +330,25 @@ def test_span_edges(edge):
     assert op9_sentence_spans(edge.limit(0)).count() == 0
 
 
+def test_rows_without_or_with_the_same_id_keep_one_place(spark):
+    """A passage in rows that have no id, share one, or are repeated."""
+    rng = random.Random(12)
+    sentence = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(8)) + ". "
+    passages = ["".join(sentence() for _ in range(8)) for _ in range(3)]
+    rows = [(None, sentence() + passages[0] + sentence()) for _ in range(6)]
+    rows += [(5, sentence() + passages[1] + sentence()) for _ in range(4)] + [(3, passages[1] + sentence())]
+    rows += [(None, passages[2] + sentence()), (-(1 << 63), passages[2] + sentence()), (7, passages[2] + sentence())]
+    rows += [rows[7]] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = op9_sentence_spans(df).collect()
+    assert len(out) == len(rows)
+    for passage in passages:
+        holding = {(r["doc_id"], r["text"]) for r in out if passage.strip() in r["text"]}
+        assert len(holding) == 1
+    assert {r["doc_id"] for r in out if passages[1].strip() in r["text"]} == {3}
+    assert all(r["n_removed"] in (0, 8) for r in out)
+
+
 @pytest.mark.parametrize("text", ["", ".", "a.b. c", "!!! ???", "x\n\n\ny", "é. É! ñ?", " lead. tail ", "no stop"])
 def test_sentences_cover_the_text(text):
     from wardflow.llm.op9_sentence_spans import Sentences

@@ -16,7 +16,8 @@ places agree; what is counted and removed are then the pieces between all
 cuts. A run whose words are seen again is a repetition, and sentences that a
 non-first repetition covers are removed: of a shared passage of 37 words or
 more, all but up to ``ANCHOR_WINDOW`` words at either end. First is the
-smallest document id, and within a document the first place.
+smallest document id (see below for equal ones), and within a document the first
+place.
 
 How it is spread: repetitions inside one text are found where the text is.
 Across texts, runs are counted by hash, with a partial count in every task, so
@@ -27,18 +28,19 @@ each text is cut where the text is, from its list of covered sentences.
 
 Defined results: a null text stays null, an empty text empty. A text whose
 every sentence is covered becomes empty. Texts without such runs come back
-unchanged, byte for byte; other texts lose whole sentences. Rows with the same
-id count as one document when it is decided who is first, so repeated rows
-are treated alike; null ids come before all others. Columns other than the id,
-the text and ``keep`` are not read; a kept column that is named like a result
-comes back as ``<name>_in``.
+unchanged, byte for byte; other texts lose whole sentences. Rows without an id
+come first; those without one, or with the same one, go by 62 bits of a hash of
+their text, so that of any passage one place is left. Rows that agree in id and
+text count as one document, so repeated rows are treated alike. Columns other
+than the id, the text and ``keep`` are not read; a kept column that is named
+like a result comes back as ``<name>_in``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.llm import _arrays as A
@@ -240,7 +242,17 @@ class Sentences:
         return i[order], last[order], h[order]
 
 
-_RUN = "doc_id long, text_hash int, h long, a int, b int"
+#: A document's rank: its id (none: the least), then 62 bits of its text, so
+#: that rows are one document only if they agree in both.
+_RANK = "decimal(38,0)"
+_RUN = f"rank {_RANK}, h long, a int, b int"
+_NO_ID = -1 << 63
+
+
+def _rank(ident: Column, text: Column) -> Column:
+    bits = F.shiftrightunsigned(F.xxhash64(text), 2).cast("decimal(19,0)")
+    return (F.coalesce(ident, F.lit(_NO_ID)).cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)")
+            + bits).cast(_RANK)
 
 
 def _runs(least_words: int):
@@ -253,12 +265,11 @@ def _runs(least_words: int):
                 text = np.searchsorted(s.first, i, "right") - 1
                 new = _first_in_text(text, h)
                 i, last, h, text = i[new], last[new], h[new], text[new]
-                take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(take), part.column("text_hash").take(take),
+                    [part.column("rank").take(pa.array(text)),
                      pa.array(h.astype(np.int64)), pa.array((i - s.first[text]).astype(np.int32)),
                      pa.array((last - s.first[text]).astype(np.int32))],
-                    names=["doc_id", "text_hash", "h", "a", "b"])
+                    names=["rank", "h", "a", "b"])
     return run
 
 
@@ -313,20 +324,14 @@ def remove_repeated_spans(docs: DataFrame, least_words: int = RUN_WORDS, id_col:
     """The ``keep`` columns of every row, with the new ``text``,
     ``n_sentences`` and ``n_removed``."""
     keep = [id_col] if keep is None else [c for c in keep if c != text_col]
-    ident = F.col(id_col).cast("long")
-    runs = (docs.select(ident.alias("doc_id"), F.hash(text_col).alias("text_hash"),
-                        F.col(text_col).alias("text"))
-            .mapInArrow(_runs(least_words), _RUN))
-    least = F.min(F.coalesce("doc_id", F.lit(-1 << 63)))
-    repeated = runs.groupBy("h").agg(F.count("*").alias("n"), least.alias("first")).filter("n > 1")
-    covered = (runs.join(repeated.select("h", "first"), "h")
-               .filter(F.coalesce("doc_id", F.lit(-1 << 63)) != F.col("first"))
-               .groupBy("doc_id", "text_hash")
-               .agg(F.collect_set(F.struct("a", "b")).alias("_covered"))
-               .select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "_covered"))
+    ident = F.col(f"`{id_col}`").cast("long")
+    rank = _rank(ident, F.col(f"`{text_col}`"))
+    runs = docs.select(rank.alias("rank"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_runs(least_words), _RUN)
+    repeated = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("rank").alias("first")).filter("n > 1")
+    covered = (runs.join(repeated.select("h", "first"), "h").filter("rank <> first")
+               .groupBy("rank").agg(F.collect_set(F.struct("a", "b")).alias("_covered")))
     own = Carried(docs, keep, text_col, ["text", "n_sentences", "n_removed"])
-    rows = docs.select(*own.columns, ident.alias("_i"), F.hash(text_col).alias("_t"))
-    joined = rows.join(covered, rows["_i"].eqNullSafe(covered["_d"]) & (rows["_t"] == covered["_h"]), "left")
+    joined = docs.select(*own.columns, rank.alias("rank")).join(covered, "rank", "left")
     out = joined.select(*own.keep, "_text", "_covered").mapInArrow(_cut(least_words, own.keep), ", ".join(
         [own.schema] * bool(keep) + ["_new string", "_n long", "_lost long"]))
     return out.select(*own.back(out), F.col("_new").alias("text"), F.col("_n").alias("n_sentences"),
