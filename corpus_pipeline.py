@@ -10,7 +10,9 @@ shared folder and read again. All stages but the last return the columns of
                  0.8) the document with the smallest id stays;
 3. substrings    sentences of repeated spans go from all but the first place;
                  a document of which nothing is left goes;
-4. decontaminate documents that hold a window of a benchmark item go;
+4. decontaminate documents that hold a window of a benchmark item of
+                 LEAST_ITEM_WORDS words or more go (a shorter item, such as
+                 "True", is common speech and tells nothing of where it is from);
 5. packing       windows of 2048 ids in the sources' proportions.
 
 Columns beyond the id, the text, the source and ``n_chars`` (which follows the
@@ -29,10 +31,13 @@ from wardflow.llm.op5_wu_manber import find_contamination
 from wardflow.llm.op8_minmax_dedup import near_duplicates
 from wardflow.llm.op9_sentence_spans import remove_repeated_spans
 from wardflow.llm.op10_toxicity_chain import fit_toxicity, score_toxicity
-from wardflow.session import reliable_checkpoint
+from wardflow.session import release, reliable_checkpoint
 
 SHINGLE = 5
 SIMILARITY = 80
+LEAST_ITEM_WORDS = 5
+#: Words as the decontamination counts them.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -86,7 +91,9 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _named(docs)
-    found = find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=rows.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    telling = items.filter(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))) >= LEAST_ITEM_WORDS)
+    found = find_contamination(rows, telling, keep=rows.columns)
     return _restored(found.filter(F.col("n_hit") == 0), docs)
 
 
@@ -108,5 +115,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = reliable_checkpoint(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = stage(spark, docs, sf_dir)
+        docs = reliable_checkpoint(kept, f"stage-{name}")
+        # What the stage read of intermediate tables, its input included.
+        release(kept)
     return STAGES[-1][1](spark, docs, sf_dir)
