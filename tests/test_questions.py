@@ -140,3 +140,35 @@ def test_long_lines_take_no_longer_than_their_length(spark, line):
     run("warm up")
     short = run("age 5")
     assert run(line) < short + 2
+
+
+def test_words_and_numbers_against_plain_patterns(spark):
+    """One pattern for all words, and cheap first characters, find what the
+    application's single patterns find."""
+    rng = random.Random(11)
+    bits = [*K.QUESTION_SPECIALTIES, *K.AGE_GROUPS, "young ", "adult", "_", " ", "é", "-", ".", "1", "2.5", "30%", "x", "\n",
+            "between 3 to 4", "between 5 and 66", "aged 7", "age 1234", "ENT", "Young Adult", "٣", "gynaecologyx"]
+    texts = ["".join(rng.choices([*bits, " "], k=rng.randrange(1, 9))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, question string")
+    got = {r.i: r.params for r in Q.extract_question_params(df).collect()}
+    for i, t in enumerate(texts):
+        low, p = t.lower(), got[i]
+        found = [s for s in K.QUESTION_SPECIALTIES if re.search(rf"\b{re.escape(s)}\b", low)]
+        assert (p.specialties or []) == [next((n for n in K.SPECIALTIES if n.lower() == s), s.title()) for s in found], t
+        group = None
+        for g in K.AGE_GROUPS:
+            guard = "(?<!young )" if g == "adult" else ""
+            group = g if re.search(rf"{guard}\b{re.escape(g)}\b", low) else group
+        assert p.age_group == group, t
+        numbers = re.findall(K.NUMBER_PATTERN.replace(r"\d", "[0-9]"), t)
+        assert (p.numbers or []) == [float(x) for x in numbers], t
+        span = re.search(K.AGE_RANGE_PATTERN.replace(r"\d", "[0-9]"), low)
+        if group is None:
+            assert (p.age_min, p.age_max) == ((int(span[1]), int(span[2])) if span else (None, None)), t
+
+
+def test_parameters_scan_each_text_a_few_times(spark):
+    """One regex a parameter (two more cut the short span of a range)."""
+    df = spark.createDataFrame([(1, "x")], "i int, question string")
+    plan = Q.extract_question_params(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 0 and plan.count("regexp_extract") <= 11 and plan.count("Contains(") <= 8

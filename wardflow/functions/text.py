@@ -9,6 +9,7 @@ and look-arounds on Unicode letters, digits and ``_`` in place of ``\\b``.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,6 +123,18 @@ def necessary_literals(pattern: str) -> list[list[list[str]]] | None:
     return branches
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use``
+    refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _tested(group: Sequence[str]) -> list[str]:
+    """The literals of a group without those that hold another one: a text
+    that contains the longer contains the shorter."""
+    return [lit for lit in group if not any(o != lit and o in lit for o in group)]
+
+
 def _guard(text: Column, pattern: str) -> Column | None:
     lits = necessary_literals(pattern)
     if lits is None:
@@ -131,7 +144,7 @@ def _guard(text: Column, pattern: str) -> Column | None:
         ands = None
         for prefixes in groups:
             any_of = None
-            for lit in prefixes:
+            for lit in _tested(prefixes):
                 c = text.contains(lit)
                 any_of = c if any_of is None else any_of | c
             ands = any_of if ands is None else ands & any_of
@@ -175,13 +188,9 @@ def classify(text: Column) -> Column:
 
 def _first(text: Column, p: str, literal: str, group: int = 1) -> Column:
     """Group of the first match of the Java regex ``p``, or null when there is
-    none. ``literal`` is a substring every match contains; testing it first
-    spares the regex on most rows."""
-    return F.when(text.contains(literal) & text.rlike(p), F.regexp_extract(text, p, group))
-
-
-def _has_word(low: Column, word: str, pattern: str | None = None) -> Column:
-    return low.contains(word) & low.rlike(pattern or whole_word(word))
+    none (or it is empty). ``literal`` is a substring every match contains;
+    testing it first spares the regex on most rows."""
+    return F.when(text.contains(literal), once(F.regexp_extract(text, p, group), lambda s: F.when(s != "", s)))
 
 
 def _canonical(word: str) -> str:
@@ -191,55 +200,78 @@ def _canonical(word: str) -> str:
     return word.title()
 
 
-def _group_pattern(group: str) -> str:
-    # "adult" inside "young adult" is not a second, later group.
-    guard = r"(?<!young )" if group == "adult" else ""
-    return guard + whole_word(group)
+def _whole(first: str, body: str) -> str:
+    """Java regex of ``body``, whole words that begin with a character of
+    ``first`` and end with a word character. The first character is looked at
+    before anything else, which passes over most places of a text cheaply."""
+    return f"(?d)(?=[{first}])(?<!{WORD_CHAR}){body}(?!{WORD_CHAR})"
+
+
+def _any_word(words: Sequence[str]) -> str:
+    """Any of the words, as group 1; longer words before those they begin with."""
+    ordered = sorted(words, key=lambda w: (-len(w), w))
+    return _whole("".join(sorted({w[0] for w in words})), "(" + "|".join(
+        # "adult" inside "young adult" is not a second, later group.
+        ("(?<!young )" if w == "adult" else "") + re.escape(w) for w in ordered) + ")")
 
 
 def extract_params(question: Column) -> Column:
-    """H2: the typed parameters of a question as one struct column."""
-    low = F.lower(question)
+    """H2: the typed parameters of a question as one struct column.
+
+    Each parameter is one scan of the text, behind the test of a literal: all
+    specialties are found by one pattern and all age groups by another, and
+    what they found is looked up in the resulting short arrays."""
+    return once(F.lower(question), lambda low: _params(question, low))
+
+
+def _params(question: Column, low: Column) -> Column:
     pct = _first(question, percent_regex(K.PERCENT_PATTERN), "%").cast("double")
-    nums = F.when(question.rlike("[0-9]"), F.transform(
-        F.regexp_extract_all(question, F.lit(java_regex(K.NUMBER_PATTERN)), 1),
-        lambda s: s.cast("double")))
+    nums = F.transform(F.regexp_extract_all(question, F.lit(_whole("0-9", K.NUMBER_PATTERN.replace(r"\b", ""))), 1),
+                       lambda s: s.cast("double"))
     # A number in the text is never replaced by the default; one beyond the
     # range of a bigint gives null.
-    number = _first(low, number_after(K.BASELINE_CAPACITY_PATTERN), "baseline")
-    cap = F.when(number.isNotNull(), number.try_cast("bigint")).when(
+    cap = once(_first(low, number_after(K.BASELINE_CAPACITY_PATTERN), "baseline"), lambda number: F.when(
+        number.isNotNull(), number.try_cast("bigint")).when(
         low.contains("capacity") | low.contains("increase"),
-        F.lit(K.BASELINE_CAPACITY_DEFAULT).cast("bigint"))
-    found = F.array_compact(F.array(*[
-        F.when(_has_word(low, s), F.lit(_canonical(s))) for s in K.QUESTION_SPECIALTIES]))
-    # Later groups overwrite earlier ones: test them last to first, once each,
-    # and look up both ends of the range by the group's name.
-    group = None
-    for g in reversed(list(K.AGE_GROUPS)):
-        cond = _has_word(low, g, _group_pattern(g))
-        group = F.when(cond, F.lit(g)) if group is None else group.when(cond, F.lit(g))
+        F.lit(K.BASELINE_CAPACITY_DEFAULT).cast("bigint")))
+    found = F.regexp_extract_all(low, F.lit(_any_word(K.QUESTION_SPECIALTIES)), 1)
+    named = once(found, lambda words: F.filter(
+        F.array(*[F.when(F.array_contains(words, s), F.lit(_canonical(s))) for s in K.QUESTION_SPECIALTIES]),
+        lambda s: s.isNotNull()))
+
+    # Later groups overwrite earlier ones.
+    def last_group(words: Column) -> Column:
+        expr = None
+        for g in reversed(list(K.AGE_GROUPS)):
+            cond = F.array_contains(words, g)
+            expr = F.when(cond, F.lit(g)) if expr is None else expr.when(cond, F.lit(g))
+        return expr
+
+    group = once(F.regexp_extract_all(low, F.lit(_any_word(list(K.AGE_GROUPS))), 1), last_group)
     ends = F.create_map(*[x for g, (a, b) in K.AGE_GROUPS.items()
                           for x in (F.lit(g), F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")))])
-    has_range = low.contains("between") & low.rlike(java_regex(K.AGE_RANGE_PATTERN))
-    between = F.when(has_range, F.struct(
-        F.regexp_extract(low, java_regex(K.AGE_RANGE_PATTERN), 1).cast("int").alias("lo"),
-        F.regexp_extract(low, java_regex(K.AGE_RANGE_PATTERN), 2).cast("int").alias("hi")))
-    # One struct holds the group with its range, so the tests run once a row.
-    ages = F.transform(F.array(group), lambda g: F.struct(
-        g.alias("name"), F.coalesce(F.try_element_at(ends, g), between).alias("range")))[0]
-    return F.struct(
+    between = once(_first(low, java_regex(K.AGE_RANGE_PATTERN), "between", 0), lambda span: F.when(
+        span.isNotNull(), F.struct(
+            F.regexp_extract(span, java_regex(K.AGE_RANGE_PATTERN), 1).cast("int").alias("lo"),
+            F.regexp_extract(span, java_regex(K.AGE_RANGE_PATTERN), 2).cast("int").alias("hi"))))
+    ages = once(group, lambda g: F.struct(
+        g.alias("name"), F.coalesce(F.try_element_at(ends, g), between).alias("range")))
+    weight = _first(low, number_after(K.RISK_WEIGHT_PATTERN), "risk").cast("double")
+    limit = _first(low, number_after(K.THRESHOLD_PATTERN), "threshold").cast("double")
+    age = _first(low, java_regex(K.AGE_PATTERN), "age").cast("int")
+    return once(F.struct(nums.alias("n"), named.alias("s"), ages.alias("a"), cap.alias("c")), lambda x: F.struct(
         pct.alias("percentage"),
-        F.when(F.size(nums) > 0, nums).alias("numbers"),
-        cap.alias("baseline_capacity"),
-        cap.alias("weekly_capacity"),
-        _first(low, number_after(K.RISK_WEIGHT_PATTERN), "risk").cast("double").alias("risk_weight"),
-        _first(low, number_after(K.THRESHOLD_PATTERN), "threshold").cast("double").alias("threshold"),
-        F.when(F.size(found) > 0, found).alias("specialties"),
-        _first(low, java_regex(K.AGE_PATTERN), "age").cast("int").alias("age"),
-        ages["range"]["lo"].alias("age_min"),
-        ages["range"]["hi"].alias("age_max"),
-        ages["name"].alias("age_group"),
-    )
+        F.when(F.size(x["n"]) > 0, x["n"]).alias("numbers"),
+        x["c"].alias("baseline_capacity"),
+        x["c"].alias("weekly_capacity"),
+        weight.alias("risk_weight"),
+        limit.alias("threshold"),
+        F.when(F.size(x["s"]) > 0, x["s"]).alias("specialties"),
+        age.alias("age"),
+        x["a"]["range"]["lo"].alias("age_min"),
+        x["a"]["range"]["hi"].alias("age_max"),
+        x["a"]["name"].alias("age_group"),
+    ))
 
 
 def route(intent: Column, question: Column) -> Column:
