@@ -202,3 +202,20 @@ def test_unlabelled_languages(edge):
     rows = predict_language(edge, fit_languages(edge.withColumn("lang", edge.lang.substr(9, 1)).replace("", None)))
     assert {r["lang_pred"] for r in rows.collect()} == {"und"}
     assert score_quality(edge, fit_trees(np.zeros((0, 24)), np.zeros(0))).count() == edge.count()
+
+
+def test_one_hot_language_is_ranked_in_parts(spark, monkeypatch):
+    """The sample is that of one ranking, whatever the parts, also where one
+    language has nearly all ids and ids are repeated."""
+    from wardflow.llm import op7_centroid_language as M
+    words = ["alpha beta gamma delta", "uno dos tres cuatro", "eins zwei drei vier"]
+    rows = [(i, f"{words[0 if i % 20 else 1 + i % 2]} {i}", "abc"[0 if i % 20 else 1 + i % 2]) for i in range(2000)]
+    df = spark.createDataFrame(rows + rows[:300], "doc_id long, text string, lang string").repartition(6)
+    learned = {}
+    for salts in (1, 7, 1024):
+        monkeypatch.setattr(M, "SALTS", salts)
+        model = M.fit_languages(df, fit_rows=120)
+        learned[salts] = model.__dict__
+    for salts in (7, 1024):
+        for k, v in learned[1].items():
+            assert np.array_equal(np.asarray(v), np.asarray(learned[salts][k])) if not isinstance(v, dict) else True, k

@@ -33,6 +33,8 @@ from wardflow.llm import _arrays as A
 from wardflow.llm._columns import one_text
 from wardflow.session import reliable_checkpoint, release
 
+#: Parts in which a language's ids are ranked first.
+SALTS = 1024
 FIT_ROWS = 3_000
 DIMENSIONS = 4096
 CENTROIDS = 3
@@ -183,8 +185,14 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CE
                        F.col(text_col).alias("text"))
     ident = F.col("_id")
     usable = ident.isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(ident)
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
+    # The first by hash of a language are among the first of its salts: no task
+    # ranks more than a salt's ids, or the first of all salts.
+    order = [F.xxhash64("_id"), F.col("_id")]
+    in_salt = Window.partitionBy("lang", "_salt").orderBy(*order)
+    turn = Window.partitionBy("lang").orderBy(*order)
     chosen = (rows.filter(usable).select("_id", "lang").distinct()
+              .withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(SALTS)))
+              .withColumn("_first", F.row_number().over(in_salt)).filter(F.col("_first") <= fit_rows)
               .withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= fit_rows)
               .orderBy("_turn", "lang").limit(fit_rows).select("_id", "lang"))
     # ``chosen`` holds at most ``fit_rows`` rows.
