@@ -211,6 +211,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["sample_rows"] = _p(inspect.sample_rows, n=1000)
     q["row_count"] = _p(inspect.row_count)
     q["table_profile"] = _p(inspect.table_profile)
+    q["table_profile_sample"] = _p(inspect.table_profile, sample=5)
     q["validate_columns"] = _p(_dropped_columns)
     q["validate_page_columns"] = _p(_dropped_pages)
     # B: filters

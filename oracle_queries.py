@@ -608,3 +608,10 @@ ORACLE["score_fixed_trees"] = with_patients(
     "round_even(100.0::DOUBLE * s, 2) AS percentage "
     f"FROM (SELECT *, {d(1.0)} / ({d(1.0)} + exp({d(-2.0)} * m)) AS s "
     f"FROM (SELECT *, {_FIXED_MARGIN} AS m FROM patients) x) y")
+
+# A8 with sample rows: the values of the first five patients.
+ORACLE["table_profile_sample"] = with_patients(" UNION ALL ".join(
+    f"SELECT {i + 1} AS ordinal, '{c}' AS column_name, '{t}' AS data_type, "
+    f"count({c}) AS non_null_count, count(*) AS row_count, (SELECT list(CAST({f'round({c}, 6)' if t == 'double' else c} "
+    f"AS VARCHAR) ORDER BY patient_id) FROM (SELECT * FROM patients ORDER BY patient_id LIMIT 5) f) AS sample_values "
+    "FROM patients" for i, (c, t) in enumerate(PATIENT_TYPES)))

@@ -260,3 +260,18 @@ def test_adhoc_sql_refuses_anything_but_queries(spark, patients_small, text):
     with pytest.raises(ParseException):
         inspect.adhoc_sql(spark, patients_small, text)
     assert spark.table("adhoc_kept").count() == 2 and not spark.catalog.tableExists("adhoc_new")
+
+
+def test_profile_with_sample_rows(patients_small):
+    plain = inspect.table_profile(patients_small).collect()
+    rows = inspect.table_profile(patients_small, sample=4).collect()
+    assert [r[:5] for r in map(tuple, plain)] == [(r.ordinal, r.column_name, r.data_type, r.non_null_count, r.row_count)
+                                                   for r in rows]
+    first = patients_small.orderBy("patient_id").limit(4).collect()
+    by = {r.column_name: r.sample_values for r in rows}
+    assert by["patient_id"] == ["1", "2", "3", "4"]
+    assert by["specialty"] == [r.specialty for r in first] and by["age"] == [str(r.age) for r in first]
+    assert [float(x) for x in by["priority_score"]] == [round(r.priority_score, 6) for r in first]
+    missing = inspect.table_profile(patients_small.withColumn("gender", F.lit(None).cast("string")), sample=2).collect()
+    assert {r.column_name: r.sample_values for r in missing}["gender"] == [None, None]
+    assert inspect.table_profile(patients_small.limit(0), sample=3).first().sample_values == []

@@ -74,14 +74,28 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def table_profile(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, type, non-null and row count.
-    One aggregation over the table, then unpivoted."""
+def table_profile(df: DataFrame, sample: int = 0, key: str = "patient_id") -> DataFrame:
+    """One row per column: position, name, type, non-null and row count;
+    with ``sample``, also ``sample_values``: the column's values, as text, in
+    the first so many rows by ``key`` (doubles to 6 places).
+
+    One aggregation over the table, then unpivoted. The sample is a bounded
+    array from a top-k, attached as a scalar subquery.
+    """
     names = df.columns
     agg = df.agg(F.count(F.lit(1)).alias("_wf_rows"),
                  *[F.count(F.col(f"`{c}`")).alias(f"_wf_c{i}") for i, c in enumerate(names)])
+    extra = [[] for _ in names]
+    if sample:
+        text = [F.round(F.col(f"`{c}`"), 6) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes]
+        first = (preview_rows(df, sample, key).select(F.col(key).alias("_wf_k"), *[
+            t.cast("string").alias(f"_wf_s{i}") for i, t in enumerate(text)])
+            .agg(F.sort_array(F.collect_list(F.struct("*"))).alias("rows")))
+        agg = agg.select("*", first.scalar().alias("_wf_sample"))
+        # A field of an array of structs is the array of that field.
+        extra = [[F.col("_wf_sample")[f"_wf_s{i}"].alias("sample_values")] for i in range(len(names))]
     items = [F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"),
-                      F.lit(t).alias("data_type"), F.col(f"_wf_c{i}").alias("non_null_count"))
+                      F.lit(t).alias("data_type"), F.col(f"_wf_c{i}").alias("non_null_count"), *extra[i])
              for i, (c, t) in enumerate(df.dtypes)]
     return (agg.select(F.col("_wf_rows").alias("row_count"), F.explode(F.array(*items)).alias("p"))
                .select("p.*", "row_count"))
