@@ -212,10 +212,9 @@ def test_one_hot_language_is_ranked_in_parts(spark, monkeypatch):
     rows = [(i, f"{words[0 if i % 20 else 1 + i % 2]} {i}", "abc"[0 if i % 20 else 1 + i % 2]) for i in range(2000)]
     df = spark.createDataFrame(rows + rows[:300], "doc_id long, text string, lang string").repartition(6)
     learned = {}
-    for salts in (1, 7, 1024):
-        monkeypatch.setattr(M, "SALTS", salts)
-        model = M.fit_languages(df, fit_rows=120)
-        learned[salts] = model.__dict__
-    for salts in (7, 1024):
+    for bits in (1, 5, 16):
+        monkeypatch.setattr(M, "PART_BITS", bits)
+        learned[bits] = M.fit_languages(df, fit_rows=120).__dict__
+    for bits in (5, 16):
         for k, v in learned[1].items():
-            assert np.array_equal(np.asarray(v), np.asarray(learned[salts][k])) if not isinstance(v, dict) else True, k
+            assert np.array_equal(np.asarray(v), np.asarray(learned[bits][k])) if not isinstance(v, dict) else True, k

@@ -33,8 +33,8 @@ from wardflow.llm import _arrays as A
 from wardflow.llm._columns import one_text
 from wardflow.session import reliable_checkpoint, release
 
-#: Parts in which a language's ids are ranked first.
-SALTS = 1024
+#: Upper bits of an id's hash by which a language's ids are counted.
+PART_BITS = 16
 FIT_ROWS = 3_000
 DIMENSIONS = 4096
 CENTROIDS = 3
@@ -185,14 +185,16 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CE
                        F.col(text_col).alias("text"))
     ident = F.col("_id")
     usable = ident.isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(ident)
-    # The first by hash of a language are among the first of its salts: no task
-    # ranks more than a salt's ids, or the first of all salts.
-    order = [F.xxhash64("_id"), F.col("_id")]
-    in_salt = Window.partitionBy("lang", "_salt").orderBy(*order)
-    turn = Window.partitionBy("lang").orderBy(*order)
-    chosen = (rows.filter(usable).select("_id", "lang").distinct()
-              .withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(SALTS)))
-              .withColumn("_first", F.row_number().over(in_salt)).filter(F.col("_first") <= fit_rows)
+    # A language's first ids by hash: ids are counted by the hash's upper bits,
+    # and only those of the first parts that hold enough of them are ranked.
+    named = (rows.filter(usable).select("_id", "lang").distinct().withColumn("_hash", F.xxhash64("_id"))
+             .withColumn("_part", F.shiftright("_hash", 64 - PART_BITS)))
+    before = Window.partitionBy("lang").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (named.groupBy("lang", "_part").agg(F.count("*").alias("_n"))
+             .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+             .filter(F.col("_before") < fit_rows).select("lang", "_part"))
+    turn = Window.partitionBy("lang").orderBy("_hash", "_id")
+    chosen = (named.join(parts, ["lang", "_part"])
               .withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= fit_rows)
               .orderBy("_turn", "lang").limit(fit_rows).select("_id", "lang"))
     # ``chosen`` holds at most ``fit_rows`` rows.
