@@ -34,7 +34,7 @@ from wardflow.llm._columns import one_text
 from wardflow.session import reliable_checkpoint, release
 
 #: Upper bits of an id's hash by which a language's ids are counted.
-PART_BITS = 16
+PART_BITS = 12
 FIT_ROWS = 3_000
 DIMENSIONS = 4096
 CENTROIDS = 3
