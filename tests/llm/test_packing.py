@@ -2,6 +2,7 @@
 import functools
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,67 @@ def test_small_sources_over_many_partitions(spark, encoder, targets):
     assert all(fill[s] == 10 for s in range(max(fill)))
 
 
+def plain_round_robin(supply, weights, window):
+    """Ids of each source in each window, by exact credits and no shortcut;
+    stops at the first window for which a queue of weight is too short."""
+    total, left, deficit = sum(weights.values()), dict(supply), dict.fromkeys(weights, Fraction(0))
+    served = []
+    while True:
+        for s, w in weights.items():
+            deficit[s] += Fraction(window * w, total)
+        take = {s: int(d) for s, d in deficit.items()}
+        for s in sorted(weights, key=lambda s: take[s] - deficit[s])[:window - sum(take.values())]:
+            take[s] += 1
+        if any(take[s] > left[s] for s in weights):
+            return served
+        for s in weights:
+            left[s] -= take[s]
+            deficit[s] -= take[s]
+        served.append(take)
+
+
+def test_targets_against_a_plain_round_robin(spark, encoder):
+    """Shares of every window while all queues last, over several partitions."""
+    texts = [(s, "alpha beta gamma delta " * 25) for s in ("a", "b", "c") for _ in range(60)]
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(texts)], "doc_id long, text string, source string")
+    ids, _ = encoder.texts(pa.array([t for _, t in texts]))
+    weights, window = {"a": 5, "b": 2, "c": 1}, 64
+    plain = plain_round_robin(dict.fromkeys(weights, len(ids) // 3), weights, window)
+    assert len(plain) > 100
+    del plain[len(plain) // 8 * 8:]  # the partition in which a queue ends spreads what is left of it
+    per = {}
+    for r in pack_mixture(df, window=window, windows=8, targets={k: float(w) for k, w in weights.items()}).collect():
+        per.setdefault(r["sequence_id"], Counter())[r["source"]] += r["length"]
+    mine, due = Counter(), Counter()
+    for k, take in enumerate(plain):
+        mine.update(per[k])
+        due.update(take)
+        assert all(abs(per[k][s] - take[s]) <= 3 and abs(mine[s] - due[s]) <= 3 for s in weights)
+
+
+@pytest.mark.parametrize("targets", [
+    {"src0": 1.0, "src1": 0.0, "src2": 0.0, "src3": 0.0, "src4": 0.0},
+    {"src0": 1.0, "src1": 1e-9, "src2": 1e-7, "src3": 0.0, "src4": 1e-5},
+    {"src0": 0.0, "src1": 0.0}, {"nowhere": 1.0}])
+def test_small_and_zero_weights_cost_no_more_pieces(docs, doc_rows, encoder, targets):
+    rows = pack_mixture(docs, window=256, windows=8, targets=targets).collect()
+    got = rebuilt(rows)
+    ids, offsets = encoder.texts(pa.array([t for _, t, _, _ in doc_rows]))
+    for i, (d, _, _, _) in enumerate(doc_rows):
+        assert got[d] == ids[offsets[i]: offsets[i + 1]].astype("<u4").tobytes()
+    fill, sources = Counter(), {s for _, _, s, _ in doc_rows} if isinstance(doc_rows[0][2], str) else set()
+    for r in rows:
+        fill[r["sequence_id"]] += r["length"]
+    assert all(fill[s] == 256 for s in range(max(fill)))
+    plain = pack_mixture(docs, window=256, windows=8).count()
+    assert len(rows) <= 2 * plain + len(sources)
+
+
+def test_weights_are_not_negative(docs):
+    with pytest.raises(ValueError):
+        pack_mixture(docs, targets={"a": -1.0})
+
+
 def test_mixture_proportions(docs):
     rows = pack_mixture(docs).select("sequence_id", "source", "length").collect()
     total, per = Counter(), {}

@@ -22,9 +22,15 @@ How it is spread:
    place of its first id in the one sequence of windows. The partition of an
    id is the inverse of that form, in whole numbers; a queue of fewer ids than
    there are partitions has rows only in those where it advances.
+   With targets there are two such laws, one behind the other: by the targets
+   until every queue with at least 1/``MINOR`` of an equal share is dry, then,
+   for what is left of the others (those of weight 0 have all of theirs left),
+   in proportion to what is left. So small weights and zeros cost no more
+   partitions or pieces than others do.
 3. A partition's ids (about ``WINDOWS * WINDOW``, whatever the sizes of
    sources and documents) meet in one task, which runs the round-robin. A
-   window may begin in one partition and go on in the next.
+   window may begin in one partition and go on in the next. In the partition
+   in which a queue ends, what is left of it is spread over the windows.
 
 Defined results: a null or empty text is its end id alone. A null source is
 the queue of the empty name. Repeated rows are packed as often as they occur.
@@ -38,7 +44,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.llm import _arrays as A
@@ -48,6 +54,7 @@ from wardflow.session import reliable_checkpoint
 
 WINDOW = 2048
 WINDOWS = 512
+MINOR = 8
 SLICE = 4 << 20
 
 
@@ -173,54 +180,90 @@ def _pack(window: int, with_ids: bool):
     return run
 
 
+class _Law:
+    """How a queue advances over partitions: by ``whole`` + ``part`` / ``steps``
+    ids in each, the whole ids of it when a partition ends."""
+
+    def __init__(self, whole: str, part: str, steps: int):
+        self.whole, self.part, self.steps = F.col(whole), F.col(part), steps
+
+    def stands(self, k: Column) -> Column:
+        """Ids of the queue that come before partition ``k``."""
+        return (self.whole * k + self.part * F.floor(k / F.lit(self.steps))
+                + F.floor(self.part * (k % F.lit(self.steps)) / F.lit(self.steps)))
+
+    def owed(self, k: Column) -> Column:
+        """The fraction of an id that the queue lacks when partition ``k`` begins."""
+        return self.part * (k % F.lit(self.steps)) % F.lit(self.steps) / F.lit(float(self.steps))
+
+    def step_of(self, j: Column) -> Column:
+        """The smallest partition behind which the queue stands beyond ``j``."""
+        whole, steps, after = (x.cast("decimal(19,0)") for x in (self.whole, F.lit(self.steps), j + 1))
+        return F.call_function("div", after * steps - 1, F.greatest(whole * steps + self.part, F.lit(1)))
+
+    def steps_of(self, lo: Column, hi: Column) -> Column:
+        """The partitions that hold any of the ids ``lo`` to ``hi``: those
+        between, or where less than an id goes into each, that of every id."""
+        between = F.sequence(self.step_of(lo), self.step_of(hi))
+        singly = F.transform(F.sequence(lo, hi), self.step_of)
+        return F.when(hi < lo, F.array().cast("array<bigint>")).when(self.whole == 0, singly).otherwise(between)
+
+
 def pack_mixture(docs: DataFrame, window: int = WINDOW, windows: int = WINDOWS,
                  targets: dict[str, float] | None = None, tokenizer: str | None = None,
                  with_ids: bool = True, **columns) -> DataFrame:
     """One row per piece of a document: its ids from ``start`` on lie in
     sequence ``sequence_id`` from ``offset`` on. ``targets`` gives sources
     weights; those it does not name share what weight a source has on average
-    in it. Without targets, weights are the sources' numbers of ids."""
+    in it; those of weight 0 follow when the others are dry. Without targets,
+    weights are the sources' numbers of ids."""
     tokens = reliable_checkpoint(tokenize(docs, tokenizer, **columns), "tokens")
     heads = (tokens.groupBy("source", "part").agg(F.max(F.col("start") + F.col("n")).alias("_n")))
     heads = reliable_checkpoint(running_sum(heads, ["source"], "part", "_n", "_before"), "queue-heads")
     queues = heads.groupBy("source").agg(F.sum("_n").alias("supply"))
     total = queues.agg(F.coalesce(F.sum("supply"), F.lit(0))).first()[0]
     parts = max(1, round(total / (window * windows)))
+    supply = F.col("supply")
+    turn = 0  # the first partition of the second law; without targets there is no other
     if targets:
+        if min(targets.values()) < 0:
+            raise ValueError("weights must not be negative")
         mean = sum(targets.values()) / len(targets)
         weight = F.coalesce(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col("source")],
                             F.lit(mean)).cast("double")
-        all_weights = queues.agg(F.sum(weight)).first()[0] or 1.0
-        quantum = F.greatest(weight / F.lit(all_weights) * F.lit(float(window * windows)), F.lit(1.0))
+        all_weights, names = queues.agg(F.sum(weight), F.count("*")).first()
+        quantum = weight / F.lit(all_weights or 1.0) * F.lit(float(window * windows))
         queues = queues.withColumn("_a", F.floor(quantum)).withColumn(
             "_r", F.floor((quantum - F.floor(quantum)) * parts))
+        first = _Law("_a", "_r", parts)
+        turn = queues.filter(quantum * F.lit(MINOR * max(names, 1)) >= F.lit(window * windows)).agg(
+            F.coalesce(F.max(first.step_of(supply - 1) + 1), F.lit(0))).first()[0]
+        queues = queues.withColumn("_turn", F.least(supply, first.stands(F.lit(turn).cast("long"))))
+        rest = queues.agg(F.coalesce(F.sum(supply - F.col("_turn")), F.lit(0))).first()[0]
+        later = _Law("_b", "_s", max(1, round(rest / (window * windows))))
     else:
-        queues = queues.withColumn("_a", F.floor(F.expr(f"supply div {parts}"))).withColumn(
-            "_r", F.col("supply") % F.lit(parts))
-    queues = reliable_checkpoint(queues.select("source", "supply", "_a", "_r"), "queues")
+        first = later = _Law("_b", "_s", parts)
+        queues = queues.withColumn("_a", F.lit(0)).withColumn("_r", F.lit(0)).withColumn("_turn", F.lit(0).cast("long"))
+    left = supply - F.col("_turn")
+    queues = (queues.withColumn("_b", F.floor(F.call_function("div", left, F.lit(later.steps))))
+              .withColumn("_s", left % F.lit(later.steps)))
+    queues = reliable_checkpoint(queues.select("source", "supply", "_a", "_r", "_turn", "_b", "_s"), "queues")
 
-    p, place, supply = F.col("p"), F.col("place"), F.col("supply")
-    slow = F.col("_a") == 0  # such a queue advances by one id, and not in every partition
+    p, place, at_turn = F.col("p"), F.col("place"), F.col("_turn")
 
     def stands(k):
         """Ids of the queue that come before partition ``k``."""
-        return F.least(supply, F.col("_a") * k + F.col("_r") * F.floor(k / F.lit(parts))
-                       + F.floor(F.col("_r") * (k % F.lit(parts)) / F.lit(parts)))
-
-    def partition_of(j):
-        """The smallest partition behind which the queue stands beyond ``j``."""
-        wide = [x.cast("decimal(19,0)") for x in (F.col("_a"), F.lit(parts), j + 1)]
-        return F.call_function("div", wide[2] * wide[1] - 1, wide[0] * wide[1] + F.col("_r"))
+        return F.when(k < turn, F.least(supply, first.stands(k))).otherwise(
+            F.least(supply, at_turn + later.stands(k - turn)))
 
-    def deal(df, first, last):
-        """A row for each partition ``p`` that holds any of the ids ``first`` to ``last``."""
-        steps = F.when(slow, last - first).otherwise(partition_of(last) - partition_of(first))
-        return (df.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), steps)))
-                .withColumn("p", F.when(slow, partition_of(first + F.col("_k")))
-                            .otherwise(partition_of(first) + F.col("_k"))).drop("_k"))
+    def deal(df, lo, hi):
+        """A row for each partition ``p`` that holds any of the ids ``lo`` to ``hi``."""
+        by_targets = first.steps_of(lo, F.least(hi, at_turn - 1))
+        behind = F.transform(later.steps_of(F.greatest(lo, at_turn) - at_turn, hi - at_turn), lambda x: x + turn)
+        return df.withColumn("p", F.explode(F.concat(by_targets, behind) if turn else behind))
 
     # Where each partition begins in the one sequence of ids.
-    steps = (deal(queues, F.lit(0).cast("long"), supply - 1)
+    steps = (deal(queues.filter("supply > 0"), F.lit(0).cast("long"), supply - 1)
              .groupBy("p").agg(F.sum(stands(p + 1) - stands(p)).alias("_ids")))
     places = reliable_checkpoint(
         running_sum(steps.withColumn("_g", F.lit(0)), ["_g"], "p", "_ids", "at").select("p", "at"), "partitions")
@@ -237,8 +280,8 @@ def pack_mixture(docs: DataFrame, window: int = WINDOW, windows: int = WINDOWS,
         F.col("n").alias("doc_tokens"), "width",
         F.substring("ids", (F.col("_from") * F.col("width") + 1).cast("int"),
                     ((F.col("_to") - F.col("_from")) * F.col("width")).cast("int")).alias("ids"),
-        F.when(stands(p) < supply, F.col("_r") * (p % F.lit(parts)) % F.lit(parts) / F.lit(float(parts)))
-        .otherwise(F.lit(0.0)).alias("owed"))
+        F.when(stands(p) >= supply, F.lit(0.0)).when(p < turn, first.owed(p))
+        .otherwise(later.owed(p - turn)).alias("owed"))
     schema = _PIECE if with_ids else _PIECE.replace(", source string, ids binary", "")
     return rows.join(places, "p").groupBy("p").applyInArrow(_pack(window, with_ids), schema)
 
