@@ -99,6 +99,18 @@ class _Wide:
         return out
 
 
+#: An odd multiplier and its inverse, modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n-1), modulo 2^64."""
+    out = np.full(n, base, A.U64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 class _Units:
     """The pieces between the cuts ``at``: the offsets of each text's
     (``first``), their hashes ``h`` and lengths in words."""
@@ -140,13 +152,11 @@ class _Units:
         i, last = np.concatenate([i[ok], back[ends]]), np.concatenate([last[ok], ends])
         order = np.argsort(i, kind="stable")
         i, last = i[order], last[order]
-        # The hash of a run: sentence by sentence, all runs at once.
-        h = A.mix((last - i).astype(A.U64))
-        step, live = 0, np.arange(len(i))
-        while len(live):
-            h[live] = A.mix(h[live] * A._MIX1 ^ self.h[i[live] + step])
-            step += 1
-            live = live[i[live] + step <= last[live]]
+        # The hash of a run is a polynomial over its sentences, taken from sums
+        # over all sentences before its ends: a run costs the same at any length.
+        before = np.concatenate([np.zeros(1, A.U64), np.cumsum(self.h * _powers(_BASE, n), dtype=A.U64)])
+        h = (before[last + 1] - before[i]) * _powers(_BASE_INVERSE, n)[i]
+        h = A.mix(h ^ A.mix((last - i).astype(A.U64)))
         return i, last, h
 
 
