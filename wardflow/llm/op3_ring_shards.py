@@ -105,10 +105,14 @@ def ring_shards(docs: DataFrame, shards: int = 16, slack: float = 0.02, vnodes:
         F.shiftrightunsigned(key, 52).cast("int").alias("_cell"),
         F.monotonically_increasing_id().alias("_row"))
     narrow = reliable_checkpoint(narrow, "ring-keys")
-    rows, total = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    subs = max(16, -(-rows // ROWS_PER_CELL))
+    # At most RING rows: how many parts each cell's rows are dealt into.
+    stats = [tuple(r) for r in narrow.groupBy("_cell").agg(F.count("*"), F.sum("size")).collect()]
+    total = sum(n for _, _, n in stats)
     rock = total / shards / ROCK
-    narrow = narrow.withColumn("_sub", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(subs)))
+    subs = spark.createDataFrame([(c, -(-n // ROWS_PER_CELL)) for c, n, _ in stats] or [(-1, 1)],
+                                 "_cell int, _subs long")
+    narrow = narrow.join(F.broadcast(subs), "_cell").withColumn(
+        "_sub", F.pmod(F.xxhash64("doc_id", "_row"), F.col("_subs"))).drop("_subs")
     pebbles = narrow.filter(F.col("size") <= rock)
     cells = pebbles.groupBy("_cell", "_sub").agg(F.sum("size").alias("_bytes"))
     ring = Ring(shards, vnodes)
