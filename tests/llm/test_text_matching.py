@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wardflow.llm.components import components
 from wardflow.llm.op5_wu_manber import compile_patterns, find_contamination, op5_wu_manber
@@ -64,10 +65,31 @@ def test_contamination_small_alphabet(spark):
     assert blocks.columns == ["doc_id", "text", "n_hit_in", "items_in", "n_words", "n_hit", "items"]
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"]) for r in blocks.collect()) == Counter(
         x[:3] for x in want)
+    shas = Counter((r["doc_id"], len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest())
+                   for r in blocks.collect())
+    assert shas == Counter((x[0], x[3], x[4]) for x in want)
     assert op5_wu_manber(d, b.limit(0)).filter("contaminated").count() == 0
     assert op5_wu_manber(d.limit(0), b).count() == 0
 
 
+def test_benchmark_of_any_size_is_one_scan(spark, docs, doc_rows):
+    """Windows joined instead of broadcast: the same rows, one Python stage."""
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    cut = doc_rows[3][1].split()
+    extra = [("long", " ".join(cut[:40])), ("twice", " ".join(cut[5:30])), ("short", " ".join(cut[2:5])), ("one", cut[1])]
+    items = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").unionByName(
+        spark.createDataFrame(extra, "item_id string, text string"))
+    copies = docs.unionByName(docs.limit(20))
+    want = find_contamination(copies, items)
+    got = find_contamination(copies, items, block_bytes=0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # the scan is written once
+    key = lambda r: (r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]))
+    assert Counter(map(key, got.collect())) == Counter(map(key, want.collect()))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert {"long", "twice", "short", "one"} <= set(got.filter(F.col("doc_id") == doc_rows[3][0]).first()["items"])
+
+
 def test_shift_skips_positions():
     p = compile_patterns([("x", " ".join(f"w{i}" for i in range(10)))])[0]
     assert p.length == 10 and (p.shift == 9).mean() > 0.9 and p.shift.min() == 0
