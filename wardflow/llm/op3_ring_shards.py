@@ -33,7 +33,7 @@ from wardflow.session import reliable_checkpoint
 
 RING = 4096
 ROCK = 256
-ROWS_PER_CELL = 100_000
+ROWS_PER_CELL = 1_000
 
 
 class Ring:
