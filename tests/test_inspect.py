@@ -216,6 +216,49 @@ def test_a_folder_is_judged_by_its_file_system(spark):
         conf.set("fs.defaultFS", before)
 
 
+@pytest.fixture()
+def standalone(spark, monkeypatch, tmp_path):
+    """The session says that it is a cluster's; its folders are a mount."""
+    from wardflow import session
+    sc, master, get = spark.sparkContext, "spark://host:7077", type(spark.conf).get
+    monkeypatch.setattr(sc, "master", master)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: master if key == "spark.master"
+                        else get(self, key, *default))
+    before = sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path / "shared"))
+    monkeypatch.setattr(session, "_MET", set())
+    yield spark
+    sc.setCheckpointDir(before)
+
+
+def test_a_mount_that_all_machines_see_is_accepted(standalone, patients_small, tmp_path):
+    import os
+
+    from wardflow.operators import queue
+    from wardflow.session import checkpoint_dir
+    assert queue.queue_position(patients_small).agg(F.max("queue_position")).first()[0] == 1500
+    assert sinks.write_patient_parquet(patients_small).count() == 1500
+    assert sinks.write_patient_table(patients_small, "mounted_table").count() == 1500
+    # Nothing of the trial stays.
+    assert not [x for x in os.listdir(checkpoint_dir(standalone).removeprefix("file:")) if "trial" in x]
+
+
+def test_a_folder_in_which_the_machines_do_not_meet_is_refused(standalone, monkeypatch, tmp_path):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from wardflow.session import _accepted
+    with pytest.raises(RuntimeError, match="local to one machine"):
+        _accepted(standalone, "/proc/none", "spark://host:7077")
+    # Tasks wrote to disks of their own: the driver finds some of the rows.
+    parquet = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet",
+                        lambda self, path: parquet(self._df.filter("id > 0").write, path))
+    with pytest.raises(RuntimeError, match="local to one machine"):
+        _accepted(standalone, str(tmp_path), "spark://host:7077")
+    monkeypatch.undo()
+    assert _accepted(standalone, str(tmp_path), "spark://host:7077") == str(tmp_path)
+
+
 def test_sample_plan_meets_one_partition_only_over_bucket_counts(patients_small):
     lines = inspect.sample_rows(patients_small, n=100)._jdf.queryExecution() \
         .executedPlan().toString().splitlines()
