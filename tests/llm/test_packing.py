@@ -258,3 +258,25 @@ def test_edges(edge):
     assert sum(r["n_ids"] for r in packed) == sum(per.values())
     none = edge.limit(0)
     assert op4_mixture_packing(none).count() == 0 and op1_best_fit_packing(none).count() == 0
+
+
+def test_tokenizing_holds_little_at_once():
+    """The temporaries of op4's slices, beside the remembered chunks."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from wardflow.llm import _arrays as A
+    from wardflow.llm import op4_mixture_packing as op4
+    from wardflow.llm._tokens import Encoder, default_tokenizer
+    text = " ".join(f"{w}{i % 31}" for i in range(900) for w in ("a", "an", "the", "of", "in", "word"))
+    batch = pa.record_batch({"text": pa.array([text] * (8 * (1 << 20) // len(text)))})
+    encoder = Encoder.at(default_tokenizer())
+    encoder.texts(batch.column("text").slice(0, 1))
+    tracemalloc.start()
+    try:
+        for piece in A.slices(batch, "text", op4.SLICE):
+            encoder.texts(piece.column("text"))
+        assert tracemalloc.get_traced_memory()[1] < 48 << 20
+    finally:
+        tracemalloc.stop()
