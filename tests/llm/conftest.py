@@ -1,5 +1,7 @@
 import pytest
 
+#: As in the folder above: of two conftest modules, tests meet the one that was loaded last.
+SF_SMALL = "/root/testdata/sf0.001"
 CLASH = ["score", "kept", "shard", "slot", "text_hash", "n", "p", "items", "n_hit", "n_words", "toxicity",
          "rejected", "category_scores", "n_removed", "component_id", "node", "key", "label", "_text", "_k0", "ids"]
 
