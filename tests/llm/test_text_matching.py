@@ -173,6 +173,29 @@ def test_near_duplicates_at_the_limit(spark):
         assert Counter(map(tuple, got.collect())) == +want
 
 
+def test_further_links_join_components(spark):
+    from wardflow.llm.components import joined
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 30):
+        first = [(int(a), int(b)) for a, b in rng.integers(0, 100, (60, 2))]
+        further = [(int(a), int(b)) for a, b in rng.integers(0, 140, (n, 2))]
+        frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+        got = {tuple(r) for r in joined(components(frame(first)), frame(further)).collect()}
+        assert got == {tuple(r) for r in components(frame(first + further)).collect()}
+
+
+def test_stars_need_no_step(spark, monkeypatch):
+    from wardflow.llm import components as module
+    written = []
+    monkeypatch.setattr(module, "reliable_checkpoint", lambda df, name: written.append(name) or df.localCheckpoint())
+    monkeypatch.setattr(module, "release", lambda *frames: None)
+    stars = [(i, 1000 * (i % 3)) for i in range(1, 60)]
+    stars = [(a, b) for a, b in stars if a % 3 or a > 3]
+    df = spark.createDataFrame([(a + 3000, b) for a, b in stars], "a long, b long")
+    got = {tuple(r) for r in module.components(df).collect()}
+    assert got == {(a + 3000, b) for a, b in stars} | {(b, b) for _, b in stars} and written == ["edges"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 30), max_size=12), min_size=1, max_size=6),
        st.lists(st.lists(st.integers(0, 30), max_size=12), min_size=1, max_size=6))

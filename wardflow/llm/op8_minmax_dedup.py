@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.llm import _arrays as A
-from wardflow.llm.components import components
+from wardflow.llm.components import components, joined
 from wardflow.session import reliable_checkpoint, release
 
 PERMUTATIONS = 60
@@ -304,8 +304,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, similarity: int = 80,
     # First round: each class of a bucket with the first one.
     pairs = (member.filter(F.col("node") != F.col("first"))
              .select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
-    edges = _links(pairs, classes, of_node, size, similarity)
-    labels = reliable_checkpoint(components(edges), "labels")
+    labels = reliable_checkpoint(components(_links(pairs, classes, of_node, size, similarity)), "labels")
 
     # Second round: what is left of a bucket with its first and last component.
     open_ = _open(member, labels)
@@ -315,16 +314,16 @@ def near_duplicates(docs: DataFrame, size: int = 4, similarity: int = 80,
     pairs = open_.join(ends, "key").select(
         F.col("node").alias("a"),
         F.when(F.col("label") == F.col("low"), F.col("high_node")).otherwise(F.col("low_node")).alias("b"))
-    edges = edges.unionByName(_links(pairs.distinct(), classes, of_node, size, similarity))
-    release(labels)
-    labels = reliable_checkpoint(components(edges), "labels")
+    before, labels = labels, reliable_checkpoint(
+        joined(labels, _links(pairs.distinct(), classes, of_node, size, similarity)), "labels")
+    release(before)
 
     # Last round: every link between different components of a bucket.
     open_ = reliable_checkpoint(_open(member, labels), "open-buckets")
     pairs = reliable_checkpoint(_unlinked(open_, of_node, size, similarity), "last-pairs")
-    edges = edges.unionByName(_links(pairs, classes, of_node, size, similarity))
-    release(labels, open_, of_node)
-    labels = components(edges)
+    before, labels = labels, reliable_checkpoint(
+        joined(labels, _links(pairs, classes, of_node, size, similarity)), "labels")
+    release(before, open_, of_node)
 
     named = labels.join(classes.select("node", "doc_id"), "node")
     least = named.groupBy("label").agg(F.min("doc_id").alias("_least"))
