@@ -259,6 +259,57 @@ def test_a_folder_in_which_the_machines_do_not_meet_is_refused(standalone, monke
     assert _accepted(standalone, str(tmp_path), "spark://host:7077") == str(tmp_path)
 
 
+def _without_checkpoint_folder(spark, monkeypatch) -> list[str]:
+    """As if none were set; returns those that are."""
+    sc, place, get = spark.sparkContext, [], type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: default[0] if key == "spark.checkpoint.dir"
+                        else get(self, key, *default))
+    monkeypatch.setattr(sc, "getConf", dict)
+    monkeypatch.setattr(sc, "getCheckpointDir", lambda: place[-1] if place else None)
+    monkeypatch.setattr(sc, "setCheckpointDir", place.append)
+    return place
+
+
+def test_a_cluster_without_a_checkpoint_folder_uses_its_warehouse(standalone, patients_small, monkeypatch):
+    from wardflow import session
+    from wardflow.operators import queue
+    place = _without_checkpoint_folder(standalone, monkeypatch)
+    with pytest.warns(UserWarning, match="checkpoint.dir is not set"):
+        folder = session.checkpoint_dir(standalone)
+    assert folder == standalone.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/wardflow.checkpoints"
+    assert queue.queue_position(patients_small).agg(F.max("queue_position")).first()[0] == 1500
+    assert sinks.write_patient_parquet(patients_small).count() == 1500
+    # One that the machines do not share has the same place taken.
+    place[:] = ["file:/proc/none"]
+    with pytest.warns(UserWarning, match="local to one machine"):
+        assert session.checkpoint_dir(standalone) == folder
+    # Nowhere to meet: an error that says why.
+    place.clear()
+    monkeypatch.setattr(session, "_trial", lambda spark, folder: "no rows were found")
+    with pytest.raises(RuntimeError, match="checkpoint.dir is not set.*warehouse.*no rows were found"):
+        session.checkpoint_dir(standalone)
+
+
+def test_a_local_cluster_without_a_checkpoint_folder_uses_its_warehouse(spark, monkeypatch):
+    from wardflow import session
+    _without_checkpoint_folder(spark, monkeypatch)
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[3,2,3000]")
+    with pytest.warns(UserWarning, match="checkpoint.dir is not set"):
+        assert session.checkpoint_dir(spark).endswith("/wardflow.checkpoints")
+
+
+def test_a_checkpoint_folder_that_executors_do_not_share_is_not_used(spark, monkeypatch):
+    from wardflow import session
+    place = _without_checkpoint_folder(spark, monkeypatch)
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[3,2,3000]")
+    trial = session._trial
+    monkeypatch.setattr(session, "_trial", lambda spark, folder: (
+        "of 4 rows that tasks wrote there, 0 were found" if folder.startswith("file:/proc/self") else trial(spark, folder)))
+    place.append("file:/proc/self/cwd/x")
+    with pytest.warns(UserWarning, match="not shared by the executors .of 4 rows"):
+        assert session.checkpoint_dir(spark).endswith("/wardflow.checkpoints")
+
+
 def test_sample_plan_meets_one_partition_only_over_bucket_counts(patients_small):
     lines = inspect.sample_rows(patients_small, n=100)._jdf.queryExecution() \
         .executedPlan().toString().splitlines()
