@@ -141,6 +141,24 @@ def test_readers_see_the_old_table_or_the_new(spark, patients_small):
     assert spark.table(name).count() == 105
 
 
+def test_the_catalog_entry_stays_while_it_is_switched(spark, patients_small):
+    """It is altered: one that is dropped and made again begins at another time."""
+    import time
+
+    def begun():
+        described = spark.sql("DESCRIBE TABLE EXTENDED entry_that_stays").collect()
+        return next(r.data_type for r in described if r.col_name == "Created Time")
+
+    sinks.write_patient_table(patients_small.limit(3), "entry_that_stays")
+    first = begun()
+    time.sleep(1.1)
+    for n in (5, 7):
+        again = sinks.write_patient_table(patients_small.limit(n).withColumn("v", F.lit(n)), "entry_that_stays")
+        assert again.count() == n and again.columns[-1] == "v" and begun() == first
+    known = sinks._versions(spark, "entry_that_stays")
+    assert len(set(known.values())) == 2 and all(sinks.path_exists(spark, f) for f in known.values())
+
+
 def test_a_reader_that_has_begun_goes_on(spark, patients_small):
     name = "begun_table"
     old = sinks.write_patient_table(patients_small.limit(10), name)

@@ -53,9 +53,14 @@ def write_patient_table(df: DataFrame, table_name: str = "patient_data",
     where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{re.sub(r'[^0-9A-Za-z_.]', '_', table_name)}.versions"
     folder = f"{where}/{uuid.uuid4().hex}"
     df.write.format(fmt).save(folder)
-    before = f", '{BEFORE}' = '{known[CURRENT]}'" if known else ""
-    spark.sql(f"CREATE OR REPLACE VIEW {_quoted(table_name)} TBLPROPERTIES ('{CURRENT}' = '{folder}'{before}) "
-              f"AS SELECT * FROM {fmt}.`{folder}`")
+    rows = f"SELECT * FROM {fmt}.`{folder}`"
+    if known:
+        # Replacing a view drops it first, and a reader would miss it then.
+        spark.sql(f"ALTER VIEW {_quoted(table_name)} AS {rows}")
+        spark.sql(f"ALTER VIEW {_quoted(table_name)} SET TBLPROPERTIES "
+                  f"('{CURRENT}' = '{folder}', '{BEFORE}' = '{known[CURRENT]}')")
+    else:
+        spark.sql(f"CREATE OR REPLACE VIEW {_quoted(table_name)} TBLPROPERTIES ('{CURRENT}' = '{folder}') AS {rows}")
     if known.get(BEFORE):
         delete_path(spark, known[BEFORE])
     return spark.table(table_name)
